@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,20 @@ def pieces(text: Column, pattern: str) -> Column:
     The mark can't be in a match, so a mark in the text is replaced by another control
     character first; lengths stay as they are.
     """
-    safe = F.translate(text, MARK, STAND_IN)
+    safe = F.when(F.instr(text, MARK) > 0, F.translate(text, MARK, STAND_IN)).otherwise(text)
     return F.split(F.regexp_replace(safe, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}")), MARK, -1)
 
 
-def spans(text: Column, pattern: str, context: int = 0) -> Column:
-    """array<struct<s,e,m[,l,r]>>: start and end in code points, the match, and what stands left and right of it."""
-    parts = pieces(text, pattern)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once although body uses it several times or in a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def spans(text: Column, pattern: str, context: int = 0, gate: str | None = None) -> Column:
+    """array<struct<s,e,m[,l,r]>>: start and end in code points, the match, and what stands left and right of it.
+
+    gate: a cheaper pattern that every text with a match holds; other texts are done with it.
+    """
 
     def cut(parts: Column) -> Column:
         def one(p: Column, i: Column) -> Column:
@@ -100,7 +108,8 @@ def spans(text: Column, pattern: str, context: int = 0) -> Column:
             F.when(p["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(*found)))).alias("out"),
         )
 
-    return F.aggregate(cut(parts), start, step, lambda acc: acc["out"])
+    found = let(pieces(text, pattern), lambda parts: F.aggregate(cut(parts), start, step, lambda acc: acc["out"]))
+    return F.when(text.rlike(gate), found).otherwise(F.array().cast(kind)) if gate else found
 
 
 def span_text(found: Column) -> Column:
