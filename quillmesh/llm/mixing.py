@@ -53,11 +53,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     each = each.withColumn("total", F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     each = each.withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
     fits = F.col("level") * F.col("weight") <= F.col("cap")
-    each = each.withColumn("open", F.max(fits.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = each.withColumn("found", F.min(F.when(fits, F.col("level"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # the levels from the first fitting source on fall no further: the level there is the least of those that fit
-    target = F.when(F.col("open") == 1, F.col("found") * F.col("weight")).otherwise(F.col("cap").cast("double"))
-    each = each.withColumn("target", F.least(target, F.col("cap").cast("double")))
+    whole_order = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = each.withColumn("place", F.row_number().over(order))
+    each = each.withColumn("first", F.min(F.when(fits, F.struct("place", "level"))).over(whole_order)["level"])
+    each = each.withColumn("target", F.least(F.coalesce("first", F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double")))
     return each.select("sr", "source", "source_size", "total", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
 
 
@@ -152,7 +151,7 @@ WITH d AS (
   SELECT *, ((total - coalesce(sum(cap) OVER (ORDER BY cap / weight, sr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint
       / (sum(weight) OVER (ORDER BY cap / weight, sr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::bigint) AS level
   FROM w
-), f AS (SELECT min(level) AS level FROM l WHERE level * weight <= cap
+), f AS (SELECT coalesce(arg_min(level, (cap / weight, sr)), 0) AS level FROM l WHERE level * weight <= cap
 ), t AS (
   SELECT sr, source, source_size, least(f.level * weight, cap::double) AS target FROM l, f
 ), u AS (

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, pii, quality, toxicity
+from . import decontaminate, jaccard, mixing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_quality": quality.op7_quality,
     "op10_toxicity": toxicity.op10_toxicity,
