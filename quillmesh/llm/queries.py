@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, pii, quality, toxicity
+from . import decontaminate, jaccard, mixing, neighbours, pii, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_mixing": mixing.op2_mixing,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_jaccard": jaccard.op5_jaccard,
     "op7_quality": quality.op7_quality,
+    "op8_secrets": secrets.op8_secrets,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
