@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, mixing, neighbours, pii, quality, secrets, toxicity
+from . import decontaminate, jaccard, licenses, mixing, neighbours, pii, quality, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -14,11 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_jaccard": jaccard.op5_jaccard,
+    "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op8_secrets": secrets.op8_secrets,
+    "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op6_licenses": licenses.SQL,
 }
