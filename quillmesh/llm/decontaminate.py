@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, let, table, text_key, whole, written
+from .common import bitmap, fresh, has, let, table, text_key, whole, written
 
 # 1 keeps a token, 0 ignores it; each begins with two kept tokens.
 MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
@@ -51,21 +51,6 @@ def windows(h: Column) -> Column:
     return F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - min(map(len, MASKS)))).otherwise(F.array().cast("array<int>"))
 
 
-def bitmap(hashes: DataFrame, bits: int) -> Column:
-    """A scalar array of bits/64 longs with the bit of each hash set; column name h."""
-    spark = hashes.sparkSession
-    slot = F.pmod(F.col("h"), F.lit(bits))
-    filled = hashes.select(slot.alias("slot"))
-    filled = filled.distinct().select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set"))
-    every = spark.range(bits // 64).withColumnRenamed("id", "word").join(filled, "word", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set")))), lambda x: x["set"]).alias("a")).scalar()
-
-
-def has(bits: Column, size: int, h: Column) -> Column:
-    slot = F.pmod(h, F.lit(size))
-    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
-
-
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, item_id, ht): distinct texts with their token hashes; the smallest id of a text stands for it."""
     items = benchmark.select(F.col(id_col).alias("item_id"), whole(F.col(text_col)).alias("text")).groupBy("text").agg(F.min("item_id").alias("item_id"))

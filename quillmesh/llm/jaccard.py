@@ -27,18 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_key, whole, written
+from .common import bitmap, fresh, has, table, text_key, whole, written
 from .components import components
 from .shingles import shingle_sets
 
 THRESHOLD, TARGET = 0.8, 0.9995
 TREES, DEPTH = 24, 6
-NEAR = 0.65  # signature estimates have a standard deviation of 0.033 at the threshold
+NEAR = 0.62  # signature estimates have a standard deviation of 0.033 at the threshold
 BLOCK = 512
 SEED = 41
+#: Bits of the map that tells rows that can't be members from the rest, so that these aren't shuffled; a full map only lets more through.
+MAP_BITS = 1 << 24
 
 
 def factors() -> tuple[np.ndarray, np.ndarray]:
@@ -46,30 +48,36 @@ def factors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
-def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
+def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """16 bits of each MinHash value."""
     x = (found >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
     for lo in range(0, len(x), 2048):
         part = x[lo : lo + 2048]
         np.minimum(least, (part[None, :] * a[:, None] + b[:, None]).min(1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(id, key, n, sig) of (id, text): the number of shingles and the signature, null for a text without words."""
+    """(id, key, sig, fine) of (id, text): the signature, and its low bytes for estimates; null for a text without words."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = factors()
         for batch in batches:
-            sizes, sigs = [], []
+            sigs, fine = [], []
             for found in shingle_sets(list(batch["text"])):
-                sizes.append(len(found))
-                sigs.append(signature(found, a, b) if len(found) else None)
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": sizes, "sig": sigs})
+                values = signature(found, a, b) if len(found) else None
+                sigs.append(values.tobytes() if len(found) else None)
+                fine.append((values & np.uint16(255)).astype(np.uint8).tobytes() if len(found) else None)
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "sig": sigs, "fine": fine})
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", text_key(F.col("text")).alias("key")).mapInPandas(one, f"id {kind}, key string, n long, sig binary")
+    return docs.select("id", "text", text_key(F.col("text")).alias("key")).mapInPandas(one, f"id {kind}, key string, sig binary, fine binary")
+
+
+def short(key: Column) -> Column:
+    """64 bits of a key. Where two keys share them, both become candidates; no decision rests on them."""
+    return F.xxhash64(key)
 
 
 def chance(s: float | np.ndarray, length: int) -> float | np.ndarray:
@@ -133,17 +141,17 @@ def roots(near: np.ndarray) -> np.ndarray:
 
 
 def candidates(texts: DataFrame, length: int) -> DataFrame:
-    """Edges (u, v) between texts (key, sig) that share a node of that depth and have near signatures."""
+    """Edges (u, v) between texts (key, kid, sig, fine) that share a node of that depth and have near signatures."""
     prefix = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * length))))
-    paths = texts.where("sig IS NOT NULL").select("key", F.explode(prefix).alias("trie"))
+    paths = texts.where("sig IS NOT NULL").select("kid", F.explode(prefix).alias("trie"))
     shared = paths.groupBy("trie").agg(F.count("*").alias("members")).where("members > 1")
-    found = written(paths.join(shared, "trie"), "nodes").join(texts.select("key", "sig"), "key")
+    found = written(paths.join(shared, "trie"), "nodes").join(texts.select("kid", "key", "fine"), "kid")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["trie", "i", "j"]):
             if len(g) < 2:
                 continue
-            sig = np.frombuffer(b"".join(g["sig"]), dtype="<u2").reshape(len(g), -1)
+            sig = np.frombuffer(b"".join(g["fine"]), dtype=np.uint8).reshape(len(g), -1)
             keys = g["key"].to_numpy()
             if len(g) == 2:
                 if (sig[0] == sig[1]).mean() >= NEAR:
@@ -157,7 +165,7 @@ def candidates(texts: DataFrame, length: int) -> DataFrame:
             if len(at):
                 yield pd.DataFrame({"u": keys[at], "v": keys[root[at]]})
 
-    return paired(found, "trie", "members", "key").select("trie", "i", "j", "key", "sig").mapInPandas(compare, "u string, v string")
+    return paired(found, "trie", "members", "key").select("trie", "i", "j", "key", "fine").mapInPandas(compare, "u string, v string")
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -192,13 +200,9 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
 def verified(members: DataFrame, threshold: float, length: int) -> DataFrame:
     """(key, root, links, weight) of members (key, family, members, text): exact links within each block pair, counted once."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"key": b["key"], "family": b["family"], "members": b["members"], "shingles": [s.tobytes() for s in shingle_sets(list(b["text"]))]})
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, ["family", "i", "j"]):
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]]
+            sets = list(shingle_sets(list(g["text"])))  # texts are smaller on the way than their sets
             size = np.array([len(s) for s in sets])
             both = overlap(sets)
             own, i, j = g["own"].to_numpy(), int(g["i"].iloc[0]), int(g["j"].iloc[0])
@@ -213,24 +217,27 @@ def verified(members: DataFrame, threshold: float, length: int) -> DataFrame:
             keys, root = g["key"].to_numpy(), roots(same)
             yield pd.DataFrame({"key": keys, "root": keys[root], "links": same.sum(1), "weight": weight})[same.any(1)]
 
-    sets = members.mapInPandas(build, "key string, family string, members long, shingles binary")
-    return paired(sets, "family", "members", "key").select("family", "i", "j", "own", "key", "shingles").mapInPandas(compare, "key string, root string, links long, weight double")
+    return paired(members, "family", "members", "key").select("family", "i", "j", "own", "key", "text").mapInPandas(compare, "key string, root string, links long, weight double")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """One row for each distinct text: (key, first_id, copies, class_key, class_id, links).
+    """One row for each distinct text: (key, first_id, same, copies, class_key, class_id, links).
 
-    first_id is the smallest id with that text, class_id the smallest of the class, copies the
-    number of rows with the text, links the number of other texts that are similar enough.
+    first_id is the smallest id with that text and same the number of rows with both, class_id the
+    smallest of the class, copies the number of rows with the text, links the number of other
+    texts that are similar enough.
     """
     d = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    texts = written(signed(d).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "texts")
+    each = signed(d).groupBy("key", "id").agg(F.count("*").alias("same"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same"))
+    texts = each.groupBy("key").agg(least.alias("f"), F.sum("same").alias("copies"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
+    texts = written(texts.select("key", short(F.col("key")).alias("kid"), F.col("f.id").alias("first_id"), F.col("f.same").alias("same"), "copies", "sig", "fine"), "texts")
     length = first_length(threshold, target)
     while True:
         family = components(candidates(texts, length)).select(F.col("node").alias("key"), F.col("root").alias("family"))
         sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-        family = family.join(sizes, "family").join(texts.select("key", "first_id"), "key")
-        source = d.withColumn("key", text_key(F.col("text")))
+        family = written(family.join(sizes, "family").join(texts.select("key", "first_id"), "key"), "families")
+        source = d.withColumn("key", text_key(F.col("text"))).where(has(bitmap(family.select(short(F.col("key")).alias("h")), MAP_BITS), MAP_BITS, short(F.col("key"))))
         rows = source.join(family, "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
         found = written(verified(rows.select("key", "family", "members", "text"), threshold, length), "links")
         links, weight = found.agg(F.sum("links"), F.sum("weight")).first()
@@ -239,29 +246,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         length -= 1
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), F.col("root").alias("class_key"))
-    out = texts.select("key", "first_id", "copies").join(counted, "key", "left").join(classes, "key", "left")
+    out = texts.select("key", "first_id", "same", "copies").join(counted, "key", "left").join(classes, "key", "left")
     out = out.withColumns({"links": F.coalesce("links", F.lit(0).cast("long")), "class_key": F.coalesce("class_key", "key")})
     out = written(out, "classes")
     first = out.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
-    return out.join(first, "class_key").select("key", "first_id", "copies", "class_key", "class_id", "links")
+    return out.join(first, "class_key").select("key", "first_id", "same", "copies", "class_key", "class_id", "links")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, of which no earlier one is of the same class: those with the smallest id.
 
-    A repeated row (same id and text) stays once; a class whose ids are all null keeps one row.
+    A repeated row (same id and text) stays once; of a class whose ids are all null one row stays.
     """
-    k, = fresh(docs, "jaccard_key")
+    k, t = fresh(docs, "jaccard_key", "jaccard_touched")
     classes = written(join(docs, id_col, text_col), "kept")
     # of a class, the text with the smallest id stays; equal ids: the smaller key
     best = classes.groupBy("class_key").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")).alias("b"))
-    touched = classes.join(best, "class_key").select("key", "copies", "first_id", (F.col("key") == F.col("b.key")).alias("stays")).where("copies > 1 OR NOT stays")
-    touched = written(touched.select(F.col("key").alias("touched_key"), "first_id", "stays"), "touched")
+    touched = classes.join(best, "class_key").where((F.col("copies") > 1) | (F.col("key") != F.col("b.key")))
+    touched = written(touched.select(F.col("key").alias("touched_key"), F.struct("first_id", "same", (F.col("key") == F.col("b.key")).alias("stays")).alias(t)), "touched")
     named = docs.withColumn(k, text_key(F.col(text_col)))
-    untouched = named.join(touched, named[k] == touched["touched_key"], "left_anti")
-    kept = touched.where("stays").select("touched_key", F.col("first_id").alias("touched_id"))
-    one = named.join(kept, (named[k] == kept["touched_key"]) & named[id_col].eqNullSafe(kept["touched_id"])).select(named["*"]).dropDuplicates([k])
-    return untouched.unionByName(one).select(*docs.columns)
+    maybe = has(bitmap(touched.select(short(F.col("touched_key")).alias("h")), MAP_BITS), MAP_BITS, short(F.col(k)))
+    clear, rest = named.where(~maybe), named.where(maybe)
+    mine = F.col(f"{t}.stays") & F.col(id_col).eqNullSafe(F.col(f"{t}.first_id"))
+    joined = rest.join(touched, rest[k] == touched["touched_key"], "left")
+    kept = joined.where(F.col("touched_key").isNull() | (mine & (F.col(f"{t}.same") == 1)))
+    repeated = touched.where(F.col(f"{t}.stays") & (F.col(f"{t}.same") > 1))
+    once = rest.join(repeated, rest[k] == repeated["touched_key"]).where(F.col(id_col).eqNullSafe(F.col(f"{t}.first_id"))).dropDuplicates([k])
+    return clear.select(*docs.columns).unionByName(kept.select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_bucket, table, whole
-from .labelled import labelled_ids
+from .labelled import arrays, labelled_ids
 
 LABELLED, WIDTH, LEAST = 8000, 12000, 5
 SEED = 31
@@ -133,16 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 at = [np.nonzero(np.isin(chosen, f, assume_unique=True))[0].astype(np.int32) for f in b["found"]]
                 yield pd.DataFrame({"id": b["id"], "label": b["label"], "at": at})
 
-        got = sorted(rows.mapInPandas(coded, "id string, label int, at array<int>").collect(), key=lambda r: (r["id"], r["label"], r["at"]))
+        label, x = arrays(rows.mapInPandas(coded, "id string, label int, at array<int>"), "label")
     finally:
         rows.unpersist()
-    y = np.array([1 if r["label"] > 0 else -1 for r in got])
-    if len(set(y)) < 2:
+    y = np.where(label > 0, 1, -1)
+    if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 1.0, math.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1)))
-    x = [np.array(r["at"], dtype=np.int64) for r in got]
     aside = np.arange(len(y)) % 5 == 4
     inner = [i for i in range(len(y)) if not aside[i]]
-    if len(set(y[inner])) < 2 or len(set(y[aside])) < 2:
+    if len(set(y[inner].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
         inner, aside = list(range(len(y))), np.ones(len(y), dtype=bool)
     ratio = count_ratio([x[i] for i in inner], y[inner], len(chosen))
     w, b = descend([x[i] for i in inner], y[inner], ratio)
