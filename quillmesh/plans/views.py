@@ -47,7 +47,7 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RETAIL_SQL = """retail AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || l_orderkey::varchar AS invoice, l_orderkey, l_linenumber, upper(p_type) AS stock_code, l_partkey,
-    CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, round(l_extendedprice / l_quantity, 2) AS price,
+    CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / l_quantity AS price,
     CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS customer_id, o_orderdate AS invoice_date,
     CASE WHEN l_linenumber % 5 = 0 THEN lower(p_brand) ELSE p_brand END AS description, l_shipdate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
@@ -61,7 +61,7 @@ def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.col("l_returnflag") == "R"
     return rows.select(
         F.concat(F.when(back, "C").otherwise(""), F.col("l_orderkey").cast("string")).alias("invoice"), "l_orderkey", "l_linenumber", F.upper("p_type").alias("stock_code"), "l_partkey",
-        F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
+        F.when(back, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("customer_id"), F.col("o_orderdate").alias("invoice_date"),
         F.when(F.col("l_linenumber") % 5 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("description"), "l_shipdate",
     )
