@@ -8,8 +8,8 @@ of at least THRESHOLD?
    nodes of one depth are the groups of equal prefixes.
 2. The prefix starts at DEPTH and is shortened until the model's recall at the threshold,
    1-(1-s^length)^TREES, reaches the target.
-3. Within each node with several texts, whole signatures are compared, in blocks of at most
-   BLOCK texts. Pairs with an estimate of NEAR or more are reduced to a forest of edges, so no
+3. Within each node with several texts, whole signatures are compared, in blocks of about
+   NODE_BLOCK texts. Pairs with an estimate of NEAR or more are reduced to a forest of edges, so no
    node emits all its pairs. The components of these edges are families.
 4. Each family's shingle sets are brought together once, again in blocks, and compared exactly.
    Links are counted for each text, and reduced to edges, whose components are the classes.
@@ -37,7 +37,7 @@ from .shingles import shingle_sets
 THRESHOLD, TARGET = 0.8, 0.9995
 TREES, DEPTH = 24, 6
 NEAR = 0.62  # signature estimates have a standard deviation of 0.033 at the threshold
-BLOCK = 512
+NODE_BLOCK, BLOCK = 512, 256  # rows of a block when signatures, and when whole sets are compared
 SEED = 41
 #: Bits of the map that tells rows that can't be members from the rest, so that these aren't shuffled; a full map only lets more through.
 MAP_BITS = 1 << 24
@@ -119,9 +119,9 @@ def groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield pd.concat(rest) if len(rest) > 1 else rest[0]
 
 
-def paired(rows: DataFrame, group: str, count: str, node: str) -> DataFrame:
-    """rows with (i, j): each row in every pair of blocks of its group that holds it; each group of (group, i, j) has at most about 2 x BLOCK rows."""
-    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
+def paired(rows: DataFrame, group: str, count: str, node: str, block: int) -> DataFrame:
+    """rows with (i, j): each row in every pair of blocks of its group that holds it; each group of (group, i, j) has about 2 x block rows at most."""
+    blocks = F.ceil(F.col(count) / block).cast("int")
     own = F.pmod(F.xxhash64(node), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), own.alias("own")))
     out = rows.withColumn("pair", F.explode(pairs)).select("*", "pair.*").drop("pair")
@@ -165,7 +165,7 @@ def candidates(texts: DataFrame, length: int) -> DataFrame:
             if len(at):
                 yield pd.DataFrame({"u": keys[at], "v": keys[root[at]]})
 
-    return paired(found, "trie", "members", "key").select("trie", "i", "j", "key", "fine").mapInPandas(compare, "u string, v string")
+    return paired(found, "trie", "members", "key", NODE_BLOCK).select("trie", "i", "j", "key", "fine").mapInPandas(compare, "u string, v string")
 
 
 def overlap(sets: list[np.ndarray]) -> np.ndarray:
@@ -187,7 +187,7 @@ def overlap(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[keep], place[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    step = 8192
+    step = 4096
     for lo in range(0, int(often.sum()), step):
         a, b = np.searchsorted(column, (lo, lo + step))
         m = np.zeros((n, step), dtype=np.float32)
@@ -217,7 +217,7 @@ def verified(members: DataFrame, threshold: float, length: int) -> DataFrame:
             keys, root = g["key"].to_numpy(), roots(same)
             yield pd.DataFrame({"key": keys, "root": keys[root], "links": same.sum(1), "weight": weight})[same.any(1)]
 
-    return paired(members, "family", "members", "key").select("family", "i", "j", "own", "key", "text").mapInPandas(compare, "key string, root string, links long, weight double")
+    return paired(members, "family", "members", "key", BLOCK).select("family", "i", "j", "own", "key", "text").mapInPandas(compare, "key string, root string, links long, weight double")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:

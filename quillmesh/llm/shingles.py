@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-CHUNK = 1 << 20  # bytes of text hashed at once
+CHUNK = 1 << 18  # bytes of text hashed at once
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
