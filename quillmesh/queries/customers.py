@@ -1 +1,115 @@
-"""Queries."""
+"""Customers and vectors: derived attributes, scores, partitions and their validity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.arith import ratio
+from ..operators import cluster as ops
+from ..plans import views
+from ..sources.tables import parquet
+from .registry import query
+
+RANK = lambda x: f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2) / count(*) OVER ()"
+PREPARED = f"""WITH {views.CUSTOMERS_SQL}, cap AS (SELECT quantile_cont(income, 0.995) AS c FROM customers WHERE income IS NOT NULL AND purchases > 0),
+b AS (SELECT customer_id, segment, income / 1000 AS income_k, purchases, campaigns, web_visits, total_spend, recency_days::double AS recency_days, greatest(0, least(1, deals / nullif(purchases, 0))) AS discount_sensitivity, (1 + (segment IN ('BUILDING', 'HOUSEHOLD'))::int + kids + teens)::bigint AS household_size FROM customers, cap WHERE income <= c AND purchases > 0),
+r AS (SELECT *, round(purchases / (web_visits + 1.0::double), 12) AS a FROM b), q AS (SELECT *, round(0.5 * {RANK('a')} + 0.5 * {RANK('campaigns')}, 12) AS c FROM r), p AS (SELECT *, greatest(1.0, least(100.0, {RANK('c')} * 100)) AS spending_score FROM q)"""
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.customers(spark, sf_dir).where("income IS NOT NULL AND purchases > 0")
+    cap = c.agg(F.percentile("income", F.lit(0.995)).alias("cap"))  # one row
+    b = c.crossJoin(F.broadcast(cap)).where("income <= cap").withColumns({
+        "income_k": F.col("income") / 1000, "recency_days": F.col("recency_days").cast("double"), "discount_sensitivity": F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio(F.col("deals"), F.col("purchases")))),
+        "household_size": 1 + F.col("segment").isin("BUILDING", "HOUSEHOLD").cast("int") + F.col("kids") + F.col("teens"),
+    })
+    return ops.spending_score(b, F.col("purchases") / (F.col("web_visits") + 1.0), F.col("campaigns"))
+
+
+@query(f"{PREPARED} SELECT customer_id, round(income_k, 6) AS income_k, recency_days, round(discount_sensitivity, 6) AS discount_sensitivity, household_size, round(spending_score, 6) AS spending_score FROM p")
+def customers_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepared(spark, sf_dir).select("customer_id", F.round("income_k", 6).alias("income_k"), "recency_days", F.round("discount_sensitivity", 6).alias("discount_sensitivity"), "household_size", F.round("spending_score", 6).alias("spending_score"))
+
+
+INTER = f"{PREPARED}, i AS (SELECT *, income_k / (spending_score + 1) AS discretionary_ratio, total_spend / (recency_days + 1) AS monetary_velocity, web_visits * (spending_score / 100) AS digital_engagement, discount_sensitivity * (1 - spending_score / 100) AS deal_affinity FROM p)"
+FOUR = ("discretionary_ratio", "monetary_velocity", "digital_engagement", "deal_affinity")
+
+
+@query(f"{INTER} SELECT customer_id, {', '.join(f'round({c}, 5) AS {c}' for c in FOUR)} FROM i")
+def customers_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.interactions(prepared(spark, sf_dir)).select("customer_id", *[F.round(c, 5).alias(c) for c in FOUR])
+
+
+@query(f"{INTER}, m AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in FOUR)} FROM i) SELECT customer_id, {', '.join(f'round(CASE WHEN {c}_s > 0 THEN ({c} - {c}_m) / {c}_s ELSE 0 END, 5) AS {c}' for c in FOUR)} FROM i, m")
+def customers_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = ops.scaled(ops.interactions(prepared(spark, sf_dir)).select("customer_id", *FOUR), list(FOUR))
+    return z.select("customer_id", *[F.round(c, 5).alias(c) for c in FOUR])
+
+
+@query(f"{PREPARED}, k AS (SELECT {RANK('total_spend')} AS a, {RANK('spending_score')} AS b FROM p) SELECT round(corr(a, b), 6) AS spearman FROM k")
+def customers_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prepared(spark, sf_dir)
+    return p.select(ops.percentile_rank("total_spend").alias("a"), ops.percentile_rank("spending_score").alias("b")).agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
+
+
+@query(f"{PREPARED} SELECT segment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(income_k), 6) AS income_k, round(avg(total_spend), 3) AS total_spend, round(avg(spending_score), 5) AS spending_score FROM p GROUP BY segment")
+def customers_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    g = prepared(spark, sf_dir).groupBy("segment").agg(F.count("*").alias("n"), F.round(F.avg("income_k"), 6).alias("income_k"), F.round(F.avg("total_spend"), 3).alias("total_spend"), F.round(F.avg("spending_score"), 5).alias("spending_score"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]).withColumn("v", F.col("embedding").cast("array<double>")).drop("embedding")
+
+
+CELLS = """e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings), x AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e), c AS (SELECT label, dim, avg(x) AS m FROM x GROUP BY ALL),
+d AS (SELECT x.vec_id, x.label AS own, c.label AS label, sqrt(sum((x.x - c.m) ^ 2)) AS d FROM x JOIN c USING (dim) GROUP BY ALL)"""
+
+
+@query(f"WITH {CELLS}, r AS (SELECT vec_id, arg_min(label, (round(d, 9), label)) AS label, min(round(d, 9)) AS d, sum(1 / (round(d, 9) + 1e-5)) AS t FROM d GROUP BY vec_id) SELECT vec_id, label, round(d, 6) AS distance, round((1 / (d + 1e-5)) / t, 6) AS share FROM r")
+def vectors_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return ops.nearest(v, ops.centroids(v, "label", "v"), "vec_id", "v", "label")
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT label, count(*) AS size, avg(d) AS spread, sum(d ^ 2) AS within FROM d WHERE own = label GROUP BY label), g AS (SELECT dim, avg(x) AS m FROM x GROUP BY dim), b AS (SELECT label, sum((c.m - g.m) ^ 2) AS b FROM c JOIN g USING (dim) GROUP BY label),
+p AS (SELECT a.label AS l, b.label AS k, sqrt(sum((a.m - b.m) ^ 2)) AS gap FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY ALL), w AS (SELECT l, max((x.spread + y.spread) / gap) AS r FROM p JOIN s x ON x.label = l JOIN s y ON y.label = k GROUP BY l), t AS (SELECT count(*) AS k, sum(size)::bigint AS n, sum(within) AS within, sum(size * b) AS between FROM s JOIN b USING (label))
+SELECT k, n, round((SELECT avg(r) FROM w), 5) AS davies_bouldin, round((between / (k - 1)) / (within / (n - k)), 5) AS calinski_harabasz FROM t""")
+def vectors_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.validity(vectors(spark, sf_dir), "label", "v")
+
+
+@query("WITH p AS (SELECT label AS a, (vec_id % 4)::int AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS shared FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT count(*) AS n FROM p GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT count(*) AS n FROM p GROUP BY b)) SELECT n::bigint AS rows, round((n * (n - 1) / 2 - x.s - y.s + 2 * shared) / (n * (n - 1) / 2), 6) AS agreement FROM t, x, y")
+def vectors_co_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.co_assignment(vectors(spark, sf_dir).select(F.col("label").alias("a"), (F.col("vec_id") % 4).cast("int").alias("b")), "a", "b")
+
+
+@query("SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, count(*) / sum(count(*)) OVER () >= 0.01 AS enough FROM embeddings GROUP BY label")
+def vectors_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.shares(vectors(spark, sf_dir), "label")
+
+
+@query()
+def vectors_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Spark ML families on one table, their validity, ranked; undefined ones last."""
+    from functools import reduce
+
+    from pyspark.sql.window import Window
+
+    rows = [ops.validity(p, "cluster", "v").withColumn("entrant", F.lit(n)) for n, p in ops.entrants(vectors(spark, sf_dir), "v", 5).items()]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumn("place", F.rank().over(Window.orderBy(F.col("davies_bouldin").asc_nulls_last())))
+
+
+@query()
+def vectors_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knee of the within-cluster squares for k from 2 to 9."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = vectors(spark, sf_dir).select(array_to_vector("v").alias("features")).persist()
+    curve = [(k, float(KMeans(k=k, seed=7, maxIter=10).fit(v).summary.trainingCost)) for k in range(2, 10)]
+    return ops.knee(spark.createDataFrame(curve, "k int, wcss double"), "k", "wcss")

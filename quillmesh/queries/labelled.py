@@ -1 +1,167 @@
-"""Queries."""
+"""Categorical association, ranking metrics, splits and supervised models on the tables."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import cleaning, scoring
+from ..operators import trips as trip_ops
+from ..sources.tables import parquet
+from . import trips
+from .registry import query
+
+FEATURES = ("l_linestatus", "size_band", "o_orderpriority", "o_orderstatus", "brand")
+CAT = "WITH cat AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus, CASE WHEN l_quantity < 17 THEN 'small' WHEN l_quantity < 34 THEN 'middle' ELSE 'large' END AS size_band, o_orderpriority, o_orderstatus, p_brand AS brand, (l_returnflag = 'R')::int AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = parquet(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_quantity", "l_returnflag"])  # noqa: E741
+    o = parquet(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
+    p = parquet(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    band = F.when(F.col("l_quantity") < 17, "small").when(F.col("l_quantity") < 34, "middle").otherwise("large")
+    return l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(p, l["l_partkey"] == p["p_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", band.alias("size_band"), "o_orderpriority", "o_orderstatus", F.col("p_brand").alias("brand"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+def contingency(df: DataFrame, features: tuple[str, ...], label: str) -> DataFrame:
+    """(feature, value, label, n) of all features, one aggregation."""
+    return df.unpivot([label], list(features), "feature", "value").groupBy("feature", "value", label).agg(F.count("*").alias("n"))
+
+
+LONG = f"{CAT}, k AS ({' UNION ALL '.join(f'SELECT $${c}$$ AS feature, {c} AS value, label, count(*) AS n FROM cat GROUP BY ALL' for c in FEATURES)})"
+
+
+@query(f"{LONG} SELECT feature, value, label, n FROM k")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contingency(categories(spark, sf_dir), FEATURES, "label")
+
+
+@query(f"""{LONG}, v AS (SELECT feature, value, sum(n) AS r FROM k GROUP BY ALL), c AS (SELECT feature, label, sum(n) AS c FROM k GROUP BY ALL), t AS (SELECT feature, sum(n) AS t FROM k GROUP BY 1), e AS (SELECT v.feature, coalesce(n, 0) AS n, r * c / t AS e, t FROM v JOIN c USING (feature) JOIN t USING (feature) LEFT JOIN k ON k.feature = v.feature AND k.value = v.value AND k.label = c.label),
+x AS (SELECT feature, sum((n - e) ^ 2 / e) AS chi2, any_value(t) AS t FROM e GROUP BY 1), d AS (SELECT feature, count(DISTINCT value) AS a, count(DISTINCT label) AS b FROM k GROUP BY 1) SELECT feature, round(chi2, 5) AS chi2, ((a - 1) * (b - 1))::bigint AS dof, round(sqrt(chi2 / (t * (least(a, b) - 1))), 6) AS cramers_v FROM x JOIN d USING (feature)""")
+def category_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square without correction, degrees of freedom, Cramer's V."""
+    k = contingency(categories(spark, sf_dir), FEATURES, "label").persist()
+    total = lambda by, name: k.groupBy(*by).agg(F.sum("n").alias(name))
+    cell = total(["feature", "value"], "r").join(total(["feature", "label"], "c"), "feature").join(total(["feature"], "t"), "feature").join(k, ["feature", "value", "label"], "left").na.fill(0, ["n"])
+    e = F.col("r") * F.col("c") / F.col("t")
+    x = cell.groupBy("feature").agg(F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("chi2"), F.first("t").alias("t"), F.count_distinct("value").alias("a"), F.count_distinct("label").alias("b"))
+    return x.select("feature", F.round("chi2", 5).alias("chi2"), ((F.col("a") - 1) * (F.col("b") - 1)).alias("dof"), F.round(F.sqrt(F.col("chi2") / (F.col("t") * (F.least("a", "b") - 1))), 6).alias("cramers_v"))
+
+
+@query(f"""{LONG}, t AS (SELECT label, count(*) AS n FROM cat GROUP BY 1), m AS (SELECT feature, count(DISTINCT value) AS m FROM k GROUP BY 1), g AS (SELECT feature, value, t.label, t.n AS total FROM (SELECT DISTINCT feature, value FROM k) CROSS JOIN t), p AS (SELECT g.feature, g.value, g.label, ln((coalesce(k.n, 0) + 1) / (total + m)) AS lp FROM g JOIN m USING (feature) LEFT JOIN k ON k.feature = g.feature AND k.value = g.value AND k.label = g.label),
+s AS (SELECT DISTINCT {', '.join(FEATURES)} FROM cat), f AS (SELECT s.*, t.label, ln(t.n / (SELECT sum(n) FROM t)) AS prior FROM s CROSS JOIN t), q AS (SELECT f.*, prior + {' + '.join(f'p{i}.lp' for i in range(5))} AS lp FROM f {' '.join(f"JOIN p p{i} ON p{i}.feature = '{c}' AND p{i}.value = f.{c} AND p{i}.label = f.label" for i, c in enumerate(FEATURES))}) SELECT {', '.join(FEATURES)}, arg_max(label, round(lp, 9)) AS predicted, round(max(lp), 6) AS log_score FROM q GROUP BY {', '.join(FEATURES)}""")
+def category_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categorical naive Bayes with Laplace smoothing; every distinct profile scored by joins on its values."""
+    df = categories(spark, sf_dir)
+    k = contingency(df, FEATURES, "label").persist()
+    t = df.groupBy("label").agg(F.count("*").alias("total")).withColumn("prior", F.log(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1)))))
+    m = k.groupBy("feature").agg(F.count_distinct("value").alias("m"))
+    grid = k.select("feature", "value").distinct().join(m, "feature").crossJoin(F.broadcast(t))  # one row for each class
+    p = grid.join(k, ["feature", "value", "label"], "left").select("feature", "value", "label", "prior", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("m"))).alias("lp"))
+    profiles = df.select(*FEATURES).distinct()
+    scored = profiles.withColumn("profile", F.struct(*FEATURES)).unpivot(["profile"], list(FEATURES), "feature", "value").join(p, ["feature", "value"])
+    by = scored.groupBy("profile", "label").agg((F.sum("lp") + F.first("prior")).alias("lp"))
+    best = by.groupBy("profile").agg(F.max_by("label", F.round("lp", 9)).alias("predicted"), F.round(F.max("lp"), 6).alias("log_score"))
+    return best.select("profile.*", "predicted", "log_score")
+
+
+@query(f"{CAT} SELECT label, count(*) AS n, round((SELECT count(*) FROM cat) / (2.0 * count(*)), 6) AS weight, count(*) = max(count(*)) OVER () AS majority FROM cat GROUP BY label")
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = categories(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(1))
+    return n.select("label", "n", F.round(F.sum("n").over(w) / (2.0 * F.col("n")), 6).alias("weight"), (F.col("n") == F.max("n").over(w)).alias("majority"))
+
+
+RANKED = "WITH s AS (SELECT doc_id, toxic AS label, round(1 / (1 + exp(-(n_chars % 997 - 400) / 150.0::double)), 3) AS score FROM labels JOIN documents USING (doc_id))"
+CUTS = f"{RANKED}, g AS (SELECT score, sum(label) AS hit, count(*) AS n FROM s GROUP BY 1), c AS (SELECT score, (sum(hit) OVER w)::bigint AS tp, (sum(n - hit) OVER w)::bigint AS fp, sum(hit) OVER () AS p, sum(n - hit) OVER () AS q FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), m AS (SELECT score, tp, fp, tp / (tp + fp) AS precision, tp / p AS recall, fp / q AS fpr, 2 * tp / (tp + fp + p) AS f1 FROM c)"
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = parquet(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    score = F.round(1 / (1 + F.exp(-(F.col("n_chars") % 997 - 400) / 150.0)), 3)
+    return parquet(spark, sf_dir, "labels", ["doc_id", "toxic"]).join(d, "doc_id").select("doc_id", F.col("toxic").alias("label"), score.alias("score"))
+
+
+@query(f"{CUTS} SELECT score, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(f1, 6) AS f1 FROM m")
+def ranking_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.cutoffs(ranked(spark, sf_dir), "score", "label").select("score", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fpr", "f1")])
+
+
+@query(f"{CUTS}, l AS (SELECT *, lag(recall, 1, 0) OVER (ORDER BY score DESC) AS r0, lag(fpr, 1, 0) OVER (ORDER BY score DESC) AS f0 FROM m) SELECT round(sum((fpr - f0) * (recall + r0) / 2), 6) AS auc, round(sum((recall - r0) * precision), 6) AS average_precision FROM l")
+def ranking_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ranked(spark, sf_dir)
+    return scoring.roc_auc(s, "score", "label").crossJoin(scoring.average_precision(s, "score", "label"))
+
+
+@query(f"{CUTS} SELECT score, round(f1, 6) AS f1 FROM m ORDER BY round(m.f1, 9) DESC, m.score DESC LIMIT 1")
+def ranking_best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.cutoffs(ranked(spark, sf_dir), "score", "label").orderBy(F.desc(F.round("f1", 9)), F.desc("score")).limit(1).select("score", F.round("f1", 6).alias("f1"))
+
+
+@query(f"{RANKED}, t AS (SELECT unnest([0.3, 0.5, 0.7])::double AS cutoff), c AS (SELECT cutoff, count(*) FILTER (WHERE label = 0 AND score < cutoff) AS tn, count(*) FILTER (WHERE label = 0 AND score >= cutoff) AS fp, count(*) FILTER (WHERE label = 1 AND score < cutoff) AS fn, count(*) FILTER (WHERE label = 1 AND score >= cutoff) AS tp FROM s, t GROUP BY cutoff) SELECT *, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
+def ranking_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ranked(spark, sf_dir).withColumn("cutoff", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))))
+    return scoring.rates(s.groupBy("cutoff").agg(*scoring.confusion(F.col("label"), F.col("score") >= F.col("cutoff"))))
+
+
+@query()
+def ranking_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score cutoffs for 60 log-spaced review rates, and the share each flags."""
+    rates = [0.0001 * 500 ** (i / 59) for i in range(60)]
+    s = ranked(spark, sf_dir)
+    cuts = s.agg(F.percentile("score", F.array(*[F.lit(1 - r) for r in rates])).alias("q")).select(F.posexplode("q").alias("i", "cut"))
+    return s.crossJoin(F.broadcast(cuts)).groupBy("i", "cut").agg(F.round(F.avg((F.col("score") >= F.col("cut")).cast("int")), 6).alias("flagged"))  # 60 rows
+
+
+ORDER = "row_number() OVER (PARTITION BY toxic ORDER BY md5('{}|' || doc_id::varchar), doc_id) - 1"
+
+
+@query(f"SELECT doc_id, toxic, CASE WHEN ({ORDER.format('split')}) / count(*) OVER (PARTITION BY toxic) < 0.55 THEN 'fit' WHEN ({ORDER.format('split')}) / count(*) OVER (PARTITION BY toxic) < 0.7 THEN 'tune' ELSE 'test' END AS part FROM labels")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.stratified(parquet(spark, sf_dir, "labels", ["doc_id", "toxic"]), "toxic", "doc_id", [("fit", 0.55), ("tune", 0.15), ("test", 0.30)], "split")
+
+
+@query(f"SELECT doc_id, toxic, (({ORDER.format('fold')}) % 5)::int AS fold FROM labels")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.folds(parquet(spark, sf_dir, "labels", ["doc_id", "toxic"]), "toxic", "doc_id", 5, "fold")
+
+
+@query()
+def model_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic (plain and weighted), tree, forest and boosting on one prepared table: metrics on held-out orders."""
+    df = categories(spark, sf_dir).withColumns({"part": F.pmod(F.xxhash64("l_orderkey"), F.lit(5)), "qty": F.col("l_partkey").cast("double")})
+    share = df.agg(F.avg("label")).first()[0] or 0.5
+    df = df.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+    stages = [*[StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in FEATURES], OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES]), Imputer(inputCols=["qty"], outputCols=["qty_f"], strategy="median"), VectorAssembler(inputCols=[*[f"{c}_v" for c in FEATURES], "qty_f"], outputCol="features")]
+    train, test = df.where("part > 0"), df.where("part = 0")
+    prep = Pipeline(stages=stages).fit(train)
+    a, b = prep.transform(train).select("features", "label", "weight").persist(), prep.transform(test).select("features", "label", "weight").persist()
+    models = {"logistic": LogisticRegression(maxIter=30), "logistic_weighted": LogisticRegression(maxIter=30, weightCol="weight"), "tree": DecisionTreeClassifier(maxDepth=5, seed=1), "forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=1), "boosted": GBTClassifier(maxIter=10, maxDepth=3, seed=1)}
+    out = None
+    for name, m in models.items():
+        p = m.fit(a).transform(b).select("label", F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"))
+        row = scoring.rates(p.agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5))).crossJoin(scoring.roc_auc(p, "score", "label")).withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def model_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge, forest and boosting with early stopping on trip features: metrics in seconds on the validation role."""
+    df = trips.featured(spark, sf_dir).withColumn("y", F.log1p("trip_duration"))
+    df = VectorAssembler(inputCols=trip_ops.FEATURES, outputCol="features").transform(df).withColumn("stop", F.col("split") == "calibration").select("features", "y", "trip_duration", "split", "stop").persist()
+    n = df.where("split = 'fit'").count()
+    models = {"ridge": LinearRegression(labelCol="y", regParam=1.0 / max(1, n), elasticNetParam=0.0), "forest": RandomForestRegressor(labelCol="y", numTrees=20, maxDepth=8, subsamplingRate=0.5, minInstancesPerNode=5, seed=1), "boosted": GBTRegressor(labelCol="y", maxIter=20, maxDepth=4, stepSize=0.2, validationIndicatorCol="stop", seed=1)}
+    out = None
+    for name, m in models.items():
+        rows = df.where("split IN ('fit', 'calibration')") if name == "boosted" else df.where("split = 'fit'")
+        p = m.fit(rows).transform(df.where("split = 'validation'"))
+        row = p.agg(*scoring.regression_metrics(F.col("trip_duration"), F.expm1("prediction"))).withColumn("model", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
