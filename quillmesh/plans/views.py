@@ -73,7 +73,7 @@ CUSTOMERS_SQL = """per_order AS (
   SELECT c_custkey AS customer_id, c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS income,
     count(o_orderkey) AS purchases, count(o_orderkey) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS campaigns,
     count(o_orderkey) FILTER (WHERE o_totalprice < 100000) AS deals, (c_custkey % 11)::bigint AS web_visits,
-    coalesce(sum(o_totalprice), 0)::double AS total_spend, date_diff('day', max(o_orderdate)::date, DATE '2001-01-01') AS recency_days,
+    coalesce(sum(o_totalprice), 0)::double AS total_spend, date_diff('day', max(o_orderdate)::date, DATE '2002-01-01') AS recency_days,
     (c_custkey % 3)::bigint AS kids, (c_custkey % 2)::bigint AS teens
   FROM customer LEFT JOIN per_order ON c_custkey = customer_id GROUP BY ALL)"""
 
@@ -88,7 +88,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(each, c["c_custkey"] == each["o_custkey"], "left").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("income"),
         zero("purchases"), zero("campaigns"), zero("deals"), (F.col("c_custkey") % 11).alias("web_visits"), F.coalesce("total_spend", F.lit(0.0)).alias("total_spend"),
-        F.date_diff(F.lit("2001-01-01").cast("date"), F.to_date("last")).cast("long").alias("recency_days"), (F.col("c_custkey") % 3).alias("kids"), (F.col("c_custkey") % 2).alias("teens"))
+        F.date_diff(F.lit("2002-01-01").cast("date"), F.to_date("last")).cast("long").alias("recency_days"), (F.col("c_custkey") % 3).alias("kids"), (F.col("c_custkey") % 2).alias("teens"))
 
 
 TODAY = "1998-07-01"

@@ -36,9 +36,9 @@ INTER = f"{PREPARED}, i AS (SELECT *, income_k / (spending_score + 1) AS discret
 FOUR = ("discretionary_ratio", "monetary_velocity", "digital_engagement", "deal_affinity")
 
 
-@query(f"{INTER} SELECT customer_id, {', '.join(f'round({c}, 5) AS {c}' for c in FOUR)} FROM i")
+@query(f"{INTER} SELECT customer_id, {', '.join(f'round({c}, 7) AS {c}' for c in FOUR)} FROM i")
 def customers_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.interactions(prepared(spark, sf_dir)).select("customer_id", *[F.round(c, 5).alias(c) for c in FOUR])
+    return ops.interactions(prepared(spark, sf_dir)).select("customer_id", *[F.round(c, 7).alias(c) for c in FOUR])
 
 
 @query(f"{INTER}, m AS (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in FOUR)} FROM i) SELECT customer_id, {', '.join(f'round(CASE WHEN {c}_s > 0 THEN ({c} - {c}_m) / {c}_s ELSE 0 END, 5) AS {c}' for c in FOUR)} FROM i, m")
