@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before kept. The stages keep
-the columns of documents; the last adds size, source_size, target and taken.
+the columns of documents; the last keeps what the mix takes and adds size, source_size, target,
+taken and pieces.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the words that the mix takes of each document."""
-    return mixing.mix(docs)
+    """Operator 2: documents that the mix takes, with each piece of their text and its slot; exploded and sorted by slot, they are the mixed corpus."""
+    return mixing.mixed(docs)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, table, whole, written
+from .common import fresh, let, table, whole, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, at least; there are MAX_SLOTS blocks at most.
@@ -79,7 +79,8 @@ def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
     drawn = points.groupBy("sr").agg(F.count("*").alias("drawn"))
     need = F.ceil(F.col("goal") / block)
     rest = sources.join(drawn, "sr", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where(need > F.col("drawn"))
-    rest = rest.select(F.explode(F.sequence(F.col("drawn"), need - 1)).alias("rank"), "sr").select((F.lit(slots) + F.col("rank")).alias("slot"), "sr", "rank")
+    rest = rest.select(F.explode(F.sequence(F.col("drawn"), need - 1)).alias("rank"), "sr").crossJoin(F.broadcast(ends))
+    rest = rest.select((F.lit(slots) + F.col("rank") * F.size("srs") + F.col("sr") - 1).alias("slot"), "sr", "rank")  # no two blocks share a slot
     both = ranked.unionByName(rest).join(sources.select("sr", "goal"), "sr")
     words = F.least(F.lit(block), F.col("goal") - F.col("rank") * block)
     return both.withColumn("words", words).where("words > 0").select("slot", "sr", "rank", "words")
@@ -91,8 +92,12 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(whole(text), F.lit(WORD)).cast("long").alias("size"), place(F.col(id_col), text).alias("h"))
 
 
-def takes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sources with their targets, and (sr, h, size, each) for each distinct document: the words that the mix takes of each of its rows."""
+def pieces(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, and the mix: (sr, h, size, n, copy, slot, at, first, words).
+
+    Words first to first + words of a document (copy counts the n rows that share h and size) stand from
+    place at in the block of the slot.
+    """
     sources = written(targets(sizes), "sources")
     top = sources.agg(F.max("total").alias("total")).first()["total"] or 0
     block = max(BLOCK, -(-top // MAX_SLOTS))
@@ -107,10 +112,18 @@ def takes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = Window.partitionBy("sr", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = units.withColumn("at", F.coalesce(F.sum("span").over(within), F.lit(0))).join(sums, ["sr", "bucket"]).withColumn("at", F.col("base") + F.col("at"))
     laid = laid.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LIMIT - 1)), lambda e: F.col("at") + e * F.col("source_size")))).where(F.col("at") < F.col("goal"))
-    first, last = F.floor(F.col("at") / block), F.floor((F.least(F.col("at") + F.col("span"), F.col("goal")) - 1) / block)
-    cut = laid.select("sr", "h", "size", "n", "span", "at", F.explode(F.sequence(first, last)).alias("rank"))
-    got = F.least(F.col("at") + F.col("span"), F.col("rank") * block + F.col("words")) - F.greatest(F.col("at"), F.col("rank") * block)
-    joined = cut.join(plan, ["sr", "rank"]).groupBy("sr", "h", "size", "n").agg(F.sum(got).alias("all"))
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("size")).where(F.col("at") < F.col("goal"))
+    begin, end = F.floor(F.col("at") / block), F.floor((F.least(F.col("at") + F.col("size"), F.col("goal")) - 1) / block)
+    cut = laid.select("sr", "h", "size", "n", "copy", F.col("at").alias("from"), F.explode(F.sequence(begin, end)).alias("rank"))
+    start, left = F.col("rank") * block, F.greatest(F.col("from"), F.col("rank") * block)
+    got = F.least(F.col("from") + F.col("size"), start + F.col("words")) - left
+    return sources, cut.join(plan, ["sr", "rank"]).select("sr", "h", "size", "n", "copy", "slot", (left - start).alias("at"), (left - F.col("from")).alias("first"), got.alias("words"))
+
+
+def takes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, and (sr, h, size, each) for each distinct document: the words that the mix takes of each of its rows."""
+    sources, mixed = pieces(sizes)
+    joined = mixed.groupBy("sr", "h", "size", "n").agg(F.sum("words").alias("all"))
     return sources, joined.select("sr", "h", "size", F.floor(F.col("all") / F.col("n")).cast("long").alias("each"))
 
 
@@ -130,6 +143,48 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     return out.withColumn(taken, F.coalesce("mix_each", F.lit(0).cast("long"))).select(*docs.columns, size, total, target, taken)
 
 
+def cut_text(text: Column, size: Column, spots: Column) -> Column:
+    """spots, an array of structs (slot, at, first, words), with the text of each: its words and the white space between and behind them.
+
+    The pieces of one pass over a text join to the whole of it.
+    """
+    words = F.when(F.exists(spots, lambda x: x["words"] < size), F.regexp_extract_all(text, F.lit(r"(?:^[\x20\x09-\x0D]+)?" + WORD + r"[\x20\x09-\x0D]*"), 0))
+
+    def one(x: Column, w: Column) -> Column:
+        part = F.when(x["words"] == size, text).otherwise(F.array_join(F.slice(w, (x["first"] + 1).cast("int"), x["words"].cast("int")), ""))
+        return F.struct(*[x[c].alias(c) for c in ("slot", "at", "first", "words")], part.alias("text"))
+
+    return let(words, lambda w: F.transform(spots, lambda x: one(x, w)))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that the mix takes: their columns, size, source_size, target, taken and pieces.
+
+    pieces is an array of structs (slot, at, first, words, text) in order of slot: one for each block that holds
+    a part of the document, as often as the mix repeats it. taken is the sum of the words; over a source
+    that is its rounded target. Of rows that repeat id, source and text each has the pieces of one copy.
+    """
+    size, total, target, taken, spots, h, copy = fresh(docs, "size", "source_size", "target", "taken", "pieces", "mix_place", "mix_copy")
+    sizes = written(sized(docs, id_col, source_col, text_col), "sizes")
+    sources, laid = pieces(sizes)
+    s = sources.select("sr", F.col("source").alias("mix_source"), F.col("source_size").alias(total), F.col("target").alias(target)).withColumnRenamed("sr", "mix_rank")
+    spot = F.struct("slot", "at", "first", "words")
+    t = laid.groupBy("sr", "h", "size", "copy").agg(F.sort_array(F.collect_list(spot)).alias("mix_spots"), F.sum("words").alias("mix_taken"))
+    t = t.select(F.col("sr").alias("mix_sr"), F.col("h").alias("mix_h"), F.col("size").alias("mix_size"), F.col("copy").alias("mix_row"), "mix_spots", "mix_taken")
+    out = docs.withColumns({size: F.regexp_count(whole(F.col(text_col)), F.lit(WORD)).cast("long"), h: place(F.col(id_col), F.col(text_col))})
+    out = out.join(s, out[source_col].cast("string").eqNullSafe(s["mix_source"])).where(F.col(size) > 0)
+    out = out.withColumn(copy, F.row_number().over(Window.partitionBy("mix_rank", h, size).orderBy(h)) - 1)
+    out = out.join(t, (out["mix_rank"] == t["mix_sr"]) & (out[h] == t["mix_h"]) & (out[size] == t["mix_size"]) & (out[copy] == t["mix_row"]))
+    return out.select(*docs.columns, size, total, target, F.col("mix_taken").alias(taken), cut_text(whole(F.col(text_col)), F.col(size), F.col("mix_spots")).alias(spots))
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(slot, at, id, source, first, words, text): the mix, a row for each piece; by slot and at, it is the mixed corpus in its order."""
+    rows = mixed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "id")
+    rows = rows.select("id", "source", F.explode("pieces").alias("x"))
+    return rows.select("x.slot", "x.at", "id", "source", "x.first", "x.words", "x.text")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "sizes")
     sources, took = takes(sizes)

@@ -85,6 +85,31 @@ def test_mixing_equals_sql_with_nulls(spark, docs, tmp_path):
     assert mine == sorted(con.execute(mixing.SQL).fetchall(), key=repr)
 
 
+def test_mixing_gives_the_mixed_blocks(spark, docs, none):
+    rng = random.Random(7)
+    rows = [(i, " " * (i % 2) + "".join(f"w{i}-{k}" + rng.choice([" ", "\n", "  "]) for k in range(rng.randrange(0, 700))), "en", "abc"[min(i % 9, 2)], 0) for i in range(120)]
+    rows += [rows[9]] * 2
+    d = spark.createDataFrame(rows, DOCS)
+    out = mixing.blocks(d).collect()
+    text = {r[0]: r[1] for r in rows}
+    at, per, passes = {}, {}, {}
+    for r in sorted(out, key=lambda r: (r.slot, r.at)):
+        assert at.get(r.slot, 0) == r.at and r.text.split() == text[r.id].split()[r.first : r.first + r.words]
+        at[r.slot] = r.at + r.words
+        per.setdefault(r.slot, set()).add(r.source)
+        passes.setdefault((r.id, r.first, r.words), []).append(r.slot)
+    assert all(len(x) == 1 for x in per.values()) and max(at.values()) == 1024
+    order = [min(per[s]) for s in sorted(per)]
+    assert sum(a != b for a, b in zip(order, order[1:])) > len(order) / 3  # sources interleave
+    goal = {r.source: r.target for r in mixing.mix(d).collect()}
+    for s, g in goal.items():
+        assert sum(r.words for r in out if r.source == s) == int(g + 0.5)
+    assert max(map(len, passes.values())) >= 2 and any(r.words < len(text[r.id].split()) for r in out)
+    kept = mixing.mixed(d).collect()
+    assert len(kept) < len(rows) and all(0 < r.taken == sum(x.words for x in r.pieces) for r in kept)
+    assert mixing.blocks(none).count() == 0 and {r.id for r in mixing.blocks(docs).collect()} <= {3, None, 5}
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 24))
