@@ -11,8 +11,12 @@ Tokens are runs of letters and digits in lower case. Before the join, windows of
 bitmaps of fixed size made from the benchmark: one of adjacent token pairs, with which every mask
 begins, and one of mask hashes. They let nothing be lost; a larger benchmark only lets more through.
 
-Null texts count as empty. Items of fewer than SPAN tokens have no window and match nothing. Rows
-with the same text share one decision. An empty benchmark or no documents: nothing overlaps.
+An item of fewer tokens than the shortest mask has no window: it is joined exactly, by the hash of
+all its tokens. One with windows needs a hit under a mask; of 7 to 9 tokens, where only the mask
+without gaps is sure to fit, a substitution may go unseen. An item without tokens matches nothing.
+
+Null texts count as empty. Rows with the same text share one decision. An empty benchmark or no
+documents: nothing overlaps.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ from .common import bitmap, fresh, has, let, table, text_key, whole, written
 
 # 1 keeps a token, 0 ignores it; each begins with two kept tokens.
 MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
-SPAN = max(map(len, MASKS))
+SHORTEST = min(map(len, MASKS))
 MIN_TOKENS, SHARE, LOSS = 13, 0.8, 3
 PAIR_BITS, SEED_BITS = 1 << 20, 1 << 23
 SALTS = 8
 
 
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.transform(F.filter(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def pair(h: Column, j: Column) -> Column:
@@ -48,7 +52,22 @@ def seeds(h: Column, j: Column) -> Column:
 
 
 def windows(h: Column) -> Column:
-    return F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - min(map(len, MASKS)))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(h) >= SHORTEST, F.sequence(F.lit(0), F.size(h) - SHORTEST)).otherwise(F.array().cast("array<int>"))
+
+
+def short_hash(h: Column, j: Column, n: Column) -> Column:
+    """The hash of the n tokens from j on, for items without a window."""
+    return F.xxhash64(F.lit(-1), n, F.slice(h, j + 1, n))
+
+
+def short_runs(h: Column, lengths: Column) -> Column:
+    """array<struct<j,hash>> of the runs in h of as many tokens as a short item has."""
+
+    def of(n: Column) -> Column:
+        starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda j: F.struct(j.alias("j"), short_hash(h, j, n).alias("hash")))
+
+    return F.flatten(F.transform(lengths, of))
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -61,19 +80,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     """(key, item_id, start, tokens, matched) for each text (by its key) and benchmark item that overlap; start in tokens of the document."""
     items = written(benchmark_items(benchmark, id_col, item_text_col), "items")
     spots = items.select("item", "ht", F.explode(windows(F.col("ht"))).alias("p"))
-    test = written(spots.select("item", F.explode(seeds(F.col("ht"), F.col("p"))).alias("x")).select("item", F.col("x.j").alias("p"), F.col("x.hash").alias("hash")), "seeds")
+    test = spots.select("item", F.explode(seeds(F.col("ht"), F.col("p"))).alias("x")).select("item", F.col("x.j").alias("p"), F.col("x.hash").alias("hash"))
+    short = items.where(F.size("ht").between(1, SHORTEST - 1))
+    test = written(test.unionByName(short.select("item", F.lit(0).alias("p"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash"))), "seeds")
+    lengths = short.agg(F.sort_array(F.collect_set(F.size("ht"))).alias("a")).scalar()  # SHORTEST - 1 numbers at most
     pairs = bitmap(spots.select(pair(F.col("ht"), F.col("p")).alias("h")), PAIR_BITS)
     known = bitmap(test.select(F.col("hash").alias("h")), SEED_BITS)
     again = bitmap(test.select(F.xxhash64("hash").alias("h")), SEED_BITS)
 
-    def scan(h: Column, pairs: Column, known: Column, again: Column) -> Column:
+    def scan(h: Column, pairs: Column, known: Column, again: Column, lengths: Column) -> Column:
         begun = F.filter(windows(h), lambda j: has(pairs, PAIR_BITS, pair(h, j)))
-        hit = F.filter(F.flatten(F.transform(begun, lambda j: seeds(h, j))), lambda x: has(known, SEED_BITS, x["hash"]) & has(again, SEED_BITS, F.xxhash64(x["hash"])))
+        found = F.concat(F.flatten(F.transform(begun, lambda j: seeds(h, j))), short_runs(h, lengths))
+        hit = F.filter(found, lambda x: has(known, SEED_BITS, x["hash"]) & has(again, SEED_BITS, F.xxhash64(x["hash"])))
         return F.struct(h.alias("h"), hit.alias("hits"))
 
     # each scalar is a column that is used once, so that it stays a constant of the plan
-    scanned = docs.select(whole(F.col(text_col)).alias("text")).withColumns({"pairs": pairs, "known": known, "again": again})
-    x = let(F.col("pairs"), lambda p: let(F.col("known"), lambda k: let(F.col("again"), lambda a: let(token_hashes(F.col("text")), lambda h: scan(h, p, k, a)))))
+    scanned = docs.select(whole(F.col(text_col)).alias("text")).withColumns({"pairs": pairs, "known": known, "again": again, "lengths": lengths})
+    x = let(F.col("pairs"), lambda p: let(F.col("known"), lambda k: let(F.col("again"), lambda a: let(F.col("lengths"), lambda n: let(token_hashes(F.col("text")), lambda h: scan(h, p, k, a, n))))))
     scanned = scanned.select("text", F.explode(F.filter(F.array(x), lambda x: F.size(x["hits"]) > 0)).alias("x"))
     scanned = scanned.select(text_key(F.col("text")).alias("key"), "x").groupBy("key").agg(F.first("x").alias("x"))
     scanned = written(scanned.select("key", "x.h", "x.hits"), "scanned")

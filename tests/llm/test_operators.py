@@ -150,6 +150,21 @@ def test_decontamination_tolerates_substitutions(spark, docs, none):
     assert decontaminate.remove(docs, bench.limit(0)).count() == len(ODD) and decontaminate.remove(none, bench).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    junk = [word() for _ in range(40)]
+    for punctuation in ("", "?"):
+        items = [[word() for _ in range(n)] for n in range(1, 16)]
+        texts = [" ".join(junk + i + junk) for i in items] + [" ".join(junk), "", "?"]
+        texts += [" ".join(junk + i[:-1] + junk) for i in items[:12]]  # a word less than the whole
+        d = spark.createDataFrame([(n, t, "en", "s", 0) for n, t in enumerate(texts)], DOCS)
+        bench = spark.createDataFrame([(n, punctuation + " ".join(i) + punctuation) for n, i in enumerate(items)] + [(99, "?"), (98, "")], "item_id long, text string")
+        found = decontaminate.overlaps(d, bench).join(d.selectExpr("doc_id", "md5(text) AS key"), "key").collect()
+        assert {(r.doc_id, r.item_id, r.start, r.matched) for r in found} == {(n, n, 40, n + 1) for n in range(15)}
+        assert sorted(r.doc_id for r in decontaminate.remove(d, bench).collect()) == list(range(15, len(texts)))
+
+
 def brute(texts, least=0.8):
     def s(t):
         w = t.lower().split()
