@@ -52,6 +52,13 @@ def indicators(distinct: set[str]) -> set[str]:
     return out
 
 
+def shouts(text: str, window: int = 2000) -> bool:
+    """Whether capitals are more than half of any window of so many characters (of the whole text, if that is shorter)."""
+    n = min(window, len(text))
+    so_far = np.concatenate(([0], np.cumsum(np.fromiter(map(str.isupper, text), dtype=np.int64, count=len(text)))))
+    return bool((so_far[n:] - so_far[: len(so_far) - n]).max() > 0.5 * max(1, n))
+
+
 def votes(text: str, mined: set[str]) -> str:
     """A digit for each voter: 0 toxic, 1 clean, 2 abstains."""
     low = text.lower()
@@ -59,8 +66,7 @@ def votes(text: str, mined: set[str]) -> str:
     distinct = set(words)
     out = [TOXIC if distinct & lexicon else ABSTAIN for lexicon in (INSULTS, CONTEMPT, PROFANITY)]
     out.append(TOXIC if PHRASES.search(low) else ABSTAIN)
-    letters = sum(map(str.isupper, text[:2000])) if "!" in text else 0
-    out.append(TOXIC if letters > 0.5 * max(1, len(text[:2000])) else ABSTAIN)
+    out.append(TOXIC if "!" in text and shouts(text) else ABSTAIN)
     hits = {w for w in distinct if w in mined}
     out.append(TOXIC if hits else CLEAN)
     for k in LENGTHS:

@@ -259,6 +259,13 @@ def test_classifiers_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in t)
 
 
+def test_toxicity_hears_shouting_anywhere():
+    voter = toxicity.VOTERS.index("shouting")
+    calm, loud = "quiet words " * 500, "SHOUTING LOUDER " * 200
+    for text, vote in ((calm + loud + "!", "0"), (loud + calm + "!", "0"), (calm + loud + calm + "!", "0"), (calm + loud, "2"), (calm + "LOUD!", "2"), ("LOUD!", "0"), ("!", "2"), ("", "2")):
+        assert toxicity.votes(text, set())[voter] == vote
+
+
 def test_classifiers_on_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for f in (lambda d, y: quality.scored(d, quality.fit(d, y)), lambda d, y: toxicity.scored(d, toxicity.fit(d, y)[0])):
