@@ -2,7 +2,7 @@
 
 Base spans (assignments to secret names, access key ids, long hexadecimal runs) are reported as
 they are. Beyond them, encoded candidates are cut from the text (PEM blocks, base64 and
-hexadecimal runs, dotted tokens), decoded, and reported only if the bytes have the structure of
+hexadecimal runs, base64 wrapped over lines, dotted tokens; line ends as they are or escaped), decoded, and reported only if the bytes have the structure of
 a key: ASN.1 DER with nested lengths that add up, SSH length-prefixed fields, the header of an
 SSH key file, or a signed token whose header and payload are JSON with an algorithm.
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, span_text, spans, table, whole
+from .common import fresh, let, span_text, spans, table, whole
 
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("pem", "jwt", "der", "ssh")
@@ -34,17 +34,25 @@ BASE = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
 VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
-# Candidates for decoding.
+# Where a run begins (the n or r of an escaped line end isn't part of it), a line end as it is or escaped,
+# and how a token begins whose header is JSON: an open brace or white space, in base64.
+FROM = r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr])|(?<=\\[nr]))"
+END = r"[\x20\t]*+(?:\r?\n|\\++r\\++n|\\++[nr])[\x20\t]*+"
+HEAD = r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?:e[wy]|I[ACH]|C[QSXgin]|D[QSX]|77u_)"
+# Candidates for decoding. 500 lines of 24 characters hold any key in use.
 WIDE = {
-    "pem": r"-----BEGIN [A-Z0-9 ]{1,40}-----[A-Za-z0-9+/=\s]++-----END [A-Z0-9 ]{1,40}-----",
-    "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
-    "run": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}",
+    "pem": r"-----BEGIN [A-Z0-9 ]{1,40}-----[A-Za-z0-9+/=\s\\]++-----END [A-Z0-9 ]{1,40}-----",
+    "jwt": HEAD + r"[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
+    "run": FROM + r"[A-Za-z0-9+/_-]{24,}+={0,2}",
+    "lines": FROM + r"[A-Za-z0-9+/_-]{24,}+(?:" + END + r"[A-Za-z0-9+/_-]{24,}+){1,500}+={0,2}",
+    "tail": FROM + r"[A-Za-z0-9+/_-]{24,}+(?:" + END + r"[A-Za-z0-9+/_-]{24,}+){0,500}+" + END + r"[A-Za-z0-9+/_-]{1,23}+(?![A-Za-z0-9+/_-])={0,2}",
 }
-GATES = {"assign": r"[:=]", "access": "AKIA", "hex": r"(?<![0-9a-f])[0-9a-f]{24}", "pem": "-----BEGIN ", "jwt": r"eyJ[A-Za-z0-9_-]+\.", "run": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"}
+GATES = {"assign": r"[:=]", "access": "AKIA", "hex": r"(?<![0-9a-f])[0-9a-f]{24}", "pem": "-----BEGIN ", "jwt": HEAD + r"[A-Za-z0-9_-]{10,}+\.", "run": FROM + r"[A-Za-z0-9+/_-]{24}"}
+GATES["lines"] = GATES["tail"] = FROM + r"[A-Za-z0-9+/_-]{24,}+" + END + r"[A-Za-z0-9+/_-]"
 
 
 def unbase64(text: str) -> bytes | None:
-    body = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    body = re.sub(r"\s|\\+[nrt]?", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     if not re.fullmatch(r"[A-Za-z0-9+/]*", body) or len(body) % 4 == 1:
         return None
     try:
@@ -172,9 +180,12 @@ def scan(docs: DataFrame, text_col: str = "text", base_col: str = "base", all_co
     out = out.withColumn(c, F.concat(*[wide_of(kind, spans(F.col(t), WIDE[kind], 0, GATES[kind])) for kind in WIDE]))
     out = out.withColumn(v, F.pandas_udf(confirmed, "array<string>")(F.transform(c, lambda x: x["kind"]), F.transform(c, lambda x: x["m"])))
     rank = F.create_map(*[y for i, kind in enumerate(ADDED_KINDS) for y in (F.lit(kind), F.lit(i + len(BASE_KINDS)))])
-    paired = F.transform(c, lambda x, i: F.struct(F.element_at(rank, F.get(v, i)).alias("k"), F.get(v, i).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    paired = F.transform(c, lambda x, i: F.struct(F.element_at(rank, F.get(v, i)).alias("k"), F.get(v, i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].isin("lines", "tail").alias("wrapped")))
+    # the lines of a PEM block are not reported again
+    known = let(paired, lambda a: F.filter(a, lambda x: x["kind"].isNotNull() & ~(x["wrapped"] & F.exists(a, lambda y: y["kind"].eqNullSafe("pem") & (y["s"] <= x["s"]) & (y["e"] >= x["e"])))))
+    added = F.transform(known, lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     out = out.withColumn(base_col, base_spans(F.col(t)))
-    return out.withColumn(all_col, by_start(F.array_distinct(F.concat(F.col(base_col), F.filter(paired, lambda x: x["kind"].isNotNull()))))).drop(t, c, v)
+    return out.withColumn(all_col, by_start(F.array_distinct(F.concat(F.col(base_col), added)))).drop(t, c, v)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

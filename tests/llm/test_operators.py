@@ -221,6 +221,23 @@ def test_secrets_need_structure(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_in_escaped_and_wrapped_forms(spark):
+    half = b"\x04\x81\x80" + bytes(range(128))
+    der = b"\x30\x82\x01\x06" + half + half
+    text = base64.b64encode(der).decode()
+    lines = [text[i : i + 64] for i in range(0, len(text), 64)]
+    enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    token = lambda head: ".".join((enc(head), enc(b'{"sub": 1}'), enc(bytes(range(32)))))
+    full = base64.b64encode(b"\x30\x81\x8d\x04\x81\x80" + bytes(range(128)) + b"\x04\x08" + bytes(8)).decode()
+    rows = ['{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(lines) + '\\n-----END PRIVATE KEY-----\\n"}', "x\n  " + "\n  ".join(lines) + "\nand so on", '"a\\n' + "\\r\\n".join(lines) + '"', "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"]
+    rows += ["\n".join(full[i : i + 48] for i in range(0, len(full), 48)) + "\nand so on", "\n".join(lines[:-1]), 'k="a\\n' + text + '"']
+    rows += [token(h) for h in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'{\r\n "alg": "HS256"}', b' {"alg": "HS256"}', b'{"alg":"HS256"}')] + ["internationalization.example.com"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, rows[r.doc_id][x.s : x.e]) for x in r.spans] for r in secrets.scan(d).collect()}
+    assert [[k for k, _ in got[i]] for i in range(len(rows))] == [["pem"], ["der"], ["der"], ["pem"], ["der"], [], ["der"]] + [["jwt"]] * 5 + [[]]
+    assert got[1][0][1] == "\n  ".join(lines) and got[2][0][1] == "\\r\\n".join(lines) and got[6][0][1] == text
+
+
 def test_secret_base_is_the_brute_force(spark):
     found = {r.doc_id: r for r in secrets.op8_secrets(spark, DATA).collect()}
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
