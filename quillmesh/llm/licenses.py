@@ -5,7 +5,11 @@ are compared once. Token weights are (1 + ln tf) * idf; idf counts every such li
 documents, and the templates. The best template of a line, from THRESHOLD on, is its license
 (equal cosines: the first name), the best line's that of the document (then the first line).
 
-A document of which such lines hold FILE_SHARE of the tokens is a licence file: its license counts
+The whole text and the header (first comment, or first paragraphs that speak of terms) of each
+document with a word of TERMS are compared with full licence texts in the same way, from WHOLE on.
+
+A document that is a full text as a whole, that has a license and is named like a licence file, or
+of which such lines hold FILE_SHARE of the tokens is a licence file: its license counts
 for its directory (of several files, the one with the first path). A document without a license
 of its own inherits from the nearest directory above it that has one; directories are resolved
 once each, by joins of paths with the paths of their ancestors.
@@ -16,11 +20,15 @@ rows stay. No documents: no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, whole, written
+from .common import let, table, text_key, whole, written
 
 # Short forms of the licenses as they stand in headers and licence files.
 TEMPLATES = (
@@ -37,9 +45,16 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+# Full texts stand beside this module. That of the Affero license is made from the GPL's, whose terms it shares.
+TEXTS = Path(__file__).with_name("license_texts")
+AFFERO = ("GNU General Public License", "GNU Affero General Public License")
 CUE = r"licen[cs]e|public domain|spdx|all rights reserved"
 TOKEN = r"[a-z0-9]+"
-THRESHOLD, FILE_SHARE = 0.6, 0.5
+THRESHOLD, FILE_SHARE, WHOLE = 0.6, 0.5, 0.8
+# Words of which every full text holds one; other documents are like none of them.
+TERMS = r"licen[cs]e|public domain|copyright|redistribut|permission|warrant|liab(?:le|ility)"
+NAMED = r"(?i)(?:^|/)(?:un)?(?:licen[cs]es?|copying|copyright)(?:[._-][^/]*)?$"
+COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--|$)"
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
@@ -50,6 +65,43 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    found = [(p.stem, re.sub(r"\s+", " ", p.read_text())) for p in sorted(TEXTS.glob("*.txt"))]
+    return [*found, ("AGPL-3.0", re.sub(AFFERO[0], AFFERO[1], dict(found)["GPL-3.0"], flags=re.I))]
+
+
+def header(text: Column) -> Column:
+    """The first comment of a text; where it begins with none, its first paragraphs as long as they speak of terms."""
+    boxed = F.regexp_extract(text, r"(?s)^\s*(?:#![^\n]*\n\s*)?(?:/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|'{3}.*?'{3})", 0)
+
+    def until(xs: Column, stop: Callable[[Column, Column], Column]) -> Column:
+        at = F.array_position(F.transform(xs, stop), True)
+        return F.when(at > 0, F.slice(xs, F.lit(1), (at - 1).cast("int"))).otherwise(xs)
+
+    said = F.array_join(let(F.split(text, "\n"), lambda a: until(a, lambda x, i: ~x.rlike(COMMENT))), "\n")
+    plain = F.array_join(let(F.split(F.ltrim(text), r"\n\s*\n"), lambda a: until(a, lambda x, i: (i > 0) & ~x.rlike(TERMS))), "\n")
+    return F.when(boxed != "", boxed).when(said.rlike(r"\S"), said).otherwise(plain)
+
+
+def best_match(found: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(key, license, score) of the texts in found (key, line, times) with a cosine from least on to a text in known (tid, license, line)."""
+    every = found.select("line", "times").unionByName(known.select(F.lower("line").alias("line"), F.lit(1).cast("long").alias("times")))
+    terms = every.select("times", F.explode(F.array_distinct(tokens(F.col("line")))).alias("t"))
+    total = every.agg(F.sum("times").alias("total"))
+    idf = terms.groupBy("t").agg(F.sum("times").alias("df")).crossJoin(F.broadcast(total)).select("t", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+    def weights(df: DataFrame, key: str) -> DataFrame:
+        tf = df.select(key, F.explode(tokens(F.lower("line"))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("tf"))
+        return tf.join(idf, "t").select(key, "t", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
+
+    mine, theirs = weights(found, "key"), weights(known, "tid")
+    length = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    dots = mine.withColumnRenamed("w", "a").join(theirs.withColumnRenamed("w", "b"), "t").groupBy("key", "tid").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    cos = dots.join(length(mine, "key", "x"), "key").join(length(theirs, "tid", "y"), "tid").join(known.select("tid", "license"), "tid")
+    cos = cos.select("key", "license", F.round(F.col("dot") / (F.col("x") * F.col("y")), 6).alias("score")).where(F.col("score") >= least)
+    return cos.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "license"))).where("n = 1").select("key", "license", "score")
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
@@ -65,28 +117,26 @@ def scan(docs: DataFrame, path_col: str = "path", text_col: str = "text", id_col
     rows = written(rows, "lines")
     lines = written(rows.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("times")), "distinct")
 
-    known = template_rows(spark)
-    every = lines.select("line", "times").unionByName(known.select(F.lower("line").alias("line"), F.lit(1).cast("long").alias("times")))
-    terms = every.select("times", F.explode(F.array_distinct(tokens(F.col("line")))).alias("t"))
-    total = every.agg(F.sum("times").alias("total"))
-    idf = terms.groupBy("t").agg(F.sum("times").alias("df")).crossJoin(F.broadcast(total)).select("t", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-
-    def weights(df: DataFrame, key: str) -> DataFrame:
-        tf = df.select(key, F.explode(tokens(F.col("line"))).alias("t")).groupBy(key, "t").agg(F.count("*").alias("tf"))
-        return tf.join(idf, "t").select(key, "t", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
-
-    mine, theirs = weights(lines.withColumn("key", F.col("line")), "key"), weights(known, "tid")
-    length = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = mine.withColumnRenamed("w", "a").join(theirs.withColumnRenamed("w", "b"), "t").groupBy("key", "tid").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    cos = dots.join(length(mine, "key", "x"), "key").join(length(theirs, "tid", "y"), "tid").join(known.select("tid", "license"), "tid")
-    cos = cos.select(F.col("key").alias("line"), "license", F.round(F.col("dot") / (F.col("x") * F.col("y")), 6).alias("score")).where(F.col("score") >= THRESHOLD)
-    best = cos.withColumn("n", F.row_number().over(Window.partitionBy("line").orderBy(F.desc("score"), "license"))).where("n = 1").select("line", "license", "score")
+    best = best_match(lines.select(F.col("line").alias("key"), "line", "times"), template_rows(spark), THRESHOLD).withColumnRenamed("key", "line")
     best = written(best, "best")
 
     held = rows.where(F.size("lines") > 0).select("id", "path", "size", F.posexplode("lines").alias("at", "line")).join(best, "line")
     own = held.groupBy("id", "path").agg(
         F.min(F.struct((-F.col("score")).alias("n"), "at", "license", "score")).alias("b"), F.sum(F.size(tokens(F.col("line")))).alias("said"), F.max("size").alias("size"))
-    own = own.select("id", "path", F.col("b.license").alias("own"), F.col("b.score").alias("score"), (F.col("said") >= FILE_SHARE * F.col("size")).alias("is_file"))
+    own = own.select("id", "path", F.struct("b.n", F.lit(0).alias("order"), "b.license", "b.score").alias("b"), (F.col("said") >= FILE_SHARE * F.col("size")).alias("is_file"))
+
+    # the whole text and its header against the full texts: a whole text that is one makes a licence file
+    full = spark.createDataFrame([(i, name, line) for i, (name, line) in enumerate(full_texts())], "tid int, license string, line string")
+    low = F.lower(text)
+    parts = F.array(F.struct(F.lit(1).alias("order"), low.alias("line")), F.struct(F.lit(2).alias("order"), header(low).alias("line")))
+    spots = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.explode(F.when(low.rlike(TERMS), parts)).alias("x"))
+    spots = written(spots.select("id", "path", "x.order", "x.line", text_key(F.col("x.line")).alias("key")), "blocks")
+    texts = written(spots.groupBy("key").agg(F.first("line").alias("line"), F.count("*").alias("times")), "texts")
+    like = written(best_match(texts, full, WHOLE), "like")
+    wide = spots.select("id", "path", "order", "key").join(like, "key")
+    wide = wide.select("id", "path", F.struct((-F.col("score")).alias("n"), "order", "license", "score").alias("b"), (F.col("order") == 1).alias("is_file"))
+    own = own.unionByName(wide).groupBy("id", "path").agg(F.min("b").alias("b"), F.max("is_file").alias("is_file"))
+    own = own.select("id", "path", F.col("b.license").alias("own"), F.col("b.score").alias("score"), (F.col("is_file") | F.col("path").rlike(NAMED)).alias("is_file"))
     own = written(own, "own")
     files = own.where("is_file").select(directory(F.col("path")).alias("above"), F.struct("path", "own").alias("f")).groupBy("above").agg(F.min("f").alias("f"))
     files = files.select("above", F.col("f.own").alias("given"))

@@ -205,6 +205,19 @@ def test_licenses_inherit(spark, none):
     assert licenses.scan(none.withColumn("path", F.lit("x"))).count() == 0
 
 
+def test_licenses_know_full_texts(spark):
+    full = dict(licenses.full_texts())
+    names = sorted(full)
+    rows = [(f"{n}/about.txt", f"Copyright (c) 2020 A. Person\n\n{full[n]}") for n in names] + [(f"{n}/sub/x.py", "code") for n in names]
+    rows += [("h/a.c", "/*\n * " + full["BSD-2-Clause"] + " */\n" + "int x = other(words);\n" * 400), ("h/b.c", "code"), ("i/a.py", "# " + full["ISC"] + "\n" + "call()\n" * 400), ("j/COPYING", "Licensed under CC BY-NC 4.0.\n" + "word " * 50), ("j/b", "code"), ("k/a", "without permission or warranty " * 9)]
+    d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin, r.is_file) for r in licenses.scan(d).collect()}
+    for n in names:
+        assert got[f"{n}/about.txt"] == (n, "own", True) and got[f"{n}/sub/x.py"] == (n, n, False)
+    assert got["h/a.c"] == ("BSD-2-Clause", "own", False) and got["h/b.c"][0] is None and got["i/a.py"] == ("ISC", "own", False)
+    assert got["j/COPYING"] == ("CC-BY-NC-4.0", "own", True) and got["j/b"] == ("CC-BY-NC-4.0", "j", False) and got["k/a"][0] is None
+
+
 def jwt():
     enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
     return ".".join((enc(json.dumps({"alg": "HS256"}).encode()), enc(b'{"sub": 1}'), enc(bytes(range(32)))))
