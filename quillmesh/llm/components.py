@@ -1,35 +1,42 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _moved(edges: DataFrame) -> bool:
+    return bool(edges.agg(F.max("moved")).first()[0])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the smallest node that it is joined with.
 
-    Each round is two aggregations and two joins on a node; sizes stay linear in the edges, and
-    AQE splits the partitions of hubs. Rounds are written to the shared folder.
+    First each node keeps the link to the smallest of its smaller neighbours, and the other ones are
+    linked with that one instead, until no node has two smaller neighbours: a forest of pointers.
+    Nodes are hashes, so links sink to the roots in a few rounds. Then each pointer is replaced by
+    the pointer of the node that it leads to, until all lead to roots.
+
+    Rows never grow in number. A root with many nodes is a hub only as the greater side of a plain
+    join, which AQE splits; no window or aggregation is dealt by it. Rounds are written to the
+    shared folder. No edges: no rows.
     """
-    cut = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = written(cut(edges.select("u", "v")), "edges")
-    state = _state(now)
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    while True:
+        least = now.distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        kept = F.col("v") == F.col("m")
+        now = written(least.select(F.when(kept, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~kept).alias("moved")), "forest")
+        if not _moved(now):
+            break
+        now = now.select("u", "v")
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = written(cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))), "edges")
-        if (then := _state(now)) == state:
+        up = now.select(F.col("u").alias("at"), F.col("v").alias("top")).hint("merge")  # as many rows as nodes: never broadcast
+        now = now.join(up, F.col("v") == F.col("at"), "left").select("u", F.coalesce("top", "v").alias("v"), F.col("top").isNotNull().alias("moved"))
+        now = written(now, "pointers")
+        if not _moved(now):
             break
-        state = then
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
