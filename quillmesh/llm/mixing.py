@@ -1,14 +1,16 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 Each source's documents are shuffled by a hash and laid end to end; the source then repeats
-from its start. Golden-ratio points, mapped through the cumulative shares of the targets, give
-each slot of the schedule a source; a slot's rank within its source names the block of BLOCK
-words that it takes. Blocks and the documents they cut are joined. The last block of a source
-is trimmed to its target, and ranks that the points leave out (a few, by their discrepancy) are
-appended, so that the words taken equal the rounded target.
+from its start, LIMIT times at most. Golden-ratio points, mapped through the cumulative targets,
+give each slot of the schedule a source; a slot's rank within its source names the block of words
+that it takes. The points alone decide how many blocks a source gives: a few more or less than its
+target holds, by their discrepancy, so blocks are short where a target is small. Blocks and the
+documents they cut are joined.
 
 No window or group holds a whole source: ranks are counted in chunks of slots and positions in
-buckets of the hash, with sums of the chunks and buckets before.
+buckets of the hash, with sums of the chunks and buckets before. Points meet the sources' intervals
+by a join on cells of the unit interval, so nothing that has an entry for each source is sent to
+all tasks. Only the table of sources, a row for each, is put in order as a whole.
 
 A word is a run of other characters than space, tab to carriage return. A null text has size 0;
 a document of size 0 is never taken. A null source is a source of its own, the last in order.
@@ -25,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import fresh, let, table, whole, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words in a block, at least; there are MAX_SLOTS blocks at most.
-BLOCK, MAX_SLOTS, CHUNK, BUCKET = 1024, 1 << 26, 4096, 2048
+#: Words in a block, fewer where the smallest target has not FINE blocks; there are about MAX_SLOTS blocks at most.
+BLOCK, FINE, MAX_SLOTS, CHUNK, BUCKET, CELLS = 1024, 256, 1 << 22, 4096, 2048, 4096
 LIMIT = 3  # times a source's size
 GOLDEN = 0.6180339887498949
 
@@ -60,30 +62,29 @@ def targets(sizes: DataFrame) -> DataFrame:
     return each.select("sr", "source", "source_size", "total", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
 
 
-def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
-    """(slot, sr, rank, words): each slot's source, its rank there, and the words it takes; ranks beyond a goal are left out."""
+def schedule(sources: DataFrame, block: int, slots: int, total: int) -> DataFrame:
+    """(slot, sr, rank): each slot's source, by the point that falls into the source's part of the unit interval, and the slot's rank there."""
     spark = sources.sparkSession
-    ends = sources.orderBy("sr").agg(F.sort_array(F.collect_list(F.struct("sr", "target"))).alias("t")).select(
-        F.transform("t", lambda x: x["sr"]).alias("srs"),
-        F.transform("t", lambda x, i: F.aggregate(F.slice("t", 1, i + 1), F.lit(0.0), lambda a, b: a + b["target"])).alias("cum"),
-    )  # one row: an array entry for each source
-    x = F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0))
-    points = spark.range(slots).crossJoin(F.broadcast(ends)).select(
-        F.col("id").alias("slot"), F.get("srs", F.least(F.size(F.filter("cum", lambda c: c <= x * F.element_at("cum", -1))), F.size("cum") - 1)).alias("sr"))
+    ends = sources.withColumn("high", F.sum("goal").over(Window.orderBy("sr").rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - F.col("goal"))
+    cell = lambda c: F.floor(F.col(c) * CELLS / F.lit(total))
+    ends = ends.where("goal > 0").select("sr", "low", "high", F.explode(F.sequence(cell("low"), F.least(cell("high"), F.lit(CELLS - 1)))).alias("cell"))
+    golden = (F.col("id") + 0.5) * GOLDEN
+    points = spark.range(slots).select(F.col("id").alias("slot"), ((golden - F.floor(golden)) * F.lit(total)).alias("x"))
+    points = points.withColumn("cell", F.floor(F.col("x") * CELLS / F.lit(total))).join(ends, "cell").where("low <= x AND x < high").select("slot", "sr")
     points = points.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     chunks = points.groupBy("sr", "chunk").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("sr").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("sr", "chunk", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
     inner = F.row_number().over(Window.partitionBy("sr", "chunk").orderBy("slot")) - 1
-    ranked = points.withColumn("at", inner).join(chunks, ["sr", "chunk"]).select("slot", "sr", (F.col("base") + F.col("at")).alias("rank"))
-    drawn = points.groupBy("sr").agg(F.count("*").alias("drawn"))
-    need = F.ceil(F.col("goal") / block)
-    rest = sources.join(drawn, "sr", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where(need > F.col("drawn"))
-    rest = rest.select(F.explode(F.sequence(F.col("drawn"), need - 1)).alias("rank"), "sr").crossJoin(F.broadcast(ends))
-    rest = rest.select((F.lit(slots) + F.col("rank") * F.size("srs") + F.col("sr") - 1).alias("slot"), "sr", "rank")  # no two blocks share a slot
-    both = ranked.unionByName(rest).join(sources.select("sr", "goal"), "sr")
-    words = F.least(F.lit(block), F.col("goal") - F.col("rank") * block)
-    return both.withColumn("words", words).where("words > 0").select("slot", "sr", "rank", "words")
+    return points.withColumn("at", inner).join(chunks, ["sr", "chunk"]).select("slot", "sr", (F.col("base") + F.col("at")).alias("rank"))
+
+
+def plan_size(sources: DataFrame) -> tuple[int, int, int]:
+    """Words in a block, slots, and words of all targets."""
+    total, least = sources.where("goal > 0").agg(F.sum("goal"), F.min("goal")).first()
+    total, least = total or 0, least or 0
+    block = max(1, min(BLOCK, least // FINE), -(-total // MAX_SLOTS))
+    return block, -(-total // block), total
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -99,10 +100,9 @@ def pieces(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     place at in the block of the slot.
     """
     sources = written(targets(sizes), "sources")
-    top = sources.agg(F.max("total").alias("total")).first()["total"] or 0
-    block = max(BLOCK, -(-top // MAX_SLOTS))
-    plan = schedule(sources, block, -(-top // block) + 1)
-    units = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).groupBy("sr", "source_size", "goal", "h", "size").agg(F.count("*").alias("n"))
+    block, slots, total = plan_size(sources)
+    plan = schedule(sources, block, slots, total)
+    units = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).groupBy("sr", "source_size", "h", "size").agg(F.count("*").alias("n"))
     units = units.where("size > 0").withColumn("span", F.col("size") * F.col("n"))
     shift = max(0, 60 - max(0, (sizes.count() // BUCKET).bit_length()))
     units = units.withColumn("bucket", F.shiftright("h", shift))
@@ -111,36 +111,41 @@ def pieces(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = sums.select("sr", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     within = Window.partitionBy("sr", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = units.withColumn("at", F.coalesce(F.sum("span").over(within), F.lit(0))).join(sums, ["sr", "bucket"]).withColumn("at", F.col("base") + F.col("at"))
-    laid = laid.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LIMIT - 1)), lambda e: F.col("at") + e * F.col("source_size")))).where(F.col("at") < F.col("goal"))
-    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("size")).where(F.col("at") < F.col("goal"))
-    begin, end = F.floor(F.col("at") / block), F.floor((F.least(F.col("at") + F.col("size"), F.col("goal")) - 1) / block)
+    laid = laid.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(LIMIT - 1)), lambda e: F.col("at") + e * F.col("source_size"))))
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
+    begin, end = F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)
     cut = laid.select("sr", "h", "size", "n", "copy", F.col("at").alias("from"), F.explode(F.sequence(begin, end)).alias("rank"))
     start, left = F.col("rank") * block, F.greatest(F.col("from"), F.col("rank") * block)
-    got = F.least(F.col("from") + F.col("size"), start + F.col("words")) - left
+    got = F.least(F.col("from") + F.col("size"), start + block) - left
     return sources, cut.join(plan, ["sr", "rank"]).select("sr", "h", "size", "n", "copy", "slot", (left - start).alias("at"), (left - F.col("from")).alias("first"), got.alias("words"))
 
 
 def takes(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sources with their targets, and (sr, h, size, each) for each distinct document: the words that the mix takes of each of its rows."""
-    sources, mixed = pieces(sizes)
-    joined = mixed.groupBy("sr", "h", "size", "n").agg(F.sum("words").alias("all"))
-    return sources, joined.select("sr", "h", "size", F.floor(F.col("all") / F.col("n")).cast("long").alias("each"))
+    """The sources with their targets, and (sr, h, size, each, first_slot) for each distinct document: the words that the mix takes of each of its rows, and the first slot with any."""
+    sources, laid = pieces(sizes)
+    joined = laid.groupBy("sr", "h", "size", "n").agg(F.sum("words").alias("all"), F.min("slot").alias("first_slot"))
+    return sources, joined.select("sr", "h", "size", F.floor(F.col("all") / F.col("n")).cast("long").alias("each"), "first_slot")
+
+
+def named(docs: DataFrame, sources: DataFrame, columns: list[str], source_col: str, text_col: str, id_col: str) -> DataFrame:
+    """docs with columns: size, source_size, target, place and rank of the source."""
+    size, total, target, h, sr, name = columns
+    s = sources.select(F.col("sr").alias(sr), F.col("source").alias(name), F.col("source_size").alias(total), F.col("target").alias(target))
+    out = docs.withColumns({size: F.regexp_count(whole(F.col(text_col)), F.lit(WORD)).cast("long"), h: place(F.col(id_col), F.col(text_col))})
+    return out.join(s, F.col(source_col).cast("string").eqNullSafe(F.col(name))).drop(name)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The columns of docs, and size, source_size, target and taken for each document.
+    """The columns of docs, and size, source_size, target, taken and first_slot (null where nothing is taken) for each document.
 
     Where docs has a column of such a name, the new one gets underscores in front.
     """
-    size, total, target, taken, h = fresh(docs, "size", "source_size", "target", "taken", "mix_place")
-    sizes = written(sized(docs, id_col, source_col, text_col), "sizes")
-    sources, took = takes(sizes)
-    s = sources.select("sr", F.col("source").alias("mix_source"), F.col("source_size").alias(total), F.col("target").alias(target))
-    t = took.select(F.col("sr").alias("mix_sr"), F.col("h").alias("mix_h"), F.col("size").alias("mix_size"), F.col("each").alias("mix_each"))
-    out = docs.withColumns({size: F.regexp_count(whole(F.col(text_col)), F.lit(WORD)).cast("long"), h: place(F.col(id_col), F.col(text_col))})
-    out = out.join(s, out[source_col].cast("string").eqNullSafe(s["mix_source"]))
-    out = out.join(t, (out["sr"] == t["mix_sr"]) & (out[h] == t["mix_h"]) & (out[size] == t["mix_size"]), "left")
-    return out.withColumn(taken, F.coalesce("mix_each", F.lit(0).cast("long"))).select(*docs.columns, size, total, target, taken)
+    size, total, target, taken, slot, h, sr, name, *other = fresh(docs, "size", "source_size", "target", "taken", "first_slot", "mix_place", "mix_rank", "mix_source", "took_rank", "took_place", "took_size")
+    sources, took = takes(written(sized(docs, id_col, source_col, text_col), "sizes"))
+    t = took.select(*[F.col(c).alias(n) for c, n in zip(("sr", "h", "size"), other, strict=True)], F.col("each").alias(taken), F.col("first_slot").alias(slot))
+    out = named(docs, sources, [size, total, target, h, sr, name], source_col, text_col, id_col)
+    out = out.join(t, (F.col(sr) == F.col(other[0])) & (F.col(h) == F.col(other[1])) & (F.col(size) == F.col(other[2])), "left")
+    return out.withColumn(taken, F.coalesce(taken, F.lit(0).cast("long"))).select(*docs.columns, size, total, target, taken, slot)
 
 
 def cut_text(text: Column, size: Column, spots: Column) -> Column:
@@ -162,20 +167,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
     pieces is an array of structs (slot, at, first, words, text) in order of slot: one for each block that holds
     a part of the document, as often as the mix repeats it. taken is the sum of the words; over a source
-    that is its rounded target. Of rows that repeat id, source and text each has the pieces of one copy.
+    that is near its target. Of rows that repeat id, source and text each has the pieces of one copy.
     """
-    size, total, target, taken, spots, h, copy = fresh(docs, "size", "source_size", "target", "taken", "pieces", "mix_place", "mix_copy")
-    sizes = written(sized(docs, id_col, source_col, text_col), "sizes")
-    sources, laid = pieces(sizes)
-    s = sources.select("sr", F.col("source").alias("mix_source"), F.col("source_size").alias(total), F.col("target").alias(target)).withColumnRenamed("sr", "mix_rank")
-    spot = F.struct("slot", "at", "first", "words")
-    t = laid.groupBy("sr", "h", "size", "copy").agg(F.sort_array(F.collect_list(spot)).alias("mix_spots"), F.sum("words").alias("mix_taken"))
-    t = t.select(F.col("sr").alias("mix_sr"), F.col("h").alias("mix_h"), F.col("size").alias("mix_size"), F.col("copy").alias("mix_row"), "mix_spots", "mix_taken")
-    out = docs.withColumns({size: F.regexp_count(whole(F.col(text_col)), F.lit(WORD)).cast("long"), h: place(F.col(id_col), F.col(text_col))})
-    out = out.join(s, out[source_col].cast("string").eqNullSafe(s["mix_source"])).where(F.col(size) > 0)
-    out = out.withColumn(copy, F.row_number().over(Window.partitionBy("mix_rank", h, size).orderBy(h)) - 1)
-    out = out.join(t, (out["mix_rank"] == t["mix_sr"]) & (out[h] == t["mix_h"]) & (out[size] == t["mix_size"]) & (out[copy] == t["mix_row"]))
-    return out.select(*docs.columns, size, total, target, F.col("mix_taken").alias(taken), cut_text(whole(F.col(text_col)), F.col(size), F.col("mix_spots")).alias(spots))
+    size, total, target, taken, spots, h, sr, name, copy, *other = fresh(docs, "size", "source_size", "target", "taken", "pieces", "mix_place", "mix_rank", "mix_source", "mix_copy", "took_rank", "took_place", "took_size", "took_copy", "took_spots")
+    sources, laid = pieces(written(sized(docs, id_col, source_col, text_col), "sizes"))
+    t = laid.groupBy("sr", "h", "size", "copy").agg(F.sort_array(F.collect_list(F.struct("slot", "at", "first", "words"))).alias("spots"), F.sum("words").alias("sum"))
+    t = t.select(*[F.col(c).alias(n) for c, n in zip(("sr", "h", "size", "copy", "spots"), other, strict=True)], F.col("sum").alias(taken))
+    out = named(docs, sources, [size, total, target, h, sr, name], source_col, text_col, id_col).where(F.col(size) > 0)
+    out = out.withColumn(copy, F.row_number().over(Window.partitionBy(sr, h, size).orderBy(h)) - 1)
+    out = out.join(t, (F.col(sr) == F.col(other[0])) & (F.col(h) == F.col(other[1])) & (F.col(size) == F.col(other[2])) & (F.col(copy) == F.col(other[3])))
+    return out.select(*docs.columns, size, total, target, taken, cut_text(whole(F.col(text_col)), F.col(size), F.col(other[4])).alias(spots))
 
 
 def blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -190,7 +191,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources, took = takes(sizes)
     s = sources.withColumnRenamed("source", "name").select("sr", "name", "source_size", "target")
     rows = sizes.join(s, sizes["source"].eqNullSafe(s["name"])).join(took, ["sr", "h", "size"], "left")
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("each", F.lit(0).cast("long")).alias("taken"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("each", F.lit(0).cast("long")).alias("taken"), "first_slot")
 
 
 SQL = r"""
@@ -208,15 +209,27 @@ WITH d AS (
   FROM w
 ), f AS (SELECT coalesce(arg_min(level, (cap / weight, sr)), 0) AS level FROM l WHERE level * weight <= cap
 ), t AS (
-  SELECT sr, source, source_size, least(f.level * weight, cap::double) AS target FROM l, f
+  SELECT sr, source, source_size, least(f.level * weight, cap::double) AS target, floor(least(f.level * weight, cap::double) + 0.5)::bigint AS goal FROM l, f
+), z AS (
+  SELECT sum(goal)::bigint AS total, greatest(1, least(1024, min(goal) // 256), (sum(goal)::bigint + 4194303) // 4194304)::bigint AS block FROM t WHERE goal > 0
+), i AS (
+  SELECT sr, (sum(goal) OVER (ORDER BY sr))::bigint AS high, (sum(goal) OVER (ORDER BY sr))::bigint - goal AS low FROM t
+), x AS (
+  SELECT slot, ((slot + 0.5::double) * 0.6180339887498949::double - floor((slot + 0.5::double) * 0.6180339887498949::double)) * z.total AS x
+  FROM z, unnest(range(0, (z.total + z.block - 1) // z.block)) AS r(slot)
+), r AS (
+  SELECT slot, sr, row_number() OVER (PARTITION BY sr ORDER BY slot) - 1 AS rank FROM x JOIN i ON i.low <= x.x AND x.x < i.high
+), g AS (SELECT sr, count(*) * any_value(z.block) AS got FROM r, z GROUP BY sr
 ), u AS (
-  SELECT t.sr, h, size, count(*) AS n, any_value(source_size) AS source_size, floor(any_value(target) + 0.5)::bigint AS goal
+  SELECT t.sr, h, size, count(*) AS n, any_value(source_size) AS source_size
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY t.sr, h, size
 ), p AS (
   SELECT *, (coalesce(sum(size * n) OVER (PARTITION BY sr ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS pos FROM u
 ), k AS (
-  SELECT sr, h, size, (greatest(0, least(size * n, goal - pos)) + greatest(0, least(size * n, goal - pos - source_size)) + greatest(0, least(size * n, goal - pos - 2 * source_size))) // n AS each FROM p
+  SELECT p.sr, h, size, pos // z.block AS rank,
+    (greatest(0, least(size * n, got - pos)) + greatest(0, least(size * n, got - pos - source_size)) + greatest(0, least(size * n, got - pos - 2 * source_size))) // n AS each
+  FROM p JOIN g ON g.sr = p.sr CROSS JOIN z
 )
-SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.each, 0)::bigint AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.sr = t.sr AND k.h = d.h AND k.size = d.size
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.each, 0)::bigint AS taken, r.slot AS first_slot
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON k.sr = t.sr AND k.h = d.h AND k.size = d.size LEFT JOIN r ON r.sr = k.sr AND r.rank = k.rank
 """

@@ -47,10 +47,15 @@ def codes(text: str) -> np.ndarray:
 
 
 class Model:
-    """Chosen codes in ascending order, their weights (ratio times hinge weight), the intercept and the sigmoid."""
+    """Chosen codes in ascending order, their log-count ratios and hinge weights, the intercept and the sigmoid."""
 
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.chosen, self.weights, self.bias, self.slope, self.shift = chosen, weights, bias, slope, shift
+    def __init__(self, chosen: np.ndarray, ratio: np.ndarray, weights: np.ndarray, bias: float, slope: float, shift: float):
+        self.chosen, self.ratio, self.weights, self.bias, self.slope, self.shift = chosen, ratio, weights, bias, slope, shift
+
+    def margin(self, at: np.ndarray) -> float:
+        """Of a text with the indicators at these places: as in the descent, they are scaled by ratio and to length 1."""
+        r = self.ratio[at]
+        return float(self.weights[at] @ r / (math.sqrt(float(r @ r)) or 1.0) + self.bias)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         place = np.zeros(SHAPES + 16, dtype=np.int32)  # 0: not chosen
@@ -60,7 +65,7 @@ class Model:
         for i, t in enumerate(texts):
             seen[:] = False
             seen[place[codes(t)]] = True
-            out[i] = self.weights[seen[1:]].sum() + self.bias
+            out[i] = self.margin(np.nonzero(seen[1:])[0])
         return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
 
@@ -138,17 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows.unpersist()
     y = np.where(label > 0, 1, -1)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, 1.0, math.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1)))
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), 0.0, 1.0, math.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1)))
     aside = np.arange(len(y)) % 5 == 4
     inner = [i for i in range(len(y)) if not aside[i]]
     if len(set(y[inner].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
         inner, aside = list(range(len(y))), np.ones(len(y), dtype=bool)
     ratio = count_ratio([x[i] for i in inner], y[inner], len(chosen))
     w, b = descend([x[i] for i in inner], y[inner], ratio)
-    size = float(np.median([math.sqrt(float((ratio[r] ** 2).sum())) or 1.0 for r in x]))  # a fixed scale: scores are linear in the indicators
-    weights = ratio * w / size
-    s, c = platt(np.array([weights[x[i]].sum() + b for i in np.nonzero(aside)[0]]), y[aside])
-    return Model(chosen, weights, b, s, c)
+    model = Model(chosen, ratio, w, b, 1.0, 0.0)
+    model.slope, model.shift = platt(np.array([model.margin(x[i]) for i in np.nonzero(aside)[0]]), y[aside])
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters look at each document: fixed lexicons, patterns, and lexicons of words and word
-beginnings mined from labelled rows. A generative label model is fitted by EM on how often each
-pattern of votes occurs over all documents: a hidden class, an accuracy for each voter, and a
-tree of the strongest correlations between voters given the class (so that voters that say the
-same don't count twice). Its posteriors train a logistic model on word and word-beginning
-indicators, which scores every document.
+beginnings mined from two thirds of the labelled rows. A generative label model is fitted by EM on
+how often each pattern of votes occurs over all documents: a hidden class, an accuracy for each
+voter, and a tree of the strongest correlations between voters given the class (so that voters
+that say the same don't count twice). The other third, on which nothing was mined, has its class given there, so that accuracies aren't those on the mined rows. The model's
+posteriors, for labelled rows too, train a logistic model on word and word-beginning indicators,
+which scores every document.
 
 Bounded samples: at most LABELLED labelled rows of the learning folds, and UNLABELLED further
 documents of these folds, those with the smallest hashes. Null and empty texts have no features;
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_bucket, fresh, table, whole
@@ -59,23 +60,50 @@ def shouts(text: str, window: int = 2000) -> bool:
     return bool((so_far[n:] - so_far[: len(so_far) - n]).max() > 0.5 * max(1, n))
 
 
+class Cache(dict):
+    """A function of words, kept for those seen; emptied when it has grown to BOUND."""
+
+    BOUND = 1 << 18
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= self.BOUND:
+            self.clear()
+        self[word] = out = self.of(word)
+        return out
+
+
+class Voters:
+    """The votes of all voters on a text; mined: words, and word beginnings with a star."""
+
+    def __init__(self, mined: set[str]):
+        def hits(w: str) -> int:
+            """A bit for each voter that looks at words; those of the mined lexicons from bit 3 on."""
+            bits = [w in INSULTS, w in CONTEMPT, w in PROFANITY, w in mined, *(len(w) > k and w[:k] + "*" in mined for k in LENGTHS)]
+            return sum(b << i for i, b in enumerate(bits))
+
+        self.hits = Cache(hits)
+
+    def __call__(self, text: str) -> str:
+        """A digit for each voter: 0 toxic, 1 clean, 2 abstains."""
+        low = text.lower()
+        each = [self.hits[w] for w in WORD.findall(low)]
+        found = 0
+        for h in set(each):
+            found |= h
+        out = [TOXIC if found >> i & 1 else ABSTAIN for i in range(3)]
+        out.append(TOXIC if PHRASES.search(low) else ABSTAIN)
+        out.append(TOXIC if "!" in text and shouts(text) else ABSTAIN)
+        out += [TOXIC if found >> i & 1 else CLEAN for i in range(3, 4 + len(LENGTHS))]
+        dense = sum(h > 7 for h in each) / max(1, len(each))
+        out.append(TOXIC if dense > 0.005 else CLEAN if not found >> 3 else ABSTAIN)
+        return "".join(map(str, out))
+
+
 def votes(text: str, mined: set[str]) -> str:
-    """A digit for each voter: 0 toxic, 1 clean, 2 abstains."""
-    low = text.lower()
-    words = WORD.findall(low)
-    distinct = set(words)
-    out = [TOXIC if distinct & lexicon else ABSTAIN for lexicon in (INSULTS, CONTEMPT, PROFANITY)]
-    out.append(TOXIC if PHRASES.search(low) else ABSTAIN)
-    out.append(TOXIC if "!" in text and shouts(text) else ABSTAIN)
-    hits = {w for w in distinct if w in mined}
-    out.append(TOXIC if hits else CLEAN)
-    for k in LENGTHS:
-        begun = {w for w in distinct if len(w) > k and w[:k] + "*" in mined}
-        out.append(TOXIC if begun else CLEAN)
-        hits |= begun
-    dense = sum(w in hits for w in words) / max(1, len(words)) if hits else 0
-    out.append(TOXIC if dense > 0.005 else CLEAN if not hits else ABSTAIN)
-    return "".join(map(str, out))
+    return Voters(mined)(text)
 
 
 class LabelModel:
@@ -148,15 +176,33 @@ class LabelModel:
         return out
 
 
+def tallies(rows: Iterator[tuple[str, float]], bound: int = 1 << 19) -> Iterator[pd.DataFrame]:
+    """(feature, hit, n) of rows (text, weight): how many texts have an indicator, and their weight; summed up in the task as far as bound entries go."""
+    sums: dict[str, list[float]] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame({"feature": np.array(list(sums), dtype=object), "hit": [x[0] for x in sums.values()], "n": [int(x[1]) for x in sums.values()]})
+        sums.clear()
+        return out
+
+    for text, weight in rows:
+        for f in indicators(set(tokens(text))):
+            x = sums.setdefault(f, [0.0, 0])
+            x[0] += weight
+            x[1] += 1
+        if len(sums) > bound:
+            yield flush()
+    if sums:
+        yield flush()
+
+
 def mine(sample: DataFrame) -> set[str]:
     """Indicators that stand in at least 4 toxic documents of the sample (text, label), and in few clean ones."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, y) for t, y in zip(b["text"], b["label"], strict=True) for f in indicators(set(tokens(t)))]
-            yield pd.DataFrame(rows, columns=["feature", "label"])
+        yield from tallies((t, float(y)) for b in batches for t, y in zip(b["text"], b["label"], strict=True))
 
-    counts = sample.mapInPandas(found, "feature string, label int").groupBy("feature").agg(F.sum("label").alias("hit"), F.count("*").alias("n"))
+    counts = sample.select("text", "label").mapInPandas(found, "feature string, hit double, n long").groupBy("feature").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
     sure = counts.where((F.col("hit") >= 4) & (F.col("hit") >= 0.92 * F.col("n")))
     return {r["feature"] for r in sure.orderBy(F.desc("hit"), "feature").limit(MINED).collect()}
 
@@ -164,10 +210,11 @@ def mine(sample: DataFrame) -> set[str]:
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.known = Cache(lambda w: tuple(f for f in indicators({w}) if f in weights))
 
     def score(self, text: str) -> float:
-        w = self.weights
-        s = self.bias + sum(w[f] for f in sorted(indicators(set(tokens(text))) & w.keys()))
+        found = {f for w in set(tokens(text)) for f in self.known[w]}
+        s = self.bias + math.fsum(self.weights[f] for f in found)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
@@ -195,13 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     d = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     ids = labelled_ids(labels, label_col, LABELLED, SEED).persist()
     try:
-        gold = F.broadcast(ids)  # LABELLED rows at most
-        sample = d.join(gold, "id")
-        mined = mine(sample)
+        mined = mine(d.join(F.broadcast(ids.where(for_mining())), "id"))  # LABELLED rows at most
+        gold = F.broadcast(ids.where(~for_mining()))
 
         def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            voters = Voters(mined)
             for b in batches:
-                yield pd.DataFrame({"pattern": [votes(t, mined) for t in b["text"]], "label": b["label"]})
+                yield pd.DataFrame({"pattern": [voters(t) for t in b["text"]], "label": b["label"]})
 
         every = d.join(gold, "id", "left").select("text", F.col("label").cast("double").alias("label"))
         counted = every.mapInPandas(vote, "pattern string, label double").groupBy("pattern", "label").count()
@@ -209,23 +256,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = LabelModel([r["pattern"] for r in counts], [None if r["label"] is None or math.isnan(r["label"]) else int(r["label"]) for r in counts], [r["count"] for r in counts])
 
         order = F.xxhash64(F.lit(SEED + 1), "id")
-        more = d.where(fold_bucket(F.col("id")) != 0).select("id").where(F.col("id").isNotNull()).distinct().join(gold, "id", "left_anti").orderBy(order, "id").limit(UNLABELLED)
-        chosen = ids.select("id", F.col("label").cast("double").alias("label")).unionByName(more.select("id", F.lit(None).cast("double").alias("label")))
-        train = d.join(F.broadcast(chosen), "id").select("id", "text", "label")  # LABELLED + UNLABELLED ids at most
+        more = d.where(fold_bucket(F.col("id")) != 0).select("id").where(F.col("id").isNotNull()).distinct().join(F.broadcast(ids), "id", "left_anti").orderBy(order, "id").limit(UNLABELLED)
+        train = d.join(F.broadcast(ids.select("id").unionByName(more)), "id").select("id", "text")  # LABELLED + UNLABELLED ids at most
         return Model(*learn(train, mined, model)), model
     finally:
         ids.unpersist()
 
 
+def for_mining() -> Column:
+    """The labelled rows that lexicons are mined from: two thirds."""
+    return F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.lit(3)) > 0
+
+
 def learn(train: DataFrame, mined: set[str], label_model: LabelModel) -> tuple[dict[str, float], float]:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Weights and intercept, from (id, text) and the posteriors of the votes on each text."""
+
+    def aim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        voters = Voters(mined)
         for b in batches:
-            target = [label_model.of(votes(t, mined)) if y is None or math.isnan(y) else float(y) for t, y in zip(b["text"], b["label"], strict=True)]
-            yield pd.DataFrame({"id": b["id"].astype(str), "y": target, "found": [sorted(indicators(set(tokens(t)))) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"].astype(str), "text": b["text"], "y": [label_model.of(voters(t)) for t in b["text"]]})
 
-    rows = train.mapInPandas(read, "id string, y double, found array<string>").persist()
+    rows = train.mapInPandas(aim, "id string, text string, y double").persist()
     try:
-        each = rows.select("y", F.explode("found").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("y").alias("hit"))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from tallies((t, y) for b in batches for t, y in zip(b["text"], b["y"], strict=True))
+
+        each = rows.mapInPandas(count, "feature string, hit double, n long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
         total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("hit")).first()
         rate = (total["hit"] or 0.0) / max(1, total["n"])
         strength = F.round(F.abs(F.col("hit") - rate * F.col("n")) / F.sqrt(F.col("n") * (rate * (1 - rate) + 1e-6)), 6)
@@ -233,8 +290,9 @@ def learn(train: DataFrame, mined: set[str], label_model: LabelModel) -> tuple[d
         index = {f: i for i, f in enumerate(names)}
 
         def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = Cache(lambda w: tuple(index[f] for f in indicators({w}) if f in index))
             for b in batches:
-                yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [[index[f] for f in fs if f in index] for fs in b["found"]]})
+                yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [sorted({i for w in set(tokens(t)) for i in known[w]}) for t in b["text"]]})
 
         y, found = arrays(rows.mapInPandas(coded, "id string, y double, at array<int>"), "y")
     finally:
@@ -248,9 +306,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Model(weights, bias)
-        return pd.Series([m.score(t) for t in text], dtype="float64")
+        for text in batches:
+            yield pd.Series([m.score(t) for t in text], dtype="float64")
 
     return docs.withColumn(score_col, score(whole(F.col(text_col))))
 

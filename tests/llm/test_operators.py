@@ -68,7 +68,7 @@ def test_pii_model_adds_by_score(spark):
 
 def test_mixing_meets_targets(spark, docs, none):
     out = mixing.mix(docs.withColumn("target", F.lit(0)))
-    assert out.columns == [*docs.columns, "target", "size", "source_size", "_target", "taken"]
+    assert out.columns == [*docs.columns, "target", "size", "source_size", "_target", "taken", "first_slot"]
     assert out.count() == len(ODD) and out.where("taken > 3 * size").count() == 0
     by = out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("_target").alias("g"), F.count("*").alias("n")).collect()
     assert all(abs(r.t - r.g) <= r.n + 1 for r in by)
@@ -97,13 +97,14 @@ def test_mixing_gives_the_mixed_blocks(spark, docs, none):
         assert at.get(r.slot, 0) == r.at and r.text.split() == text[r.id].split()[r.first : r.first + r.words]
         at[r.slot] = r.at + r.words
         per.setdefault(r.slot, set()).add(r.source)
-        passes.setdefault((r.id, r.first, r.words), []).append(r.slot)
-    assert all(len(x) == 1 for x in per.values()) and max(at.values()) == 1024
+        for k in range(r.first, r.first + r.words):
+            passes.setdefault((r.id, k), []).append(r.slot)
+    assert all(len(x) == 1 for x in per.values()) and len(set(at.values()) - {max(at.values())}) <= 2
     order = [min(per[s]) for s in sorted(per)]
     assert sum(a != b for a, b in zip(order, order[1:])) > len(order) / 3  # sources interleave
     goal = {r.source: r.target for r in mixing.mix(d).collect()}
     for s, g in goal.items():
-        assert sum(r.words for r in out if r.source == s) == int(g + 0.5)
+        assert abs(sum(r.words for r in out if r.source == s) - g) <= max(3 * max(at.values()), 0.02 * g)
     assert max(map(len, passes.values())) >= 2 and any(r.words < len(text[r.id].split()) for r in out)
     kept = mixing.mixed(d).collect()
     assert len(kept) < len(rows) and all(0 < r.taken == sum(x.words for x in r.pieces) for r in kept)
