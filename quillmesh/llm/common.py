@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A control character that no span pattern matches, and what stands in for it in a text.
 MARK, STAND_IN = "\u0001", "\u0002"
+#: Pieces of a text that are put in place in one go.
+RUN = 512
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -104,7 +106,9 @@ def spans(text: Column, pattern: str, context: int = 0, gate: str | None = None)
 
     more = ", l: string, r: string" if context else ""
     kind = f"array<struct<s: int, e: int, m: string{more}>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def start(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         found = [acc["at"].alias("s"), (acc["at"] + p["n"]).alias("e"), p["m"].alias("m")]
@@ -114,7 +118,16 @@ def spans(text: Column, pattern: str, context: int = 0, gate: str | None = None)
             F.when(p["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(*found)))).alias("out"),
         )
 
-    found = let(pieces(text, pattern), lambda parts: F.aggregate(cut(parts), start, step, lambda acc: acc["out"]))
+    def located(parts: Column) -> Column:
+        """A growing array is copied at each step, so long ones are built in runs of RUN."""
+        few = F.aggregate(parts, start(F.lit(0)), step, lambda acc: acc["out"])
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda i: F.slice(parts, i * RUN + 1, F.lit(RUN)))
+        length = lambda run: F.aggregate(run, F.lit(0), lambda a, p: a + p["n"])
+        ends = lambda rs: F.aggregate(rs, F.array(F.lit(0)), lambda a, run: F.concat(a, F.array(F.element_at(a, -1) + length(run))))
+        many = let(runs, lambda rs: let(ends(rs), lambda at: F.flatten(F.transform(rs, lambda run, i: F.aggregate(run, start(F.get(at, i)), step, lambda acc: acc["out"])))))
+        return F.when(F.size(parts) <= RUN, few).otherwise(many)
+
+    found = let(pieces(text, pattern), lambda parts: let(cut(parts), located))
     return F.when(text.rlike(gate), found).otherwise(F.array().cast(kind)) if gate else found
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, table, whole
+from .common import fold_bucket, fresh, table, whole
 from .labelled import arrays, labelled_ids
 
 LABELLED, WIDTH, LEAST = 8000, 12000, 5
@@ -156,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1, higher for better text."""
+    """docs with a score from 0 to 1, higher for better text; if docs has a column of that name, the new one gets underscores in front."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series(model.scores(list(b)), dtype="float64")
 
-    return docs.withColumn(score_col, score(whole(F.col(text_col))))
+    return docs.withColumn(fresh(docs, score_col)[0], score(whole(F.col(text_col))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

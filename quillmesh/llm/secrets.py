@@ -2,9 +2,12 @@
 
 Base spans (assignments to secret names, access key ids, long hexadecimal runs) are reported as
 they are. Beyond them, encoded candidates are cut from the text (PEM blocks, base64 and
-hexadecimal runs, base64 wrapped over lines, dotted tokens; line ends as they are or escaped), decoded, and reported only if the bytes have the structure of
-a key: ASN.1 DER with nested lengths that add up, SSH length-prefixed fields, the header of an
-SSH key file, or a signed token whose header and payload are JSON with an algorithm.
+hexadecimal runs, base64 wrapped over lines, dotted tokens; line ends as they are or escaped),
+decoded, and reported only if the bytes have the structure of a secret: a private key in DER
+(PKCS#8, encrypted PKCS#8, PKCS#1, SEC1, DSA) whose nested lengths add up, a private key file of
+SSH, an encrypted PEM block of a private key, or a signed token whose header and payload are JSON
+with an algorithm. Public keys and certificates are none. Of added spans that overlap the first by
+kind (pem, jwt, der, ssh), then the longest, is reported.
 
 Patterns run in Spark; only the short candidates go to Python. Null texts count as empty. Added
 spans may lie inside base spans. Repeated rows stay.
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, let, span_text, spans, table, whole
+from .common import fresh, span_text, spans, table, whole
 
 BASE_KINDS = ("assign", "access", "hex")
 ADDED_KINDS = ("pem", "jwt", "der", "ssh")
@@ -41,7 +44,7 @@ END = r"[\x20\t]*+(?:\r?\n|\\++r\\++n|\\++[nr])[\x20\t]*+"
 HEAD = r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?:e[wy]|I[ACH]|C[QSXgin]|D[QSX]|77u_)"
 # Candidates for decoding. 500 lines of 24 characters hold any key in use.
 WIDE = {
-    "pem": r"-----BEGIN [A-Z0-9 ]{1,40}-----[A-Za-z0-9+/=\s\\]++-----END [A-Z0-9 ]{1,40}-----",
+    "pem": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,-]{40,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----",
     "jwt": HEAD + r"[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
     "run": FROM + r"[A-Za-z0-9+/_-]{24,}+={0,2}",
     "lines": FROM + r"[A-Za-z0-9+/_-]{24,}+(?:" + END + r"[A-Za-z0-9+/_-]{24,}+){1,500}+={0,2}",
@@ -84,37 +87,52 @@ def elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return found
 
 
-def is_der(data: bytes) -> bool:
-    """One sequence over all bytes, of two elements or more, the constructed ones sound in turn, and a number, bit or octet string among all."""
+INTEGER, BITS, OCTETS, OBJECT, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+
+
+def is_private(data: bytes) -> bool:
+    """One DER sequence over all bytes, with the fields of a private key."""
     top = elements(data)
-    if not top or len(top) != 1 or top[0][0] != 0x30:
+    if not top or len(top) != 1 or top[0][0] != SEQUENCE:
+        return False
+    fields = elements(top[0][1])
+    if not fields:
         return False
-    leaves, todo = set(), [(top[0][1], 1)]
-    while todo:
-        content, depth = todo.pop()
-        inner = elements(content)
-        if inner is None or depth > 12 or (depth == 1 and len(inner) < 2):
-            return False
-        for tag, value in inner:
-            if tag & 0x20:
-                todo.append((value, depth + 1))
-            else:
-                leaves.add(tag)
-    return bool(leaves & {0x02, 0x03, 0x04}) and len(data) >= 24
+    tags = [t for t, _ in fields]
+    algorithm = lambda x: x[0] == SEQUENCE and bool(inner := elements(x[1])) and inner[0][0] == OBJECT and 3 <= len(inner[0][1]) <= 16
+    version = fields[0][1] if tags[0] == INTEGER else None
+    if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:  # PKCS#8
+        return version in (b"\0", b"\1") and algorithm(fields[1]) and len(fields[2][1]) >= 16
+    if tags == [SEQUENCE, OCTETS]:  # the same, encrypted
+        return algorithm(fields[0]) and len(fields[1][1]) >= 32
+    if set(tags[:9]) == {INTEGER} and len(tags) in (9, 10):  # PKCS#1: modulus, exponents, primes, coefficient
+        return version in (b"\0", b"\1") and len(fields[1][1]) >= 48 and all(x for _, x in fields)
+    if tags == [INTEGER] * 6:  # DSA
+        return version == b"\0" and len(fields[1][1]) >= 48 and len(fields[5][1]) >= 16
+    if tags[:2] == [INTEGER, OCTETS]:  # SEC1
+        return version == b"\1" and 16 <= len(fields[1][1]) <= 66 and all(t in (0xA0, 0xA1) and elements(x) for t, x in fields[2:])
+    return False
 
 
 def is_ssh(data: bytes) -> bool:
-    """The header of a key file, or fields with 32-bit lengths, the first a key type, that end where the data ends."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    """A private key file: after its mark, cipher, derivation and its options, a count, that many public keys, and the private part, with 32-bit lengths that add up."""
+    if not data.startswith(b"openssh-key-v1\0"):
+        return False
+    at = 15
+
+    def field() -> bytes | None:
+        nonlocal at
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+            return None
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and bool(re.fullmatch(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)", fields[0]))
+        return data[at - n : at]
+
+    if not all(x is not None for x in (field(), field(), field())):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    return 1 <= keys <= 16 and all(field() for _ in range(keys)) and bool(field()) and at == len(data)
 
 
 def is_token(text: str) -> bool:
@@ -134,10 +152,14 @@ def confirm(kind: str, text: str) -> str | None:
     if kind == "jwt":
         return "jwt" if is_token(text) else None
     if kind == "pem":
-        body = unbase64(re.sub(r"-----(BEGIN|END) [A-Z0-9 ]+-----", "", text))
-        return "pem" if body and (is_der(body) or is_ssh(body)) else None
+        inside = re.sub(r"-----(BEGIN|END) [A-Z0-9 ]+-----", "", text)
+        body = re.split(r"DEK-Info:[\x20\t]*[A-Z0-9-]+,[0-9A-Fa-f]+", inside)
+        data = unbase64(body[-1])
+        if len(body) == 2 and re.search(r"Proc-Type:[\x20\t]*4,ENCRYPTED", body[0]):
+            return "pem" if data and len(data) >= 32 and len(data) % 8 == 0 else None
+        return "pem" if data and (is_private(data) or is_ssh(data)) else None
     for data in ((bytes.fromhex(text) if re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", text) else None), unbase64(text)):
-        if data and is_der(data):
+        if data and is_private(data):
             return "der"
         if data and is_ssh(data):
             return "ssh"
@@ -174,18 +196,21 @@ def wide_of(kind: str, matches: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", base_col: str = "base", all_col: str = "spans") -> DataFrame:
-    """docs with two columns of array<struct<k,kind,s,e>>: the base, and all spans, both by start and kind."""
-    t, c, v = fresh(docs, "secret_text", "secret_candidates", "secret_verdicts")
+    """docs with two columns of array<struct<k,kind,s,e>>: the base, and all spans, both by start and kind.
+
+    Where docs has a column of such a name, the new one gets underscores in front.
+    """
+    base_col, all_col, t, c, v = fresh(docs, base_col, all_col, "secret_text", "secret_candidates", "secret_verdicts")
     out = docs.withColumn(t, whole(F.col(text_col)))
     out = out.withColumn(c, F.concat(*[wide_of(kind, spans(F.col(t), WIDE[kind], 0, GATES[kind])) for kind in WIDE]))
     out = out.withColumn(v, F.pandas_udf(confirmed, "array<string>")(F.transform(c, lambda x: x["kind"]), F.transform(c, lambda x: x["m"])))
     rank = F.create_map(*[y for i, kind in enumerate(ADDED_KINDS) for y in (F.lit(kind), F.lit(i + len(BASE_KINDS)))])
-    paired = F.transform(c, lambda x, i: F.struct(F.element_at(rank, F.get(v, i)).alias("k"), F.get(v, i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].isin("lines", "tail").alias("wrapped")))
-    # the lines of a PEM block are not reported again
-    known = let(paired, lambda a: F.filter(a, lambda x: x["kind"].isNotNull() & ~(x["wrapped"] & F.exists(a, lambda y: y["kind"].eqNullSafe("pem") & (y["s"] <= x["s"]) & (y["e"] >= x["e"])))))
-    added = F.transform(known, lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    found = F.transform(c, lambda x, i: F.struct(F.element_at(rank, F.get(v, i)).alias("k"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["e"].alias("e"), F.get(v, i).alias("kind")))
+    ordered = F.array_sort(F.filter(found, lambda x: x["kind"].isNotNull()))
+    plain = lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
+    added = F.aggregate(ordered, F.array().cast("array<struct<k:int,kind:string,s:int,e:int>>"), lambda a, x: F.when(F.exists(a, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), a).otherwise(F.concat(a, F.array(plain(x)))))
     out = out.withColumn(base_col, base_spans(F.col(t)))
-    return out.withColumn(all_col, by_start(F.array_distinct(F.concat(F.col(base_col), added)))).drop(t, c, v)
+    return out.withColumn(all_col, by_start(F.concat(F.col(base_col), added))).drop(t, c, v)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

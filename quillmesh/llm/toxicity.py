@@ -302,7 +302,7 @@ def learn(train: DataFrame, mined: set[str], label_model: LabelModel) -> tuple[d
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1."""
+    """docs with a score from 0 to 1; if docs has a column of that name, the new one gets underscores in front."""
     weights, bias = model.weights, model.bias
 
     @F.pandas_udf("double")
@@ -311,7 +311,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for text in batches:
             yield pd.Series([m.score(t) for t in text], dtype="float64")
 
-    return docs.withColumn(score_col, score(whole(F.col(text_col))))
+    return docs.withColumn(fresh(docs, score_col)[0], score(whole(F.col(text_col))))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -235,21 +235,50 @@ def test_secrets_need_structure(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else (lambda k: bytes([0x80 | len(k)]) + k)(n.to_bytes((n.bit_length() + 7) // 8, "big"))
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), b"\x05\x00")
+NUMBER = der(0x02, bytes(range(1, 129)))
+PKCS1 = der(0x30, der(0x02, b"\0"), *[NUMBER] * 8)
+PKCS8 = der(0x30, der(0x02, b"\0"), RSA, der(0x04, PKCS1))
+SEC1 = der(0x30, der(0x02, b"\1"), der(0x04, bytes(range(32))), der(0xA0, der(0x06, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+PUBLIC = der(0x30, RSA, der(0x03, b"\0" + der(0x30, NUMBER, der(0x02, b"\1\0\1"))))
+
+
+def lines_of(data, n=64):
+    text = base64.b64encode(data).decode()
+    return [text[i : i + n] for i in range(0, len(text), n)]
+
+
 def test_secrets_in_escaped_and_wrapped_forms(spark):
-    half = b"\x04\x81\x80" + bytes(range(128))
-    der = b"\x30\x82\x01\x06" + half + half
-    text = base64.b64encode(der).decode()
-    lines = [text[i : i + 64] for i in range(0, len(text), 64)]
+    lines, pkcs1 = lines_of(PKCS8), base64.b64encode(PKCS1).decode()
+    pem = lambda kind, ls, end="\n", head="": f"-----BEGIN {kind}-----{end}{head}" + end.join(ls) + f"{end}-----END {kind}-----{end}"
     enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
     token = lambda head: ".".join((enc(head), enc(b'{"sub": 1}'), enc(bytes(range(32)))))
-    full = base64.b64encode(b"\x30\x81\x8d\x04\x81\x80" + bytes(range(128)) + b"\x04\x08" + bytes(8)).decode()
-    rows = ['{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(lines) + '\\n-----END PRIVATE KEY-----\\n"}', "x\n  " + "\n  ".join(lines) + "\nand so on", '"a\\n' + "\\r\\n".join(lines) + '"', "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"]
-    rows += ["\n".join(full[i : i + 48] for i in range(0, len(full), 48)) + "\nand so on", "\n".join(lines[:-1]), 'k="a\\n' + text + '"']
+    rows = ['{"k": "' + pem("PRIVATE KEY", lines, "\\n") + '"}', "x\n  " + "\n  ".join(lines) + "\nand so on", '"a\\n' + "\\r\\n".join(lines) + '"', pem("PRIVATE KEY", lines)]
+    rows += ["\n".join(lines[:-1]), 'k="a\\n' + pkcs1 + '"', pem("EC PRIVATE KEY", lines_of(SEC1)), pem("RSA PRIVATE KEY", lines_of(bytes(64)), head="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"), "x " + PKCS1.hex()[:-2], "y " + SEC1.hex().upper()]
     rows += [token(h) for h in (b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'{\r\n "alg": "HS256"}', b' {"alg": "HS256"}', b'{"alg":"HS256"}')] + ["internationalization.example.com"]
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: [(x.kind, rows[r.doc_id][x.s : x.e]) for x in r.spans] for r in secrets.scan(d).collect()}
-    assert [[k for k, _ in got[i]] for i in range(len(rows))] == [["pem"], ["der"], ["der"], ["pem"], ["der"], [], ["der"]] + [["jwt"]] * 5 + [[]]
-    assert got[1][0][1] == "\n  ".join(lines) and got[2][0][1] == "\\r\\n".join(lines) and got[6][0][1] == text
+    got = {r.doc_id: [(x.kind, rows[r.doc_id][x.s : x.e]) for x in r.spans if x.kind not in ("hex", "assign")] for r in secrets.scan(d).collect()}
+    assert [[k for k, _ in got[i]] for i in range(len(rows))] == [["pem"], ["der"], ["der"], ["pem"], [], ["der"], ["pem"], ["pem"], [], ["der"]] + [["jwt"]] * 5 + [[]]
+    assert got[1][0][1] == "\n  ".join(lines) and got[2][0][1] == "\\r\\n".join(lines) and got[5][0][1] == pkcs1
+
+
+def test_public_keys_are_no_secrets(spark):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    public = field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(128)))
+    private = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(200))
+    certificate = der(0x30, der(0x30, der(0xA0, der(0x02, b"\2")), NUMBER, RSA), RSA, der(0x03, b"\0" + bytes(128)))
+    rows = ["ssh-rsa " + base64.b64encode(public).decode() + " me@here", "-----BEGIN PUBLIC KEY-----\n" + "\n".join(lines_of(PUBLIC)) + "\n-----END PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----\n" + "\n".join(lines_of(certificate)) + "\n-----END CERTIFICATE-----"]
+    rows += [base64.b64encode(PUBLIC).decode(), base64.b64encode(der(0x30, NUMBER, der(0x02, b"\1\0\1"))).decode(), base64.b64encode(private).decode(), "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(lines_of(private, 70)) + "\n-----END OPENSSH PRIVATE KEY-----", base64.b64encode(private[:-1]).decode()]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.spans] for r in secrets.scan(d.withColumn("base", F.lit(1))).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [], 4: [], 5: ["ssh"], 6: ["pem"], 7: []}
 
 
 def test_secret_base_is_the_brute_force(spark):
