@@ -7,6 +7,10 @@ fits. Windows with equal hashes are joined; around each hit the two token sequen
 along its diagonal, and the best run (match 1, substitution -3) decides: a document overlaps an
 item if the run has MIN_TOKENS tokens (or the whole of a shorter item) and SHARE of them agree.
 
+Windows of one text with the same hash that follow each other closely, as in text that repeats itself,
+are joined as one span, so a join gives no product of their numbers; the diagonals of a text and an
+item, no more than both have tokens, are brought together and compared in one row.
+
 Tokens are runs of letters and digits in lower case. Before the join, windows of documents pass two
 bitmaps of fixed size made from the benchmark: one of adjacent token pairs, with which every mask
 begins, and one of mask hashes. They let nothing be lost; a larger benchmark only lets more through.
@@ -31,7 +35,8 @@ MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
 SHORTEST = min(map(len, MASKS))
 MIN_TOKENS, SHARE, LOSS = 13, 0.8, 3
 PAIR_BITS, SEED_BITS = 1 << 20, 1 << 23
-SALTS = 8
+#: Windows with one hash that are no farther apart are a span; rows of documents with a hit for each salt of the join.
+GAP, SALTED = 16, 100_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -51,6 +56,17 @@ def seeds(h: Column, j: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def grouped(found: Column) -> Column:
+    """array<struct<hash,j,to>>: of an array of structs (j, hash), the spans of windows with one hash that are at most GAP apart."""
+    apart = lambda a, b: a["hash"].isNull() | b["hash"].isNull() | (a["hash"] != b["hash"]) | (b["j"] - a["j"] > GAP)
+
+    def build(x: Column) -> Column:
+        last = F.filter(x, lambda e, i: apart(e, F.get(x, i + 1)))
+        return let(last, lambda ends: F.transform(F.filter(x, lambda e, i: apart(F.get(x, i - 1), e)), lambda e, i: F.struct(e["hash"].alias("hash"), e["j"].alias("j"), F.get(ends, i)["j"].alias("to"))))
+
+    return let(F.array_sort(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["j"].alias("j")))), build)
+
+
 def windows(h: Column) -> Column:
     return F.when(F.size(h) >= SHORTEST, F.sequence(F.lit(0), F.size(h) - SHORTEST)).otherwise(F.array().cast("array<int>"))
 
@@ -80,9 +96,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     """(key, item_id, start, tokens, matched) for each text (by its key) and benchmark item that overlap; start in tokens of the document."""
     items = written(benchmark_items(benchmark, id_col, item_text_col), "items")
     spots = items.select("item", "ht", F.explode(windows(F.col("ht"))).alias("p"))
-    test = spots.select("item", F.explode(seeds(F.col("ht"), F.col("p"))).alias("x")).select("item", F.col("x.j").alias("p"), F.col("x.hash").alias("hash"))
+    test = items.select("item", F.explode(grouped(F.flatten(F.transform(windows(F.col("ht")), lambda p: seeds(F.col("ht"), p))))).alias("x")).select("item", F.col("x.j").alias("p"), F.col("x.to").alias("q"), "x.hash")
     short = items.where(F.size("ht").between(1, SHORTEST - 1))
-    test = written(test.unionByName(short.select("item", F.lit(0).alias("p"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash"))), "seeds")
+    test = written(test.unionByName(short.select("item", F.lit(0).alias("p"), F.lit(0).alias("q"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash"))), "seeds")
     lengths = short.agg(F.sort_array(F.collect_set(F.size("ht"))).alias("a")).scalar()  # SHORTEST - 1 numbers at most
     pairs = bitmap(spots.select(pair(F.col("ht"), F.col("p")).alias("h")), PAIR_BITS)
     known = bitmap(test.select(F.col("hash").alias("h")), SEED_BITS)
@@ -101,15 +117,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     scanned = scanned.select(text_key(F.col("text")).alias("key"), "x").groupBy("key").agg(F.first("x").alias("x"))
     scanned = written(scanned.select("key", "x.h", "x.hits"), "scanned")
 
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-    mine = scanned.select("key", salt.alias("salt"), F.explode("hits").alias("x")).select("key", "salt", F.col("x.j").alias("j"), F.col("x.hash").alias("hash"))
-    theirs = test.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    hits = mine.join(theirs, ["hash", "salt"]).select("key", "item", (F.col("j") - F.col("p")).alias("diagonal")).distinct()
-    both = hits.join(items, "item").join(scanned.select("key", "h"), "key")
-    best = both.select("key", "item", "item_id", "diagonal", F.size("ht").alias("length"), best_run(F.col("h"), F.col("ht"), F.col("diagonal")).alias("r"))
-    enough = (F.col("r.tokens") >= F.least(F.lit(MIN_TOKENS), F.col("length"))) & (F.col("r.matched") >= SHARE * F.col("r.tokens"))
-    run = F.struct(F.col("r.tokens").alias("tokens"), F.col("r.matched").alias("matched"), (-(F.col("r.start") + F.col("diagonal"))).alias("start"))
-    found = best.where(enough).groupBy("key", "item_id").agg(F.max(run).alias("r"))
+    salts = 8 + scanned.count() // SALTED
+    mine = scanned.select("key", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"), F.explode(grouped(F.col("hits"))).alias("x")).select("key", "salt", "x.hash", "x.j", "x.to")
+    theirs = test.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    hits = mine.join(theirs, ["hash", "salt"]).select("key", "item", F.struct((F.col("j") - F.col("q")).alias("low"), (F.col("to") - F.col("p")).alias("high")).alias("d"))
+    pairs = hits.groupBy("key", "item").agg(F.collect_set("d").alias("d"))
+    both = pairs.join(items, "item").join(scanned.select("key", "h"), "key")
+
+    def run(h: Column, ht: Column, d: Column) -> Column:
+        return let(best_run(h, ht, d), lambda r: F.struct(r["tokens"].alias("tokens"), r["matched"].alias("matched"), (-(r["start"] + d)).alias("start")))
+
+    enough = lambda r: (r["tokens"] >= F.least(F.lit(MIN_TOKENS), F.size("ht"))) & (r["matched"] >= SHARE * r["tokens"])
+    diagonals = F.array_distinct(F.flatten(F.transform("d", lambda x: F.sequence(x["low"], x["high"]))))
+    found = both.select("key", "item_id", F.array_max(F.filter(F.transform(diagonals, lambda d: run(F.col("h"), F.col("ht"), d)), enough)).alias("r")).where("r IS NOT NULL")
     return found.select("key", "item_id", (-F.col("r.start")).alias("start"), F.col("r.tokens").alias("tokens"), F.col("r.matched").alias("matched"))
 
 

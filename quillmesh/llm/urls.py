@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,23 @@ from .common import fresh, table
 
 # The rules of the contract, as (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-# Names of sites for the labelled table.
-BLOCKED = "casino-win online-casino poker-stars24 free-bets sport-bets slots-win jackpot-spin adult-x adult-video xxx-cams porn-tube hot-cams cheap-pills buy-pills viagra-shop pharma-cheap spam-farm link-farm seo-spam ads-track ad-click track-pixel click-bait phish-login free-crypto malware-dl win-prize loan-cheap".split()
-ALLOWED = "weather library university museum garden recipes history science physics travel music nature school hospital theatre journal gazette bakery planet harbour village mountain river orchard letters reading notebook calendar archive station winter spring summer autumn thorn thistle action station nation edition better shelter ether lantern".split()
-PLACES = ("http://{}.example.com/en/{}", "https://www.{}.example.org/de/{}.html", "https://blog.{}.example.net/fr/{}/", "http://m.{}.example.com/es/{}?page=2")
+# Words of sites to block, by kind, and of sites to allow; words that stand with both; endings and places of urls.
+BAD = {
+    "gambling": "casino poker slots roulette jackpot betting bets bingo lottery blackjack".split(),
+    "adult": "porn sex xxx nude escort cams erotic fetish adult milf".split(),
+    "drugs": "viagra cialis pills pharma steroid xanax tramadol".split(),
+    "fraud": "phishing malware keygen warez torrent crack hacked trojan ransom".split(),
+    "advertising": "adserver popunder clickbait tracker backlinks spam seo banner affiliate doubleclick".split(),
+    "money": "payday loan forex bitcoin giveaway prize winner jackpots cashback".split(),
+}
+GOOD = """academy archive artist bakery biology bridge camera castle chemistry church cinema city climate coffee college community county court
+culture cycling daily design dictionary doctor energy engineer family farm festival fiction forest forum garden geology gallery gazette health
+heritage history hospital hotel house journal kitchen language law library magazine market math medicine mountain museum music nature news novel
+ocean orchestra park physics planet poetry police press project radio recipe research river safety school science society software sport station
+store street student summer teacher theatre times tourism town train travel union university valley village weather wiki winter world writer zoo""".split()
+SHARED = "best free online my top the new live hot cheap web club hub world zone".split()
+ENDINGS = ("com", "net", "org", "info", "co.uk", "de", "fr", "io")
+PLACES = ("https://{}.{}/", "http://www.{}.{}/index.html", "https://{}.{}/a/{}", "http://{}.{}/p?id={}", "https://shop.{}.{}/items/{}.html", "{}.{}")
 
 WIDTH, SIZES = 1 << 16, (3, 4, 5)
 
@@ -59,10 +73,30 @@ def gram(part: str, text: Column, padded: Column, n: int) -> Column:
     return F.when((F.length(text) > 0) & (F.length(padded) >= n), some).otherwise(F.array().cast("array<string>"))
 
 
+def invented(n: int) -> list[str]:
+    """Names without a meaning, of two to four syllables: most sites have such a name, and the kind can't be read off it."""
+    syllables = [c + v + e for c in ("b", "d", "f", "g", "k", "l", "m", "n", "r", "s", "t", "v") for v in "aeiou" for e in ("", "n", "r", "l", "s")]
+    return ["".join(syllables[(i * 7919 + k * (k + i) * 104729) % len(syllables)] for k in range(2 + i % 3)) for i in range(n)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): every name at four places; allowed names stand for the larger part of the web."""
-    rows = [(place.format(name, 100 * i + 7), label) for label, names in ((1.0, BLOCKED), (0.0, ALLOWED)) for i, name in enumerate(names) for place in PLACES]
-    return spark.createDataFrame(rows, "url string, label double")
+    """(url, label, name, stem): a small table. Each word alone, before and after another one; the allowed ones with words from both sides too."""
+    rows = []
+    bad = [(w, 1.0) for words in BAD.values() for w in words]
+    for i, (word, label) in enumerate(bad + [(w, 0.0) for w in GOOD]):
+        other = [SHARED[i % len(SHARED)], SHARED[(3 * i + 1) % len(SHARED)], (bad[(5 * i + 2) % len(bad)][0] if label else GOOD[(5 * i + 2) % len(GOOD)])]
+        names = [word, f"{other[0]}-{word}", f"{word}-{other[1]}", f"{other[1]}{word}", f"{word}{other[2]}", f"{word}{i % 90 + 10}", f"{word}-{other[2]}"]
+        rows += [(name, label, word) for name in names]
+    rows += [(name, 0.0, name) for name in invented(400)]
+    urls = [(PLACES[i % len(PLACES)].format(name, ENDINGS[(i // 3) % len(ENDINGS)], 17 * i), label, name, stem) for i, (name, label, stem) in enumerate(rows)]
+    return spark.createDataFrame([(u if "://" in u else f"https://{u}/", *rest) for u, *rest in urls], "url string, label double, name string, stem string")
+
+
+def held_out_auc(labelled: DataFrame, by: str = "name") -> float:
+    """Area under the ROC curve on a fifth of the table, by a hash of its names or stems, of a model fitted on the rest."""
+    aside = F.pmod(F.crc32(F.col(by)), F.lit(5)) == 0
+    out = judge(labelled.where(aside), fit(labelled.where(~aside)), rules=())
+    return BinaryClassificationEvaluator(rawPredictionCol="score").evaluate(out.select("label", "score"))
 
 
 def prepared(urls: DataFrame, url_col: str, host_col: str, path_col: str, gram_col: str) -> DataFrame:

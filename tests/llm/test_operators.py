@@ -166,6 +166,44 @@ def test_decontamination_finds_short_items(spark):
         assert sorted(r.doc_id for r in decontaminate.remove(d, bench).collect()) == list(range(15, len(texts)))
 
 
+def overlap_by_hand(text, items):
+    """Items with a run on a diagonal of enough tokens: every item and diagonal is tried."""
+    tok = lambda t: re.findall(r"[^\W_]+", t.lower())
+    h, out = tok(text), set()
+    for k, item in items.items():
+        ht = tok(item)
+        for d in range(-len(ht) + 1, len(h)) if ht else ():
+            total = best = run = hit = tokens = matched = 0
+            for i, t in enumerate(ht):
+                same = 0 <= i + d < len(h) and h[i + d] == t
+                if total <= 0:
+                    total = run = hit = 0
+                total, run, hit = total + (1 if same else -3), run + 1, hit + same
+                if total > best:
+                    best, tokens, matched = total, run, hit
+            if tokens >= min(13, len(ht)) and matched >= 0.8 * tokens:
+                out.add(k)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(4))
+    items = {k: " ".join(word() for _ in range(n)) for k, n in enumerate((3, 5, 7, 13, 20, 60, 200))}
+    items[7] = "go " * 300
+    items[8] = "tick tock " * 150
+    texts = [" ".join(word() for _ in range(300)) for _ in range(12)] + [" ".join(word() for _ in range(40)) + " " + items[k] + " " + word() for k in items] + ["go " * 20000, "tick tock " * 3000, "go " * 5, None, ""]
+    for k in (4, 5, 6):
+        w = items[k].split()
+        texts += [" ".join([*(word() for _ in range(20)), *w[:15], *(word() for _ in range(20))]), " ".join(w[:8] + [word()] + w[9:])]
+    d = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, leak_key int")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontaminate.overlaps(d, bench).join(d.selectExpr("doc_id", "md5(coalesce(text, '')) AS key"), "key").collect()
+    want = {(i, k) for i, t in enumerate(texts) for k in overlap_by_hand((t or "")[:3000], items)}
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert sorted(r.doc_id for r in decontaminate.remove(d, bench).collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
+
+
 def brute(texts, least=0.8):
     def s(t):
         w = t.lower().split()
@@ -302,6 +340,16 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), urls.fit(urls.labelled_urls(spark))).count() == 0
 
 
+def test_url_model_on_held_out_names(spark):
+    table = urls.labelled_urls(spark)
+    by_name, by_stem = urls.held_out_auc(table), urls.held_out_auc(table, "stem")
+    print("AUC of names", by_name, "of words", by_stem)
+    assert by_name > 0.95 and by_stem > 0.6
+    rows = [(1, "https://a.example.com/" + "x/" * 20000), (1, "https://a.example.com/" + "x/" * 20000), (None, "https://b/")]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("s")), urls.fit(table)).collect()
+    assert len(out) == 3 and all(0 <= r._score <= 1 for r in out) and out[0]._score == out[1]._score
+
+
 def held_out(rows, labels):
     hit = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     pos, neg = [s for s, y in hit if y], [s for s, y in hit if not y]
