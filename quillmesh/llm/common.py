@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A control character that no span pattern matches, and what stands in for it in a text.
 MARK, STAND_IN = "\u0001", "\u0002"
+_homes: set[str] = set()
 #: Pieces of a text that are put in place in one go.
 RUN = 512
 
@@ -28,13 +32,36 @@ def shared_root(spark: SparkSession) -> str:
     return "/tmp/checkpoints/quillmesh"
 
 
+def _home(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver's process ends."""
+    home = f"{shared_root(spark)}/quillmesh-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(lambda: _delete(jvm, conf, home))
+    return home
+
+
+def _delete(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone first
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage durably."""
-    path = f"{shared_root(df.sparkSession)}/qm-{uuid.uuid4().hex}/{label}"
+    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
