@@ -163,6 +163,21 @@ def span_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def marks(hashes: DataFrame, bits: int) -> DataFrame:
+    """(word, set): the words of a bitmap of the hashes h that have a bit set; bits / 64 rows at most."""
+    slot = F.pmod(F.col("h"), F.lit(bits))
+    at = hashes.select(F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")).distinct()
+    return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set"))
+
+
+def marked(df: DataFrame, hash_of: Column, words: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with a boolean: whether the hash's bit is set. words is broadcast; it has bits / 64 rows at most."""
+    w, b = fresh(df, "mark_word", "mark_set")
+    slot = F.pmod(hash_of, F.lit(bits))
+    out = df.join(F.broadcast(words.select(F.col("word").alias(w), F.col("set").alias(b))), F.shiftright(slot, 6) == F.col(w), "left")
+    return out.withColumn(name, F.coalesce(F.getbit(F.col(b), (slot % 64).cast("int")) == 1, F.lit(False))).drop(w, b)
+
+
 def bitmap(hashes: DataFrame, bits: int) -> Column:
     """A scalar array of bits/64 longs with the bit of each hash set; column name h."""
     spark = hashes.sparkSession

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, fresh, has, table, text_key, whole, written
+from .common import fresh, marked, marks, table, text_key, whole, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -305,7 +305,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     family = family.join(texts.select("key", "first_id", "bytes").hint("merge"), "key")
     sizes = family.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
     family = written(family.join(sizes.hint("merge"), "family").select("key", "first_id", "family", "blocks"), "members")
-    source = d.withColumn("key", text_key(F.col("text"))).where(has(bitmap(family.select(short(F.col("key")).alias("h")), MAP_BITS), MAP_BITS, short(F.col("key"))))
+    words = marks(family.select(short(F.col("key")).alias("h")), MAP_BITS)
+    source = marked(d.withColumn("key", text_key(F.col("text"))), short(F.col("key")), words, MAP_BITS, "maybe").where("maybe").drop("maybe")
     rows = source.join(family.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
     found = written(verified(rows.select("key", "family", "blocks", "text"), threshold, tasks_for(docs.sparkSession, family.count(), 5_000)), "links")
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
@@ -322,15 +323,15 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A repeated row (same id and text) stays once; of a class whose ids are all null one row stays.
     """
-    k, t, m = fresh(docs, "jaccard_key", "jaccard_touched", "jaccard_match")
+    k, t, m, y = fresh(docs, "jaccard_key", "jaccard_touched", "jaccard_match", "jaccard_maybe")
     classes = written(join(docs, id_col, text_col), "kept")
     # of a class, the text with the smallest id stays; equal ids: the smaller key
     best = classes.groupBy("class_key").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")).alias("b"))
     touched = classes.join(best.hint("merge"), "class_key").where((F.col("copies") > 1) | (F.col("key") != F.col("b.key")))
     touched = written(touched.select(F.col("key").alias(m), F.struct("first_id", "same", (F.col("key") == F.col("b.key")).alias("stays")).alias(t)), "touched")
-    named = docs.withColumn(k, text_key(F.col(text_col)))
-    maybe = has(bitmap(touched.select(short(F.col(m)).alias("h")), MAP_BITS), MAP_BITS, short(F.col(k)))
-    clear, rest = named.where(~maybe), named.where(maybe)
+    words = marks(touched.select(short(F.col(m)).alias("h")), MAP_BITS)
+    named = marked(docs.withColumn(k, text_key(F.col(text_col))), short(F.col(k)), words, MAP_BITS, y)
+    clear, rest = named.where(~F.col(y)), named.where(F.col(y))
     joined = rest.join(touched.hint("merge"), F.col(k) == F.col(m), "left")
     first = F.col(f"{t}.stays") & F.col(id_col).eqNullSafe(F.col(f"{t}.first_id"))
     kept = joined.where(F.col(m).isNull() | (first & (F.col(f"{t}.same") == 1)))

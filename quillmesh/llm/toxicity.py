@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,45 +60,43 @@ def shouts(text: str, window: int = 2000) -> bool:
     return bool((so_far[n:] - so_far[: len(so_far) - n]).max() > 0.5 * max(1, n))
 
 
-class Cache(dict):
-    """A function of words, kept for those seen; emptied when it has grown to BOUND."""
+class Lexicon:
+    """Words, and word beginnings with a star, found in a text by whole sets: most words of a corpus are rare, so little is gained by keeping answers for each."""
 
-    BOUND = 1 << 18
+    def __init__(self, features: Iterable[str]):
+        self.words = {f for f in features if not f.endswith("*")}
+        self.begun = {k: {f[:k] for f in features if f.endswith("*") and len(f) == k + 1} for k in LENGTHS}
 
-    def __init__(self, of):
-        self.of = of
+    def found(self, distinct: set[str]) -> list[set[str]]:
+        """The words, and the beginnings of each length, that stand in a text with these words."""
+        return [distinct & self.words, *({w[:k] for w in distinct if len(w) > k} & self.begun[k] if self.begun[k] else set() for k in LENGTHS)]
 
-    def __missing__(self, word: str):
-        if len(self) >= self.BOUND:
-            self.clear()
-        self[word] = out = self.of(word)
-        return out
+    def features(self, distinct: set[str]) -> list[str]:
+        words, *begun = self.found(distinct)
+        return [*words, *(f + "*" for fs in begun for f in fs)]
 
 
 class Voters:
     """The votes of all voters on a text; mined: words, and word beginnings with a star."""
 
     def __init__(self, mined: set[str]):
-        def hits(w: str) -> int:
-            """A bit for each voter that looks at words; those of the mined lexicons from bit 3 on."""
-            bits = [w in INSULTS, w in CONTEMPT, w in PROFANITY, w in mined, *(len(w) > k and w[:k] + "*" in mined for k in LENGTHS)]
-            return sum(b << i for i, b in enumerate(bits))
-
-        self.hits = Cache(hits)
+        self.mined = Lexicon(mined)
 
     def __call__(self, text: str) -> str:
         """A digit for each voter: 0 toxic, 1 clean, 2 abstains."""
         low = text.lower()
-        each = [self.hits[w] for w in WORD.findall(low)]
-        found = 0
-        for h in set(each):
-            found |= h
-        out = [TOXIC if found >> i & 1 else ABSTAIN for i in range(3)]
+        words = WORD.findall(low)
+        distinct = set(words)
+        out = [TOXIC if distinct & lexicon else ABSTAIN for lexicon in (INSULTS, CONTEMPT, PROFANITY)]
         out.append(TOXIC if PHRASES.search(low) else ABSTAIN)
         out.append(TOXIC if "!" in text and shouts(text) else ABSTAIN)
-        out += [TOXIC if found >> i & 1 else CLEAN for i in range(3, 4 + len(LENGTHS))]
-        dense = sum(h > 7 for h in each) / max(1, len(each))
-        out.append(TOXIC if dense > 0.005 else CLEAN if not found >> 3 else ABSTAIN)
+        found = self.mined.found(distinct)
+        out += [TOXIC if f else CLEAN for f in found]
+        dense = 0.0
+        if any(found):
+            hit = {w for w in distinct if w in found[0] or any(len(w) > k and w[:k] in f for k, f in zip(LENGTHS, found[1:], strict=True))}
+            dense = sum(w in hit for w in words) / len(words)
+        out.append(TOXIC if dense > 0.005 else ABSTAIN if any(found) else CLEAN)
         return "".join(map(str, out))
 
 
@@ -210,11 +208,10 @@ def mine(sample: DataFrame) -> set[str]:
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.known = Cache(lambda w: tuple(f for f in indicators({w}) if f in weights))
+        self.known = Lexicon(weights)
 
     def score(self, text: str) -> float:
-        found = {f for w in set(tokens(text)) for f in self.known[w]}
-        s = self.bias + math.fsum(self.weights[f] for f in found)
+        s = self.bias + math.fsum(self.weights[f] for f in self.known.features(set(tokens(text))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
 
 
@@ -290,9 +287,9 @@ def learn(train: DataFrame, mined: set[str], label_model: LabelModel) -> tuple[d
         index = {f: i for i, f in enumerate(names)}
 
         def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = Cache(lambda w: tuple(index[f] for f in indicators({w}) if f in index))
+            known = Lexicon(index)
             for b in batches:
-                yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [sorted({i for w in set(tokens(t)) for i in known[w]}) for t in b["text"]]})
+                yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [sorted(index[f] for f in known.features(set(tokens(t)))) for t in b["text"]]})
 
         y, found = arrays(rows.mapInPandas(coded, "id string, y double, at array<int>"), "y")
     finally:
