@@ -28,7 +28,7 @@ from .common import fresh, let, table, whole, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, fewer where the smallest target has not FINE blocks; there are about MAX_SLOTS blocks at most.
-BLOCK, FINE, MAX_SLOTS, CHUNK, BUCKET, CELLS = 1024, 256, 1 << 22, 4096, 2048, 4096
+BLOCK, FINE, MAX_SLOTS, CHUNK, BUCKET, CELLS = 1024, 256, 1 << 22, 4096, 512, 4096
 LIMIT = 3  # times a source's size
 GOLDEN = 0.6180339887498949
 
