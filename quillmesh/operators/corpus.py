@@ -46,10 +46,36 @@ def chunks(df: DataFrame, key: str, size: Column, budget: int, prefix: int, over
     return out.select(key, "piece", start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.when(F.col("piece") == 0, 0).otherwise(overlap).alias("context"))
 
 
-def turn_windows(turns: DataFrame, group: str, turn: str, size: Column, budget: int) -> DataFrame:
-    """turns with window: conversations cut at turn boundaries, a new window wherever the running length passes a multiple of the budget."""
-    run = F.sum(size).over(Window.partitionBy(group).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumn("window", F.floor(F.coalesce(run, F.lit(0)) / budget).cast("int"))
+def turn_windows(turns: DataFrame, group: str, turn: str, role: str, size: Column, budget: int, overlap: int) -> DataFrame:
+    """(group, exchange, first_turn, kind, window, pieces): exchanges (a user's turn and what follows it) packed into windows of at most budget.
+
+    Each window opens with the turns before the first user's turn again. An exchange goes into the
+    window of the one before if it fits, else into a new one (kind packed). One that is too long by
+    itself is cut (chunked): each of its pieces is a window that opens with the user's turn too and
+    repeats overlap of the reply as context, so every character of a reply is a target once. An
+    exchange whose opening leaves no room for more than the overlap is dropped: window is null,
+    pieces 0. Conversations without a user's turn have no row.
+    """
+    rows = turns.select(group, turn, (F.col(role) == "user").alias("asks"), size.alias("n"))
+    rows = rows.withColumn("exchange", F.sum(F.col("asks").cast("int")).over(Window.partitionBy(group).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    each = rows.groupBy(group, "exchange").agg(F.min(turn).alias("first"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("ask"), F.sum("n").alias("all"))
+    whole = each.groupBy(group).agg(F.coalesce(F.max(F.when(F.col("exchange") == 0, F.col("all"))), F.lit(0)).alias("opening"), F.array_sort(F.collect_list(F.when(F.col("exchange") > 0, F.struct("exchange", "first", "ask", "all")))).alias("es"))
+    room = F.lit(budget) - F.col("opening")
+    kind = "struct<exchange:int,first:bigint,kind:string,window:int,pieces:int>"
+    start = F.struct(F.lit(0).alias("opened"), F.lit(budget + 1).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        fits, goes_on = e["all"] <= room, acc["used"] + e["all"] <= room
+        left = room - e["ask"]
+        pieces = F.when(fits, 1).when(left > overlap, 1 + F.ceil((e["all"] - e["ask"] - left) / (left - overlap))).otherwise(0).cast("int")
+        opened = F.when(fits & goes_on, acc["opened"]).otherwise(acc["opened"] + pieces)
+        window = F.when(fits, opened - 1).when(pieces > 0, acc["opened"])
+        row = F.struct(e["exchange"].alias("exchange"), e["first"].cast("long").alias("first"), F.when(fits, "packed").when(pieces > 0, "chunked").otherwise("dropped").alias("kind"), window.cast("int").alias("window"), pieces.alias("pieces"))
+        used = F.when(fits & goes_on, acc["used"] + e["all"]).when(fits, e["all"]).when(pieces > 0, budget + 1).otherwise(acc["used"]).cast("long")
+        return F.struct(opened.cast("int").alias("opened"), used.alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    packed = whole.select(group, F.explode(F.aggregate("es", start, step, lambda acc: acc["out"])).alias("x"))
+    return packed.select(group, "x.exchange", F.col("x.first").alias("first_turn"), "x.kind", "x.window", "x.pieces")
 
 
 def fitted(turns: DataFrame, group: str, turn: str, role: str, size: Column, budget: int) -> DataFrame:

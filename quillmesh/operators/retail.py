@@ -55,6 +55,12 @@ def cohorts(lines: DataFrame, customer: str, date: str) -> DataFrame:
     return out.withColumn("retention", F.round(F.col("active") / F.col("size") * 100, 1))
 
 
+def cohort_matrix(long: DataFrame) -> DataFrame:
+    """(cohort, p0, p1, ...): retention by period, a column for every period there is."""
+    wide = long.groupBy("cohort").pivot("period").agg(F.max("retention"))
+    return wide.select("cohort", *[F.col(f"`{c}`").alias(f"p{c}") for c in sorted((c for c in wide.columns if c != "cohort"), key=int)])
+
+
 def funnel(df: DataFrame, user: str, stage: str, stages: list[str]) -> DataFrame:
     """(step, stage, users, share_of_top_pct, step_conversion_pct, step_dropoff_pct) over distinct users, in the order of the stages."""
     named = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage")) for i, s in enumerate(stages)])).alias("s")

@@ -155,3 +155,50 @@ def add_minutes(df: DataFrame, entries: DataFrame) -> DataFrame:
     total = entries.where(F.col("minutes").between(1, 1440)).groupBy("id").agg(F.sum("minutes").alias("more"))
     out = df.join(total, "id", "left")
     return out.withColumn("time_spent_minutes", F.col("time_spent_minutes") + F.when(F.col("deleted"), 0).otherwise(F.coalesce("more", F.lit(0)))).select(*df.columns)
+
+
+def nested(tasks: DataFrame, subtasks: DataFrame, tags: DataFrame) -> DataFrame:
+    """tasks with subtasks (structs position, id, completed, in that order), tags (names in order), done and total of the subtasks.
+
+    subtasks: (task_id, position, id, completed); tags: (task_id, name). A task without any has empty arrays.
+    """
+    steps = subtasks.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "completed"))).alias("subtasks"))
+    names = tags.groupBy("task_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
+    out = tasks.join(steps.withColumnRenamed("task_id", "step_of"), F.col("id") == F.col("step_of"), "left").join(names.withColumnRenamed("task_id", "tag_of"), F.col("id") == F.col("tag_of"), "left").drop("step_of", "tag_of")
+    out = out.withColumns({"subtasks": F.coalesce("subtasks", F.array().cast(steps.schema["subtasks"].dataType)), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
+    return out.withColumns({"subtasks_done": F.size(F.filter("subtasks", lambda x: x["completed"])).cast("long"), "subtasks_total": F.size("subtasks").cast("long")})
+
+
+def tagged(tasks: DataFrame, tags: DataFrame, name: str) -> DataFrame:
+    """The tasks that carry a tag."""
+    return tasks.join(tags.where(F.col("name") == name).select(F.col("task_id").alias("id")), "id", "left_semi")
+
+
+def active_counts(owners: DataFrame, key: str, tasks: DataFrame) -> DataFrame:
+    """owners with active: how many active tasks (key, ...) each has, 0 for none."""
+    n = tasks.where(scope() == "active").groupBy(key).agg(F.count("*").alias("active"))
+    return owners.join(n, key, "left").withColumn("active", F.coalesce("active", F.lit(0).cast("long")))
+
+
+def moved_rows(tasks: DataFrame, moves: DataFrame, today: Column) -> DataFrame:
+    """tasks after moves (id, column, place) to a status and place; a task that becomes completed gets the day, one that leaves completed loses it."""
+    out = tasks.join(moves.select("id", "column", "place"), "id", "left")
+    status = F.coalesce("column", "status")
+    stamp = F.when(status != "completed", None).otherwise(F.coalesce("completed_on", today))
+    new = {"status": status, "order_index": F.coalesce("place", "order_index"), "completed_on": F.when(F.col("column").isNull(), F.col("completed_on")).otherwise(stamp)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in tasks.columns])
+
+
+def without_categories(tasks: DataFrame, gone: DataFrame) -> DataFrame:
+    """tasks whose category (of gone: category_id) is deleted stay, without a category."""
+    lost = gone.select("category_id").distinct().withColumn("is_gone", F.lit(True))
+    out = tasks.join(lost, "category_id", "left")
+    return out.withColumn("category_id", F.when(F.col("is_gone").isNull(), F.col("category_id"))).select(*tasks.columns)
+
+
+def patched(tasks: DataFrame, changes: DataFrame, fields: list[str], replace: bool = False) -> DataFrame:
+    """tasks after changes (id, and the fields): a patch leaves a field as it is where the change has null, a replacement takes all fields as they come."""
+    new = changes.select("id", F.lit(True).alias("is_changed"), *[F.col(f).alias(f"new_{f}") for f in fields])
+    out = tasks.join(new, "id", "left")
+    value = lambda f: F.when(F.col("is_changed"), F.col(f"new_{f}")).otherwise(F.col(f)) if replace else F.coalesce(f"new_{f}", f)
+    return out.select(*[value(c).alias(c) if c in fields else F.col(c) for c in tasks.columns])

@@ -99,10 +99,23 @@ def corpus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.chunks(documents(spark, sf_dir, "doc_id", "text"), "doc_id", F.length("text"), 512, 64, 64)
 
 
-@query("""WITH r AS (SELECT conv_id, turn, (coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 400)::int AS window FROM conversations) SELECT * FROM r""")
+@query("""WITH RECURSIVE n AS (SELECT conv_id, turn, role, length(text) AS n, (sum((role = 'user')::int) OVER (PARTITION BY conv_id ORDER BY turn))::int AS exchange FROM conversations),
+e AS (SELECT conv_id, exchange, min(turn) AS first_turn, coalesce(sum(n) FILTER (WHERE role = 'user'), 0)::bigint AS ask, sum(n)::bigint AS whole FROM n GROUP BY ALL),
+o AS (SELECT e.*, 400 - coalesce((SELECT whole FROM e f WHERE f.conv_id = e.conv_id AND f.exchange = 0), 0) AS room FROM e WHERE exchange > 0),
+w AS (
+  SELECT conv_id, 0 AS exchange, NULL::bigint AS first_turn, NULL::varchar AS kind, NULL::int AS win, 0 AS pieces, 0 AS opened, 0::bigint AS free FROM (SELECT DISTINCT conv_id FROM o)
+  UNION ALL
+  SELECT o.conv_id, o.exchange, o.first_turn,
+    CASE WHEN whole <= room THEN 'packed' WHEN room - ask > 64 THEN 'chunked' ELSE 'dropped' END,
+    CASE WHEN whole <= room AND opened > 0 AND whole <= free THEN opened - 1 WHEN whole <= room OR room - ask > 64 THEN opened END,
+    CASE WHEN whole <= room THEN 1 WHEN room - ask > 64 THEN 1 + ceil((whole - room)::double / (room - ask - 64))::int ELSE 0 END,
+    CASE WHEN whole <= room AND opened > 0 AND whole <= free THEN opened WHEN whole <= room THEN opened + 1 WHEN room - ask > 64 THEN opened + 1 + ceil((whole - room)::double / (room - ask - 64))::int ELSE opened END,
+    CASE WHEN whole <= room AND opened > 0 AND whole <= free THEN free - whole WHEN whole <= room THEN room - whole WHEN room - ask > 64 THEN -1 ELSE free END
+  FROM w JOIN o ON o.conv_id = w.conv_id AND o.exchange = w.exchange + 1)
+SELECT conv_id, exchange, first_turn, kind, win AS window, pieces FROM w WHERE exchange > 0""")
 def corpus_turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = parquet(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    return ops.turn_windows(c, "conv_id", "turn", F.length("text"), 400).select("conv_id", "turn", "window")
+    c = parquet(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    return ops.turn_windows(c, "conv_id", "turn", "role", F.length("text"), 400, 64)
 
 
 @query("""WITH r AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS run FROM conversations), f AS (SELECT conv_id, count(*) AS n, min(turn) FILTER (WHERE role = 'user' AND run <= 600) AS first FROM r GROUP BY 1)

@@ -119,6 +119,37 @@ def ranking_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(cuts)).groupBy("i", "cut").agg(F.round(F.avg((F.col("score") >= F.col("cut")).cast("int")), 6).alias("flagged"))  # 60 rows
 
 
+ONE_RULE = " UNION ALL ".join(f"SELECT '{c}' AS feature, l_orderkey % 5 AS fold, {c} AS value, label, count(*) AS n FROM cat GROUP BY ALL" for c in FEATURES)
+
+
+@query(f"""{CAT}, k AS (SELECT l_orderkey % 5 AS fold, label, count(*) AS n FROM cat GROUP BY ALL), g AS (SELECT DISTINCT fold FROM k), r AS (SELECT g.fold, arg_max(label, t * 10 - label) AS majority FROM g JOIN (SELECT g.fold, label, sum(n) AS t FROM g JOIN k ON k.fold <> g.fold GROUP BY ALL) x ON x.fold = g.fold GROUP BY g.fold)
+SELECT r.fold, majority, sum(n)::bigint AS rows, round(coalesce(sum(n) FILTER (WHERE label = majority), 0) / sum(n), 6) AS accuracy FROM r JOIN k ON k.fold = r.fold GROUP BY ALL""")
+def category_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline: each fold's rows get the most frequent label of the other folds (equal counts: the smaller)."""
+    k = categories(spark, sf_dir).groupBy((F.col("l_orderkey") % 5).alias("fold"), "label").agg(F.count("*").alias("n"))
+    rest = k.select(F.col("fold").alias("of"), F.col("label").alias("l"), F.col("n").alias("m"))
+    totals = k.select("fold").distinct().join(rest, F.col("fold") != F.col("of")).groupBy("fold", "l").agg(F.sum("m").alias("t"))  # a row for each fold and label
+    best = totals.groupBy("fold").agg(F.max_by("l", F.struct("t", -F.col("l"))).alias("majority"))
+    out = k.join(best, "fold").groupBy("fold", "majority").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("label") == F.col("majority"), F.col("n")).otherwise(0)).alias("hit"))
+    return out.select("fold", "majority", "rows", F.round(F.col("hit") / F.col("rows"), 6).alias("accuracy"))
+
+
+@query(f"""{CAT}, k AS ({ONE_RULE}), f AS (SELECT DISTINCT fold FROM k), t AS (SELECT feature, f.fold, value, label, sum(n) AS n FROM k JOIN f ON k.fold <> f.fold GROUP BY ALL), m AS (SELECT feature, fold, value, arg_max(label, n * 10 - label) AS guess FROM t GROUP BY ALL),
+a AS (SELECT k.feature, k.fold, sum(n) FILTER (WHERE label = coalesce(guess, 0)) / sum(n) AS accuracy FROM k LEFT JOIN m ON m.feature = k.feature AND m.fold = k.fold AND m.value = k.value GROUP BY ALL)
+SELECT feature, count(*) AS folds, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS deviation, round(min(accuracy), 6) AS worst FROM a GROUP BY feature""")
+def category_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five folds by order: the rule of each single feature, learned on the other folds, and how its accuracy varies."""
+    df = categories(spark, sf_dir).withColumn("fold", F.col("l_orderkey") % 5)
+    k = df.unpivot(["fold", "label"], list(FEATURES), "feature", "value").groupBy("feature", "fold", "value", "label").agg(F.count("*").alias("n"))
+    every = k.groupBy("feature", "value", "label").agg(F.sum("n").alias("total"))
+    grid = k.select("feature", "fold", "value").distinct().join(every, ["feature", "value"]).join(k, ["feature", "fold", "value", "label"], "left").na.fill(0, ["n"])
+    rest = grid.withColumn("m", F.col("total") - F.col("n"))
+    best = rest.groupBy("feature", "fold", "value").agg(F.max_by("label", F.struct(F.col("m") > 0, "m", -F.col("label"))).alias("guess"), F.sum("m").alias("seen"))
+    hit = k.join(best, ["feature", "fold", "value"]).withColumn("guess", F.when(F.col("seen") > 0, F.col("guess")).otherwise(0))
+    each = hit.groupBy("feature", "fold").agg((F.sum(F.when(F.col("label") == F.col("guess"), F.col("n"))) / F.sum("n")).alias("accuracy"))
+    return each.groupBy("feature").agg(F.count("*").alias("folds"), F.round(F.avg("accuracy"), 6).alias("mean"), F.round(F.stddev_pop("accuracy"), 6).alias("deviation"), F.round(F.min("accuracy"), 6).alias("worst"))
+
+
 ORDER = "row_number() OVER (PARTITION BY toxic ORDER BY md5('{}|' || doc_id::varchar), doc_id) - 1"
 
 

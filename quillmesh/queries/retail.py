@@ -66,11 +66,12 @@ def retail_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cohorts(ops.population(lines(spark, sf_dir)), "customer_id", "invoice_date").select("cohort", "period", "active", "size", "retention")
 
 
-@query(f"{COHORTS} SELECT cohort::int AS cohort, {', '.join(f'max(retention) FILTER (WHERE period = {i}) AS p{i}' for i in range(13))} FROM full_grid GROUP BY cohort")
+@query(f"{COHORTS} SELECT cohort::int AS cohort, count(*) AS periods, array_to_string(list(retention ORDER BY period), ' ') AS retention FROM full_grid GROUP BY cohort")
 def retail_cohort_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = ops.cohorts(ops.population(lines(spark, sf_dir)), "customer_id", "invoice_date")
-    wide = long.groupBy("cohort").pivot("period", list(range(13))).agg(F.max("retention"))
-    return wide.select("cohort", *[F.col(f"`{i}`").alias(f"p{i}") for i in range(13)])
+    """A row for each cohort, its retention in every period that can be observed, from 0 on."""
+    wide = ops.cohort_matrix(ops.cohorts(ops.population(lines(spark, sf_dir)), "customer_id", "invoice_date"))
+    cells = F.array_compact(F.array(*[F.col(c).cast("string") for c in wide.columns if c != "cohort"]))
+    return wide.select("cohort", F.size(cells).cast("long").alias("periods"), F.array_join(cells, " ").alias("retention"))
 
 
 AUDIT = ("l_orderkey", "invoice", "stock_code", "description", "quantity", "price", "customer_id")

@@ -160,3 +160,63 @@ def tag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by name, created once, each with a colour picked by its hash."""
     t = parquet(spark, sf_dir, "part", ["p_type"]).select(capture.tag_name(F.col("p_type")).alias("name")).where("name IS NOT NULL").distinct()
     return t.withColumn("colour", F.conv(F.substring(F.sha1("name"), 1, 4), 16, 10).cast("long") % 8)
+
+
+NESTED = f"{W}, subtasks AS (SELECT l_orderkey AS task_id, l_linenumber AS position, l_partkey AS id, l_linestatus = 'F' AS completed FROM lineitem), tags AS (SELECT DISTINCT l_orderkey AS task_id, 'brand-' || regexp_extract(p_brand, '[0-9]+') AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = parquet(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"])  # noqa: E741
+    return l.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("id"), (F.col("l_linestatus") == "F").alias("completed"))
+
+
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.basket_lines(spark, sf_dir).select(F.col("order_id").alias("task_id"), F.concat(F.lit("brand-"), F.col("item").cast("string")).alias("name"))
+
+
+@query(f"""{NESTED}, s AS (SELECT task_id, array_to_string(list(position || ':' || id || ':' || CASE WHEN completed THEN 'x' ELSE '' END ORDER BY position, id, completed), ' ') AS steps, count(*) FILTER (WHERE completed) AS done, count(*) AS total FROM subtasks GROUP BY 1), g AS (SELECT task_id, array_to_string(list(name ORDER BY name), ' ') AS names FROM tags GROUP BY 1)
+SELECT tasks.id, coalesce(steps, '') AS steps, coalesce(done, 0) AS subtasks_done, coalesce(total, 0) AS subtasks_total, coalesce(names, '') AS tags FROM tasks LEFT JOIN s ON s.task_id = tasks.id LEFT JOIN g ON g.task_id = tasks.id""")
+def task_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task with its ordered subtasks and tags."""
+    t = ops.nested(views.tasks(spark, sf_dir).select("id"), subtasks(spark, sf_dir), tags(spark, sf_dir))
+    step = lambda x: F.concat_ws(":", x["position"].cast("string"), x["id"].cast("string"), F.when(x["completed"], "x").otherwise(""))
+    return t.select("id", F.array_join(F.transform("subtasks", step), " ").alias("steps"), "subtasks_done", "subtasks_total", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"{NESTED} SELECT id, title FROM tasks JOIN tags ON task_id = id AND name = 'brand-23' WHERE {SCOPE} = 'active' AND {LISTS['important']}")
+def task_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.tagged(ops.filtered(views.tasks(spark, sf_dir), today(), "active", "important"), tags(spark, sf_dir), "brand-23").select("id", "title")
+
+
+@query(f"""{NESTED}, c AS (SELECT 'category' AS kind, k::varchar AS name, (SELECT count(*) FROM tasks WHERE category_id = k AND {SCOPE} = 'active') AS active FROM range(0, 7) AS r(k)), g AS (SELECT 'tag' AS kind, name, count(tasks.id) FILTER (WHERE {SCOPE} = 'active') AS active FROM tags LEFT JOIN tasks ON tasks.id = task_id GROUP BY name) SELECT * FROM c UNION ALL SELECT * FROM g""")
+def task_owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active tasks of each category, those without any too, and of each tag."""
+    t, g = views.tasks(spark, sf_dir), tags(spark, sf_dir)
+    categories = ops.active_counts(spark.range(7).select(F.col("id").cast("int").alias("category_id")), "category_id", t)
+    named = ops.active_counts(g.select("name").distinct(), "name", t.join(g, F.col("id") == F.col("task_id")))
+    return categories.select(F.lit("category").alias("kind"), F.col("category_id").cast("string").alias("name"), "active").unionByName(named.select(F.lit("tag").alias("kind"), "name", "active"))
+
+
+@query(f"""{W}, m AS (SELECT id, CASE status WHEN 'todo' THEN 'in_progress' WHEN 'in_progress' THEN 'completed' ELSE 'todo' END AS col, (id % 50)::int AS place FROM tasks WHERE id % 3 = 0)
+SELECT tasks.id, coalesce(col, status) AS status, coalesce(place, order_index)::int AS order_index, CASE WHEN col IS NULL THEN completed_on WHEN col = 'completed' THEN coalesce(completed_on, {T}) END AS completed_on FROM tasks LEFT JOIN m ON m.id = tasks.id""")
+def task_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks dragged to the next column and a new place there."""
+    t = views.tasks(spark, sf_dir)
+    moves = t.where("id % 3 = 0").select("id", F.when(F.col("status") == "todo", "in_progress").when(F.col("status") == "in_progress", "completed").otherwise("todo").alias("column"), (F.col("id") % 50).cast("int").alias("place"))
+    return ops.moved_rows(t, moves, today()).select("id", "status", "order_index", "completed_on")
+
+
+@query(f"{W} SELECT id, CASE WHEN category_id NOT IN (1, 3) THEN category_id END AS category_id FROM tasks")
+def task_category_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.range(1, 4, 2).select(F.col("id").cast("int").alias("category_id"))
+    return ops.without_categories(views.tasks(spark, sf_dir), gone).select("id", "category_id")
+
+
+@query(f"""{W}, c AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'New ' || id END AS title, CASE WHEN id % 5 = 0 THEN 'low' END AS priority FROM tasks WHERE id % 4 < 2)
+SELECT tasks.id, coalesce(c.title, tasks.title) AS patched_title, coalesce(c.priority, tasks.priority) AS patched_priority, CASE WHEN c.id IS NULL THEN tasks.title ELSE c.title END AS replaced_title, CASE WHEN c.id IS NULL THEN tasks.priority ELSE c.priority END AS replaced_priority FROM tasks LEFT JOIN c ON c.id = tasks.id""")
+def task_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes as patch and as full replacement."""
+    t = views.tasks(spark, sf_dir).select("id", "title", "priority")
+    changes = t.where("id % 4 < 2").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), F.col("id").cast("string"))).alias("title"), F.when(F.col("id") % 5 == 0, "low").alias("priority"))
+    both = [ops.patched(t, changes, ["title", "priority"], replace).select("id", F.col("title").alias(f"{n}_title"), F.col("priority").alias(f"{n}_priority")) for n, replace in (("patched", False), ("replaced", True))]
+    return both[0].join(both[1], "id")

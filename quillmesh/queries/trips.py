@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.arith import normal_cdf, normal_cdf_sql
@@ -162,6 +163,17 @@ def trips_feature_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("feature", F.round(r, 6).alias("r"), F.round(2 * (1 - normal_cdf(z)), 6).alias("p_value"), band.alias("signal"))
 
 
+@query(f"""{FEATURED}, c AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN stddev_pop({c}) > 0 THEN corr({c}, trip_duration) END AS r FROM f" for c in NUMERIC)}), t AS (SELECT feature, round(r, 6) AS r, sum(abs(r)) OVER () AS whole, abs(r) AS size FROM c WHERE r IS NOT NULL)
+SELECT feature, r, round(size / whole * 100, 3) AS share_pct FROM t ORDER BY abs(r) DESC, feature LIMIT 5""")
+def trips_top_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five features with the largest correlation by absolute value, and their share of all; a row for each feature is ranked."""
+    df = featured(spark, sf_dir)
+    one = df.agg(*[F.when(F.stddev_pop(c) > 0, F.corr(F.col(c).cast("double"), F.col("trip_duration").cast("double"))).alias(c) for c in NUMERIC])
+    long = one.withColumn("one", F.lit(1)).unpivot(["one"], list(NUMERIC), "feature", "r").where("r IS NOT NULL")
+    share = F.abs("r") / F.sum(F.abs("r")).over(Window.partitionBy("one")) * 100
+    return long.select("feature", F.round("r", 6).alias("r"), F.round(share, 3).alias("share_pct")).orderBy(F.abs("r").desc(), "feature").limit(5)
+
+
 @query(f"""{WITH}, h AS (SELECT CASE WHEN trip_duration < 0 THEN -1 WHEN trip_duration > 12000 THEN 40 ELSE least(floor(trip_duration / 300.0), 39) END::bigint AS bin, count(*) AS n FROM trips GROUP BY 1)
 SELECT g.bin, coalesce(h.n, 0) AS n FROM (SELECT unnest(range(-1, 41)) AS bin) g LEFT JOIN h USING (bin)""")
 def trips_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,66 @@ def test_sources_round_trip(spark, tmp_path):
 def test_two_proportions_without_variance(spark):
     r = retail.two_proportions(spark.createDataFrame([(10, 0, 10, 0)], "n0 long, x0 long, n1 long, x1 long")).first()
     assert (r.z, r.p_value, r.power, r.unreliable) == (0.0, 1.0, 0.0, True)
+
+
+def test_turn_windows_hold_the_budget(spark):
+    import random
+
+    from quillmesh.operators.corpus import turn_windows
+
+    rng = random.Random(4)
+    rows = [(0, 0, "user", 60), (0, 1, "assistant", 60), (0, 2, "user", 60), (1, 0, "system", 90), (1, 1, "user", 5), (1, 2, "assistant", 4), (2, 0, "assistant", 5)]
+    for c in range(3, 40):
+        turn = 0
+        if c % 2:
+            rows.append((c, 0, "system", rng.randrange(0, 40)))
+            turn = 1
+        for _ in range(rng.randrange(1, 9)):
+            rows += [(c, turn, "user", rng.randrange(0, 60)), (c, turn + 1, "assistant", rng.choice([5, 30, 300]))]
+            turn += 2
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, n long")
+    out = turn_windows(d, "conv_id", "turn", "role", F.col("n"), 100, 10).collect()
+    first = {c: min((t for k, t, r, _ in rows if k == c and r == "user"), default=None) for c, *_ in rows}
+    opening = {c: sum(n for k, t, _, n in rows if k == c and (f is None or t < f)) for c, f in first.items()}
+    load, opened = {}, {}
+    for r in sorted(out, key=lambda r: (r.conv_id, r.exchange)):
+        end = min((o.first_turn for o in out if o.conv_id == r.conv_id and o.exchange == r.exchange + 1), default=1 << 40)
+        mine = [(role, n) for k, t, role, n in rows if k == r.conv_id and r.first_turn <= t < end]
+        ask, reply = sum(n for role, n in mine if role == "user"), sum(n for role, n in mine if role != "user")
+        room = 100 - opening[r.conv_id] - ask
+        if r.kind == "packed":
+            key = (r.conv_id, r.window)
+            load[key] = load.get(key, opening[r.conv_id]) + ask + reply
+            assert load[key] <= 100 and r.window <= opened.get(r.conv_id, 0)
+        elif r.kind == "chunked":  # the pieces hold the reply once, and no piece is spare
+            assert room + (r.pieces - 1) * (room - 10) >= reply > room + (r.pieces - 2) * (room - 10) and r.window == opened.get(r.conv_id, 0)
+        else:
+            assert room <= 10 and r.pieces == 0 and r.window is None
+        opened[r.conv_id] = max(opened.get(r.conv_id, 0), (r.window or 0) + r.pieces) if r.pieces else opened.get(r.conv_id, 0)
+    assert {r.kind for r in out} == {"packed", "chunked", "dropped"} and [r.window for r in out if r.conv_id == 0] == [0, 1] or len(out) > 3
+    assert 2 not in {r.conv_id for r in out}
+
+
+def test_cohort_matrix_has_every_period(spark):
+    from quillmesh.operators.retail import cohort_matrix, cohorts
+
+    rows = [(c, f"{2020 + (c % 3 + m) // 12}-{(c % 3 + m) % 12 + 1:02d}-05") for c in range(9) for m in (0, 1, 19)]
+    long = cohorts(spark.createDataFrame(rows, "customer string, d string").select("customer", F.col("d").cast("timestamp").alias("d")), "customer", "d")
+    wide = cohort_matrix(long)
+    assert wide.columns == ["cohort", *[f"p{i}" for i in range(22)]]
+    assert sorted(r.p19 for r in wide.collect()) == [100.0] * 3
+
+
+def test_changes_of_tasks(spark):
+    from quillmesh.operators import tasks as ops
+
+    t = spark.createDataFrame([(1, "a", None, 3, "todo", 1, None), (2, "b", "low", None, "completed", 2, "2020-01-01"), (3, "c", "low", 3, "todo", 3, None)], "id long, title string, priority string, category_id int, status string, order_index int, completed_on string").withColumn("completed_on", F.col("completed_on").cast("date"))
+    assert [r.category_id for r in ops.without_categories(t, t.where("id = 1").select("category_id")).orderBy("id").collect()] == [None] * 3
+    change = spark.createDataFrame([(1, None, "high"), (2, "B", None)], "id long, title string, priority string")
+    assert [(r.title, r.priority) for r in ops.patched(t, change, ["title", "priority"]).orderBy("id").collect()] == [("a", "high"), ("B", "low"), ("c", "low")]
+    assert [(r.title, r.priority) for r in ops.patched(t, change, ["title", "priority"], True).orderBy("id").collect()] == [(None, "high"), ("B", None), ("c", "low")]
+    moves = spark.createDataFrame([(1, "completed", 9), (2, "todo", None)], "id long, column string, place int")
+    got = [(r.status, r.order_index, str(r.completed_on)) for r in ops.moved_rows(t, moves, F.lit("2021-02-03").cast("date")).orderBy("id").collect()]
+    assert got == [("completed", 9, "2021-02-03"), ("todo", 2, "None"), ("todo", 3, "None")]
+    none = ops.nested(t, spark.createDataFrame([], "task_id long, position int, id long, completed boolean"), spark.createDataFrame([], "task_id long, name string")).collect()
+    assert all(r.subtasks == [] and r.tags == [] and r.subtasks_total == 0 for r in none)
