@@ -66,6 +66,31 @@ def test_pii_model_adds_by_score(spark):
     assert pii.detect(rows, model).select(span_text(F.col("spans"))).first()[0] == "email:5:16"
 
 
+def test_pii_trees_add_forms_that_the_base_misses(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(3, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    kinds = [lambda: f"{word()}.{word()}@{word()}.com", lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4)), lambda: "4111 1111 1111 1111", lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"]
+    texts = [f"{some(9)} {kinds[i % 4]()} {some(9)} {rng.randrange(1900, 2030)} {some(5)}" for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(d)
+    forms = ["anna.berg [at] example [dot] com", "4222 2222 2222 2223", "(415) 555-0199"]
+    plain = [f"{some(9)} in 1999 and 2004 {some(4)} 12,500 {some(4)} 2021-05-06 {some(4)}" for _ in range(20)]
+    rows = [(i, f"{some(8)} {t} {some(8)}") for i, t in enumerate(forms)] + [(100 + i, t) for i, t in enumerate(plain)]
+    found = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(0)), model).collect()}
+    for i, t in enumerate(forms):
+        text = rows[i][1]
+        assert not found[i].base and any(text[x.s : x.e] in t and len(text[x.s : x.e]) >= 10 for x in found[i]._spans), (t, model.thresholds)
+    assert sum(bool(found[100 + i]._spans) for i in range(20)) <= 1
+
+
+def test_mixing_survives_clashing_names(spark, docs):
+    names = ("sr", "mix_source", "mix_sr", "mix_h", "mix_size", "mix_each", "size", "h", "slot", "spots", "took_rank")
+    clash = docs.withColumns({n: F.lit(1) for n in names})
+    assert mixing.mix(clash).columns[: len(clash.columns)] == clash.columns and mixing.mix(clash).count() == len(ODD)
+    assert mixing.mixed(clash).columns[: len(clash.columns)] == clash.columns
+
+
 def test_mixing_meets_targets(spark, docs, none):
     out = mixing.mix(docs.withColumn("target", F.lit(0)))
     assert out.columns == [*docs.columns, "target", "size", "source_size", "_target", "taken", "first_slot"]
@@ -236,6 +261,41 @@ def test_jaccard_finds_every_link(spark, docs, none):
     assert jaccard.first_of_each(none).count() == 0 and jaccard.join(none.select("doc_id", "text")).count() == 0
 
 
+def test_jaccard_shortens_prefixes_until_recall(spark, monkeypatch):
+    """With few trees a first prefix of full depth loses links; the measured recall makes it shorter, and the links are found."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        b = [f"w{rng.randrange(9000)}" for _ in range(150)]
+        texts += [" ".join(b), " ".join([*b[:60], "x", *b[61:]]), " ".join([*b[:30], "y", *b[31:90], "z", *b[91:]])]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = brute(texts)
+    monkeypatch.setattr(jaccard, "TREES", 4)
+    signed = jaccard.written(jaccard.signed(d.selectExpr("doc_id AS id", "text")).selectExpr("key", "xxhash64(key) AS kid", "sig", "fine"), "signed")
+    family, length = jaccard.families(signed, 0.8, 0.1)
+    assert jaccard.first_length(0.8, 0.1) == jaccard.DEPTH > length
+    found = {r.first_id: r for r in jaccard.join(d, target=0.1).collect()}
+    assert sum(r.links for r in found.values()) >= 0.9 * 2 * len(links)
+
+
+def test_jaccard_large_groups_and_clashing_names(spark):
+    """More copies than a block holds, each a little different; names that the operator uses inside."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    texts = [" ".join([*base[:i % 110], f"v{i}", *base[i % 110 + 1 :]]) for i in range(700)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = jaccard.join(d).collect()
+    want = brute(texts)
+    count = {}
+    for pair in want:
+        for i in pair:
+            count[i] = count.get(i, 0) + 1
+    assert {r.first_id: r.links for r in out} == {i: count.get(i, 0) for i in range(700)} and {r.class_id for r in out} == {0}
+    clash = d.limit(30).withColumns({c: F.lit(1) for c in ("jaccard_key", "touched_key", "jaccard_match", "jaccard_maybe", "key", "maybe")})
+    kept = jaccard.first_of_each(clash)
+    assert kept.columns == clash.columns and kept.count() == 1
+
+
 def test_licenses_inherit(spark, none):
     rows = [("a/b/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code"), ("a/y.py", "code"), ("a/b/z.py", "one two three\nLicensed under CC BY-NC 4.0.\n" + "word " * 50), (None, None), ("q", ""), ("a/b/c/x.py", "code")]
     d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
@@ -367,6 +427,36 @@ def test_classifiers_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in t)
 
 
+def test_classifier_scores_by_hand(spark):
+    """Scores of both linear models against plain versions."""
+    rng = np.random.default_rng(2)
+    texts = ["abc abd abd", "", "zz abc", "abcdef abcxyz the", "the the the"]
+    chosen = np.unique(np.concatenate([quality.codes(t) for t in texts]))[:40]
+    m = quality.Model(chosen, rng.standard_normal(len(chosen)), rng.standard_normal(len(chosen)), 0.2, 1.3, -0.1)
+    for t, got in zip(texts, m.scores(texts), strict=True):
+        x = np.isin(chosen, quality.codes(t)) * m.ratio
+        margin = (x / (np.linalg.norm(x) or 1)) @ m.weights + m.bias
+        assert abs(got - 1 / (1 + np.exp(-(1.3 * margin - 0.1)))) < 1e-9
+    weights = {"abc": 0.5, "abc*": -1.25, "the": 2.0, "abcd*": 0.75}
+    t = toxicity.Model(weights, -0.5)
+    for text, want in zip(texts, (-0.5 + 0.5, -0.5, -0.5 + 0.5, -0.5 - 1.25 + 0.75 + 2.0, -0.5 + 2.0), strict=True):
+        assert abs(t.score(text) - 1 / (1 + np.exp(-want))) < 1e-12
+
+
+def test_label_model_finds_the_good_voters():
+    rng = random.Random(3)
+    patterns = {}
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        vote = lambda p: str(toxicity.TOXIC if (rng.random() < p) == y else toxicity.CLEAN)
+        v = "".join(vote(p) for p in (0.95, 0.9, 0.5, 0.5, 0.5, 0.9, 0.85, 0.5, 0.5, 0.5, 0.5))
+        patterns[v, y if rng.random() < 0.1 else None] = patterns.get((v, y), 0) + 1
+    keys = sorted(patterns, key=repr)
+    m = toxicity.LabelModel([k[0] for k in keys], [None if k[1] is None else int(k[1]) for k in keys], [patterns[k] for k in keys])
+    a = list(m.accuracies().values())
+    assert min(a[0], a[1], a[5], a[6]) > max(a[2], a[3], a[4], *a[7:])
+
+
 def test_toxicity_hears_shouting_anywhere():
     voter = toxicity.VOTERS.index("shouting")
     calm, loud = "quiet words " * 500, "SHOUTING LOUDER " * 200
@@ -384,6 +474,49 @@ def test_classifiers_on_odd_rows(spark, docs, none):
     assert toxicity.reject(clash, labels).columns == clash.columns
 
 
+def test_pipeline_decides_as_by_hand(spark, tmp_path):
+    """Planted toxic rows, copies, benchmark passages and personal data; each stage against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(3, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts = {i: some(rng.randrange(30, 120)) for i in range(400)}
+    toxic = {i for i in texts if i % 8 == 3}
+    for i in toxic:
+        texts[i] += " you pathetic idiot garbage moron"
+    items = [some(30) for _ in range(5)]
+    for i in range(10):
+        texts[1000 + i] = some(20) + " " + items[i % 5] + " " + some(20)
+        texts[1100 + i] = texts[4 * i]
+        w = texts[4 * i + 1].split()
+        texts[1200 + i] = " ".join([*w, word()])
+        texts[1300 + i] = f"{some(30)} a{i}@b.org {some(10)}"
+    rows = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = table(spark, str(tmp_path), "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = {r.doc_id: r for r in docs.collect()}
+    clean = set(texts) - set(kept["toxicity"])
+    assert len(clean & toxic) >= 0.9 * len(toxic) and not clean - toxic
+    left = sorted(kept["toxicity"])
+    near = {left[i] for i, j in brute([texts[k] for k in left])}  # of each class here the first stays, and classes are cliques
+    assert set(kept["ngram_jaccard_join"]) == set(left) - near
+    assert set(kept["benchmark_decontamination"]) == set(kept["ngram_jaccard_join"]) - set(range(1000, 1010))
+    for i, r in kept["pii"].items():
+        assert ("[EMAIL]" in r.text) == (1300 <= i < 1310) and (1300 <= i < 1310 or r.text == texts[i])
+    mixed = kept["mixing_sources"]
+    assert all(r.taken == sum(x.words for x in r.pieces) <= 3 * r.size for r in mixed.values())
+    for s in "abc":
+        mine = [r for r in mixed.values() if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.03 * mine[0].target
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -391,4 +524,6 @@ def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
         spark.createDataFrame(rows, "doc_id long, quality int, toxic int" if n == "labels" else "item_id long, text string").write.parquet(str(tmp_path / f"{n}.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.columns[: len(docs.columns)] == docs.columns and out.count() <= len(ODD)
+    assert out.columns[: len(docs.columns)] == docs.columns and {r.doc_id for r in out.collect()} == {3, 5, None}
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
