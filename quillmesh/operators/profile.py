@@ -16,31 +16,31 @@ def profile(df: DataFrame, rules: dict[str, Column] | None = None, identifiers:
     """One row a column: rows, distinct, nulls, null_pct, min, max, mean, invalid, outliers.
 
     rules: what breaks a column's rule; only populated cells count. Outliers lie beyond three
-    interquartile ranges, in numeric columns that aren't identifiers. One aggregation for all columns but
-    the outliers, which need the quartiles first.
+    interquartile ranges, in numeric columns that aren't identifiers. Cells are counted by column and
+    value, once, with sums made on the map side; everything else is derived from these counts.
     """
     rules = rules or {}
     kinds = dict(df.dtypes)
     numeric = [c for c in df.columns if kinds[c] in NUMBERS]
     measured = [c for c in numeric if c not in identifiers]
-    aggs = [F.count("*").alias("rows")]
-    for c in df.columns:
-        aggs += [F.count_distinct(c).alias(f"{c}|distinct"), F.count_if(F.col(c).isNull()).alias(f"{c}|nulls"), F.min(F.col(c).cast("string") if c not in numeric else F.col(c)).cast("string").alias(f"{c}|min")]
-        aggs += [F.count_if(F.coalesce(F.col(c).isNotNull() & rules[c], F.lit(False))).alias(f"{c}|invalid") if c in rules else F.lit(0).cast("long").alias(f"{c}|invalid")]
-        aggs += [(F.avg(c) if c in numeric else F.lit(None).cast("double")).alias(f"{c}|mean")]
-        aggs += [(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) if c in measured else F.lit(None).cast("array<double>")).alias(f"{c}|q")]
-    one = df.agg(*aggs)
-    spread = lambda c: F.get(F.col(f"`{c}|q`"), 1) - F.get(F.col(f"`{c}|q`"), 0)
-    far = lambda c: (spread(c) > 0) & ((F.col(c) < F.get(F.col(f"`{c}|q`"), 0) - 3 * spread(c)) | (F.col(c) > F.get(F.col(f"`{c}|q`"), 1) + 3 * spread(c)))
-    if measured:
-        quartiles = one.select(*[f"`{c}|q`" for c in measured])
-        outliers = df.select(*measured).crossJoin(F.broadcast(quartiles)).agg(*[F.count_if(far(c)).alias(f"{c}|outliers") for c in measured])  # one row
-        one = one.crossJoin(outliers)
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"`{c}|distinct`").alias("distinct"), F.col(f"`{c}|nulls`").alias("nulls"), F.round(F.col(f"`{c}|nulls`") / F.col("rows") * 100, 6).alias("null_pct"), F.col(f"`{c}|min`").alias("min"), F.round(F.col(f"`{c}|mean`"), 6).alias("mean"), F.col(f"`{c}|invalid`").alias("invalid"), (F.col(f"`{c}|outliers`") if c in measured else F.lit(0).cast("long")).alias("outliers"))
-        for c in df.columns
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    broken = lambda c: F.coalesce(F.col(c).isNotNull() & rules[c], F.lit(False)) if c in rules else F.lit(False)
+    number = lambda c: F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), number(c).alias("number"), broken(c).alias("broken")) for c in df.columns])
+    counts = df.select(F.inline(cells)).groupBy("column", "text").agg(F.count("*").alias("n"), F.max("number").alias("number"), F.count_if("broken").alias("broken"))
+    filled = F.when(F.col("number").isNotNull(), F.col("n"))
+    quartiles = F.percentile("number", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
+    each = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.count("text").alias("distinct"), F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.min("text").alias("first"), F.min("number").alias("least"), (F.sum(F.col("number") * F.col("n")) / F.sum(filled)).alias("mean"), F.sum("broken").alias("invalid"), quartiles.alias("q"),
+    )
+    bounds = each.where(F.col("column").isin(measured)).select(F.col("column").alias("of"), F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
+    spread = F.col("high") - F.col("low")
+    far = counts.join(F.broadcast(bounds), F.col("column") == F.col("of"))  # a row for each column
+    far = far.where((spread > 0) & ((F.col("number") < F.col("low") - 3 * spread) | (F.col("number") > F.col("high") + 3 * spread))).groupBy("of").agg(F.sum("n").alias("outliers"))
+    whole = [c for c in numeric if kinds[c] not in ("double", "float")]
+    least = F.when(F.col("column").isin(whole), F.col("least").cast("long").cast("string")).when(F.col("column").isin(numeric), F.col("least").cast("string")).otherwise(F.col("first"))
+    out = each.join(F.broadcast(far), F.col("column") == F.col("of"), "left")
+    return out.select("column", "rows", "distinct", "nulls", F.round(F.col("nulls") / F.col("rows") * 100, 6).alias("null_pct"), least.alias("min"), F.round("mean", 6).alias("mean"), "invalid", F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
 
 
 def other_spellings(df: DataFrame, column: str) -> DataFrame:
