@@ -12,7 +12,7 @@ are joined as one span, so a join gives no product of their numbers; the diagona
 item, no more than both have tokens, are brought together and compared in one row.
 
 Tokens are runs of letters and digits in lower case. Before the join, windows of documents pass two
-bitmaps of fixed size made from the benchmark: one of adjacent token pairs, with which every mask
+bitmaps of bounded size made from the benchmark: one of adjacent token pairs, with which every mask
 begins, and one of mask hashes. They let nothing be lost; a larger benchmark only lets more through.
 
 An item of fewer tokens than the shortest mask has no window: it is joined exactly, by the hash of
@@ -34,7 +34,8 @@ from .common import bitmap, fresh, has, let, table, text_key, whole, written
 MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
 SHORTEST = min(map(len, MASKS))
 MIN_TOKENS, SHARE, LOSS = 13, 0.8, 3
-PAIR_BITS, SEED_BITS = 1 << 20, 1 << 23
+#: Bits of the maps: FILL for each hash of the benchmark, MOST_BITS at most.
+FILL, MOST_BITS = 32, 1 << 23
 #: Windows with one hash that are no farther apart are a span; rows of documents with a hit for each salt of the join.
 GAP, SALTED = 16, 100_000
 
@@ -100,14 +101,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     short = items.where(F.size("ht").between(1, SHORTEST - 1))
     test = written(test.unionByName(short.select("item", F.lit(0).alias("p"), F.lit(0).alias("q"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash"))), "seeds")
     lengths = short.agg(F.sort_array(F.collect_set(F.size("ht"))).alias("a")).scalar()  # SHORTEST - 1 numbers at most
-    pairs = bitmap(spots.select(pair(F.col("ht"), F.col("p")).alias("h")), PAIR_BITS)
-    known = bitmap(test.select(F.col("hash").alias("h")), SEED_BITS)
-    again = bitmap(test.select(F.xxhash64("hash").alias("h")), SEED_BITS)
+    bits = min(MOST_BITS, 1 << max(14, (FILL * test.count()).bit_length()))
+    pairs = bitmap(spots.select(pair(F.col("ht"), F.col("p")).alias("h")), bits)
+    known = bitmap(test.select(F.col("hash").alias("h")), bits)
+    again = bitmap(test.select(F.xxhash64("hash").alias("h")), bits)
 
     def scan(h: Column, pairs: Column, known: Column, again: Column, lengths: Column) -> Column:
-        begun = F.filter(windows(h), lambda j: has(pairs, PAIR_BITS, pair(h, j)))
+        begun = F.filter(windows(h), lambda j: has(pairs, bits, pair(h, j)))
         found = F.concat(F.flatten(F.transform(begun, lambda j: seeds(h, j))), short_runs(h, lengths))
-        hit = F.filter(found, lambda x: has(known, SEED_BITS, x["hash"]) & has(again, SEED_BITS, F.xxhash64(x["hash"])))
+        hit = F.filter(found, lambda x: has(known, bits, x["hash"]) & has(again, bits, F.xxhash64(x["hash"])))
         return F.struct(h.alias("h"), hit.alias("hits"))
 
     # each scalar is a column that is used once, so that it stays a constant of the plan
