@@ -35,7 +35,7 @@ MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
 SHORTEST = min(map(len, MASKS))
 MIN_TOKENS, SHARE, LOSS = 13, 0.8, 3
 #: Bits of the maps: FILL for each hash of the benchmark, MOST_BITS at most.
-FILL, MOST_BITS = 32, 1 << 23
+FILL, MOST_BITS = 256, 1 << 23
 #: Windows with one hash that are no farther apart are a span; rows of documents with a hit for each salt of the join.
 GAP, SALTED = 16, 100_000
 
