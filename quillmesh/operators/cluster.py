@@ -9,18 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def percentile_rank(x: str) -> Column:
-    """Rank over the number of rows, ties at their mean rank. One ordered window: meant for up to some millions of rows."""
-    ties = F.count("*").over(Window.partitionBy(x))
-    return (F.rank().over(Window.orderBy(x)) + (ties - 1) / 2) / F.count("*").over(Window.partitionBy(F.lit(1)))
+from .ranks import percentile_rank
 
 
 def spending_score(df: DataFrame, conversion: Column, responses: Column) -> DataFrame:
     """Half the rank of conversion and half that of responses, ranked again, 1 to 100."""
     rows = df.withColumns({"score_a": F.round(conversion, 12), "score_b": responses})
-    rows = rows.withColumn("score_c", F.round(0.5 * percentile_rank("score_a") + 0.5 * percentile_rank("score_b"), 12))
-    return rows.withColumn("spending_score", F.greatest(F.lit(1.0), F.least(F.lit(100.0), percentile_rank("score_c") * 100))).drop("score_a", "score_b", "score_c")
+    rows = percentile_rank(percentile_rank(rows, "score_a", "rank_a"), "score_b", "rank_b", base=rows)
+    rows = percentile_rank(rows.withColumn("score_c", F.round(0.5 * F.col("rank_a") + 0.5 * F.col("rank_b"), 12)), "score_c", "rank_c")
+    return rows.withColumn("spending_score", F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.col("rank_c") * 100))).drop("score_a", "score_b", "score_c", "rank_a", "rank_b", "rank_c")
 
 
 def interactions(df: DataFrame) -> DataFrame:
@@ -108,3 +105,78 @@ def knee(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.orderBy(F.desc("gap"), x).limit(1).select(x, y, "gap")
 
 
+
+
+def silhouettes(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, n, silhouette): the mean silhouette of each group by squared distances; fewer than two groups give nulls, a group of one gives 0.
+
+    The mean squared distance of a row to a group follows from the group's size, sum vector and sum
+    of squares, so no two rows are paired. One entry for each group is sent to all tasks.
+    """
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
+    cells = df.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(F.sum("x").alias("t"))
+    total = cells.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "t"))), lambda s: s["t"]).alias("t"))
+    size = df.groupBy(label).agg(F.count("*").alias("n"), F.sum(squares).alias("q"))
+    groups = total.join(size, label).agg(F.collect_list(F.struct(F.col(label).alias("g"), "n", "q", "t")).alias("groups"))
+    dot = lambda t: F.aggregate(F.zip_with(vector, t, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    far = F.transform("groups", lambda g: F.struct(g["g"].alias("g"), g["n"].alias("n"), F.greatest(F.lit(0.0), g["n"] * squares + g["q"] - 2 * dot(g["t"])).alias("d")))
+    rows = df.crossJoin(F.broadcast(groups)).select(label, far.alias("far"))
+    own = F.get(F.filter("far", lambda g: g["g"] == F.col(label)), 0)
+    other = F.array_min(F.transform(F.filter("far", lambda g: g["g"] != F.col(label)), lambda g: g["d"] / g["n"]))
+    rows = rows.select(label, own["n"].alias("n"), (own["d"] / F.nullif(own["n"] - 1, F.lit(0))).alias("a"), other.alias("b"))
+    each = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    return rows.groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(each), 5).alias("silhouette"))
+
+
+def positions(df: DataFrame, label: str, axes: list[str]) -> DataFrame:
+    """(label, axis, mean, position): the mean of each group, and the share of all rows below it, rows equal to it counted half. One entry for each group and axis is sent to all tasks."""
+    long = df.select(label, *[F.col(a).cast("double").alias(a) for a in axes]).unpivot([label], axes, "axis", "x").where("x IS NOT NULL")
+    means = long.groupBy(label, "axis").agg(F.avg("x").alias("mean"))
+    table = means.groupBy("axis").agg(F.collect_list(F.struct(F.col(label).alias("g"), "mean")).alias("means"))
+    seen = long.groupBy("axis", "x").agg(F.count("*").alias("w")).join(F.broadcast(table), "axis")
+    cell = seen.select("axis", "w", "x", F.inline("means"))
+    half = F.when(F.col("x") < F.col("mean"), 1.0).when(F.col("x") == F.col("mean"), 0.5).otherwise(0.0)
+    return cell.groupBy(F.col("g").alias(label), "axis").agg(F.first("mean").alias("mean"), (F.sum(half * F.col("w")) / F.sum("w")).alias("position"))
+
+
+def radar(means: Column, largest: Column, floor: float = 0.05) -> Column:
+    """A mean over the fixed largest value of its axis, from the floor to 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(floor), means / largest))
+
+
+def persona_fit(places: DataFrame, label: str, personas: DataFrame) -> DataFrame:
+    """(label, persona, distance, contradicted, quality, weak) of each group with each persona.
+
+    places: (label, axis, position); personas: (persona, axis, target, signature), a short table.
+    The distance is the root mean square of the gaps. A signature axis claims high (target 0.65 or
+    more; contradicted below 0.6), low (0.35 or less; above 0.4) or average (outside 0.35 to 0.65).
+    """
+    p, t = F.col("position"), F.col("target")
+    against = F.when(t >= 0.65, p < 0.6).when(t <= 0.35, p > 0.4).otherwise((p < 0.35) | (p > 0.65))
+    cell = places.join(F.broadcast(personas), "axis").groupBy(label, "persona")
+    out = cell.agg(F.sqrt(F.avg((p - t) * (p - t))).alias("distance"), F.count_if(F.col("signature") & against).alias("contradicted"))
+    return out.withColumns({"quality": 1 - F.col("distance"), "weak": 1 - F.col("distance") < 0.55})
+
+
+def matched(fit: DataFrame, label: str) -> DataFrame:
+    """(label, persona): one persona for each group, none twice, at the least total distance; a pair with a contradiction costs 1000 more. Equal totals: the first in alphabetical order.
+
+    Every way to deal the personas is built a group at a time, by as many joins with the short cost
+    table as there are groups. Meant for a handful of groups; more groups than personas give no rows.
+    """
+    cost = fit.select(label, "persona", (F.round("distance", 9) + F.when(F.col("contradicted") > 0, 1000.0).otherwise(0.0)).alias("cost"))
+    spark, kinds = cost.sparkSession, cost.schema
+    cost = spark.createDataFrame(cost.collect(), kinds)  # a row for each group and persona, as the joins below read it once for each group
+    groups = [r[0] for r in cost.select(label).distinct().orderBy(label).collect()]  # a handful
+    ways = spark.range(1).select(F.array().cast("array<string>").alias("got"), F.lit(0.0).alias("total"))
+    for g in groups:
+        ways = ways.join(F.broadcast(cost.where(F.col(label).eqNullSafe(F.lit(g)))), ~F.array_contains("got", F.col("persona"))).select(F.concat("got", F.array("persona")).alias("got"), (F.col("total") + F.col("cost")).alias("total"))
+    best = ways.orderBy(F.round("total", 6), "got").limit(1)
+    return best.select(F.explode(F.arrays_zip(F.array(*[F.lit(g) for g in groups]).alias(label), F.col("got").alias("persona"))).alias("x")).select("x.*")
+
+
+def traits(places: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, place, axis, side): the axes on which a group stands outside 0.35 to 0.65, the farthest from the middle first."""
+    far = places.where((F.col("position") < 0.35) | (F.col("position") > 0.65))
+    order = Window.partitionBy(label).orderBy(F.desc(F.round(F.abs(F.col("position") - 0.5), 9)), "axis")
+    return far.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(label, "place", "axis", F.when(F.col("position") > 0.5, "high").otherwise("low").alias("side"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import ratio
+from .ranks import running
 
 
 def regression_metrics(actual: Column, predicted: Column, digits: int = 6) -> list[Column]:
@@ -35,28 +36,38 @@ def rates(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def cutoffs(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row for each distinct score as cutoff: tp and fp at or above it, with precision, recall, fpr and f1.
+    """One row for each distinct score as cutoff: tp and fp at or above it, with precision, recall, fpr and f1; hit and miss are the rows at the score itself, p and q all rows.
 
-    Scores are grouped first, so the one ordered window runs over distinct scores only.
+    Scores are grouped first, and the running sums go by ranges of scores, none in one task.
     """
-    each = df.groupBy(score).agg(F.sum(label).alias("hit"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = each.select(score, F.sum("hit").over(down).alias("tp"), F.sum(F.col("n") - F.col("hit")).over(down).alias("fp"), F.sum("hit").over(every).alias("p"), F.sum(F.col("n") - F.col("hit")).over(every).alias("q"))
+    each = df.groupBy(score).agg(F.sum(label).alias("hit"), F.sum(1 - F.col(label)).alias("miss"))
+    every = each.agg(F.sum("hit").alias("p"), F.sum("miss").alias("q"))  # one row
+    out = running(each, F.struct(-F.col(score)), {"tp": F.col("hit"), "fp": F.col("miss")}).crossJoin(F.broadcast(every))
     tp, fp = F.col("tp"), F.col("fp")
-    return out.select(score, "tp", "fp", ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, F.col("p"), 0.0).alias("recall"), ratio(fp, F.col("q"), 0.0).alias("fpr"), ratio(2 * tp, tp + fp + F.col("p"), 0.0).alias("f1"))
+    return out.select(score, "tp", "fp", "hit", "miss", "p", "q", ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, F.col("p"), 0.0).alias("recall"), ratio(fp, F.col("q"), 0.0).alias("fpr"), ratio(2 * tp, tp + fp + F.col("p"), 0.0).alias("f1"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, exact with ties, by trapezoids between distinct scores."""
-    step = Window.orderBy(F.desc(score))
-    c = cutoffs(df, score, label)
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(step), F.lit(0.0))) * (F.col("recall") + F.coalesce(F.lag("recall").over(step), F.lit(0.0))) / 2
-    return c.select(area.alias("a")).agg(F.round(F.sum("a"), 6).alias("auc"))
+    step = ratio(F.col("miss"), F.col("q"), 0.0)
+    return cutoffs(df, score, label).select((step * (F.col("recall") - ratio(F.col("hit"), F.col("p"), 0.0) / 2)).alias("a")).agg(F.round(F.sum("a"), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over cutoffs of the gain in recall times the precision."""
-    step = Window.orderBy(F.desc(score))
-    gain = (F.col("recall") - F.coalesce(F.lag("recall").over(step), F.lit(0.0))) * F.col("precision")
+    gain = ratio(F.col("hit"), F.col("p"), 0.0) * F.col("precision")
     return cutoffs(df, score, label).select(gain.alias("a")).agg(F.round(F.sum("a"), 6).alias("average_precision"))
+
+
+def importances(weights: DataFrame, by: str = "model") -> DataFrame:
+    """(by, feature, importance, share_pct, place) from (by, feature, weight): absolute weights of a feature's encoded columns summed up, largest first. Models and features are few."""
+    g = weights.groupBy(by, "feature").agg(F.sum(F.abs("weight")).alias("importance"))
+    whole = F.sum("importance").over(Window.partitionBy(by))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("importance", 9)), "feature"))
+    return g.select(by, "feature", F.round("importance", 6).alias("importance"), F.round(ratio(F.col("importance"), whole, 0.0) * 100, 4).alias("share_pct"), place.alias("place"))
+
+
+def agreement(ranked: DataFrame, models: list[str], top: int, by: str = "model") -> DataFrame:
+    """(feature, a column for each model, in_top): the places within the top of each model, null outside, and how many models have the feature there."""
+    wide = ranked.where(F.col("place") <= top).groupBy("feature").pivot(by, models).agg(F.first("place"))
+    return wide.withColumn("in_top", sum(F.col(m).isNotNull().cast("int") for m in models))

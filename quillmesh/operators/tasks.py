@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import half_up, percent
+from .ranks import placed
 
 SMART = ("all", "today", "upcoming", "important", "completed")
 SORTS = ("custom", "due_asc", "due_desc", "priority", "title", "recent")
@@ -66,12 +69,17 @@ def filtered(df: DataFrame, today: Column, scope_name: str = "active", smart: st
     return df.where(keep)
 
 
-def sort_rank(name: str) -> Column:
-    """The place of a row in one of the sort orders; pinned rows come first."""
+def sort_key(name: str) -> Column:
+    """The key, ascending, of one of the sort orders; pinned rows come first, and the id ends ties."""
     level = F.when(F.col("priority") == "urgent", 0).when(F.col("priority") == "high", 1).when(F.col("priority") == "medium", 2).otherwise(3)
-    own, i = F.col("order_index"), F.col("id")
-    keys = {"custom": [own, i], "due_asc": [F.col("due_date").asc_nulls_last(), own, i], "due_desc": [F.col("due_date").desc_nulls_last(), own, i], "priority": [level, own, i], "title": [F.lower("title"), i], "recent": [F.desc("created_on"), i.desc()]}
-    return F.row_number().over(Window.orderBy(F.desc("pinned"), *keys[name]))
+    own, i, late = F.col("order_index"), F.col("id"), F.col("due_date").isNull()
+    keys = {"custom": [own, i], "due_asc": [late, F.col("due_date"), own, i], "due_desc": [late, -F.unix_date("due_date"), own, i], "priority": [level, own, i], "title": [F.lower("title"), i], "recent": [-F.unix_date("created_on"), -i]}
+    return F.struct(~F.coalesce("pinned", F.lit(False)), *keys[name])
+
+
+def sort_ranks(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df with the place of each row in the sort orders; ids are unique."""
+    return placed(df, {n: sort_key(n) for n in names})
 
 
 def heat_level(completed: Column, created: Column) -> Column:

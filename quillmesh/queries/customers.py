@@ -50,7 +50,7 @@ def customers_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PREPARED}, k AS (SELECT {RANK('total_spend')} AS a, {RANK('spending_score')} AS b FROM p) SELECT round(corr(a, b), 6) AS spearman FROM k")
 def customers_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
-    return p.select(ops.percentile_rank("total_spend").alias("a"), ops.percentile_rank("spending_score").alias("b")).agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
+    return ops.percentile_rank(ops.percentile_rank(p, "total_spend", "a"), "spending_score", "b", base=p).agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
 @query(f"{PREPARED} SELECT segment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(income_k), 6) AS income_k, round(avg(total_spend), 3) AS total_spend, round(avg(spending_score), 5) AS spending_score FROM p GROUP BY segment")
@@ -61,6 +61,69 @@ def customers_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
 
 
+AXES = ("income_k", "spending_score", "total_spend", "web_visits", "discount_sensitivity", "recency_days", "household_size")
+LARGEST = {"income_k": 10.0, "spending_score": 100.0, "total_spend": 5000000.0, "web_visits": 12.0, "recency_days": 2500.0}
+# Personas as targets on the axes, 0.5 the median of all customers; a star marks what the persona is named for.
+PERSONAS = {
+    "big spenders": {"total_spend": (0.9, True), "spending_score": (0.8, True), "income_k": (0.6, False)},
+    "bargain hunters": {"discount_sensitivity": (0.85, True), "total_spend": (0.4, False)},
+    "lapsing": {"recency_days": (0.85, True), "spending_score": (0.3, False)},
+    "middle ground": {"income_k": (0.5, True), "total_spend": (0.5, True), "household_size": (0.5, False)},
+    "online families": {"web_visits": (0.8, True), "household_size": (0.8, True)},
+}
+PLACES = f"""{PREPARED}, u AS (UNPIVOT (SELECT segment, {', '.join(f'{a}::double AS {a}' for a in AXES)} FROM p) ON {', '.join(AXES)} INTO NAME axis VALUE x), m AS (SELECT segment, axis, avg(x) AS mean FROM u GROUP BY ALL),
+pos AS (SELECT m.segment, m.axis, any_value(mean) AS mean, avg(CASE WHEN u.x < mean THEN 1.0 WHEN u.x = mean THEN 0.5 ELSE 0 END) AS position FROM m JOIN u ON u.axis = m.axis GROUP BY ALL)"""
+TARGETS = ", ".join(f"('{n}', '{a}', {t}, {s})" for n, p in PERSONAS.items() for a, (t, s) in p.items())
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.positions(prepared(spark, sf_dir).select("segment", *AXES), "segment", list(AXES))
+
+
+def personas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(n, a, t, s) for n, p in PERSONAS.items() for a, (t, s) in p.items()], "persona string, axis string, target double, signature boolean")
+
+
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.persona_fit(places(spark, sf_dir), "segment", personas(spark))
+
+
+@query(f"{PLACES} SELECT segment, axis, round(position, 6) AS position FROM pos")
+def customers_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the mean of each segment stands among all customers, by axis."""
+    return places(spark, sf_dir).select("segment", "axis", F.round("position", 6).alias("position"))
+
+
+FIT = f"{PLACES}, t(persona, axis, target, signature) AS (VALUES {TARGETS}), f AS (SELECT segment, persona, sqrt(avg((position - target) ^ 2)) AS distance, count(*) FILTER (WHERE signature AND CASE WHEN target >= 0.65 THEN position < 0.6 WHEN target <= 0.35 THEN position > 0.4 ELSE position < 0.35 OR position > 0.65 END) AS contradicted FROM pos JOIN t USING (axis) GROUP BY ALL)"
+
+
+@query(f"{FIT} SELECT segment, persona, round(distance, 6) AS distance, contradicted, 1 - distance < 0.55 AS weak FROM f")
+def customers_persona_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fits(spark, sf_dir).select("segment", "persona", F.round("distance", 6).alias("distance"), "contradicted", "weak")
+
+
+@query(f"""{FIT}, c AS (SELECT segment, persona, round(distance, 9) + 1000 * (contradicted > 0)::int AS cost FROM f), g AS (SELECT a.segment AS s1, b.segment AS s2, c.segment AS s3, d.segment AS s4, e.segment AS s5, [a.persona, b.persona, c.persona, d.persona, e.persona] AS got, a.cost + b.cost + c.cost + d.cost + e.cost AS cost
+FROM c a JOIN c b ON b.segment > a.segment AND b.persona <> a.persona JOIN c ON c.segment > b.segment AND c.persona NOT IN (a.persona, b.persona) JOIN c d ON d.segment > c.segment AND d.persona NOT IN (a.persona, b.persona, c.persona) JOIN c e ON e.segment > d.segment AND e.persona NOT IN (a.persona, b.persona, c.persona, d.persona)),
+o AS (SELECT * FROM g ORDER BY round(cost, 6), got LIMIT 1), z AS (SELECT unnest([s1, s2, s3, s4, s5]) AS segment, unnest(got) AS persona FROM o) SELECT z.segment, z.persona, round(1 - distance, 6) AS quality, contradicted FROM z JOIN f ON f.segment = z.segment AND f.persona = z.persona""")
+def customers_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One persona for each segment, none twice, at the least total distance."""
+    f = fits(spark, sf_dir)
+    return ops.matched(f, "segment").join(f, ["segment", "persona"]).select("segment", "persona", F.round("quality", 6).alias("quality"), "contradicted")
+
+
+@query(f"""{PLACES}, r AS (SELECT segment, axis, position, row_number() OVER (PARTITION BY segment ORDER BY round(abs(position - 0.5), 9) DESC, axis) AS k FROM pos WHERE position < 0.35 OR position > 0.65)
+SELECT segment, k::int AS place, axis, CASE WHEN position > 0.5 THEN 'high' ELSE 'low' END AS side FROM r WHERE k <= 3""")
+def customers_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three axes on which a segment stands outside the average band, the most extreme first."""
+    return ops.traits(places(spark, sf_dir), "segment", 3)
+
+
+@query(f"{PLACES} SELECT segment, axis, round(least(1.0, greatest(0.05, mean / CASE axis {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {v}' for a, v in LARGEST.items())} END)), 6) AS value FROM pos WHERE axis IN ({', '.join(repr(a) for a in LARGEST)})")
+def customers_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    largest = F.create_map(*[F.lit(x) for pair in LARGEST.items() for x in pair])[F.col("axis")]
+    return places(spark, sf_dir).where(F.col("axis").isin(*LARGEST)).select("segment", "axis", F.round(ops.radar(F.col("mean"), largest), 6).alias("value"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]).withColumn("v", F.col("embedding").cast("array<double>")).drop("embedding")
 
@@ -82,6 +145,13 @@ def vectors_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.validity(vectors(spark, sf_dir), "label", "v")
 
 
+@query("""WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS g, sum(list_distance(a.v, b.v) ^ 2) AS d, count(*) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT vec_id, label, max(d / n) FILTER (WHERE g = label) AS a, min(d / n) FILTER (WHERE g <> label) AS b FROM d GROUP BY ALL) SELECT label, count(*) AS n, round(avg(CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM s GROUP BY label""")
+def vectors_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette of each label by squared distances."""
+    return ops.silhouettes(vectors(spark, sf_dir), "label", "v")
+
+
 @query("WITH p AS (SELECT label AS a, (vec_id % 4)::int AS b FROM embeddings), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS shared FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT count(*) AS n FROM p GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT count(*) AS n FROM p GROUP BY b)) SELECT n::bigint AS rows, round((n * (n - 1) / 2 - x.s - y.s + 2 * shared) / (n * (n - 1) / 2), 6) AS agreement FROM t, x, y")
 def vectors_co_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.co_assignment(vectors(spark, sf_dir).select(F.col("label").alias("a"), (F.col("vec_id") % 4).cast("int").alias("b")), "a", "b")

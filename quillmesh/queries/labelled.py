@@ -110,13 +110,16 @@ def ranking_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rates(s.groupBy("cutoff").agg(*scoring.confusion(F.col("label"), F.col("score") >= F.col("cutoff"))))
 
 
-@query()
+RATES = [0.0001 * 500 ** (i / 59) for i in range(60)]
+
+
+@query(f"{RANKED}, q AS (SELECT quantile_cont(score, [{', '.join(repr(1 - r) for r in RATES)}]) AS q FROM s), c AS (SELECT unnest(range(60))::int AS i, round(unnest(q), 9) AS cut FROM q) SELECT i, round(cut, 6) AS cut, round(avg((score >= cut)::int), 6) AS flagged FROM s, c GROUP BY i, cut")
 def ranking_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score cutoffs for 60 log-spaced review rates, and the share each flags."""
-    rates = [0.0001 * 500 ** (i / 59) for i in range(60)]
     s = ranked(spark, sf_dir)
-    cuts = s.agg(F.percentile("score", F.array(*[F.lit(1 - r) for r in rates])).alias("q")).select(F.posexplode("q").alias("i", "cut"))
-    return s.crossJoin(F.broadcast(cuts)).groupBy("i", "cut").agg(F.round(F.avg((F.col("score") >= F.col("cut")).cast("int")), 6).alias("flagged"))  # 60 rows
+    cuts = s.agg(F.percentile("score", F.array(*[F.lit(1 - r) for r in RATES])).alias("q")).select(F.posexplode("q").alias("i", "cut")).select("i", F.round("cut", 9).alias("cut"))
+    flagged = s.groupBy("score").agg(F.count("*").alias("n")).crossJoin(F.broadcast(cuts))  # 60 rows
+    return flagged.groupBy("i", F.round("cut", 6).alias("cut")).agg(F.round(F.sum(F.when(F.col("score") >= F.col("cut"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("flagged"))
 
 
 ONE_RULE = " UNION ALL ".join(f"SELECT '{c}' AS feature, l_orderkey % 5 AS fold, {c} AS value, label, count(*) AS n FROM cat GROUP BY ALL" for c in FEATURES)
@@ -163,25 +166,67 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.folds(parquet(spark, sf_dir, "labels", ["doc_id", "toxic"]), "toxic", "doc_id", 5, "fold")
 
 
-@query()
-def model_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic (plain and weighted), tree, forest and boosting on one prepared table: metrics on held-out orders."""
+def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows to learn from and held-out orders, by one fitted preparation, and the source feature of each place in the vector."""
     df = categories(spark, sf_dir).withColumns({"part": F.pmod(F.xxhash64("l_orderkey"), F.lit(5)), "qty": F.col("l_partkey").cast("double")})
     share = df.agg(F.avg("label")).first()[0] or 0.5
     df = df.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
     stages = [*[StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in FEATURES], OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES]), Imputer(inputCols=["qty"], outputCols=["qty_f"], strategy="median"), VectorAssembler(inputCols=[*[f"{c}_v" for c in FEATURES], "qty_f"], outputCol="features")]
     train, test = df.where("part > 0"), df.where("part = 0")
     prep = Pipeline(stages=stages).fit(train)
-    a, b = prep.transform(train).select("features", "label", "weight").persist(), prep.transform(test).select("features", "label", "weight").persist()
-    models = {"logistic": LogisticRegression(maxIter=30), "logistic_weighted": LogisticRegression(maxIter=30, weightCol="weight"), "tree": DecisionTreeClassifier(maxDepth=5, seed=1), "forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=1), "boosted": GBTClassifier(maxIter=10, maxDepth=3, seed=1)}
+    a, b = (prep.transform(t).select("features", "label", "weight") for t in (train, test))
+    places = [x for kind in a.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind]
+    names = [next((c for c in FEATURES if x["name"].startswith(f"{c}_v")), "qty") for x in sorted(places, key=lambda x: x["idx"])]
+    return a.persist(), b, names
+
+
+def classifiers() -> dict:
+    return {"logistic": LogisticRegression(maxIter=30), "logistic_weighted": LogisticRegression(maxIter=30, weightCol="weight"), "tree": DecisionTreeClassifier(maxDepth=5, seed=1), "forest": RandomForestClassifier(numTrees=20, maxDepth=5, seed=1), "boosted": GBTClassifier(maxIter=10, maxDepth=3, seed=1)}
+
+
+@query()
+def model_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic (plain and weighted), tree, forest and boosting on one prepared table: metrics on held-out orders."""
+    a, b, _ = encoded(spark, sf_dir)
     out = None
-    for name, m in models.items():
+    for name, m in classifiers().items():
         p = m.fit(a).transform(b).select("label", F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"))
         row = scoring.rates(p.agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5))).crossJoin(scoring.roc_auc(p, "score", "label")).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
+    a.unpersist()
     return out
 
 
+def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, place, feature, weight): coefficients and importances of three fitted models, one row for each place of the vector."""
+    a, _, names = encoded(spark, sf_dir)
+    rows = []
+    for name in ("logistic", "tree", "forest"):
+        m = classifiers()[name].fit(a)
+        values = m.coefficients if name == "logistic" else m.featureImportances
+        rows += [(name, i, f, float(x)) for i, (f, x) in enumerate(zip(names, values.toArray(), strict=True))]
+    a.unpersist()
+    return spark.createDataFrame(rows, "model string, place int, feature string, weight double")
+
+
+@query()
+def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of each source feature by model, its share in percent and its place."""
+    return scoring.importances(weights(spark, sf_dir))
+
+
+@query()
+def model_top_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 encoded columns with the largest coefficients of the logistic model, by absolute value."""
+    return weights(spark, sf_dir).where("model = 'logistic'").orderBy(F.desc(F.abs("weight")), "place").limit(15).select("place", "feature", "weight")
+
+
+@query()
+def model_rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In which models a feature is among the three most important."""
+    return scoring.agreement(scoring.importances(weights(spark, sf_dir)), ["logistic", "tree", "forest"], 3)
+
+
 @query()
 def model_regressors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge, forest and boosting with early stopping on trip features: metrics in seconds on the validation role."""

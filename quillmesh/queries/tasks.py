@@ -47,7 +47,7 @@ ORDERS = {"custom": "order_index, id", "due_asc": "due_date ASC NULLS LAST, orde
 
 @query(f"{W} SELECT id, {', '.join(f'row_number() OVER (ORDER BY pinned DESC, {o}) AS {n}' for n, o in ORDERS.items())} FROM tasks WHERE NOT archived AND NOT deleted")
 def task_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.tasks(spark, sf_dir).where(ops.scope() == "active").select("id", *[ops.sort_rank(n).alias(n) for n in ops.SORTS])
+    return ops.sort_ranks(views.tasks(spark, sf_dir).where(ops.scope() == "active"), ops.SORTS).select("id", *ops.SORTS)
 
 
 @query(f"{W} SELECT id, title FROM tasks WHERE {SCOPE} = 'active' AND {LISTS['important']} AND category_id = 2 AND (lower(title) LIKE '%9%' OR lower(description) LIKE '%9%')")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import arith, capture, geo
 from quillmesh.functions import text as tx
-from quillmesh.operators import baskets, cleaning, cluster, corpus, profile, retail, scoring, tasks
+from quillmesh.operators import baskets, cleaning, cluster, corpus, profile, ranks, retail, scoring, tasks
 from quillmesh.plans import views
 from quillmesh.queries.tasks import task_log
 from quillmesh.sources import tables
@@ -205,3 +205,43 @@ def test_changes_of_tasks(spark):
     assert got == [("completed", 9, "2021-02-03"), ("todo", 2, "None"), ("todo", 3, "None")]
     none = ops.nested(t, spark.createDataFrame([], "task_id long, position int, id long, completed boolean"), spark.createDataFrame([], "task_id long, name string")).collect()
     assert all(r.subtasks == [] and r.tags == [] and r.subtasks_total == 0 for r in none)
+
+
+def test_places_and_running_sums_go_by_ranges(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 1000).alias("x"))
+    got = [(r.x, r.id, r.a, r.b) for r in ranks.placed(df, {"a": F.struct("x", "id"), "b": F.struct(-F.col("id"))}).collect()]
+    want = sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r[2] for r in want] == list(range(1, 5001)) and all(r[3] == 5000 - r[1] for r in got)
+    s = [(r.v, r.up_to) for r in ranks.running(spark.range(300).select((F.col("id") + 1).alias("v")), F.struct("v"), {"up_to": F.col("v")}).collect()]
+    assert all(t == v * (v + 1) // 2 for v, t in s) and len(s) == 300
+    assert ranks.running(spark.range(0), F.struct("id"), {"n": F.lit(1)}).count() == 0
+
+
+def test_percentile_rank_of_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 9), (5, None)], "i int, v int")
+    assert {r.i: r.p for r in ranks.percentile_rank(df, "v", "p").collect()} == {3: 0.3, 5: 0.3, 1: 0.7, 2: 0.7, 4: 1.0}
+
+
+def test_areas_of_one_class_and_none(spark):
+    one = spark.createDataFrame([(0.5, 1), (0.5, 1)], "s double, y int")
+    assert scoring.roc_auc(one, "s", "y").first().auc == 0.0 and scoring.average_precision(one, "s", "y").first().average_precision == 1.0
+    assert scoring.roc_auc(one.where("false"), "s", "y").first().auc is None
+
+
+def test_importances(spark):
+    w = spark.createDataFrame([("m", "a", -3.0), ("m", "a", 1.0), ("m", "b", 6.0), ("n", "b", 0.0), ("n", "a", 0.0)], "model string, feature string, weight double")
+    got = scoring.importances(w)
+    assert {(r.model, r.feature): (r.importance, r.share_pct, r.place) for r in got.collect()} == {("m", "b"): (6.0, 60.0, 1), ("m", "a"): (4.0, 40.0, 2), ("n", "a"): (0.0, 0.0, 1), ("n", "b"): (0.0, 0.0, 2)}
+    assert {r.feature: (r.m, r.n, r.in_top) for r in scoring.agreement(got, ["m", "n"], 1).collect()} == {"a": (None, 1, 1), "b": (1, None, 1)}
+
+
+def test_silhouettes_of_few_rows(spark):
+    df = spark.createDataFrame([("a", [0.0, 0.0]), ("a", [0.0, 2.0]), ("b", [10.0, 0.0])], "g string, v array<double>")
+    got = {r.g: (r.n, r.silhouette) for r in cluster.silhouettes(df, "g", "v").collect()}
+    assert got == {"a": (2, round(((100 - 4) / 100 + (104 - 4) / 104) / 2, 5)), "b": (1, 0.0)}
+    assert [r.silhouette for r in cluster.silhouettes(df.where("g = 'a'"), "g", "v").collect()] == [None]
+
+
+def test_no_persona_twice(spark):
+    f = spark.createDataFrame([(1, "x", 0.1, 0), (1, "y", 0.2, 0), (2, "x", 0.1, 0), (2, "y", 0.5, 0), (3, "x", 0.0, 0), (3, "y", 0.0, 0), (3, "z", 0.0, 1), (1, "z", 0.4, 0), (2, "z", 0.9, 1)], "g int, persona string, distance double, contradicted long")
+    assert {r.g: r.persona for r in cluster.matched(f, "g").collect()} == {1: "z", 2: "x", 3: "y"}
