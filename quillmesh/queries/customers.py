@@ -111,8 +111,8 @@ def customers_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.matched(f, "segment").join(f, ["segment", "persona"]).select("segment", "persona", F.round("quality", 6).alias("quality"), "contradicted")
 
 
-@query(f"""{PLACES}, r AS (SELECT segment, axis, position, row_number() OVER (PARTITION BY segment ORDER BY round(abs(position - 0.5), 9) DESC, axis) AS k FROM pos WHERE position < 0.35 OR position > 0.65)
-SELECT segment, k::int AS place, axis, CASE WHEN position > 0.5 THEN 'high' ELSE 'low' END AS side FROM r WHERE k <= 3""")
+@query(f"""{PLACES}, far AS (SELECT segment, axis, position, row_number() OVER (PARTITION BY segment ORDER BY round(abs(position - 0.5), 9) DESC, axis) AS k FROM pos WHERE position < 0.35 OR position > 0.65)
+SELECT segment, k::int AS place, axis, CASE WHEN position > 0.5 THEN 'high' ELSE 'low' END AS side FROM far WHERE k <= 3""")
 def customers_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three axes on which a segment stands outside the average band, the most extreme first."""
     return ops.traits(places(spark, sf_dir), "segment", 3)
