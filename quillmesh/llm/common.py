@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -62,6 +63,16 @@ def dropped(df: DataFrame) -> None:
         _delete(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), folder)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the plans, broadcasts and shuffles of DataFrames that nothing uses any more.
+
+    The session's cleaner removes these only once they are collected, in Python first, then in the
+    JVM; a driver with memory to spare may not do so for a long time, and keeps a larger heap.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
