@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,56 @@ def outside_domain(df: DataFrame, column: str, allowed: list) -> DataFrame:
     return df.where(~F.coalesce(F.col(column).isin(allowed), F.lit(False))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
 
 
+def defaulted(df: DataFrame, fields: dict[str, tuple[float, float, float]]) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
+    """df with missing numbers set to their default, and the checks (for violations) that they are finite and in range; fields: name -> (low, high, default)."""
+    value = {c: F.col(c).cast("double") for c in fields}
+    endless = lambda v: F.isnan(v) | v.isin(float("inf"), float("-inf"))
+    checks = [(c, "not finite", endless(value[c])) for c in fields]
+    checks += [(c, "out of range", ~endless(value[c]) & ~value[c].between(low, high)) for c, (low, high, _) in fields.items()]
+    return df.withColumns({c: F.coalesce(value[c], F.lit(float(default))) for c, (_, _, default) in fields.items()}), checks
+
+
+def stray_marker(df: DataFrame, marker: str, home: str) -> DataFrame:
+    """(column, rows) of the text columns other than home that hold the marker; none if it is only where it belongs."""
+    names = [n for n, kind in df.dtypes if kind == "string" and n != home]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, rows long")
+    one = df.agg(*[F.count_if(F.col(n) == marker).alias(n) for n in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("rows")) for n in names]))).where("rows > 0")
+
+
+def relabelled(df: DataFrame, column: str, marker: str, label: str = "missing") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) == marker, label).otherwise(F.col(column)))
+
+
+def constant_columns(df: DataFrame) -> list[str]:
+    """Columns with no two different values; null beside a value counts as a second one. One pass: least and greatest of each column."""
+    kinds = [F.struct(F.min(c).eqNullSafe(F.max(c)).alias("same"), F.count(c).alias("n")).alias(c) for c in df.columns]
+    row = df.agg(F.count("*").alias("all_rows_"), *kinds).first()
+    return [c for c in df.columns if row[c]["same"] and row[c]["n"] in (0, row["all_rows_"])]
+
+
+def preview(df: DataFrame, n: int, key: str, digits: int = 4) -> DataFrame:
+    """The first n rows by key as text: null is "missing", fractions are rounded."""
+    shown = {c: F.round(c, digits) if kind in ("double", "float") or kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes}
+    return df.orderBy(key).limit(n).select(*[F.coalesce(v.cast("string"), F.lit("missing")).alias(c) for c, v in shown.items()])
+
+
+def derived(df: DataFrame, makers: dict[str, Callable[[DataFrame], Column]]) -> DataFrame:
+    """df with columns made by a user's functions from frame to column; each sees those before it."""
+    for name, make in makers.items():
+        df = df.withColumn(name, make(df))
+    return df
+
+
+def profile_facts(df: DataFrame, label: str, numeric: list[str], pair: tuple[str, str]) -> DataFrame:
+    """One row: rows, the positive rate, and of each number its missing rate, median and range; Pearson of a pair."""
+    facts = [F.count("*").alias("rows"), F.round(F.avg(label), 6).alias("positive_rate")]
+    for c in numeric:
+        facts += [F.round(F.avg(F.col(c).isNull().cast("int")), 6).alias(f"{c}_missing"), F.round(F.median(c), 6).alias(f"{c}_median"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return df.agg(*facts, F.round(F.corr(*[F.col(c).cast("double") for c in pair]), 6).alias("pearson"))
+
+
 def repeated_rows(df: DataFrame) -> Column:
     """How many rows repeat an earlier one: all rows less the distinct ones."""
     return df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))

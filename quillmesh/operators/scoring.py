@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import ratio
-from .ranks import running
+from .ranks import placed, running
 
 
 def regression_metrics(actual: Column, predicted: Column, digits: int = 6) -> list[Column]:
@@ -47,6 +47,16 @@ def cutoffs(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.select(score, "tp", "fp", "hit", "miss", "p", "q", ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, F.col("p"), 0.0).alias("recall"), ratio(fp, F.col("q"), 0.0).alias("fpr"), ratio(2 * tp, tp + fp + F.col("p"), 0.0).alias("f1"))
 
 
+def thinned(df: DataFrame, order: Column, points: int) -> DataFrame:
+    """At most points rows of a curve, evenly spaced by place in the order, the first and the last among them."""
+    every = df.agg(F.count("*").alias("rows_"))  # one row
+    at = placed(df, {"place_": order}).crossJoin(F.broadcast(every))
+    step = (F.col("rows_") - 1) / F.lit(max(1, points - 1))
+    nearest = F.round((F.col("place_") - 1) / step)  # the point that this place is closest to
+    mine = F.floor(nearest * step + 0.5) == F.col("place_") - 1
+    return at.where((F.col("rows_") <= points) | mine).drop("place_", "rows_")
+
+
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, exact with ties, by trapezoids between distinct scores."""
     step = ratio(F.col("miss"), F.col("q"), 0.0)

@@ -93,6 +93,20 @@ def ranking_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cutoffs(ranked(spark, sf_dir), "score", "label").select("score", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "fpr", "f1")])
 
 
+@query(f"{CUTS}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC) - 1 AS place, count(*) OVER () AS n FROM m) SELECT score, round(precision, 6) AS precision, round(recall, 6) AS recall FROM k WHERE n <= 50 OR place IN (SELECT floor(i * (n - 1) / 49::double + 0.5)::bigint FROM range(50) g(i), (SELECT max(n) AS n FROM k))")
+def ranking_curve_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 points of the curve, evenly spaced by place, its ends among them."""
+    curve = scoring.cutoffs(ranked(spark, sf_dir), "score", "label").select("score", "precision", "recall")
+    return scoring.thinned(curve, F.struct(-F.col("score")), 50).select("score", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("""SELECT count(*) AS rows, round(avg((l_returnflag = 'R')::int), 6) AS positive_rate, round(avg((l_quantity IS NULL)::int), 6) AS quantity_missing, round(median(l_quantity), 6) AS quantity_median, min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem""")
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = parquet(spark, sf_dir, "lineitem", ["l_quantity", "l_extendedprice", "l_returnflag"])  # noqa: E741
+    rows = l.select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return cleaning.profile_facts(rows, "label", ["quantity"], ("quantity", "price"))
+
+
 @query(f"{CUTS}, l AS (SELECT *, lag(recall, 1, 0) OVER (ORDER BY score DESC) AS r0, lag(fpr, 1, 0) OVER (ORDER BY score DESC) AS f0 FROM m) SELECT round(sum((fpr - f0) * (recall + r0) / 2), 6) AS auc, round(sum((recall - r0) * precision), 6) AS average_precision FROM l")
 def ranking_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ranked(spark, sf_dir)

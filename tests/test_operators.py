@@ -245,3 +245,33 @@ def test_silhouettes_of_few_rows(spark):
 def test_no_persona_twice(spark):
     f = spark.createDataFrame([(1, "x", 0.1, 0), (1, "y", 0.2, 0), (2, "x", 0.1, 0), (2, "y", 0.5, 0), (3, "x", 0.0, 0), (3, "y", 0.0, 0), (3, "z", 0.0, 1), (1, "z", 0.4, 0), (2, "z", 0.9, 1)], "g int, persona string, distance double, contradicted long")
     assert {r.g: r.persona for r in cluster.matched(f, "g").collect()} == {1: "z", 2: "x", 3: "y"}
+
+
+def test_defaults_and_ranges(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 50.0), (4, float("nan")), (5, float("inf"))], "id int, x double")
+    filled, checks = cleaning.defaulted(df, {"x": (0, 10, 7)})
+    assert {r["id"]: r["x"] for r in filled.where("id < 4").collect()} == {1: 5.0, 2: 7.0, 3: 50.0}
+    assert {(r["id"], r["reason"]) for r in cleaning.violations(df, "id", checks).collect()} == {(3, "out of range"), (4, "not finite"), (5, "not finite")}
+
+
+def test_markers_and_constant_columns(spark):
+    df = spark.createDataFrame([("?", "a", 1, None), ("b", "?", 1, None), ("?", "c", 1, None)], "x string, y string, n int, e string")
+    assert [tuple(r) for r in cleaning.stray_marker(df, "?", "x").collect()] == [("y", 1)]
+    assert [r["x"] for r in cleaning.relabelled(df, "x", "?").collect()].count("missing") == 2
+    assert cleaning.constant_columns(df) == ["n", "e"]
+    assert cleaning.constant_columns(spark.createDataFrame([(1,), (None,)], "n int")) == []
+
+
+def test_preview_derived_and_facts(spark):
+    df = spark.createDataFrame([(2, 1.23456, 1), (1, None, 0), (3, 2.0, 1)], "id int, x double, y int")
+    assert [tuple(r) for r in cleaning.preview(df, 2, "id").collect()] == [("1", "missing", "0"), ("2", "1.2346", "1")]
+    made = cleaning.derived(df, {"a": lambda d: d["id"] * 2, "b": lambda d: d["a"] + 1})
+    assert sorted(r["b"] for r in made.collect()) == [3, 5, 7]
+    f = cleaning.profile_facts(df, "y", ["x"], ("id", "y")).first()
+    assert (f["rows"], f["x_missing"], f["x_min"], f["x_max"]) == (3, 0.333333, 1.23456, 2.0) and math.isclose(f["positive_rate"], 0.666667)
+
+
+def test_thinned_curve_keeps_its_ends(spark):
+    df = spark.range(101).select(F.col("id").alias("x"))
+    assert sorted(r["x"] for r in scoring.thinned(df, F.struct("x"), 11).collect()) == list(range(0, 101, 10))
+    assert scoring.thinned(df.where("x < 5"), F.struct("x"), 11).count() == 5
