@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licenses, mixing, neighbours, pii, quality, secrets, toxicity, urls
+from . import decontaminate, jaccard, lexical, licenses, mixing, neighbours, pii, quality, secrets, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,9 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_urls": urls.op9_urls,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_topk": topk.op12_topk,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op6_licenses": licenses.SQL,
+    "op11_lexical": lexical.SQL,
+    "op12_topk": topk.SQL,
 }
