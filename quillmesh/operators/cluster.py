@@ -15,7 +15,7 @@ from .ranks import percentile_rank
 def spending_score(df: DataFrame, conversion: Column, responses: Column) -> DataFrame:
     """Half the rank of conversion and half that of responses, ranked again, 1 to 100."""
     rows = df.withColumns({"score_a": F.round(conversion, 12), "score_b": responses})
-    rows = percentile_rank(percentile_rank(rows, "score_a", "rank_a"), "score_b", "rank_b", base=rows)
+    rows = percentile_rank(percentile_rank(rows, "score_a", "rank_a"), "score_b", "rank_b")
     rows = percentile_rank(rows.withColumn("score_c", F.round(0.5 * F.col("rank_a") + 0.5 * F.col("rank_b"), 12)), "score_c", "rank_c")
     return rows.withColumn("spending_score", F.greatest(F.lit(1.0), F.least(F.lit(100.0), F.col("rank_c") * 100))).drop("score_a", "score_b", "score_c", "rank_a", "rank_b", "rank_c")
 

@@ -2,58 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that the rows are dealt into, and rows that the bounds are chosen from, a range.
-PARTS, SAMPLED = 200, 20
+#: monotonically_increasing_id() is the partition times this, plus the row's number within it.
+ROWS = 33
+
+
+def in_order(df: DataFrame, key: Column, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """df dealt into sorted ranges of the key, as many as the session's shuffles have, with rank_at: partition and place within it.
+
+    The key is a struct that no two rows share, of columns that sort ascending; null sorts first. hold keeps the rows where they
+    are, so that every later read has the same ranges: persisted on first use (catalog.clearCache() lets go), or written down.
+    """
+    return hold(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("rank_at", F.monotonically_increasing_id()))
+
+
+def _part() -> Column:
+    return F.shiftright("rank_at", ROWS)
 
 
-def _known(df: DataFrame) -> DataFrame:
-    """A table of at most PARTS + 1 short rows, computed now, so that plans which use it several times don't repeat what it came from."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+def _before(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """One row for each range, with the totals of all ranges before it and of all ranges. There are as many rows as shuffle partitions."""
+    w, every = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    each = rows.groupBy(_part().alias("rank_part")).agg(*[c.alias(f"rank_{n}") for n, c in totals.items()])
+    return each.select("rank_part", *[F.coalesce(F.sum(f"rank_{n}").over(w), F.lit(0)).alias(f"rank_{n}") for n in totals], *[F.sum(f"rank_{n}").over(every).alias(f"rank_all_{n}") for n in totals])
 
 
-def running(df: DataFrame, key: Column, sums: dict[str, Column], base: DataFrame | None = None, parts: int = PARTS) -> DataFrame:
-    """df with the sums of the given numbers over all rows up to and including the row, in ascending order of the key.
+def place(df: DataFrame, by: list[str], key: Column, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """(by, place): the place of each row, from 1, in ascending order of the key."""
+    rows = in_order(df.select(*by, key.alias("rank_key")), F.col("rank_key"), hold)
+    start = F.broadcast(_before(rows, {"n": F.count("*")}))  # a row for each shuffle partition
+    inside = rows.select(*by, _part().alias("rank_part"), F.col("rank_at").bitwiseAND((1 << ROWS) - 1).alias("rank_in"))
+    return inside.join(start, "rank_part").select(*by, (F.col("rank_n") + F.col("rank_in") + 1).alias("place"))
 
-    The key is a struct that no two rows share, of columns that sort ascending; null sorts first.
-    Bounds are taken from the rows with the smallest hashes of the key, so a rerun has the same
-    ranges. Each range is ordered by itself, and what stands before it is added from one row for
-    each range. Bounds and sums are at most parts + 1 entries; they are computed when this is
-    called, and broadcast. base: a table with the same keys and numbers that is cheaper than df.
+
+def placed(df: DataFrame, by: str, keys: dict[str, Column]) -> DataFrame:
+    """df with the place of each row, from 1, by each of the keys: structs that no two rows share. by: a column without repeats or nulls. A place takes over a column of its name.
+
+    Each order sorts only its key and that column; the places of all orders meet in one aggregation.
     """
-    rows = df if base is None else base
-    some = rows.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(parts * SAMPLED)
-    every = some.agg(F.array_sort(F.collect_list("k")).alias("ks"))  # parts * SAMPLED entries at most
-    bounds = _known(every.select(F.filter("ks", lambda _, i: i % SAMPLED == SAMPLED - 1).alias("rank_bounds")))
-    part = F.size(F.filter("rank_bounds", lambda b: b < key))
-    dealt = lambda t: t.crossJoin(F.broadcast(bounds)).withColumn("rank_part", part).drop("rank_bounds")  # noqa: E731  one row
-    before = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)  # over parts + 1 rows at most
-    total = dealt(rows).groupBy("rank_part").agg(*[F.sum(c).alias(f"rank_{n}") for n, c in sums.items()])
-    start = _known(total.select("rank_part", *[F.coalesce(F.sum(f"rank_{n}").over(before), F.lit(0)).alias(f"rank_{n}") for n in sums]))
-    up_to = Window.partitionBy("rank_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    inside = dealt(df).withColumns({n: F.sum(c).over(up_to) for n, c in sums.items()})
-    out = inside.join(F.broadcast(start), "rank_part")
-    return out.withColumns({n: F.col(n) + F.col(f"rank_{n}") for n in sums}).drop("rank_part", *[f"rank_{n}" for n in sums])
-
-
-def placed(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """df with the place of each row, from 1, by each of the keys: structs that no two rows share."""
-    out = df
-    for name, key in keys.items():
-        out = running(out, key, {name: F.lit(1)}, base=df)
-    return out
-
-
-def percentile_rank(df: DataFrame, column: str, name: str, base: DataFrame | None = None) -> DataFrame:
-    """df with the rank of a column over the number of rows, ties at their mean rank; nulls rank first, as one value. base: a table with the same values that is cheaper than df.
+    base, at = df.select(by, *[k.alias(n) for n, k in keys.items()]).persist(), None
+    for name in keys:
+        one = place(base, [by], F.col(name)).withColumn("rank_name", F.lit(name))
+        at = one if at is None else at.unionByName(one)
+    found = at.groupBy(by).agg(*[F.max(F.when(F.col("rank_name") == n, F.col("place"))).alias(n) for n in keys])
+    return df.drop(*keys).join(found, by)
+
+
+def running(df: DataFrame, key: Column, sums: dict[str, Column], totals: bool = False, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """df with the sums of the given numbers over all rows up to and including the row, in ascending order of the key; with totals also NAME_all, over all rows."""
+    rows = in_order(df, key, hold)
+    start = F.broadcast(_before(rows, {n: F.sum(c) for n, c in sums.items()}))  # a row for each shuffle partition
+    up_to = Window.partitionBy("rank_part").orderBy("rank_at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("rank_part", _part()).withColumns({n: F.sum(c).over(up_to) for n, c in sums.items()})
+    out = inside.join(start, "rank_part").withColumns({n: F.col(n) + F.col(f"rank_{n}") for n in sums})
+    return out.select(*df.columns, *sums, *([F.col(f"rank_all_{n}").alias(f"{n}_all") for n in sums] if totals else []))
+
+
+def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the rank of a column over the number of rows, ties at their mean rank; nulls rank first, as one value.
 
     Values are counted first and each gets its rank once, so ties are one row in the ordering.
     """
-    n = (df if base is None else base).groupBy(F.col(column).alias("rank_value")).agg(F.count("*").alias("rank_n"))
-    whole = _known(n.agg(F.sum("rank_n").alias("rank_all")))  # one row
-    at = running(n, F.struct("rank_value"), {"rank_up_to": F.col("rank_n")})
-    ranked = at.crossJoin(F.broadcast(whole)).select("rank_value", ((F.col("rank_up_to") - (F.col("rank_n") - 1) / 2) / F.col("rank_all")).alias(name))
+    n = df.groupBy(F.col(column).alias("rank_value")).agg(F.count("*").alias("rank_count"))
+    at = running(n, F.struct("rank_value"), {"rank_up_to": F.col("rank_count")}, totals=True)
+    ranked = at.select("rank_value", ((F.col("rank_up_to") - (F.col("rank_count") - 1) / 2) / F.col("rank_up_to_all")).alias(name))
     return df.join(ranked, F.col(column).eqNullSafe(F.col("rank_value"))).drop("rank_value")

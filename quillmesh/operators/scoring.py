@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import ratio
-from .ranks import placed, running
+from .ranks import running
 
 
 def regression_metrics(actual: Column, predicted: Column, digits: int = 6) -> list[Column]:
@@ -41,16 +41,14 @@ def cutoffs(df: DataFrame, score: str, label: str) -> DataFrame:
     Scores are grouped first, and the running sums go by ranges of scores, none in one task.
     """
     each = df.groupBy(score).agg(F.sum(label).alias("hit"), F.sum(1 - F.col(label)).alias("miss"))
-    every = each.agg(F.sum("hit").alias("p"), F.sum("miss").alias("q"))  # one row
-    out = running(each, F.struct(-F.col(score)), {"tp": F.col("hit"), "fp": F.col("miss")}).crossJoin(F.broadcast(every))
+    out = running(each, F.struct(-F.col(score)), {"tp": F.col("hit"), "fp": F.col("miss")}, totals=True).withColumnsRenamed({"tp_all": "p", "fp_all": "q"})
     tp, fp = F.col("tp"), F.col("fp")
     return out.select(score, "tp", "fp", "hit", "miss", "p", "q", ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, F.col("p"), 0.0).alias("recall"), ratio(fp, F.col("q"), 0.0).alias("fpr"), ratio(2 * tp, tp + fp + F.col("p"), 0.0).alias("f1"))
 
 
 def thinned(df: DataFrame, order: Column, points: int) -> DataFrame:
     """At most points rows of a curve, evenly spaced by place in the order, the first and the last among them."""
-    every = df.agg(F.count("*").alias("rows_"))  # one row
-    at = placed(df, {"place_": order}).crossJoin(F.broadcast(every))
+    at = running(df, order, {"place_": F.lit(1)}, totals=True).withColumnRenamed("place__all", "rows_")
     step = (F.col("rows_") - 1) / F.lit(max(1, points - 1))
     nearest = F.round((F.col("place_") - 1) / step)  # the point that this place is closest to
     mine = F.floor(nearest * step + 0.5) == F.col("place_") - 1

@@ -79,7 +79,7 @@ def sort_key(name: str) -> Column:
 
 def sort_ranks(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df with the place of each row in the sort orders; ids are unique."""
-    return placed(df, {n: sort_key(n) for n in names})
+    return placed(df, "id", {n: sort_key(n) for n in names})
 
 
 def heat_level(completed: Column, created: Column) -> Column:

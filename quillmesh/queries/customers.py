@@ -50,7 +50,7 @@ def customers_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PREPARED}, k AS (SELECT {RANK('total_spend')} AS a, {RANK('spending_score')} AS b FROM p) SELECT round(corr(a, b), 6) AS spearman FROM k")
 def customers_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prepared(spark, sf_dir)
-    return ops.percentile_rank(ops.percentile_rank(p, "total_spend", "a"), "spending_score", "b", base=p).agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
+    return ops.percentile_rank(ops.percentile_rank(p, "total_spend", "a"), "spending_score", "b").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
 @query(f"{PREPARED} SELECT segment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(income_k), 6) AS income_k, round(avg(total_spend), 3) AS total_spend, round(avg(spending_score), 5) AS spending_score FROM p GROUP BY segment")

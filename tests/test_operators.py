@@ -209,7 +209,7 @@ def test_changes_of_tasks(spark):
 
 def test_places_and_running_sums_go_by_ranges(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 1000).alias("x"))
-    got = [(r.x, r.id, r.a, r.b) for r in ranks.placed(df, {"a": F.struct("x", "id"), "b": F.struct(-F.col("id"))}).collect()]
+    got = [(r.x, r.id, r.a, r.b) for r in ranks.placed(df, "id", {"a": F.struct("x", "id"), "b": F.struct(-F.col("id"))}).collect()]
     want = sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert [r[2] for r in want] == list(range(1, 5001)) and all(r[3] == 5000 - r[1] for r in got)
     s = [(r.v, r.up_to) for r in ranks.running(spark.range(300).select((F.col("id") + 1).alias("v")), F.struct("v"), {"up_to": F.col("v")}).collect()]
