@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lexical, licenses, mixing, neighbours, pii, quality, secrets, topk, toxicity, urls
+from . import decontaminate, jaccard, lexical, licenses, mixing, neighbours, pii, quality, secrets, topk, toxicity, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_lexical": lexical.op11_lexical,
     "op12_topk": topk.op12_topk,
+    "op13_trie": trie.op13_trie,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op6_licenses": licenses.SQL,
     "op11_lexical": lexical.SQL,
     "op12_topk": topk.SQL,
+    "op13_trie": trie.SQL,
 }
