@@ -275,3 +275,67 @@ def test_thinned_curve_keeps_its_ends(spark):
     df = spark.range(101).select(F.col("id").alias("x"))
     assert sorted(r["x"] for r in scoring.thinned(df, F.struct("x"), 11).collect()) == list(range(0, 101, 10))
     assert scoring.thinned(df.where("x < 5"), F.struct("x"), 11).count() == 5
+
+
+def plain_density(points, eps, least):
+    """Textbook DBSCAN; a border point goes to its nearest core."""
+    import math
+
+    near = {a: [b for b in points if round(math.dist(points[a], points[b]), 9) <= eps] for a in points}
+    core, name = {a for a in points if len(near[a]) >= least}, {}
+    for a in sorted(core):
+        if a in name:
+            continue
+        todo = [a]
+        while todo:
+            x = todo.pop()
+            if x not in name:
+                name[x] = a
+                todo += [b for b in near[x] if b in core]
+    for a in points:
+        if a not in core:
+            by = [(round(math.dist(points[a], points[b]), 9), b) for b in near[a] if b in core]
+            name[a] = name[min(by)[1]] if by else -1
+    return {a: (name[a], a in core) for a in points}
+
+
+def test_density_clusters_chains_borders_and_noise(spark, monkeypatch):
+    import random
+
+    from quillmesh.operators import density
+
+    rng = random.Random(4)
+    spots = [(i * 0.5, 0.0) for i in range(40)] + [(30 + rng.random(), 30 + rng.random()) for _ in range(60)] + [(rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(30)]
+    spots += [(20.0, 0.0), (20.5, 0.0), (100.0, 0.0), (101.0, 0.0), (102.0, 0.0), (101.0, 0.0)]  # a chain's end, two equal rows
+    points = dict(enumerate(spots))
+    df = spark.createDataFrame([(k, list(v)) for k, v in points.items()], "id long, v array<double>")
+    for block in (2048, 32):
+        monkeypatch.setattr(density, "BLOCK", block)
+        got = {r.key: (r.cluster, r.core) for r in density.density(df, "id", "v", 1.0, 3).collect()}
+        assert got == plain_density(points, 1.0, 3)
+    assert density.density(df.limit(0), "id", "v", 1.0, 3).count() == 0
+    near = {(r.key, r.place): (r.other, r.distance) for r in density.nearest(df, "id", "v", 3).collect()}
+    assert all(near[k, 1] == (k, 0.0) for k in points) and len(near) == 3 * len(points)
+    curve = [r.distance for r in density.k_distances(df, "id", "v", 3).orderBy("place").collect()]
+    assert curve == sorted(near[k, 3][1] for k in points)
+    gap = [abs((curve[-1] - curve[0]) * (i + 1) - (len(curve) - 1) * y + len(curve) * curve[0] - curve[-1]) for i, y in enumerate(curve)]
+    assert density.radius(density.k_distances(df, "id", "v", 3)).first().eps == curve[max(range(len(gap)), key=lambda i: (round(gap[i], 9), -i))]
+
+
+def test_components_of_chains_and_hubs(spark):
+    from quillmesh.operators import density
+
+    links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 200), (300, 301), (301, 300)]
+    got = {r.node: r.root for r in density.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 140), 100), 300: 300, 301: 300}
+
+
+def test_graph_clusters_find_two_rings(spark):
+    import math
+
+    from quillmesh.operators import density
+
+    ring = lambda n, r, at: [(at + i, [r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n)]) for i in range(n)]
+    df = spark.createDataFrame(ring(16, 1.0, 0) + ring(40, 6.0, 100), "id long, v array<double>")
+    got = {r.key: r.cluster for r in density.graph_clusters(df, "id", "v", 2, 9).collect()}
+    assert len({got[i] for i in range(16)}) == 1 and len({got[100 + i] for i in range(40)}) == 1 and got[0] != got[100]
