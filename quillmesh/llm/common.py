@@ -195,8 +195,8 @@ def bitmap(hashes: DataFrame, bits: int) -> Column:
     slot = F.pmod(F.col("h"), F.lit(bits))
     filled = hashes.select(slot.alias("slot"))
     filled = filled.distinct().select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set"))
-    every = spark.range(bits // 64).withColumnRenamed("id", "word").join(filled, "word", "left")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set")))), lambda x: x["set"]).alias("a")).scalar()
+    every = spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit")).unionByName(filled.select("word", F.col("set").alias("bit"))).groupBy("word").agg(F.bit_or("bit").alias("set"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "set"))), lambda x: x["set"]).alias("a")).scalar()
 
 
 def has(bits: Column, size: int, h: Column) -> Column:
