@@ -15,6 +15,7 @@ RUSH, NIGHT = (7, 8, 9, 16, 17, 18, 19), (0, 1, 2, 3, 4, 5)
 ROLES = [("fit", 0, 650), ("calibration", 650, 700), ("validation", 700, 850), ("test", 850, 1000)]
 BASE_FARE, PER_MILE, PER_MINUTE, RUSH_FEE, NIGHT_FEE, CONGESTION_FEE, AIRPORT_FEE, KM_PER_MILE = 3.0, 3.5, 0.7, 2.5, 1.0, 2.5, 1.75, 1.609344
 
+FLOOR = 60.0  # seconds
 PLACES = ("pickup_latitude", "pickup_longitude", "dropoff_latitude", "dropoff_longitude")
 
 
@@ -84,3 +85,17 @@ def with_band(df: DataFrame, band: tuple[DataFrame, DataFrame], group: str) -> D
     own, overall = band
     out = df.join(own.select(group, "low", "high"), group, "left").crossJoin(F.broadcast(overall))  # overall is one row
     return out.withColumns({"low": F.coalesce("low", "all_low"), "high": F.coalesce("high", "all_high")}).drop("all_low", "all_high")
+
+
+def scored(df: DataFrame, band: tuple[DataFrame, DataFrame], seen: DataFrame) -> DataFrame:
+    """One row for each trip with a column predicted (seconds): the prediction from the floor up, its band, distances, speed, fare, and whether the pickup lies outside the times (a, b) learned from. seen is one row."""
+    floor = lambda c: F.greatest(F.lit(FLOOR), c)
+    rows = with_band(df, band, "tier").withColumn("seconds", floor(F.col("predicted")))
+    rows = rows.withColumn("low_s", floor(F.col("predicted") + F.col("low"))).withColumn("high_s", F.greatest("low_s", F.col("predicted") + F.col("high")))
+    rows = with_fare(rows, F.col("seconds")).crossJoin(F.broadcast(seen))
+    far = lambda c, n: F.round(c, 6).alias(n)
+    km = F.col("distance_haversine_km")
+    return rows.select(
+        "id", "tier", *[F.round(c, 5).alias(c) for c in ("seconds", "low_s", "high_s")], "clock", far(km, "distance_haversine_km"), far(km / KM_PER_MILE, "distance_haversine_mi"), far(F.col("miles"), "miles"), far(F.col("bearing_deg"), "bearing_deg"),
+        far(F.col("speed_kmh"), "speed_kmh"), far(F.col("speed_kmh") / KM_PER_MILE, "speed_mph"), (~F.col("pickup_datetime").between(F.col("a"), F.col("b"))).alias("extrapolated"), "distance_charge", "time_charge", "airport_fee", "fare",
+    )
