@@ -8,10 +8,12 @@
   blocks. Within each probed list, in blocks of at most BLOCK vectors and QUERIES queries, the
   distance over the first dimensions, scaled up, is tested against the best distances so far:
   a candidate that is farther than the test allows for is abandoned, the rest goes on to the
-  next column block. Survivors are scored on the original vectors in double precision.
+  next column block. Survivors are scored on the original vectors in double precision. The k + 1
+  best of those first looked at are never abandoned, and a query goes on to further lists until
+  those that it probes hold k + 1 vectors, so none gets fewer rows than there are candidates.
 
-Vectors that are null, zero, hold null or non-finite components, have a null id, or another
-length than the most frequent take no part. Equal (id, vector) rows count once. Equal scores go
+Vectors that are null, zero or hold null or non-finite components, and rows with a null id, take no
+part. Vectors of different length are never compared; each length is searched by itself. Equal (id, vector) rows count once. Equal scores go
 to the smaller id. A query with fewer candidates than k gets them all. No vectors: no rows.
 """
 
@@ -32,6 +34,7 @@ CALIBRATE, COVER = 64, 0.985
 COLUMNS, EPSILON = 16, 2.4
 BLOCK, QUERIES = 2048, 512
 SEED = 53
+RESULT = "query_id long, rank int, id long, score double"
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -71,7 +74,8 @@ def scan(v: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
     out = []
     for i, row in enumerate(q):
         near = ((v[seedlings[i]] - row) ** 2).sum(1)
-        bound = np.sqrt(np.partition(near, k - 1)[k - 1])
+        first_best = np.argpartition(near, k - 1)[:k]
+        bound = np.sqrt(near[first_best].max())
         alive, partial, d = np.arange(len(v)), np.maximum(part[i], 0), first
         while d < dims:
             keep = np.sqrt(partial * dims / d) <= bound * (1 + EPSILON / np.sqrt(d))
@@ -79,7 +83,7 @@ def scan(v: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
             to = min(d + COLUMNS, dims)
             partial = partial + ((v[alive, d:to] - row[d:to]) ** 2).sum(1)
             d = to
-        out.append(alive[partial <= bound * bound + 1e-9])
+        out.append(np.union1d(alive[partial <= bound * bound + 1e-9], seedlings[i][first_best]))
     return out
 
 
@@ -95,24 +99,29 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("f"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
-    size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return good.select("id", "v").where(F.size("v") == (size[0]["n"] if size else 0))
+    good = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    return good.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row that is_query (a condition on the column id) the k nearest other ids found."""
-    all_rows = written(usable(rows, id_col, vector_col), "vectors")
+    every = written(usable(rows, id_col, vector_col), "vectors")
+    lengths = sorted(r["n"] for r in every.select(F.size("v").alias("n")).distinct().collect())  # a number for each length of vector
+    out = None
+    for n in lengths:
+        found = search_equal(every.where(F.size("v") == n) if len(lengths) > 1 else every, is_query, k)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], RESULT) if out is None else out
+
+
+def search_equal(all_rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """search() over usable rows (id, v) whose vectors are equally long."""
     # row_number with a bound is cut on the map side first, so hot copies don't meet in one task
     order = Window.partitionBy("v").orderBy("id")
     members = all_rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     members = written(members.select("v", "id", "n"), "members")
     classes = members.where("n = 1").select(F.col("id").alias("c"), "v")
     total = classes.count()
-    schema = "query_id long, rank int, id long, score double"
-    if not total:
-        return rows.sparkSession.createDataFrame([], schema)
-
     sample = classes.orderBy(F.xxhash64(F.lit(SEED), "c"), "c").limit(SAMPLE).toPandas().sort_values("c")
     x = unit(matrix(sample["v"]))
     center = centroids(x, max(1, min(LISTS, total // PER_LIST, len(x) // 8)))
@@ -127,12 +136,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id"
     asked = all_rows.where(is_query).distinct()
     queries = written(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
     probes = probe_count(placed, queries, center, k)
+    held = np.zeros(len(center), dtype=np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row for each list
+        held[r["list"]] = r["count"]
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                near = np.argsort(-(unit(matrix(b["v"])) @ center.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"q": b["q"], "v": b["v"], "list": list(near.astype(np.int32))})
+                near = np.argsort(-(unit(matrix(b["v"])) @ center.T), axis=1, kind="stable").astype(np.int32)
+                need = 1 + (np.cumsum(held[near], axis=1) < k + 1).sum(1)
+                yield pd.DataFrame({"q": b["q"], "v": b["v"], "list": [row[: max(probes, n)] for row, n in zip(near, need, strict=True)]})
 
     wanted = queries.mapInPandas(lists, "q long, v array<double>, list array<int>").select("q", "v", F.explode("list").alias("list"))
     wanted = written(wanted, "wanted")
