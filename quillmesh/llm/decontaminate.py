@@ -16,8 +16,10 @@ bitmaps of bounded size made from the benchmark: one of adjacent token pairs, wi
 begins, and one of mask hashes. They let nothing be lost; a larger benchmark only lets more through.
 
 An item of fewer tokens than the shortest mask has no window: it is joined exactly, by the hash of
-all its tokens. One with windows needs a hit under a mask; of 7 to 9 tokens, where only the mask
-without gaps is sure to fit, a substitution may go unseen. An item without tokens matches nothing.
+all its tokens. An item too short for the masks with gaps has masks of its own length, each of which
+ignores one position: those at which the best run crosses a substitution (see GAPPED; nearer to an
+end the run stops there, and what is left is shorter than the item). An item without tokens matches
+nothing.
 
 Null texts count as empty. Rows with the same text share one decision. An empty benchmark or no
 documents: nothing overlaps.
@@ -32,12 +34,14 @@ from .common import bitmap, fresh, has, let, table, text_key, whole, written
 
 # 1 keeps a token, 0 ignores it; each begins with two kept tokens.
 MASKS = ("1101101101", "1110010111", "1101010011", "1111111")
-SHORTEST = min(map(len, MASKS))
+SHORTEST, LONGEST = min(map(len, MASKS)), max(map(len, MASKS))
 MIN_TOKENS, SHARE, LOSS = 13, 0.8, 3
+#: (tokens, position): a run of so many tokens outweighs the loss at this position, as more than LOSS tokens agree on both sides of it.
+GAPPED = [(n, i) for n in range(SHORTEST, LONGEST) for i in range(LOSS + 1, n - 1 - LOSS)]
 #: Bits of the maps: FILL for each hash of the benchmark, MOST_BITS at most.
 FILL, MOST_BITS = 256, 1 << 23
-#: Windows with one hash that are no farther apart are a span; rows of documents with a hit for each salt of the join.
-GAP, SALTED = 16, 100_000
+#: Windows with one hash that are no farther apart are a span.
+GAP = 16
 
 
 def token_hashes(text: Column) -> Column:
@@ -84,7 +88,23 @@ def short_runs(h: Column, lengths: Column) -> Column:
         starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda j: F.struct(j.alias("j"), short_hash(h, j, n).alias("hash")))
 
-    return F.flatten(F.transform(lengths, of))
+    return F.flatten(F.transform(F.filter(lengths, lambda n: n < SHORTEST), of))
+
+
+def gapped_hash(h: Column, j: Column, n: int, i: int) -> Column:
+    """The hash of the n tokens from j on without the i-th."""
+    return F.xxhash64(F.lit(-2), F.lit(n), F.lit(i), *[F.get(h, j + o) for o in range(n) if o != i])
+
+
+def gapped_runs(h: Column, lengths: Column) -> Column:
+    """array<struct<j,hash>> of the runs in h, one position ignored, that are as long as an item with such masks."""
+    none = F.array().cast("array<struct<j:int,hash:bigint>>")
+
+    def of(n: int, i: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - n)
+        return F.when(F.array_contains(lengths, n) & (F.size(h) >= n), F.transform(starts, lambda j: F.struct(j.alias("j"), gapped_hash(h, j, n, i).alias("hash")))).otherwise(none)
+
+    return F.flatten(F.array(none, *[of(n, i) for n, i in GAPPED]))
 
 
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -99,8 +119,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     spots = items.select("item", "ht", F.explode(windows(F.col("ht"))).alias("p"))
     test = items.select("item", F.explode(grouped(F.flatten(F.transform(windows(F.col("ht")), lambda p: seeds(F.col("ht"), p))))).alias("x")).select("item", F.col("x.j").alias("p"), F.col("x.to").alias("q"), "x.hash")
     short = items.where(F.size("ht").between(1, SHORTEST - 1))
-    test = written(test.unionByName(short.select("item", F.lit(0).alias("p"), F.lit(0).alias("q"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash"))), "seeds")
-    lengths = short.agg(F.sort_array(F.collect_set(F.size("ht"))).alias("a")).scalar()  # SHORTEST - 1 numbers at most
+    test = test.unionByName(short.select("item", F.lit(0).alias("p"), F.lit(0).alias("q"), short_hash(F.col("ht"), F.lit(0), F.size("ht")).alias("hash")))
+    for n, i in GAPPED:
+        test = test.unionByName(items.where(F.size("ht") == n).select("item", F.lit(0).alias("p"), F.lit(0).alias("q"), gapped_hash(F.col("ht"), F.lit(0), n, i).alias("hash")))
+    test = written(test, "seeds")
+    lengths = items.where(F.size("ht").between(1, LONGEST - 1)).agg(F.sort_array(F.collect_set(F.size("ht"))).alias("a")).scalar()  # LONGEST - 1 numbers at most
     bits = min(MOST_BITS, 1 << max(14, (FILL * test.count()).bit_length()))
     pairs = bitmap(spots.select(pair(F.col("ht"), F.col("p")).alias("h")), bits)
     known = bitmap(test.select(F.col("hash").alias("h")), bits)
@@ -108,7 +131,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
 
     def scan(h: Column, pairs: Column, known: Column, again: Column, lengths: Column) -> Column:
         begun = F.filter(windows(h), lambda j: has(pairs, bits, pair(h, j)))
-        found = F.concat(F.flatten(F.transform(begun, lambda j: seeds(h, j))), short_runs(h, lengths))
+        found = F.concat(F.flatten(F.transform(begun, lambda j: seeds(h, j))), short_runs(h, lengths), gapped_runs(h, lengths))
         hit = F.filter(found, lambda x: has(known, bits, x["hash"]) & has(again, bits, F.xxhash64(x["hash"])))
         return F.struct(h.alias("h"), hit.alias("hits"))
 
@@ -119,10 +142,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_c
     scanned = scanned.select(text_key(F.col("text")).alias("key"), "x").groupBy("key").agg(F.first("x").alias("x"))
     scanned = written(scanned.select("key", "x.h", "x.hits"), "scanned")
 
-    salts = 8 + scanned.count() // SALTED
-    mine = scanned.select("key", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"), F.explode(grouped(F.col("hits"))).alias("x")).select("key", "salt", "x.hash", "x.j", "x.to")
-    theirs = test.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    hits = mine.join(theirs, ["hash", "salt"]).select("key", "item", F.struct((F.col("j") - F.col("q")).alias("low"), (F.col("to") - F.col("p")).alias("high")).alias("d"))
+    # a common hash has few rows of the benchmark and many of documents: Spark splits such a side of a merge join
+    mine = scanned.select("key", F.explode(grouped(F.col("hits"))).alias("x")).select("key", "x.hash", "x.j", "x.to")
+    hits = mine.join(test.hint("merge"), "hash").select("key", "item", F.struct((F.col("j") - F.col("q")).alias("low"), (F.col("to") - F.col("p")).alias("high")).alias("d"))
     pairs = hits.groupBy("key", "item").agg(F.collect_set("d").alias("d"))
     both = pairs.join(items, "item").join(scanned.select("key", "h"), "key")
 
