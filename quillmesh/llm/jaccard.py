@@ -8,13 +8,14 @@ of at least THRESHOLD?
 2. Paths are dealt out by their first values and sorted, so that each task holds whole subtries of
    a tree, in which the nodes of every depth are runs of rows. Neighbours in this order are
    compared by signature first; a subtrie whose rows hang together is done with that. In another,
-   a row that has ENOUGH near rows in its node at full depth keeps its long prefix; for the rest
-   the prefix is shortened to that of the subtrie, all of whose rows they are compared with, in
-   blocks of about NODE_BLOCK. Links found are reduced to edges, so no node emits all its
+   more than ENOUGH near rows in one node at full depth keep their long prefix, but for one of them
+   that speaks for the node; for that one and for all other rows the prefix is shortened to that of
+   the subtrie, all of whose rows they are compared with, in blocks of about NODE_BLOCK. Links found are reduced to edges, so no node emits all its
    pairs. The components of the edges are families.
 3. The first prefix is the longest that finds pairs at the threshold with chance TARGET. Then the
    recall is measured: the signatures of SAMPLE texts are compared with those of all. Below RECALL,
-   texts without a link try again with a prefix shorter by one value.
+   texts without a link try again with a prefix shorter by one value, and if that isn't enough all
+   texts do. Where even prefixes of one value fall short, a warning says what was reached.
 4. Each family's shingle sets are brought together, again in blocks (of BLOCK texts or BLOCK_BYTES
    of text), and compared exactly. Links are counted for each text and reduced to edges, whose
    components are the classes.
@@ -26,6 +27,7 @@ No documents: no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,8 +189,10 @@ def candidates(texts: DataFrame, length: int, near: float) -> DataFrame:
             edges: dict[str, list] = {"u": list(keys[at]), "v": list(keys[first[at]])}
             ends = np.append(begin[1:], n)
             for lo, hi in zip(begin[segment[begin] != segment[ends - 1]], ends[segment[begin] != segment[ends - 1]], strict=True):
-                _, part, times = np.unique(np.array([f"{s}:{r.hex()}" for s, r in zip(segment[lo:hi], rest[lo:hi], strict=True)]), return_inverse=True, return_counts=True)
-                short = np.nonzero((times[part] <= ENOUGH) & is_open[lo:hi])[0]
+                _, one, part, times = np.unique(np.array([f"{s}:{r.hex()}" for s, r in zip(segment[lo:hi], rest[lo:hi], strict=True)]), return_index=True, return_inverse=True, return_counts=True)
+                speaks = np.zeros(hi - lo, dtype=bool)
+                speaks[one[np.bincount(part, is_open[lo:hi]) > 0]] = True
+                short = np.nonzero(((times[part] <= ENOUGH) & is_open[lo:hi]) | speaks)[0]
                 if not len(short):
                     continue
                 matrix = np.zeros((hi - lo, hi - lo), dtype=bool)
@@ -226,15 +230,21 @@ def recall(texts: DataFrame, family: DataFrame, threshold: float) -> float:
 
 def families(texts: DataFrame, threshold: float, target: float) -> tuple[DataFrame, int]:
     """(key, family) of the texts that have a candidate, and the shortest prefix that was used."""
-    length, edges = first_length(threshold, target), None
+    length, edges, tried = first_length(threshold, target), None, 0
     texts = texts.withColumn("open", F.lit(True))
     while True:
         found = written(candidates(texts, length, threshold - MARGIN), "candidates")
         edges = found if edges is None else edges.unionByName(found)
         family = written(components(edges).select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
-        if length == 1 or recall(texts, family, threshold) >= RECALL:
+        reached = recall(texts, family, threshold)
+        if reached < RECALL and length == 1:
+            warnings.warn(f"near copies: {reached:.3f} of the sampled pairs are in one family, {RECALL} were wanted", stacklevel=2)
+        if reached >= RECALL or length == 1:
             return family, length
-        length -= 1
+        length, tried = length - 1, tried + 1
+        if tried > 1:
+            texts = texts.withColumn("open", F.lit(True))
+            continue
         texts = texts.drop("open").join(family.select("key", F.lit(False).alias("open")).hint("merge"), "key", "left").withColumn("open", F.coalesce("open", F.lit(True)))
 
 
