@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from .common import fresh, let, table, whole, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words in a block, fewer where the smallest target has not FINE blocks; there are about MAX_SLOTS blocks at most.
-BLOCK, FINE, MAX_SLOTS, CHUNK, BUCKET, CELLS = 1024, 256, 1 << 22, 4096, 512, 4096
+#: Words in a block, fewer where the smallest target has not FINE blocks.
+BLOCK, FINE, CHUNK, BUCKET, CELLS = 1024, 256, 4096, 512, 4096
 LIMIT = 3  # times a source's size
 GOLDEN = 0.6180339887498949
 
@@ -83,7 +83,7 @@ def plan_size(sources: DataFrame) -> tuple[int, int, int]:
     """Words in a block, slots, and words of all targets."""
     total, least = sources.where("goal > 0").agg(F.sum("goal"), F.min("goal")).first()
     total, least = total or 0, least or 0
-    block = max(1, min(BLOCK, least // FINE), -(-total // MAX_SLOTS))
+    block = max(1, min(BLOCK, least // FINE))
     return block, -(-total // block), total
 
 
@@ -211,7 +211,7 @@ WITH d AS (
 ), t AS (
   SELECT sr, source, source_size, least(f.level * weight, cap::double) AS target, floor(least(f.level * weight, cap::double) + 0.5)::bigint AS goal FROM l, f
 ), z AS (
-  SELECT sum(goal)::bigint AS total, greatest(1, least(1024, min(goal) // 256), (sum(goal)::bigint + 4194303) // 4194304)::bigint AS block FROM t WHERE goal > 0
+  SELECT sum(goal)::bigint AS total, greatest(1, least(1024, min(goal) // 256))::bigint AS block FROM t WHERE goal > 0
 ), i AS (
   SELECT sr, (sum(goal) OVER (ORDER BY sr))::bigint AS high, (sum(goal) OVER (ORDER BY sr))::bigint - goal AS low FROM t
 ), x AS (
