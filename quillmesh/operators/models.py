@@ -34,9 +34,9 @@ def fold_predictions(df: DataFrame, fold: str, folds: int, prepare: Callable[[Da
         seen = ready.transform(train).persist()
         for name, m in models.items():
             p = m.fit(seen).transform(ready.transform(test))
-            parts.append(cut(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"))))
+            parts.append(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score")))
         seen.unpersist()
-    return stacked(parts)
+    return cut(stacked(parts))
 
 
 def grouped_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
