@@ -2,14 +2,15 @@
 
 Base spans (assignments to secret names, access key ids, long hexadecimal runs) are reported as
 they are. Beyond them, encoded candidates are cut from the text (PEM blocks, base64 and
-hexadecimal runs, base64 wrapped over lines, dotted tokens; line ends as they are or escaped),
-decoded, and reported only if the bytes have the structure of a secret: a private key in DER
+hexadecimal runs, dotted tokens), decoded, and reported only if the bytes have the structure of a secret: a private key in DER
 (PKCS#8, encrypted PKCS#8, PKCS#1, SEC1, DSA) whose nested lengths add up, a private key file of
 SSH, an encrypted PEM block of a private key, or a signed token whose header and payload are JSON
-with an algorithm. Public keys and certificates are none. Of added spans that overlap the first by
+with an algorithm. Runs on following lines (line ends as they are or escaped, up to 32 blanks around
+them) are one block; a key may begin with any of its lines and ends where its own lengths say, which
+must be the end of a line. Public keys and certificates are none. Of added spans that overlap the first by
 kind (pem, jwt, der, ssh), then the longest, is reported.
 
-Patterns run in Spark; only the short candidates go to Python. Null texts count as empty. Added
+Patterns run in Spark; the candidates, and texts that hold such a run, go to Python. Null texts count as empty. Added
 spans may lie inside base spans. Repeated rows stay.
 """
 
@@ -37,21 +38,23 @@ BASE = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
 VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
-# Where a run begins (the n or r of an escaped line end isn't part of it), a line end as it is or escaped,
-# and how a token begins whose header is JSON: an open brace or white space, in base64.
+# Where a run begins (the n or r of an escaped line end isn't part of it), a line end as it is or escaped, with
+# blanks around it, and how a token begins whose header is JSON: an open brace or white space, in base64.
 FROM = r"(?:(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nr])|(?<=\\[nr]))"
-END = r"[\x20\t]*+(?:\r?\n|\\++r\\++n|\\++[nr])[\x20\t]*+"
+END = r"[\x20\t]{0,32}(?:\r?\n|\\+r\\+n|\\+[nr])[\x20\t]{0,32}"
 HEAD = r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(?:e[wy]|I[ACH]|C[QSXgin]|D[QSX]|77u_)"
-# Candidates for decoding. 500 lines of 24 characters hold any key in use.
+BODY = r"[A-Za-z0-9+/=\s\\:,]++"
+# Candidates for decoding, none with a largest length.
 WIDE = {
-    "pem": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,-]{40,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----",
+    "pem": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----" + BODY + "(?:-" + BODY + r"){0,12}+-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----",
     "jwt": HEAD + r"[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+",
     "run": FROM + r"[A-Za-z0-9+/_-]{24,}+={0,2}",
-    "lines": FROM + r"[A-Za-z0-9+/_-]{24,}+(?:" + END + r"[A-Za-z0-9+/_-]{24,}+){1,500}+={0,2}",
-    "tail": FROM + r"[A-Za-z0-9+/_-]{24,}+(?:" + END + r"[A-Za-z0-9+/_-]{24,}+){0,500}+" + END + r"[A-Za-z0-9+/_-]{1,23}+(?![A-Za-z0-9+/_-])={0,2}",
 }
 GATES = {"assign": r"[:=]", "access": "AKIA", "hex": r"(?<![0-9a-f])[0-9a-f]{24}", "pem": "-----BEGIN ", "jwt": HEAD + r"[A-Za-z0-9_-]{10,}+\.", "run": FROM + r"[A-Za-z0-9+/_-]{24}"}
-GATES["lines"] = GATES["tail"] = FROM + r"[A-Za-z0-9+/_-]{24,}+" + END + r"[A-Za-z0-9+/_-]"
+#: What is looked at behind a run: a line end and a last line that is shorter than a run.
+BEHIND = 112
+NEXT = re.compile(END)
+LAST = re.compile(END + r"([A-Za-z0-9+/_-]{1,23})(?![A-Za-z0-9+/_-])(={0,2})")
 
 
 def unbase64(text: str) -> bytes | None:
@@ -114,10 +117,10 @@ def is_private(data: bytes) -> bool:
     return False
 
 
-def is_ssh(data: bytes) -> bool:
-    """A private key file: after its mark, cipher, derivation and its options, a count, that many public keys, and the private part, with 32-bit lengths that add up."""
+def ssh_length(data: bytes) -> int | None:
+    """The bytes of a private key file at the start of data: after its mark, cipher, derivation and its options, a count, that many public keys, and the private part, each with a 32-bit length."""
     if not data.startswith(b"openssh-key-v1\0"):
-        return False
+        return None
     at = 15
 
     def field() -> bytes | None:
@@ -129,10 +132,24 @@ def is_ssh(data: bytes) -> bool:
         return data[at - n : at]
 
     if not all(x is not None for x in (field(), field(), field())):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(field() for _ in range(keys)) and bool(field()) and at == len(data)
+    return at if 1 <= keys <= 16 and all(field() for _ in range(keys)) and bool(field()) else None
+
+
+def is_ssh(data: bytes) -> bool:
+    return bool(data) and ssh_length(data) == len(data)
+
+
+def der_length(data: bytes) -> int | None:
+    """The bytes of the DER sequence that begins data, by its own length field."""
+    if len(data) < 6 or data[0] != SEQUENCE:
+        return None
+    n, k = data[1], data[1] & 0x7F
+    if not n & 0x80:
+        return n + 2
+    return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 else None
 
 
 def is_token(text: str) -> bool:
@@ -166,9 +183,56 @@ def confirm(kind: str, text: str) -> str | None:
     return None
 
 
+def joined(runs: list[dict]) -> Iterator[list[tuple[int, int, str]]]:
+    """Runs that are lines of one block, as lists of (start, end, characters); a last line shorter than a run belongs to it."""
+    block: list[tuple[int, int, str]] = []
+    for i, x in enumerate(runs):
+        block.append((x["s"], x["e"], x["m"].rstrip("=")))
+        after = NEXT.match(x["r"])
+        if after and "=" not in x["m"] and i + 1 < len(runs) and runs[i + 1]["s"] == x["e"] + after.end():
+            continue
+        short = LAST.match(x["r"]) if "=" not in x["m"] else None
+        if short:
+            block.append((x["e"] + short.start(1), x["e"] + short.end(), short[1]))
+        yield block
+        block = []
+
+
+def keys_in(block: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the keys that begin with a line of a block and end with the same or a later one, where their own lengths say."""
+    i = 0
+    while i < len(block):
+        found = None
+        if block[i][2][0] == "M" or block[i][2].startswith("b3BlbnNzaC1rZXkt"):
+            der = block[i][2][0] == "M"
+            rest = None if der else unbase64("".join(x[2] for x in block[i:])[: 4 * (sum(len(x[2]) for x in block[i:]) // 4)])
+            length = der_length(unbase64(block[i][2][:16]) or b"") if der else ssh_length(rest or b"")
+            need, have = -(-(length or 0) * 4 // 3), 0
+            for j in range(i, len(block) if length else i):
+                have += len(block[j][2])
+                if have >= need:
+                    if have == need and confirm("run", "".join(x[2] for x in block[i : j + 1])):
+                        found = j
+                    break
+        if found is None:
+            i += 1
+        else:
+            yield ("der" if block[i][2][0] == "M" else "ssh"), block[i][0], block[found][1]
+            i = found + 1
+
+
+def confirmed_in(candidates: list[dict], text: str) -> list[dict]:
+    """The secrets among the candidates (kind, s, e, m) of one text, in order."""
+    found = [(kind, x["s"], x["e"]) for x in candidates if (kind := confirm(x["kind"], x["m"]))]
+    for block in joined([{**x, "r": text[x["e"] : x["e"] + BEHIND]} for x in candidates if x["kind"] == "run"]):
+        if len(block) > 1:
+            found += keys_in(block)
+    return [{"kind": k, "s": s, "e": e} for k, s, e in dict.fromkeys(found)]
+
+
 def confirmed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for kinds, texts in batches:
-        yield pd.Series([[confirm(k, t) for k, t in zip(ks, ts, strict=True)] for ks, ts in zip(kinds, texts, strict=True)], dtype=object)
+    for found, texts in batches:
+        yield pd.Series([confirmed_in([x if isinstance(x, dict) else x.asDict() for x in c], t) if len(c) else [] for c, t in zip(found, texts, strict=True)], dtype=object)
 
 
 def base_spans(text: Column) -> Column:
@@ -191,8 +255,8 @@ def by_start(found: Column) -> Column:
     return F.transform(ordered, lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def wide_of(kind: str, matches: Column) -> Column:
-    return F.transform(matches, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+def wide_of(kind: str, text: Column) -> Column:
+    return F.transform(spans(text, WIDE[kind], 0, GATES[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
 
 
 def scan(docs: DataFrame, text_col: str = "text", base_col: str = "base", all_col: str = "spans") -> DataFrame:
@@ -202,15 +266,15 @@ def scan(docs: DataFrame, text_col: str = "text", base_col: str = "base", all_co
     """
     base_col, all_col, t, c, v = fresh(docs, base_col, all_col, "secret_text", "secret_candidates", "secret_verdicts")
     out = docs.withColumn(t, whole(F.col(text_col)))
-    out = out.withColumn(c, F.concat(*[wide_of(kind, spans(F.col(t), WIDE[kind], 0, GATES[kind])) for kind in WIDE]))
-    out = out.withColumn(v, F.pandas_udf(confirmed, "array<string>")(F.transform(c, lambda x: x["kind"]), F.transform(c, lambda x: x["m"])))
+    out = out.withColumn(c, F.concat(*[wide_of(kind, F.col(t)) for kind in WIDE]))
+    out = out.withColumn(v, F.pandas_udf(confirmed, "array<struct<kind: string, s: int, e: int>>")(F.col(c), F.when(F.exists(c, lambda x: x["kind"] == "run"), F.col(t)).otherwise("")))
     rank = F.create_map(*[y for i, kind in enumerate(ADDED_KINDS) for y in (F.lit(kind), F.lit(i + len(BASE_KINDS)))])
-    found = F.transform(c, lambda x, i: F.struct(F.element_at(rank, F.get(v, i)).alias("k"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["e"].alias("e"), F.get(v, i).alias("kind")))
-    ordered = F.array_sort(F.filter(found, lambda x: x["kind"].isNotNull()))
+    found = F.transform(v, lambda x: F.struct(F.element_at(rank, x["kind"]).alias("k"), (x["s"] - x["e"]).alias("n"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    ordered = F.array_sort(found)
     plain = lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))
     added = F.aggregate(ordered, F.array().cast("array<struct<k:int,kind:string,s:int,e:int>>"), lambda a, x: F.when(F.exists(a, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])), a).otherwise(F.concat(a, F.array(plain(x)))))
     out = out.withColumn(base_col, base_spans(F.col(t)))
-    return out.withColumn(all_col, by_start(F.concat(F.col(base_col), added))).drop(t, c, v)
+    return out.withColumn(all_col, F.when(F.size(v) > 0, by_start(F.concat(F.col(base_col), added))).otherwise(F.col(base_col))).drop(t, c, v)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,6 +367,19 @@ def test_secrets_in_escaped_and_wrapped_forms(spark):
     assert got[1][0][1] == "\n  ".join(lines) and got[2][0][1] == "\\r\\n".join(lines) and got[5][0][1] == pkcs1
 
 
+def test_secrets_begin_at_any_line_and_have_no_largest_length(spark):
+    key, other = lines_of(PKCS8), [base64.b64encode(bytes([7 * i % 251 for i in range(48)])).decode()] * 3
+    long = [base64.b64encode(bytes([11 * i % 253 for i in range(48)])).decode()] * 700
+    rows = [(1, "\n".join(other + key)), (2, "\n".join(key + other)), (3, "\n".join(other + key + other + key)), (4, "\n".join(other * 9)), (5, "\n".join(long + key) + "\n"), (6, "\\n".join(other + key))]
+    rows += [(7, "-----BEGIN PRIVATE KEY-----\n" + " " * 30000 + "\n".join(key) + "\n-----END PRIVATE KEY-----")]
+    found = {r.doc_id: [x for x in r.spans if x.kind in secrets.ADDED_KINDS] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    plain = re.sub(r"[^A-Za-z0-9+/=]", "", "".join(key))
+    cut = {i: [re.sub(r"\\n|[^A-Za-z0-9+/=]", "", text[i][x.s : x.e]) for x in found[i]] for i in text}
+    assert cut[1] == cut[2] == cut[5] == cut[6] == [plain] and cut[3] == [plain] * 2 and cut[4] == []
+    assert [x.kind for x in found[7]] == ["pem"]
+
+
 def test_public_keys_are_no_secrets(spark):
     field = lambda b: len(b).to_bytes(4, "big") + b
     public = field(b"ssh-rsa") + field(b"\1\0\1") + field(bytes(range(128)))
