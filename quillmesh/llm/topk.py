@@ -94,7 +94,7 @@ def collect(v: pd.DataFrame, q: pd.DataFrame, lists: int) -> pd.DataFrame:
     out = []
     if len(v) and len(q):
         x, y, ids, asked = matrix(v["v"]), matrix(q["v"]), v["c"].to_numpy(), q["q"].to_numpy()
-        cut_at = np.array([-np.inf if c is None else float(c) for c in q["cutoff"]])
+        cut_at = q["cutoff"].astype(float).fillna(-np.inf).to_numpy()  # none if fewer than k + 1 were gathered
         length = lambda m: np.sqrt((m * m).sum(1))
         lx, ly, parts = length(x), length(y), cuts(x.shape[1], lists)
         for j, cut in enumerate(parts):
