@@ -167,3 +167,10 @@ def gate(trials: DataFrame, objective: str, floor: Column, step: float) -> DataF
 
     kept = trials.agg(F.aggregate(rows, start, fold, lambda a: a["kept"]).alias("kept"))
     return trials.crossJoin(F.broadcast(kept)).withColumn("accepted", F.array_contains("kept", F.col("trial"))).drop("kept")  # one row
+
+
+def basket_values(lines: DataFrame, recommended: DataFrame, prices: DataFrame, top: int = 3) -> DataFrame:
+    """(order_id, basket_value, add_on_value): what a basket with recommendations is worth, and what its first top recommendations would add. prices: (item, price)."""
+    worth = lambda df, name: df.join(prices, "item").groupBy("order_id").agg(F.sum("price").alias(name))
+    some = recommended.select("order_id").distinct()
+    return worth(lines.join(some, "order_id", "left_semi"), "basket_value").join(worth(recommended.where(F.col("place") <= top), "add_on_value"), "order_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,3 +180,21 @@ def traits(places: DataFrame, label: str, most: int) -> DataFrame:
     far = places.where((F.col("position") < 0.35) | (F.col("position") > 0.65))
     order = Window.partitionBy(label).orderBy(F.desc(F.round(F.abs(F.col("position") - 0.5), 9)), "axis")
     return far.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(label, "place", "axis", F.when(F.col("position") > 0.5, "high").otherwise("low").alias("side"))
+
+
+def projection(df: DataFrame, vector: str, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """df with a column place (array of k), and (axis, variance, share): the principal axes of the centred vectors, fitted once.
+
+    Spark's PCA doesn't centre what it transforms, so the mean's projection is taken off. Of each
+    axis the sign is that with the largest component positive; share is of the whole variance.
+    """
+    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    model = PCA(k=k, inputCol="features", outputCol="turned").fit(v)
+    axes = model.pc.toArray()
+    signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
+    turned = model.transform(v).withColumn("turned", vector_to_array("turned"))
+    center = turned.agg(*[F.avg(F.get("turned", F.lit(j))).alias(f"m{j}") for j in range(k)])  # one row
+    out = turned.crossJoin(F.broadcast(center)).withColumn("place", F.array(*[F.lit(signs[j]) * (F.get("turned", F.lit(j)) - F.col(f"m{j}")) for j in range(k)]))
+    spread = out.agg(*[F.var_samp(F.get("place", F.lit(j))).alias(f"v{j}") for j in range(k)])
+    cells = F.array(*[F.struct(F.lit(j + 1).alias("axis"), F.col(f"v{j}").alias("variance"), F.lit(float(model.explainedVariance[j])).alias("share")) for j in range(k)])
+    return out.drop("features", "turned", *[f"m{j}" for j in range(k)]), spread.select(F.inline(cells))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,9 +122,39 @@ def unigram_loss(train: DataFrame, held: DataFrame, vocabulary: int) -> DataFram
 
 
 def repetition(df: DataFrame, key: str, text: Column, n: int = 12) -> DataFrame:
-    """(key, grams, most, distinct_ratio, looping): how often a text's most frequent n characters in a row occur."""
-    rows = df.select(key, text.alias("t")).where(F.length("t") >= n)
-    grams = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))).alias("g"))
-    counts = grams.groupBy(key, F.xxhash64("g").alias("h")).agg(F.count("*").alias("c"))
-    out = counts.groupBy(key).agg(F.sum("c").alias("grams"), F.max("c").alias("most"), F.count("*").alias("different"))
-    return out.select(key, "grams", "most", F.round(F.col("different") / F.col("grams"), 6).alias("distinct_ratio"), (F.col("most") >= 3).alias("looping"))
+    """(key, grams, most, distinct_ratio, looping) of each row whose text has n characters: how often its most frequent n characters in a row occur. They are counted by hash within the row, so nothing is shuffled."""
+    rows = df.select(key, text.cast("string").alias("t")).where(F.length("t") >= n)
+
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for t in texts:
+            codes = np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+            h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+            for i in range(n):
+                h = (h ^ codes[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            times = np.unique(h, return_counts=True)[1]
+            found.append((int(len(h)), int(times.max()), int(len(times))))
+        return pd.DataFrame(found, columns=["grams", "most", "different"])
+
+    out = rows.select(key, F.pandas_udf(counted, "grams long, most long, different long")("t").alias("c"))
+    return out.select(key, "c.grams", "c.most", F.round(F.col("c.different") / F.col("c.grams"), 6).alias("distinct_ratio"), (F.col("c.most") >= 3).alias("looping"))
+
+
+def epochs(df: DataFrame, key: str, factor: Column, count: int, seed: str) -> DataFrame:
+    """(epoch, pass) and df: in each epoch a row of a factor of 1 or more stands that often, and of a smaller factor that share of the rows, chosen anew by a hash with the epoch in it."""
+    each = df.withColumns({"factor_": factor.cast("double"), "epoch": F.explode(F.sequence(F.lit(0), F.lit(count - 1)))})
+    bucket = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "epoch", F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") % 1000
+    times = F.when(F.col("factor_") >= 1, F.floor("factor_")).otherwise((bucket < F.col("factor_") * 1000).cast("long"))
+    return each.withColumn("times_", times).where("times_ > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_")))).drop("times_", "factor_")
+
+
+def folded(turns: DataFrame, key: str, order: list[str], fields: list[str], name: str = "messages") -> DataFrame:
+    """(key, messages): the rows of each key as an array of structs, in order."""
+    at = F.array_sort(F.collect_list(F.struct(*order, *[F.col(f).alias(f"{f}_") for f in fields])))
+    return turns.groupBy(key).agg(F.transform(at, lambda x: F.struct(*[x[f"{f}_"].alias(f) for f in fields])).alias(name))
+
+
+def unfolded(df: DataFrame, key: str, name: str = "messages") -> DataFrame:
+    """(key, place, and the fields) of each struct of an array, in order, place from 0; a null or empty array has no rows."""
+    return df.select(key, F.posexplode(name).alias("place", "m")).select(key, "place", "m.*")

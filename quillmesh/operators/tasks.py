@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import half_up, percent
-from .ranks import placed
+from .ranks import place, placed
 
 SMART = ("all", "today", "upcoming", "important", "completed")
 SORTS = ("custom", "due_asc", "due_desc", "priority", "title", "recent")
@@ -210,3 +210,37 @@ def patched(tasks: DataFrame, changes: DataFrame, fields: list[str], replace: bo
     out = tasks.join(new, "id", "left")
     value = lambda f: F.when(F.col("is_changed"), F.col(f"new_{f}")).otherwise(F.col(f)) if replace else F.coalesce(f"new_{f}", f)
     return out.select(*[value(c).alias(c) if c in fields else F.col(c) for c in tasks.columns])
+
+
+#: Fixed values.
+MAX_TITLE, MAX_MINUTES = 500, 100_000
+
+
+def task_checks(categories: DataFrame | None = None) -> list[tuple[str, str, Column]]:
+    """What keeps a row of a task table with text columns from being taken: field, reason, condition. For cleaning.violations; a category must exist if known says so (see with_known)."""
+    title, due = F.trim(F.coalesce(F.col("title"), F.lit(""))), F.col("due_date").cast("string")
+    checks = [
+        ("title", "required", title == ""), ("title", "too long", F.char_length(title) > MAX_TITLE),
+        ("priority", "invalid", ~F.coalesce(F.col("priority").isin(*PRIORITIES), F.lit(False))), ("status", "invalid", ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))),
+        ("due_date", "not YYYY-MM-DD", (F.coalesce(due, F.lit("")) != "") & (~F.coalesce(due.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.lit(False)) | F.try_to_timestamp(due, F.lit("yyyy-MM-dd")).isNull())),
+    ]
+    for c in ("estimated_minutes", "time_spent_minutes"):
+        number = F.col(c).cast("string").try_cast("long")
+        checks.append((c, "not a whole number of minutes", (F.coalesce(F.col(c).cast("string"), F.lit("")) != "") & ~F.coalesce(number.between(0, MAX_MINUTES), F.lit(False))))
+    return checks if categories is None else [*checks, ("category_id", "does not exist", F.col("category_id").isNotNull() & ~F.col("category_known"))]
+
+
+def with_known(tasks: DataFrame, categories: DataFrame, key: str = "id") -> DataFrame:
+    """tasks with category_known: whether the category is a row of categories."""
+    have = categories.select(F.col(key).alias("known_id")).distinct()
+    return tasks.join(have, tasks["category_id"] == have["known_id"], "left").withColumn("category_known", F.col("known_id").isNotNull()).drop("known_id")
+
+
+def get_or_create(existing: DataFrame, wanted: DataFrame, name: str = "name") -> DataFrame:
+    """(id, name, created): the existing rows that are wanted, and a new row for each other name (compared in lower case, its first spelling in order kept); new ids go on from the largest, by name."""
+    have = existing.select("id", name, F.lower(name).alias("low"))
+    asked = wanted.where(F.trim(name) != "").groupBy(F.lower(F.trim(name)).alias("low")).agg(F.min(F.trim(name)).alias(name))
+    new = asked.join(have, "low", "left_anti")
+    top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    fresh = place(new, [name], F.struct("low")).crossJoin(F.broadcast(top)).select((F.col("top") + F.col("place")).alias("id"), name, F.lit(True).alias("created"))
+    return have.join(asked.select("low"), "low", "left_semi").select("id", name, F.lit(False).alias("created")).unionByName(fresh)

@@ -208,3 +208,19 @@ def basket_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an exact-size sample of orders, by semi-join."""
     orders = cleaning.exact_sample(parquet(spark, sf_dir, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("order_id")), "order_id", 1000, "sample")
     return views.basket_lines(spark, sf_dir).join(orders, "order_id", "left_semi").groupBy("order_id").agg(F.count("*").alias("items"))
+
+
+RECOMMENDED = f"""{FIRED}, sc AS (SELECT rank, round(lift * confidence, 9) AS score, unnest(consequent) AS item FROM rules WHERE lift >= {STRONG}), h AS (SELECT order_id, item, score, rank FROM fired JOIN sc USING (rank) WHERE NOT EXISTS (SELECT 1 FROM lines WHERE lines.order_id = fired.order_id AND lines.item = sc.item)),
+b AS (SELECT *, row_number() OVER (PARTITION BY order_id, item ORDER BY score DESC, rank) AS k FROM h), g AS (SELECT order_id, item, max(score) AS score, min(rank) FILTER (WHERE k = 1) AS rank, array_to_string(list(rank ORDER BY k) FILTER (WHERE k <= 3), ',') AS supporting FROM b GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, item) AS place FROM g)"""
+PRICES = "prices AS (SELECT regexp_extract(p_brand, '[0-9]+')::bigint AS item, round(avg(p_retailprice), 2)::decimal(12, 2) AS price FROM part GROUP BY 1)"
+
+
+@query(f"{RECOMMENDED}, {PRICES}, o AS (SELECT DISTINCT order_id FROM p), v AS (SELECT order_id, sum(price) AS basket_value FROM lines JOIN o USING (order_id) JOIN prices USING (item) GROUP BY 1), a AS (SELECT order_id, sum(price) AS add_on_value FROM p JOIN prices USING (item) WHERE place <= 3 GROUP BY 1) SELECT order_id, basket_value::double AS basket_value, add_on_value::double AS add_on_value FROM v LEFT JOIN a USING (order_id)")
+def basket_add_on_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of each basket that has recommendations, and of the first three of them, at the mean price of a brand."""
+    part = parquet(spark, sf_dir, "part", ["p_brand", "p_retailprice"])
+    prices = part.groupBy(F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("item")).agg(F.round(F.avg("p_retailprice"), 2).cast("decimal(12,2)").alias("price"))
+    lines = views.basket_lines(spark, sf_dir)
+    out = ops.basket_values(lines, ops.recommend(lines, ranked(spark, sf_dir).where(F.col("lift") >= STRONG)), prices)
+    return out.select("order_id", *[F.col(c).cast("double").alias(c) for c in ("basket_value", "add_on_value")])

@@ -185,3 +185,25 @@ def corpus_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 10), lambda i: substr(text, i, 12))) AS g FROM documents WHERE length(text) >= 12), c AS (SELECT doc_id, g, count(*) AS c FROM g GROUP BY ALL) SELECT doc_id, sum(c)::bigint AS grams, max(c) AS most, round(count(*) / sum(c), 6) AS distinct_ratio, max(c) >= 3 AS looping FROM c GROUP BY doc_id")
 def corpus_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.repetition(documents(spark, sf_dir, "doc_id", "text"), "doc_id", F.col("text"))
+
+
+@query("""WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT source, CASE WHEN n = max(n) OVER () THEN 0.4::double ELSE least(3, floor(max(n) OVER () / n))::double END AS factor FROM s), e AS (SELECT doc_id, d.source, factor, unnest(range(3)) AS epoch FROM documents d JOIN f USING (source)),
+t AS (SELECT *, CASE WHEN factor >= 1 THEN floor(factor)::bigint ELSE (('0x' || substr(md5('epoch|' || epoch::varchar || '|' || doc_id::varchar), 1, 8))::bigint % 1000 < factor * 1000)::bigint END AS times FROM e) SELECT epoch::int AS epoch, doc_id, unnest(range(1, times + 1)) AS pass FROM t WHERE times > 0""")
+def corpus_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs: small sources repeated up to three times, of the largest one two rows in five, drawn anew."""
+    d = documents(spark, sf_dir, "doc_id", "source")
+    n = d.groupBy("source").agg(F.count("*").alias("n"))
+    most = n.agg(F.max("n").alias("most"))  # one row
+    factor = n.crossJoin(F.broadcast(most)).select("source", F.when(F.col("n") == F.col("most"), 0.4).otherwise(F.least(F.lit(3), F.floor(F.col("most") / F.col("n"))).cast("double")).alias("factor"))
+    return ops.epochs(d.join(factor, "source"), "doc_id", F.col("factor"), 3, "epoch").select("epoch", "doc_id", "pass")
+
+
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS place, role, text FROM conversations")
+def corpus_nested_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations folded to nested messages, written as JSON records, read back with their schema and unfolded."""
+    from ..sources.tables import as_record, records_of
+
+    c = parquet(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    nested = ops.folded(c, "conv_id", ["turn"], ["role", "text"])
+    read = records_of(nested.select(as_record("conv_id", "messages").alias("record")), "record", "conv_id long, messages array<struct<role: string, text: string>>")
+    return ops.unfolded(read.where("corrupt IS NULL"), "conv_id")

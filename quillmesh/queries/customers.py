@@ -183,3 +183,16 @@ def vectors_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select(array_to_vector("v").alias("features")).persist()
     curve = [(k, float(KMeans(k=k, seed=7, maxIter=10).fit(v).summary.trainingCost)) for k in range(2, 10)]
     return ops.knee(spark.createDataFrame(curve, "k int, wcss double"), "k", "wcss")
+
+
+@query()
+def vectors_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors on their first two principal axes."""
+    at, _ = ops.projection(vectors(spark, sf_dir), "v")
+    return at.select("vec_id", "label", *[F.round(F.get("place", F.lit(j)), 6).alias(n) for j, n in enumerate("xy")])
+
+
+@query()
+def vectors_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variance along the first two principal axes, and their shares of all variance."""
+    return ops.projection(vectors(spark, sf_dir), "v")[1].select("axis", F.round("variance", 9).alias("variance"), F.round("share", 9).alias("share"))

@@ -220,3 +220,33 @@ def task_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = t.where("id % 4 < 2").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), F.col("id").cast("string"))).alias("title"), F.when(F.col("id") % 5 == 0, "low").alias("priority"))
     both = [ops.patched(t, changes, ["title", "priority"], replace).select("id", F.col("title").alias(f"{n}_title"), F.col("priority").alias(f"{n}_priority")) for n, replace in (("patched", False), ("replaced", True))]
     return both[0].join(both[1], "id")
+
+
+RAW = "raw AS (SELECT id, CASE WHEN id % 7 = 0 THEN ' ' WHEN id % 41 = 0 THEN repeat('x', 501) ELSE title END AS title, CASE WHEN id % 11 = 0 THEN 'asap' ELSE priority END AS priority, status, CASE WHEN id % 23 = 0 THEN '2020-13-01' WHEN id % 29 = 0 THEN '1 May' ELSE due_date::varchar END AS due_date, category_id, NULL::varchar AS estimated_minutes, CASE WHEN id % 31 = 0 THEN '-5' WHEN id % 37 = 0 THEN 'ten' ELSE time_spent_minutes::varchar END AS time_spent_minutes FROM tasks)"
+
+
+@query(f"""{W}, {RAW} SELECT id, 'title' AS field, 'required' AS reason FROM raw WHERE trim(title) = '' UNION ALL SELECT id, 'title', 'too long' FROM raw WHERE length(trim(title)) > 500 UNION ALL SELECT id, 'priority', 'invalid' FROM raw WHERE priority = 'asap'
+UNION ALL SELECT id, 'due_date', 'not YYYY-MM-DD' FROM raw WHERE due_date IS NOT NULL AND try_cast(due_date AS date) IS NULL UNION ALL SELECT id, 'time_spent_minutes', 'not a whole number of minutes' FROM raw WHERE time_spent_minutes IS NOT NULL AND NOT coalesce(try_cast(time_spent_minutes AS bigint) BETWEEN 0 AND 100000, false)
+UNION ALL SELECT id, 'category_id', 'does not exist' FROM raw WHERE category_id = 4""")
+def task_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break the rules of a task, on raw rows with blank titles, unknown priorities, bad dates and minutes, and a category that isn't there."""
+    from ..operators import cleaning
+
+    i, text = F.col("id"), lambda c: F.col(c).cast("string")
+    raw = views.tasks(spark, sf_dir).withColumns({
+        "title": F.when(i % 7 == 0, " ").when(i % 41 == 0, F.repeat(F.lit("x"), F.lit(501))).otherwise(F.col("title")), "priority": F.when(i % 11 == 0, "asap").otherwise(F.col("priority")),
+        "due_date": F.when(i % 23 == 0, "2020-13-01").when(i % 29 == 0, "1 May").otherwise(text("due_date")), "estimated_minutes": F.lit(None).cast("string"), "time_spent_minutes": F.when(i % 31 == 0, "-5").when(i % 37 == 0, "ten").otherwise(text("time_spent_minutes")),
+    })
+    known = spark.range(4).select(F.col("id").cast("int").alias("id"))
+    return cleaning.violations(ops.with_known(raw, known), "id", ops.task_checks(known))
+
+
+@query("""WITH have AS (SELECT row_number() OVER (ORDER BY p_brand) AS id, p_brand AS name FROM (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 2 = 0 AND p_brand < 'Brand#3')), want AS (SELECT lower(p_brand) AS low, min(p_brand) AS name FROM part WHERE p_brand > 'Brand#2' GROUP BY 1)
+SELECT h.id, h.name, false AS created FROM have h JOIN want w ON lower(h.name) = w.low UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM have) + row_number() OVER (ORDER BY low), name, true FROM want WHERE low NOT IN (SELECT lower(name) FROM have)""")
+def tag_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some brands exist as tags; those that are asked for and aren't there become rows."""
+    from ..operators.ranks import place
+
+    p = parquet(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    have = place(p.where("p_partkey % 2 = 0 AND p_brand < 'Brand#3'").select(F.col("p_brand").alias("name")).distinct(), ["name"], F.struct("name")).withColumnRenamed("place", "id")
+    return ops.get_or_create(have, p.where("p_brand > 'Brand#2'").select(F.col("p_brand").alias("name")))

@@ -81,3 +81,26 @@ def write_report(df: DataFrame, path: str) -> None:
 def as_record(*columns: Column) -> Column:
     """Columns as one JSON text."""
     return F.to_json(F.struct(*columns))
+
+
+def records_of(texts: DataFrame, column: str, schema: str, corrupt: str = "corrupt") -> DataFrame:
+    """The JSON texts of a column as columns of the schema, with the text itself in the corrupt column where it isn't such a record; other columns stay."""
+    full = f"{schema}, {corrupt} string"
+    parsed = texts.withColumn("record_", F.from_json(column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}))
+    return parsed.select(*[c for c in texts.columns if c != column], "record_.*")
+
+
+def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, or an error if its columns aren't exactly these in this order."""
+    if df.columns != columns:
+        raise ValueError(f"columns are {', '.join(df.columns)}; wanted {', '.join(columns)}")
+    return df
+
+
+def star(spark: SparkSession, folder: str, fact: str, dimensions: dict[str, tuple[str, str]], schemas: dict[str, str], sep: str = ",") -> DataFrame:
+    """A fact table of CSV files with its dimensions joined on: name -> (fact's key, dimension's key). A fact without its dimension keeps nulls."""
+    out = csv_typed(spark, f"{folder}/{fact}.csv", schemas[fact], sep=sep)
+    for name, (key, own) in dimensions.items():
+        other = csv_typed(spark, f"{folder}/{name}.csv", schemas[name], sep=sep)
+        out = out.join(other.withColumnRenamed(own, "key_"), out[key] == F.col("key_"), "left").drop("key_")
+    return out
