@@ -26,27 +26,28 @@ def frequency(lines: DataFrame, total: int) -> DataFrame:
 def itemsets(lines: DataFrame, total: int, support: float, longest: int = 3) -> DataFrame:
     """(items, cnt, support) of all itemsets in at least support x total orders, level by level.
 
-    Candidates of a level are frequent sets that share all items but the last, if every smaller
-    subset is frequent too; they are counted by joining the orders of the two. Occurrences
-    (order, set) of a level are kept for the next, so a level never looks at longer baskets again.
+    Orders are brought together once, as sorted arrays. An occurrence of a set is a row with the rest
+    of its order, the items behind the set's last; a level extends each occurrence of a frequent set by
+    every item of its rest, if all smaller subsets are frequent too. So a level shuffles only its
+    counts, summed up before, and looks sets up in the level before by a semi-join on their arrays,
+    which Spark broadcasts where that level is small.
     """
     least = support * total
-    held = lines.select("order_id", F.array("item").alias("items"))
+    orders = lines.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("all")).select("all").persist()
+    after = lambda column, i: F.slice(column, i + 2, F.greatest(F.lit(1), F.size(column)))
+    held = orders.select("all", F.posexplode("all").alias("i", "item")).select(F.array("item").alias("items"), after("all", F.col("i")).alias("rest"))
     levels = []
     for size in range(1, longest + 1):
-        counts = held.groupBy("items").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
-        counts = counts.persist()
+        counts = held.groupBy("items").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least).persist()
         levels.append(counts)
         if size == longest or counts.isEmpty():
             break
         frequent = held.join(counts.select("items"), "items", "left_semi")
-        stem = frequent.select("order_id", F.slice("items", 1, size - 1).alias("stem"), F.element_at("items", -1).alias("last"))
-        pairs = stem.alias("a").join(stem.alias("b"), ["order_id", "stem"]).where("a.last < b.last")
-        held = pairs.select("order_id", F.concat("stem", F.array(F.col("a.last"), F.col("b.last"))).alias("items"))
-        if size > 1:  # downward closure: subsets that drop one of the stem's items
-            for i in range(size - 1):
-                part = F.concat(F.slice("items", 1, i), F.slice("items", i + 2, size))
-                held = held.withColumn("part", part).join(counts.select(F.col("items").alias("part")), "part", "left_semi").drop("part")
+        grown = frequent.select("items", "rest", F.posexplode("rest").alias("i", "item"))
+        held = grown.select(F.concat("items", F.array("item")).alias("items"), after("rest", F.col("i")).alias("rest"))
+        for i in range(size):  # downward closure: the subsets with the new item
+            part = F.concat(F.slice("items", 1, i), F.slice("items", i + 2, size))
+            held = held.withColumn("part", part).join(counts.select(F.col("items").alias("part")), "part", "left_semi").drop("part")
     return reduce(DataFrame.unionByName, levels).withColumn("support", F.col("cnt") / F.lit(total))
 
 
