@@ -540,3 +540,24 @@ def test_pipeline_stages_on_odd_rows(spark, docs, tmp_path):
     assert out.columns[: len(docs.columns)] == docs.columns and {r.doc_id for r in out.collect()} == {3, 5, None}
     docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_items_of_nine_tokens_are_found_with_one_changed(spark):
+    w = "alpha beta gamma delta epsilon zeta eta theta iota".split()
+    changed = lambda i: [*w[:i], "CHANGED", *w[i + 1 :]]
+    rows = [(i, "x y z " + " ".join(changed(i)) + " more words here") for i in range(9)] + [(20, "x " + " ".join(w)), (21, "x " + " ".join(w[:4]) + " and nothing"), (22, " ".join(w * 400)), (23, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    kept = {r.doc_id for r in decontaminate.remove(docs, items).collect()}
+    assert kept == {0, 1, 2, 3, 5, 6, 7, 8, 21, 23}  # only a change at the fifth token leaves a run over all nine
+
+
+def test_one_row_speaks_for_each_full_node(spark):
+    """Two groups of more than ENOUGH equal paths in one subtrie: both stay apart or are joined as their texts say."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    near = lambda n, at: [" ".join([*base[:at], f"v{i}", *base[at + 1 :]]) for i in range(n)]
+    texts = near(6, 20) + near(6, 120) + [" ".join(f"u{rng.randrange(5000)}" for _ in range(200))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard.first_of_each(docs).collect()}
+    assert kept == {0, 12}
