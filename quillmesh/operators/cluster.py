@@ -87,12 +87,26 @@ def shares(df: DataFrame, label: str, least: float = 0.01) -> DataFrame:
     return n.select(label, "n", F.round(share, 6).alias("share"), (share >= least).alias("enough"))
 
 
-def entrants(df: DataFrame, vector: str, k: int, seed: int = 7) -> dict[str, DataFrame]:
+def best_of(v: DataFrame, k: int, seeds: range) -> DataFrame:
+    """v with the clusters of the k-means restart whose squares are least, of equal ones the first."""
+    fits = [KMeans(k=k, seed=s, maxIter=20, predictionCol="cluster").fit(v) for s in seeds]
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(v)
+
+
+def entrants(df: DataFrame, vector: str, k: int, seed: int = 7, restarts: int = 5) -> dict[str, DataFrame]:
     """Partitions by Spark ML families, each with a column cluster."""
-    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    v = PCA(k=2, inputCol="features", outputCol="flat").fit(v).transform(v)  # full covariances need few dimensions
-    models = {"kmeans": KMeans(k=k, seed=seed, maxIter=20), "bisecting": BisectingKMeans(k=k, seed=seed), "mixture": GaussianMixture(k=k, seed=seed, maxIter=10, featuresCol="flat")}
-    return {n: m.setPredictionCol("cluster").fit(v).transform(v).drop("features", "flat", "probability") for n, m in models.items()}
+    v = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).persist()
+    flat = PCA(k=2, inputCol="features", outputCol="flat").fit(v).transform(v)  # full covariances need few dimensions
+    out = {"kmeans": best_of(v, k, range(seed, seed + restarts))}
+    models = {"bisecting": BisectingKMeans(k=k, seed=seed), "mixture": GaussianMixture(k=k, seed=seed, maxIter=10, featuresCol="flat")}
+    out |= {n: m.setPredictionCol("cluster").fit(flat).transform(flat) for n, m in models.items()}
+    return {n: p.select(*df.columns, "cluster") for n, p in out.items()}
+
+
+def leaderboard(scores: DataFrame) -> DataFrame:
+    """(entrant, silhouette, ...) with place and champion: the largest silhouette first, undefined ones last and never champion; a row for each entrant."""
+    place = F.rank().over(Window.orderBy(F.col("silhouette").desc_nulls_last()))
+    return scores.withColumn("place", place).withColumn("champion", (F.col("place") == 1) & F.col("silhouette").isNotNull())
 
 
 def knee(df: DataFrame, x: str, y: str) -> DataFrame:

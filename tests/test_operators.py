@@ -339,3 +339,11 @@ def test_graph_clusters_find_two_rings(spark):
     df = spark.createDataFrame(ring(16, 1.0, 0) + ring(40, 6.0, 100), "id long, v array<double>")
     got = {r.key: r.cluster for r in density.graph_clusters(df, "id", "v", 2, 9).collect()}
     assert len({got[i] for i in range(16)}) == 1 and len({got[100 + i] for i in range(40)}) == 1 and got[0] != got[100]
+
+
+def test_leaderboard_has_one_champion_and_undefined_entrants_last(spark):
+    rows = [("a", 0.2), ("b", None), ("c", 0.5), ("d", 0.2)]
+    got = {r.entrant: (r.place, r.champion) for r in cluster.leaderboard(spark.createDataFrame(rows, "entrant string, silhouette double")).collect()}
+    assert got == {"c": (1, True), "a": (2, False), "d": (2, False), "b": (4, False)}
+    none = cluster.leaderboard(spark.createDataFrame([("x", None)], "entrant string, silhouette double")).first()
+    assert none.place == 1 and not none.champion
