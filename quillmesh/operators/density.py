@@ -1,13 +1,14 @@
 """Exact neighbours in blocks, the k-distance curve, density clusters with noise, and a neighbour graph's clusters.
 
-Rows are dealt into blocks of about BLOCK by a hash, and each pair of blocks is one task's work. What
-leaves a task is a number, a place or a link for each of its rows, never the pairs themselves.
+Rows are dealt into blocks by a hash, and each pair of blocks is one task's work. What leaves a task
+is a number, a place or a link for each of its rows, never the pairs themselves. Squared distances come
+from matrix products, tile by tile; pairs that these can't settle are computed from the differences.
 Distances are rounded to DIGITS, so that a radius taken from the distances themselves includes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,22 +21,85 @@ from pyspark.sql.window import Window
 from ..sources.stored import cut
 from .ranks import running
 
-BLOCK, DIGITS = 2048, 9
+DIGITS = 9
+#: A block asked has up to 8 times, a block of others 32 times BLOCK rows; a small table is asked in up to SPREAD blocks of BLOCK rows.
+BLOCK, SPREAD = 2048, 16
+TALL, WIDE, PAIRS = 512, 2048, 16384  # a tile of distances within a pair of blocks, and the pairs of one step of gaps
 
 
 def matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
-
-
-def gaps(rows: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(((rows - row) ** 2).sum(1)), DIGITS)
+    return np.concatenate(column.to_list()).astype(np.float64).reshape(len(column), len(column.iloc[0]))
+
+
+def gaps(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of the pairs (x[i], y[j]), a bounded number at a time."""
+    parts = [np.sqrt(((x[i[k : k + PAIRS]] - y[j[k : k + PAIRS]]) ** 2).sum(1)) for k in range(0, len(i), PAIRS)]
+    return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
+
+
+def tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, float]]:
+    """(rows, others, squared distances, their error at most) of all pairs, by matrix products."""
+    center = y.mean(0)
+    if np.isfinite(center).all():  # the smaller the numbers, the smaller the error
+        x, y = x - center, y - center
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    error = 1e-15 * (x.shape[1] + 4) * float(np.nanmax(xx, initial=0) + np.nanmax(yy, initial=0))
+    for i in range(0, len(x), TALL):
+        for j in range(0, len(y), WIDE):
+            at, to = slice(i, i + TALL), slice(j, j + WIDE)
+            square = x[at] @ y[to].T
+            square *= -2
+            square += xx[at, None]
+            square += yy[to]
+            yield at, to, square, error
+
+
+def reach(distance: np.ndarray | float, error: float) -> np.ndarray | float:
+    """The square that no pair of this rounded distance is beyond."""
+    return (distance + 10.0**-DIGITS) ** 2 + error
+
+
+def linked(x: np.ndarray, y: np.ndarray, at: slice, to: slice, square: np.ndarray, error: float, eps: float) -> np.ndarray:
+    """Whether the pairs of a tile are within eps; what the squares leave open is settled by the differences."""
+    inner = max(0.0, eps - 10.0**-DIGITS) ** 2 - error
+    sure = square < inner
+    i, j = np.nonzero(~(square > reach(eps, error)) & ~sure)
+    sure[i, j] = gaps(x[at], y[to], i, j) <= eps
+    return sure
+
+
+def closest(a: pd.DataFrame, b: pd.DataFrame, m: int, most: float = np.inf) -> pd.DataFrame:
+    """(key, other, distance): of each row of a the m nearest rows of b that are within most, itself before others, then by key."""
+    x, y, own, ids = matrix(a["v"]), matrix(b["v"]), a["key"].to_numpy(), b["key"].to_numpy()
+    found, row, other, d, limit = [], np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)
+    for at, to, square, error in tiles(x, y):
+        if to.start == 0:
+            row, other, d, limit = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(len(square), reach(most, error))
+            if square.shape[1] > m:
+                top = np.sqrt(np.maximum(np.partition(square, m - 1, 1)[:, m - 1] + error, 0))
+                limit = np.fmin(limit, reach(top + 10.0**-DIGITS, error))
+        i, j = np.nonzero(~(square > limit[:, None]))
+        if len(i):
+            new = gaps(x[at], y[to], i, j)
+            row, other, d = np.concatenate((row, i)), np.concatenate((other, j + to.start)), np.concatenate((d, new))
+            order = np.lexsort((ids[other], ids[other] != own[at][row], d, row))
+            row, other, d = row[order], other[order], d[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, other, d, place = (c[place < m] for c in (row, other, d, place))
+            full = place == m - 1
+            limit[row[full]] = np.fmin(limit[row[full]], reach(d[full], error))
+        if to.stop >= len(y):
+            keep = (d <= most) | np.isinf(most)
+            found.append(pd.DataFrame({"key": own[at][row[keep]], "other": ids[other[keep]], "distance": d[keep]}))
+    return pd.concat(found)
 
 
 def by_blocks(asked: DataFrame, others: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """work(rows asked, other rows) for every pair of blocks of two tables (key, v, ...)."""
-    size = lambda df, n: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias(n))
+    blocks = lambda rows: F.ceil(F.count("*") / rows)
+    asked_in = F.greatest(F.lit(1), blocks(8 * BLOCK), F.least(F.lit(SPREAD), blocks(BLOCK)))
     others = others.toDF(*others.columns)  # a table may be asked about itself
-    sizes = F.broadcast(size(asked, "qs").crossJoin(size(others, "cs")))  # one row
+    sizes = F.broadcast(asked.agg(asked_in.cast("int").alias("qs")).crossJoin(others.agg(F.greatest(F.lit(1), blocks(32 * BLOCK)).cast("int").alias("cs"))))  # one row
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     left = asked.crossJoin(sizes).withColumn("qb", deal("qs")).withColumn("cb", every("cs")).drop("qs", "cs")
@@ -46,23 +110,15 @@ def by_blocks(asked: DataFrame, others: DataFrame, work: Callable[[pd.DataFrame,
 
 
 def keyed(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
-    """(key, v, ...) of the rows that have both; keys are whole numbers without repeats, vectors equally long."""
-    return df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), *more).where("key IS NOT NULL AND v IS NOT NULL")
+    """(key, v, ...) of the rows that have both; keys are whole numbers without repeats, vectors equally long. Vectors of floats stay so until they are compared."""
+    v = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    return df.select(F.col(key).cast("long").alias("key"), v.alias("v"), *more).where("key IS NOT NULL AND v IS NOT NULL")
 
 
 def nearest(df: DataFrame, key: str, vector: str, m: int) -> DataFrame:
     """(key, place, other, distance): the m nearest rows of each row, itself at place 1; ties to the smaller key, all rows if fewer."""
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, ids, out = matrix(b["v"]), b["key"].to_numpy(), []
-        for own, row in zip(a["key"], matrix(a["v"]), strict=True):
-            d = gaps(x, row)
-            top = np.lexsort((ids, ids != own, d))[:m]
-            out.append(pd.DataFrame({"key": own, "other": ids[top], "distance": d[top]}))
-        return pd.concat(out)
-
     rows = keyed(df, key, vector)
-    found = by_blocks(rows, rows, near, "key long, other long, distance double")
+    found = by_blocks(rows, rows, lambda a, b: closest(a, b, m), "key long, other long, distance double")
     place = F.row_number().over(Window.partitionBy("key").orderBy("distance", F.col("other") != F.col("key"), "other"))
     return found.withColumn("place", place).where(F.col("place") <= m).select("key", "place", "other", "distance")
 
@@ -110,53 +166,51 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def density(df: DataFrame, key: str, vector: str, eps: float, least: int) -> DataFrame:
+def joined(a: pd.DataFrame, b: pd.DataFrame, eps: float) -> pd.DataFrame:
+    """(u, v): a link of every row with the smallest of its group, for the groups that links within eps of a's and b's rows make."""
+    x, y, keys = matrix(a["v"]), matrix(b["v"]), np.concatenate((a["key"].to_numpy(), b["key"].to_numpy()))
+    up = np.arange(len(keys))
+    for at, to, square, error in tiles(x, y):
+        u, v = np.nonzero(linked(x, y, at, to, square, error, eps))
+        u, v = u + at.start, v + to.start + len(x)
+        while len(u):
+            u, v = up[u], up[v]
+            u, v = np.minimum(u, v), np.maximum(u, v)
+            apart = u < v
+            u, v = u[apart], v[apart]
+            up[v] = u
+            while (up[up] != up).any():
+                up = up[up]
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, up, keys)
+    return pd.DataFrame({"u": keys, "v": least[up]})[keys != least[up]]
+
+
+def density(df: DataFrame, key: str, vector: str, eps: float, least: int, near: DataFrame | None = None) -> DataFrame:
     """(key, cluster, core): density clusters; a row with at least least rows within eps, itself counted, is a core.
 
     Cores within eps of each other share a cluster, named after its smallest core. Any other row
     goes with its nearest core within eps, of equally near ones with the smallest, or is noise: -1.
+    near: k_distances for least, if they are known; else rows are counted.
     """
     rows = keyed(df, key, vector)
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x = matrix(b["v"])
-        return pd.DataFrame({"key": a["key"], "near": [int((gaps(x, row) <= eps).sum()) for row in matrix(a["v"])]})
-
-    def stars(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """For each group that the two blocks join, a link of every row with one of them."""
-        x, y = matrix(a["v"]), matrix(b["v"])
-        linked = np.array([gaps(y, row) <= eps for row in x])
-        ka, kb, left, u, v = a["key"].to_numpy(), b["key"].to_numpy(), np.ones(len(a), dtype=bool), [], []
-        for i in range(len(a)):
-            if not left[i]:
-                continue
-            mine, theirs, new = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool), np.array([i])
-            while len(new):
-                mine[new] = True
-                reached = linked[new].any(0) & ~theirs
-                theirs |= reached
-                new = np.nonzero(linked[:, reached].any(1) & ~mine)[0]
-            left &= ~mine
-            for k in np.concatenate((ka[mine], kb[theirs])):
-                u.append(ka[i])
-                v.append(k)
-        return pd.DataFrame({"u": u, "v": v})
-
-    def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, ids, out = matrix(b["v"]), b["key"].to_numpy(), []
-        for own, row in zip(a["key"], matrix(a["v"]), strict=True):
-            d = gaps(x, row)
-            i = np.lexsort((ids, d))[0]
-            if d[i] <= eps:
-                out.append((own, ids[i], d[i]))
-        return pd.DataFrame(out, columns=["key", "core", "distance"])
-
-    near = by_blocks(rows, rows, count, "key long, near int").groupBy("key").agg(F.sum("near").alias("near"))
-    marked = cut(rows.join(near, "key").withColumn("core", F.col("near") >= least))
+        x, y, n = matrix(a["v"]), matrix(b["v"]), np.zeros(len(a), int)
+        for at, to, square, error in tiles(x, y):
+            n[at] += linked(x, y, at, to, square, error, eps).sum(1)
+        return pd.DataFrame({"key": a["key"], "near": n})
+
+    if near is None:
+        dense = by_blocks(rows, rows, count, "key long, near long").groupBy("key").agg((F.sum("near") >= least).alias("core"))
+    else:
+        dense = near.select("key", ((F.col("distance") <= eps) & (F.col("rows") >= least)).alias("core"))
+    marked = cut(rows.join(dense, "key"))
     cores, rest = marked.where("core").select("key", "v"), marked.where("NOT core").select("key", "v")
-    named = components(by_blocks(cores, cores, stars, "u long, v long")).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    named = components(by_blocks(cores, cores, lambda a, b: joined(a, b, eps), "u long, v long")).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     inner = cores.select("key").join(named, "key", "left").select("key", F.coalesce("cluster", "key").alias("cluster"), F.lit(True).alias("core"))
-    edge = by_blocks(rest, cores, border, "key long, core long, distance double").groupBy("key").agg(F.min(F.struct("distance", "core")).alias("at")).select("key", F.col("at.core").alias("by"))
+    border = by_blocks(rest, cores, lambda a, b: closest(a, b, 1, eps), "key long, other long, distance double")
+    edge = border.groupBy("key").agg(F.min(F.struct("distance", "other")).alias("at")).select("key", F.col("at.other").alias("by"))
     outer = rest.select("key").join(edge, "key", "left").join(inner.select(F.col("key").alias("by"), "cluster"), "by", "left")
     return inner.unionByName(outer.select("key", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), F.lit(False).alias("core")))
 
@@ -207,8 +261,15 @@ def silhouettes(df: DataFrame, key: str, vector: str, label: str, noise: int | N
     rows = rows if noise is None else rows.where(F.col("label") != noise)
 
     def far(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, (groups, at) = matrix(b["v"]), np.unique(b["label"].to_numpy(), return_inverse=True)
-        total = np.array([np.bincount(at, gaps(x, row), len(groups)) for row in matrix(a["v"])])
+        b = b.sort_values("label", kind="stable")
+        x, y, (groups, at) = matrix(a["v"]), matrix(b["v"]), np.unique(b["label"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(a), len(groups)))
+        for i, j, square, error in tiles(x, y):
+            p, q = np.nonzero(~(square > (error * 10.0**DIGITS) ** 2 + error))  # closer ones would be off by more than the rounding
+            d = np.sqrt(np.maximum(square, 0, out=square), out=square)
+            d[p, q] = gaps(x[i], y[j], p, q)
+            starts = np.flatnonzero(np.diff(at[j], prepend=-1))
+            total[i, at[j][starts]] += np.add.reduceat(d, starts, 1)
         n = len(groups)
         return pd.DataFrame({"key": np.repeat(a["key"].to_numpy(), n), "own": np.repeat(a["label"].to_numpy(), n), "other": np.tile(groups, len(a)), "total": total.ravel()})
 

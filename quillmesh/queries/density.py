@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import density as ops
-from .customers import vectors
+from ..sources.stored import cut
+from ..sources.tables import parquet
 from .registry import query
 
 M = 16  # rows within the radius that make a core, the row itself counted
@@ -15,12 +16,12 @@ CURVE = f"{PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY
 EPS = f"{CURVE}, z AS (SELECT min(place) AS x0, max(place) AS x1, arg_min(distance, place) AS y0, arg_max(distance, place) AS y1 FROM c), o AS (SELECT distance AS eps FROM c, z ORDER BY round(abs((y1 - y0) * place - (x1 - x0) * distance + x1 * y0 - y1 * x0), 9) DESC, place LIMIT 1)"
 
 
-def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.k_distances(vectors(spark, sf_dir), "vec_id", "v", M)
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parquet(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
 
 
-def eps(spark: SparkSession, sf_dir: str) -> float:
-    return float(ops.radius(curve(spark, sf_dir)).first()["eps"])  # one number, which the next step is told
+def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.k_distances(vectors(spark, sf_dir), "vec_id", "embedding", M)
 
 
 @query(f"WITH {CURVE} SELECT place, distance FROM c WHERE (place - 1) % greatest(1, rows // 300) = 0")
@@ -40,11 +41,13 @@ b AS (SELECT d.key, arg_min(d.other, (distance, d.other)) AS core FROM d, o WHER
 SELECT e.key AS vec_id, coalesce(m.cluster, mb.cluster, -1) AS cluster, m.key IS NOT NULL AS core FROM e LEFT JOIN m USING (key) LEFT JOIN b USING (key) LEFT JOIN m mb ON mb.key = b.core""")
 def vectors_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters with noise, the radius from the knee of the k-distance curve."""
-    return ops.density(vectors(spark, sf_dir), "vec_id", "v", eps(spark, sf_dir), M).withColumnRenamed("key", "vec_id")
+    near = cut(curve(spark, sf_dir))
+    eps = float(ops.radius(near).first()["eps"])  # one number, which the next step is told
+    return ops.density(vectors(spark, sf_dir), "vec_id", "embedding", eps, M, near).withColumnRenamed("key", "vec_id")
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT theirs, key, own, sum(distance) AS t, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT key, own, max(t / nullif(n - 1, 0)) FILTER (WHERE own = theirs) AS a, max(n) FILTER (WHERE own = theirs) AS n, min(t / n) FILTER (WHERE own <> theirs) AS b FROM g GROUP BY ALL),
 w AS (SELECT own AS label, CASE WHEN b IS NULL THEN NULL WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END AS s FROM s) SELECT label::bigint AS label, count(*) AS n, round(avg(s), 6) AS silhouette FROM w GROUP BY label UNION ALL SELECT NULL, count(*), round(avg(s), 6) FROM w""")
 def vectors_plain_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean silhouette of each label, and of all vectors, by plain distances."""
-    return ops.silhouettes(vectors(spark, sf_dir), "vec_id", "v", "label")
+    return ops.silhouettes(vectors(spark, sf_dir), "vec_id", "embedding", "label")
