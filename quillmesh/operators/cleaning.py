@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -129,12 +130,12 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 def stratified(df: DataFrame, label: str, key: str, cuts: list[tuple[str, float]], seed: str) -> DataFrame:
     """df with part: within each label, by md5 order, the first share goes to the first part and so on; sizes by floor."""
-    order = Window.partitionBy(label).orderBy(md5_order(F.col(key), seed), key)
+    order = Window.partitionBy(label).orderBy(md5_order(F.col(key), seed).asc_nulls_last(), key)
     share = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(label))
-    out, edge = F.lit(cuts[-1][0]), sum(c for _, c in cuts[:-1])
+    out, edge = F.lit(cuts[-1][0]), sum(Decimal(str(c)) for _, c in cuts[:-1])  # 0.55 + 0.15 is 0.7, which it isn't in doubles
     for name, width in reversed(cuts[:-1]):
-        out = F.when(share < edge, name).otherwise(out)
-        edge -= width
+        out = F.when(share < float(edge), name).otherwise(out)
+        edge -= Decimal(str(width))
     return df.withColumn("part", out)
 
 

@@ -170,10 +170,11 @@ def vectors_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import density
     from ..sources.stored import cut
 
-    v = vectors(spark, sf_dir)
-    eps = float(density.radius(density.k_distances(v, "vec_id", "v", 16)).first()["eps"])  # one number
+    v = parquet(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"]).withColumnRenamed("embedding", "v")
+    near = cut(density.k_distances(v, "vec_id", "v", 16))
+    eps = float(density.radius(near).first()["eps"])  # one number
     named = lambda found: v.join(found.select(F.col("key").alias("vec_id"), "cluster"), "vec_id")
-    every = ops.entrants(v, "v", 5) | {"density": named(density.density(v, "vec_id", "v", eps, 16)), "graph": named(density.graph_clusters(v, "vec_id", "v", 5))}
+    every = ops.entrants(v, "v", 5) | {"density": named(density.density(v, "vec_id", "v", eps, 16, near)), "graph": named(density.graph_clusters(v, "vec_id", "v", 5))}
     rows = []
     for name, found in every.items():
         p = cut(found)  # read several times

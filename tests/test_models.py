@@ -121,3 +121,11 @@ def test_power_grid_is_the_plain_one(spark):
 def test_probability_of_large_log_odds(spark):
     got = [r.p for r in spark.createDataFrame([(0.0,), (800.0,), (-800.0,), (math.log(3),)], "z double").select(models.probability(F.col("z")).alias("p")).collect()]
     assert got[:3] == [0.5, 1.0, 0.0] and got[3] == pytest.approx(0.75)
+
+
+def test_stratified_edges_are_the_decimal_ones(spark):
+    from quillmesh.operators import cleaning
+
+    df = spark.range(100).withColumn("y", F.lit(1))
+    got = cleaning.stratified(df, "y", "id", [("fit", 0.55), ("tune", 0.15), ("test", 0.30)], "split").groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in got} == {"fit": 55, "tune": 15, "test": 30}
