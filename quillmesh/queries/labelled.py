@@ -58,9 +58,9 @@ def category_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT DISTINCT {', '.join(FEATURES)} FROM cat), f AS (SELECT s.*, t.label, ln(t.n / (SELECT sum(n) FROM t)) AS prior FROM s CROSS JOIN t), q AS (SELECT f.*, prior + {' + '.join(f'p{i}.lp' for i in range(5))} AS lp FROM f {' '.join(f"JOIN p p{i} ON p{i}.feature = '{c}' AND p{i}.value = f.{c} AND p{i}.label = f.label" for i, c in enumerate(FEATURES))}) SELECT {', '.join(FEATURES)}, arg_max(label, round(lp, 9)) AS predicted, round(max(lp), 6) AS log_score FROM q GROUP BY {', '.join(FEATURES)}""")
 def category_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categorical naive Bayes with Laplace smoothing; every distinct profile scored by joins on its values."""
-    df = categories(spark, sf_dir)
-    k = contingency(df, FEATURES, "label").persist()
-    t = df.groupBy("label").agg(F.count("*").alias("total")).withColumn("prior", F.log(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1)))))
+    df = categories(spark, sf_dir).groupBy(*FEATURES, "label").agg(F.count("*").alias("n")).persist()  # a row for each profile and class
+    k = df.unpivot(["label", "n"], list(FEATURES), "feature", "value").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).persist()
+    t = df.groupBy("label").agg(F.sum("n").alias("total")).withColumn("prior", F.log(F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1)))))
     m = k.groupBy("feature").agg(F.count_distinct("value").alias("m"))
     grid = k.select("feature", "value").distinct().join(m, "feature").crossJoin(F.broadcast(t))  # one row for each class
     p = grid.join(k, ["feature", "value", "label"], "left").select("feature", "value", "label", "prior", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("m"))).alias("lp"))
