@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import running
+
 Rule = tuple[str, str, Column]
 
 
@@ -140,8 +142,12 @@ def stratified(df: DataFrame, label: str, key: str, cuts: list[tuple[str, float]
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: str) -> DataFrame:
-    """df with fold 0..k-1, dealt in turn within each label."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(md5_order(F.col(key), seed), key)) - 1) % k).cast("int"))
+    """df with fold 0..k-1, dealt in turn within each label. Places go by ranges of the order, so no label's rows meet in one task."""
+    order = md5_order(F.col(key), seed)
+    at = running(df, F.struct(F.col(label).alias("l"), order.isNull().alias("n"), order.alias("o"), F.col(key).alias("k")), {"fold_place": F.lit(1)})
+    first = at.groupBy(F.col(label).alias("fold_label")).agg(F.min("fold_place").alias("fold_first"))
+    at = at.join(F.broadcast(first), F.col(label).eqNullSafe(F.col("fold_label")))  # a row for each label
+    return at.withColumn("fold", ((F.col("fold_place") - F.col("fold_first")) % k).cast("int")).drop("fold_place", "fold_label", "fold_first")
 
 
 def leaked_keys(df: DataFrame, key: str, role_col: str) -> DataFrame:

@@ -25,18 +25,43 @@ def stacked(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """The distinct rows of df with the number of each, rows_, written down."""
+    some = df.groupBy(*df.columns).agg(F.count("*").alias("rows_"))
+    return cut(some.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns))
+
+
+def every_row(df: DataFrame) -> DataFrame:
+    """Each row of df rows_ times."""
+    step = 10000
+    some = df.withColumn("from_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows_") - 1, F.lit(step).cast("long"))))
+    return some.withColumn("rows_", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(step), F.col("rows_") - F.col("from_")).cast("int")))).drop("rows_", "from_")
+
+
+def weighable(m: Estimator) -> bool:
+    """Whether m learns the same from distinct rows with weights: it takes weights, none are set, and it draws no rows by chance."""
+    return m.hasParam("weightCol") and not m.isDefined("weightCol") and not m.hasParam("subsamplingRate")
+
+
 def fold_predictions(df: DataFrame, fold: str, folds: int, prepare: Callable[[DataFrame], Transformer], models: dict[str, Estimator], label: str = "label") -> DataFrame:
-    """(model, fold, label, score) of every row by the models that were fitted without its fold. prepare is fitted on the same rows, so no fold is encoded with what it holds; the result is written down."""
-    parts = []
+    """(model, fold, label, score) of every row by the models that were fitted without its fold. prepare is fitted on the same rows, so no fold is encoded with what it holds.
+
+    Equal rows are counted and written down once, for all folds and models, and each is scored once. Models
+    that take weights learn from the counts, others from every row; so is prepare fitted on every row.
+    """
+    parts, each = [], counted(df)
     for k in range(folds):
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        ready = prepare(train)
-        seen = ready.transform(train).persist()
+        train, test = each.where(F.col(fold) != k), each.where(F.col(fold) == k)
+        ready = prepare(every_row(train))
+        some, held = ready.transform(train).persist(), ready.transform(test)
+        seen = ready.transform(every_row(train)).persist()  # filled by the first model that reads it
         for name, m in models.items():
-            p = m.fit(seen).transform(ready.transform(test))
-            parts.append(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score")))
+            fitted = m.copy({m.weightCol: "rows_"}).fit(some) if weighable(m) else m.fit(seen)
+            p = fitted.transform(held)
+            parts.append(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"), "rows_"))
+        some.unpersist()
         seen.unpersist()
-    return cut(stacked(parts))
+    return every_row(cut(stacked(parts)))
 
 
 def grouped_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:

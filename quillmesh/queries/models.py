@@ -29,18 +29,18 @@ def fold_models() -> dict:
 @query()
 def model_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation over five stratified folds of five metrics, for three models fitted anew in each fold."""
-    df = labelled.categories(spark, sf_dir).withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return ops.cross_validation(ops.fold_predictions(cleaning.folds(df, "label", "line", 5, "fold"), "fold", 5, prepare, fold_models()))
+    df = labelled.categories(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "label", *labelled.FEATURES)
+    return ops.cross_validation(ops.fold_predictions(cleaning.folds(df, "label", "line", 5, "fold").drop("line"), "fold", 5, prepare, fold_models()))
 
 
 @query()
 def model_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves of a decision tree as readable rules with support."""
-    df = labelled.categories(spark, sf_dir)
-    ready = prepare(df)
-    train = ready.transform(df)
+    each = ops.counted(labelled.categories(spark, sf_dir).select("label", *labelled.FEATURES))
+    ready = prepare(ops.every_row(each))
+    train = ready.transform(each)
     places = sorted((x for kind in train.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind), key=lambda x: x["idx"])
-    model = DecisionTreeClassifier(maxDepth=4, seed=1).fit(train)
+    model = DecisionTreeClassifier(maxDepth=4, seed=1, weightCol="rows_").fit(train)
     return ops.rule_table(spark, ops.tree_rules(model, [x["name"].replace("_v_", " is ") for x in places]))
 
 
