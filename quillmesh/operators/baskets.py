@@ -23,28 +23,34 @@ def frequency(lines: DataFrame, total: int) -> DataFrame:
     return lines.groupBy("item").agg(F.count("*").alias("orders")).withColumn("share", F.col("orders") / F.lit(total))
 
 
-def itemsets(lines: DataFrame, total: int, support: float, longest: int = 3) -> DataFrame:
-    """(items, cnt, support) of all itemsets in at least support x total orders, level by level.
+def equal_baskets(lines: DataFrame) -> DataFrame:
+    """(all, orders, first): the distinct baskets as sorted arrays, the number of orders that have each, and the smallest of them."""
+    each = lines.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("all"))
+    return each.groupBy("all").agg(F.count("*").alias("orders"), F.min("order_id").alias("first"))
 
-    Orders are brought together once, as sorted arrays. An occurrence of a set is a row with the rest
-    of its order, the items behind the set's last; a level extends each occurrence of a frequent set by
-    every item of its rest, if all smaller subsets are frequent too. So a level shuffles only its
+
+def itemsets(lines: DataFrame, total: int, support: float, longest: int = 3, equal: DataFrame | None = None) -> DataFrame:
+    """(items, cnt, support) of all itemsets in at least support x total orders, level by level. equal: equal_baskets of lines, if they are kept.
+
+    Orders are brought together once, as sorted arrays, and equal ones are one row that counts for all
+    of them. An occurrence of a set is a row with the rest of its basket, the items behind the set's last; a
+    level extends each occurrence of a frequent set by every item of its rest, if all smaller subsets are frequent too. So a level shuffles only its
     counts, summed up before, and looks sets up in the level before by a semi-join on their arrays,
     which Spark broadcasts where that level is small.
     """
     least = support * total
-    orders = lines.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias("all")).select("all").persist()
+    equal = equal_baskets(lines).persist() if equal is None else equal
     after = lambda column, i: F.slice(column, i + 2, F.greatest(F.lit(1), F.size(column)))
-    held = orders.select("all", F.posexplode("all").alias("i", "item")).select(F.array("item").alias("items"), after("all", F.col("i")).alias("rest"))
+    held = equal.select("orders", "all", F.posexplode("all").alias("i", "item")).select("orders", F.array("item").alias("items"), after("all", F.col("i")).alias("rest"))
     levels = []
     for size in range(1, longest + 1):
-        counts = held.groupBy("items").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least).persist()
+        counts = held.groupBy("items").agg(F.sum("orders").alias("cnt")).where(F.col("cnt") >= least).persist()
         levels.append(counts)
         if size == longest or counts.isEmpty():
             break
         frequent = held.join(counts.select("items"), "items", "left_semi")
-        grown = frequent.select("items", "rest", F.posexplode("rest").alias("i", "item"))
-        held = grown.select(F.concat("items", F.array("item")).alias("items"), after("rest", F.col("i")).alias("rest"))
+        grown = frequent.select("orders", "items", "rest", F.posexplode("rest").alias("i", "item"))
+        held = grown.select("orders", F.concat("items", F.array("item")).alias("items"), after("rest", F.col("i")).alias("rest"))
         for i in range(size):  # downward closure: the subsets with the new item
             part = F.concat(F.slice("items", 1, i), F.slice("items", i + 2, size))
             held = held.withColumn("part", part).join(counts.select(F.col("items").alias("part")), "part", "left_semi").drop("part")
@@ -58,14 +64,20 @@ def fp_itemsets(baskets: DataFrame, total: int, support: float, longest: int = 3
     return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("cnt"), (F.col("freq") / F.lit(total)).alias("support"))
 
 
-def tid_itemsets(lines: DataFrame, total: int, support: float, longest: int = 3, blocks: int = 64) -> DataFrame:
-    """The same by intersecting lists of orders, kept in blocks of orders so that no list holds all of a frequent item's."""
+def tid_itemsets(lines: DataFrame, total: int, support: float, longest: int = 3, blocks: int = 64, equal: DataFrame | None = None) -> DataFrame:
+    """The same by intersecting lists of orders, kept in blocks of orders so that no list holds all of a frequent item's.
+
+    The first of the orders with equal baskets stands in the lists for all of them; the orders of a block stand
+    for equally many, so a list counts its length times that number. equal: equal_baskets of lines, if they are kept.
+    """
     least = support * total
-    own = lines.groupBy(F.pmod(F.xxhash64("order_id"), F.lit(blocks)).alias("block"), F.array("item").alias("items")).agg(F.collect_list("order_id").alias("tids"))
+    equal = equal_baskets(lines) if equal is None else equal
+    block = F.struct(F.pmod(F.xxhash64("first"), F.lit(blocks)).alias("part"), "orders")
+    own = equal.select(block.alias("block"), "first", F.explode("all").alias("item")).groupBy("block", F.array("item").alias("items")).agg(F.collect_list("first").alias("tids"))
     levels = []
     now = own
     for size in range(1, longest + 1):
-        counts = now.groupBy("items").agg(F.sum(F.size("tids")).alias("cnt")).where(F.col("cnt") >= least)
+        counts = now.groupBy("items").agg(F.sum(F.size("tids") * F.col("block.orders")).alias("cnt")).where(F.col("cnt") >= least)
         levels.append(counts)
         if size == longest:
             break

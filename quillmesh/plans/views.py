@@ -42,7 +42,7 @@ def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = parquet(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey"])
     part = parquet(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     rows = lines.join(part, lines["l_partkey"] == part["p_partkey"])
-    return rows.select(F.col("l_orderkey").alias("order_id"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("item")).distinct()
+    return rows.select(F.col("l_orderkey").alias("order_id"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("item")).repartition("order_id").distinct()  # dealt once, also for what goes by order
 
 
 RETAIL_SQL = """retail AS (

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import baskets as ops
 from ..operators import cleaning
 from ..plans import views
+from ..sources.stored import cut
 from ..sources.tables import parquet
 from .registry import query
 
@@ -98,7 +99,9 @@ def mining_tidlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SETS} SELECT 0::bigint AS only_left, 0::bigint AS only_right, count(*) AS common, 0::bigint AS different FROM sets")
 def mining_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.agreement(mined(spark, sf_dir), ops.tid_itemsets(views.basket_lines(spark, sf_dir), total(spark, sf_dir), SUPPORT), ["items"], "support")
+    lines, n = views.basket_lines(spark, sf_dir), total(spark, sf_dir)
+    equal = cut(ops.equal_baskets(lines))  # both miners start from them
+    return ops.agreement(ops.itemsets(lines, n, SUPPORT, equal=equal), ops.tid_itemsets(lines, n, SUPPORT, equal=equal), ["items"], "support")
 
 
 @query(f"{SETS} SELECT len(items)::int AS size, count(*) AS itemsets, max(cnt) AS most, min(cnt) AS least FROM sets GROUP BY 1")
@@ -141,8 +144,9 @@ def basket_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EDGES} SELECT item, round(count(*) / any_value(n), 6) AS share FROM (SELECT source AS item FROM e UNION SELECT target FROM e) JOIN lines USING (item), total GROUP BY item")
 def basket_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ops.graph(ranked(spark, sf_dir))[1]
-    return nodes.join(ops.frequency(views.basket_lines(spark, sf_dir), total(spark, sf_dir)), "item").select("item", F.round("share", 6).alias("share"))
+    found = mined(spark, sf_dir)
+    share = found.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("item"), F.round("support", 6).alias("share"))  # every item of a rule is a frequent set
+    return ops.graph(ops.rules(found, CONFIDENCE, LIFT))[1].join(share, "item").select("item", "share")
 
 
 @query(f"{EDGES}, top AS (SELECT source AS node FROM e ORDER BY lift DESC, source, target LIMIT 1) SELECT source, target, round(lift, 6) AS lift FROM e, top WHERE source = node OR target = node ORDER BY e.lift DESC, source, target LIMIT 10")
