@@ -64,19 +64,20 @@ def fold_predictions(df: DataFrame, fold: str, folds: int, prepare: Callable[[Da
     return every_row(cut(stacked(parts)))
 
 
-def grouped_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """(by, roc_auc) of each group, exact with ties. Rows are counted by score first: with scores rounded to six digits a group's window has 10^6 rows at most."""
-    each = df.groupBy(*by, score).agg(F.sum(label).alias("hit"), F.sum(1 - F.col(label)).alias("miss"))
+def grouped_auc(df: DataFrame, by: list[str], score: str, label: str, rows: str | None = None) -> DataFrame:
+    """(by, roc_auc) of each group, exact with ties. Rows are counted by score first: with scores rounded to six digits a group's window has 10^6 rows at most. rows: the column that says for how many rows each one stands."""
+    n = F.lit(1) if rows is None else F.col(rows)
+    each = df.groupBy(*by, score).agg(F.sum(n * F.col(label)).alias("hit"), F.sum(n * (1 - F.col(label))).alias("miss"))
     above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     area = each.select(*by, "hit", "miss", (F.col("miss") * (F.coalesce(F.sum("hit").over(above), F.lit(0)) + F.col("hit") / 2)).alias("won"))
     return area.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("hit") * F.sum("miss"), F.lit(0))).alias("roc_auc"))
 
 
-def fold_metrics(predictions: DataFrame) -> DataFrame:
-    """(model, fold, the five metrics), a row for each model and fold; a score of 0.5 or more is flagged."""
+def fold_metrics(predictions: DataFrame, rows: str | None = None) -> DataFrame:
+    """(model, fold, the five metrics), a row for each model and fold; a score of 0.5 or more is flagged. rows: the column that says for how many rows each one stands."""
     by = ["model", "fold"]
-    counts = predictions.groupBy(*by).agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5))
-    return scoring.rates(counts, 9).join(grouped_auc(predictions, by, "score", "label"), by).select(*by, *METRICS)
+    counts = predictions.groupBy(*by).agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5, rows))
+    return scoring.rates(counts, 9).join(grouped_auc(predictions, by, "score", "label", rows), by).select(*by, *METRICS)
 
 
 def cross_validation(predictions: DataFrame) -> DataFrame:
@@ -148,7 +149,8 @@ def ablations(train: DataFrame, test: DataFrame, names: list[str], subsets: dict
         slicer = VectorSlicer(inputCol="features", outputCol="kept", indices=[i for i, n in enumerate(names) if n in keep])
         p = model.copy({model.featuresCol: "kept"}).fit(slicer.transform(train)).transform(slicer.transform(test))
         parts.append(p.select(F.lit(name).alias("model"), F.lit(len(keep)).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score")))
-    return fold_metrics(stacked(parts)).withColumnsRenamed({"model": "subset", "fold": "features"})
+    counts = stacked(parts).groupBy("model", "fold", "label", "score").agg(F.count("*").alias("rows_"))  # each row is predicted once for all metrics
+    return fold_metrics(cut(counts), "rows_").withColumnsRenamed({"model": "subset", "fold": "features"})
 
 
 def learning_curve(model: Model, roles: dict[str, DataFrame], loss: str = "squared") -> DataFrame:

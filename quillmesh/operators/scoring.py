@@ -24,9 +24,10 @@ def shape(gap: Column, actual: Column, digits: int = 6) -> list[Column]:
     return [F.round(c, digits).alias(n) for n, c in {"skewness": F.skewness(gap), "kurtosis": F.kurtosis(gap), "bias": F.avg(gap), "mape": F.avg(F.abs(gap) / actual) * 100}.items()]
 
 
-def confusion(label: Column, flagged: Column) -> list[Column]:
-    """tn, fp, fn, tp as aggregates."""
-    return [F.count_if((label == a) & (flagged.cast("int") == b)).alias(n) for n, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
+def confusion(label: Column, flagged: Column, rows: str | None = None) -> list[Column]:
+    """tn, fp, fn, tp as aggregates. rows: the column that says for how many rows each one stands."""
+    count = (lambda x: F.count_if(x)) if rows is None else (lambda x: F.coalesce(F.sum(F.when(x, F.col(rows))), F.lit(0).cast("long")))
+    return [count((label == a) & (flagged.cast("int") == b)).alias(n) for n, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
 
 
 def rates(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -35,12 +36,14 @@ def rates(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({"accuracy": F.round(ratio(tp + tn, tp + tn + fp + fn, 0.0), digits), "precision": F.round(ratio(tp, tp + fp, 0.0), digits), "recall": F.round(ratio(tp, tp + fn, 0.0), digits), "f1": F.round(ratio(2 * tp, 2 * tp + fp + fn, 0.0), digits)})
 
 
-def cutoffs(df: DataFrame, score: str, label: str) -> DataFrame:
+def cutoffs(df: DataFrame, score: str, label: str, rows: str | None = None) -> DataFrame:
     """One row for each distinct score as cutoff: tp and fp at or above it, with precision, recall, fpr and f1; hit and miss are the rows at the score itself, p and q all rows.
 
-    Scores are grouped first, and the running sums go by ranges of scores, none in one task.
+    Scores are grouped first, and the running sums go by ranges of scores, none in one task. rows: the
+    column that says for how many rows each one stands.
     """
-    each = df.groupBy(score).agg(F.sum(label).alias("hit"), F.sum(1 - F.col(label)).alias("miss"))
+    n = F.lit(1) if rows is None else F.col(rows)
+    each = df.groupBy(score).agg(F.sum(n * F.col(label)).alias("hit"), F.sum(n * (1 - F.col(label))).alias("miss"))
     out = running(each, F.struct(-F.col(score)), {"tp": F.col("hit"), "fp": F.col("miss")}, totals=True).withColumnsRenamed({"tp_all": "p", "fp_all": "q"})
     tp, fp = F.col("tp"), F.col("fp")
     return out.select(score, "tp", "fp", "hit", "miss", "p", "q", ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, F.col("p"), 0.0).alias("recall"), ratio(fp, F.col("q"), 0.0).alias("fpr"), ratio(2 * tp, tp + fp + F.col("p"), 0.0).alias("f1"))
@@ -55,10 +58,10 @@ def thinned(df: DataFrame, order: Column, points: int) -> DataFrame:
     return at.where((F.col("rows_") <= points) | mine).drop("place_", "rows_")
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, rows: str | None = None) -> DataFrame:
     """Area under the ROC curve, exact with ties, by trapezoids between distinct scores."""
     step = ratio(F.col("miss"), F.col("q"), 0.0)
-    return cutoffs(df, score, label).select((step * (F.col("recall") - ratio(F.col("hit"), F.col("p"), 0.0) / 2)).alias("a")).agg(F.round(F.sum("a"), 6).alias("auc"))
+    return cutoffs(df, score, label, rows).select((step * (F.col("recall") - ratio(F.col("hit"), F.col("p"), 0.0) / 2)).alias("a")).agg(F.round(F.sum("a"), 6).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:

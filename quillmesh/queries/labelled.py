@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..operators import cleaning, scoring
 from ..operators import trips as trip_ops
+from ..sources.stored import cut
 from ..sources.tables import parquet
 from . import trips
 from .registry import query
@@ -181,17 +182,21 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Rows to learn from and held-out orders, by one fitted preparation, and the source feature of each place in the vector."""
-    df = categories(spark, sf_dir).withColumns({"part": F.pmod(F.xxhash64("l_orderkey"), F.lit(5)), "qty": F.col("l_partkey").cast("double")})
+    """Rows to learn from and held-out orders, by one fitted preparation, and the source feature of each place in the vector.
+
+    The tables are joined once: what the joins give is kept in columns (catalog.clearCache lets go), and
+    each pass of the preparation and the models makes its vectors from there.
+    """
+    df = categories(spark, sf_dir).select("label", *FEATURES, F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int").alias("part"), F.col("l_partkey").cast("double").alias("qty")).persist()
     share = df.agg(F.avg("label")).first()[0] or 0.5
     df = df.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    stages = [*[StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in FEATURES], OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES]), Imputer(inputCols=["qty"], outputCols=["qty_f"], strategy="median"), VectorAssembler(inputCols=[*[f"{c}_v" for c in FEATURES], "qty_f"], outputCol="features")]
+    stages = [StringIndexer(inputCols=list(FEATURES), outputCols=[f"{c}_i" for c in FEATURES], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES]), Imputer(inputCols=["qty"], outputCols=["qty_f"], strategy="median"), VectorAssembler(inputCols=[*[f"{c}_v" for c in FEATURES], "qty_f"], outputCol="features")]
     train, test = df.where("part > 0"), df.where("part = 0")
     prep = Pipeline(stages=stages).fit(train)
     a, b = (prep.transform(t).select("features", "label", "weight") for t in (train, test))
     places = [x for kind in a.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind]
     names = [next((c for c in FEATURES if x["name"].startswith(f"{c}_v")), "qty") for x in sorted(places, key=lambda x: x["idx"])]
-    return a.persist(), b, names
+    return a, b, names
 
 
 def classifiers() -> dict:
@@ -204,22 +209,21 @@ def model_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, _ = encoded(spark, sf_dir)
     out = None
     for name, m in classifiers().items():
-        p = m.fit(a).transform(b).select("label", F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"))
-        row = scoring.rates(p.agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5))).crossJoin(scoring.roc_auc(p, "score", "label")).withColumn("model", F.lit(name))
+        p = m.fit(a).transform(b).groupBy("label", F.round(F.get(vector_to_array("probability"), 1), 6).alias("score")).agg(F.count("*").alias("rows_"))
+        p = cut(p)  # each row is predicted once for all metrics
+        row = scoring.rates(p.agg(*scoring.confusion(F.col("label"), F.col("score") >= 0.5, "rows_"))).crossJoin(scoring.roc_auc(p, "score", "label", "rows_")).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    a.unpersist()
     return out
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, place, feature, weight): coefficients and importances of three fitted models, one row for each place of the vector."""
+def weights(spark: SparkSession, sf_dir: str, of: tuple[str, ...] = ("logistic", "tree", "forest")) -> DataFrame:
+    """(model, place, feature, weight): coefficients and importances of fitted models, one row for each place of the vector."""
     a, _, names = encoded(spark, sf_dir)
     rows = []
-    for name in ("logistic", "tree", "forest"):
+    for name in of:
         m = classifiers()[name].fit(a)
         values = m.coefficients if name == "logistic" else m.featureImportances
         rows += [(name, i, f, float(x)) for i, (f, x) in enumerate(zip(names, values.toArray(), strict=True))]
-    a.unpersist()
     return spark.createDataFrame(rows, "model string, place int, feature string, weight double")
 
 
@@ -232,7 +236,7 @@ def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_top_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 encoded columns with the largest coefficients of the logistic model, by absolute value."""
-    return weights(spark, sf_dir).where("model = 'logistic'").orderBy(F.desc(F.abs("weight")), "place").limit(15).select("place", "feature", "weight")
+    return weights(spark, sf_dir, ("logistic",)).orderBy(F.desc(F.abs("weight")), "place").limit(15).select("place", "feature", "weight")
 
 
 @query()

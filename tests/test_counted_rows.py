@@ -35,3 +35,22 @@ def test_folds_meet_no_label_in_one_task(spark):
     for r in sorted(df.select("id", "y", cleaning.md5_order(F.col("id"), "fold").alias("o")).collect(), key=lambda r: (r.o, r.id)):
         plain.setdefault(r.y, []).append(r.id)
     assert {r.id: r.fold for r in got.collect()} == {k: i % 5 for ids in plain.values() for i, k in enumerate(ids)}
+
+
+def test_metrics_of_counted_predictions_are_those_of_every_row(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([("a" if i % 2 else "b", 1, int(rng.random() < 0.4), round(rng.randrange(12) / 11, 6)) for i in range(500)], "model string, fold int, label int, score double")
+    counts = df.groupBy(*df.columns).agg(F.count("*").alias("rows_"))
+    assert sorted(models.fold_metrics(counts, "rows_").collect()) == sorted(models.fold_metrics(df).collect())
+    assert models.scoring.roc_auc(counts, "score", "label", "rows_").first() == models.scoring.roc_auc(df, "score", "label").first()
+
+
+def test_tables_are_joined_once_for_all_passes_of_the_models(spark):
+    from quillmesh.queries import labelled
+
+    a, b, names = labelled.encoded(spark, "/root/testdata/sf0.001")
+    for df in (a, b):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")
+        assert "Join" not in plan[0] and len(plan) == 2  # what stands behind is kept
+    assert set(names) == {*labelled.FEATURES, "qty"}
+    spark.catalog.clearCache()
