@@ -123,9 +123,9 @@ def nearest(df: DataFrame, key: str, vector: str, m: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= m).select("key", "place", "other", "distance")
 
 
-def k_distances(df: DataFrame, key: str, vector: str, m: int) -> DataFrame:
-    """(key, distance, place, rows): the distance of each row to its m-th nearest, itself counted, in ascending order; with fewer rows, to the farthest."""
-    last = nearest(df, key, vector, m).groupBy("key").agg(F.max("distance").alias("distance"))
+def k_distances(df: DataFrame, key: str, vector: str, m: int, near: DataFrame | None = None) -> DataFrame:
+    """(key, distance, place, rows): the distance of each row to its m-th nearest, itself counted, in ascending order; with fewer rows, to the farthest. near: nearest for at least m, if it is known."""
+    last = (nearest(df, key, vector, m) if near is None else near.where(F.col("place") <= m)).groupBy("key").agg(F.max("distance").alias("distance"))
     return running(last, F.struct("distance", "key"), {"place": F.lit(1)}, totals=True).withColumnRenamed("place_all", "rows")
 
 
@@ -218,66 +218,100 @@ def density(df: DataFrame, key: str, vector: str, eps: float, least: int, near:
 def spread_out(y: DataFrame, k: int) -> DataFrame:
     """y (key, y array of k) with its k columns made orthonormal; the k x k sums of products are all that the driver sees."""
     at = [(i, j) for i in range(k) for j in range(i, k)]
-    one = y.agg(*[F.sum(F.get("y", F.lit(i)) * F.get("y", F.lit(j))).alias(f"g{i}_{j}") for i, j in at]).first()
+    one = y.agg(*[F.expr(f"sum(get(y, {i}) * get(y, {j})) AS g{i}_{j}") for i, j in at]).first()
     gram = np.zeros((k, k))
     for i, j in at:
         gram[i, j] = gram[j, i] = one[f"g{i}_{j}"]
     turn = np.linalg.inv(np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(k))).T
-    return y.select("key", F.array(*[sum(F.get("y", F.lit(i)) * F.lit(float(turn[i, j])) for i in range(k)) for j in range(k)]).alias("y"))
+    column = lambda j: " + ".join(f"get(y, {i}) * double('{float(turn[i, j])!r}')" for i in range(k))
+    return y.selectExpr("key", f"array({', '.join(column(j) for j in range(k))}) AS y")
 
 
-def graph_clusters(df: DataFrame, key: str, vector: str, k: int, m: int = 10, rounds: int = 15, seed: int = 7) -> DataFrame:
+def graph_clusters(df: DataFrame, key: str, vector: str, k: int, m: int = 10, rounds: int = 15, seed: int = 7, near: DataFrame | None = None) -> DataFrame:
     """(key, cluster): k-means on the leading k eigenvectors of the neighbour graph.
 
     Each row is linked with its m nearest (the row counted) with weight 1 where both name each other,
     else 0.5, divided by the roots of both degrees. The eigenvectors come from a block power iteration:
     each round sends the k numbers of every row twice along the links, by a join and a sum, and makes
-    the block orthonormal.
+    the block orthonormal. near: nearest for at least m, if it is known.
     """
-    near = nearest(df, key, vector, m).where("key <> other").select(F.col("key").alias("u"), F.col("other").alias("v"))
+    near = (nearest(df, key, vector, m) if near is None else near.where(F.col("place") <= m)).where("key <> other").select(F.col("key").alias("u"), F.col("other").alias("v"))
     both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg((F.count("*") / 2).alias("w"))
     degree = both.groupBy("u").agg(F.sum("w").alias("d"))
     links = cut(both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", (F.col("w") / F.sqrt(F.col("d") * F.col("dv"))).alias("w")))
     start = degree.select(F.col("u").alias("key"), F.array(*[F.xxhash64(F.lit(seed), F.lit(i), "u") / F.lit(2.0**63) for i in range(k)]).alias("y"))
-    y = cut(spread_out(cut(start), k))
+    y = spread_out(cut(start), k)
 
     def sent(t: DataFrame) -> DataFrame:
-        cell = t.select(F.col("key").alias("v"), "y").join(links, "v").select("u", *[(F.col("w") * F.get("y", F.lit(i))).alias(f"y{i}") for i in range(k)])
-        return cell.groupBy(F.col("u").alias("key")).agg(F.array(*[F.sum(f"y{i}") for i in range(k)]).alias("y"))
+        cell = t.select(F.col("key").alias("v"), "y").join(links, "v").selectExpr("u AS key", *[f"w * get(y, {i}) AS y{i}" for i in range(k)])
+        return cell.groupBy("key").agg(F.expr(f"array({', '.join(f'sum(y{i})' for i in range(k))}) AS y"))
 
     for _ in range(rounds):
-        y = cut(spread_out(cut(sent(sent(y))), k))
+        y = spread_out(cut(sent(sent(y))), k)  # what is made of the written sums is one projection
     length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x))
     flat = y.select("key", array_to_vector(F.transform("y", lambda x: x / F.greatest(length, F.lit(1e-12)))).alias("features"))
     return KMeans(k=k, seed=seed, maxIter=30).fit(flat).transform(flat).select("key", F.col("prediction").cast("long").alias("cluster"))
 
 
+def by_group(d: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the columns of d for each of n groups; at: a column's group, -1 for none."""
+    if n <= TALL // 8 and np.isfinite(d).all():
+        return d @ np.concatenate((np.eye(n), np.zeros((1, n))))[at]
+    order = np.argsort(at, kind="stable")
+    order = order[at[order] >= 0]
+    out = np.zeros((len(d), n))
+    if len(order):
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        out[:, at[order][starts]] = np.add.reduceat(d[:, order], starts, 1)
+    return out
+
+
 def silhouettes(df: DataFrame, key: str, vector: str, label: str, noise: int | None = None) -> DataFrame:
     """(label, n, silhouette): the mean silhouette of each group by plain distances, and over all rows with label null.
 
     Rows of the noise label take no part. A group of one gives 0; fewer than two groups give nulls.
     """
-    rows = keyed(df, key, vector, F.col(label).cast("long").alias("label")).where("label IS NOT NULL")
-    rows = rows if noise is None else rows.where(F.col("label") != noise)
+    return silhouettes_of(df, key, vector, [label], noise).drop("of")
+
+
+def silhouettes_of(df: DataFrame, key: str, vector: str, labels: list[str], noise: int | None = None) -> DataFrame:
+    """(of, label, n, silhouette): silhouettes of several partitions of the same rows, each distance computed once for all. A row without a label takes no part in that partition."""
+    one = lambda c: F.when(F.col(c).cast("long") != F.lit(noise), F.col(c).cast("long")) if noise is not None else F.col(c).cast("long")
+    rows = keyed(df, key, vector, F.array(*[one(c) for c in labels]).alias("groups")).where(F.exists("groups", lambda g: g.isNotNull()))
 
     def far(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("label", kind="stable")
-        x, y, (groups, at) = matrix(a["v"]), matrix(b["v"]), np.unique(b["label"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(a), len(groups)))
+        x, y, own, at, groups = matrix(a["v"]), matrix(b["v"]), [], [], []
+        for k in range(len(labels)):
+            mine, theirs = (pd.Series([g[k] for g in t["groups"]], dtype="Int64") for t in (a, b))
+            known = theirs.notna().to_numpy()
+            found, place = np.unique(theirs[known].to_numpy(np.int64), return_inverse=True)
+            index = np.full(len(b), -1)
+            index[known] = place
+            own, at, groups = [*own, mine], [*at, index], [*groups, found]
+        total = [np.zeros((len(a), len(g))) for g in groups]
         for i, j, square, error in tiles(x, y):
             p, q = np.nonzero(~(square > (error * 10.0**DIGITS) ** 2 + error))  # closer ones would be off by more than the rounding
             d = np.sqrt(np.maximum(square, 0, out=square), out=square)
             d[p, q] = gaps(x[i], y[j], p, q)
-            starts = np.flatnonzero(np.diff(at[j], prepend=-1))
-            total[i, at[j][starts]] += np.add.reduceat(d, starts, 1)
-        n = len(groups)
-        return pd.DataFrame({"key": np.repeat(a["key"].to_numpy(), n), "own": np.repeat(a["label"].to_numpy(), n), "other": np.tile(groups, len(a)), "total": total.ravel()})
-
-    total = by_blocks(rows, rows, far, "key long, own long, other long, total double").groupBy("key", "own", "other").agg(F.sum("total").alias("total"))
-    size = F.broadcast(rows.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n")))  # a row for each group
-    mean = total.join(size, "other").groupBy("key", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.struct("n", "total"))).alias("mine"), F.min(F.when(F.col("own") != F.col("other"), F.col("total") / F.col("n"))).alias("b"))
+            for k, g in enumerate(groups):
+                total[k][i] += by_group(d, at[k][j], len(g))
+        parts = []
+        for k, g in enumerate(groups):
+            has = own[k].notna().to_numpy()
+            n = int(has.sum())
+            parts.append(pd.DataFrame({"key": np.repeat(a["key"].to_numpy()[has], len(g)), "of": k, "own": np.repeat(own[k][has].to_numpy(np.int64), len(g)), "other": np.tile(g, n), "total": total[k][has].ravel()}))
+        return pd.concat(parts)
+
+    total = by_blocks(rows, rows, far, "key long, of int, own long, other long, total double").groupBy("key", "of", "own", "other").agg(F.sum("total").alias("total"))
+    size = F.broadcast(rows.select(F.posexplode("groups").alias("of", "other")).where("other IS NOT NULL").groupBy("of", "other").agg(F.count("*").alias("n")))  # a row for each group
+    mean = total.join(size, ["of", "other"]).groupBy("key", "of", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.struct("n", "total"))).alias("mine"), F.min(F.when(F.col("own") != F.col("other"), F.col("total") / F.col("n"))).alias("b"))
     a = F.col("mine.total") / F.nullif(F.col("mine.n") - 1, F.lit(0))
     each = F.when(F.col("b").isNull(), None).when(F.col("mine.n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - a) / F.nullif(F.greatest("b", a), F.lit(0.0)), F.lit(0.0)))
-    out = mean.select(F.col("own").alias("label"), each.alias("s"))
-    grouped = out.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("silhouette"))
-    return grouped.unionByName(out.agg(F.lit(None).cast("long").alias("label"), F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("silhouette")))
+    out = mean.select(F.get(F.array(*[F.lit(c) for c in labels]), "of").alias("of"), F.col("own").alias("label"), each.alias("s")).groupBy("of", "label").agg(F.count("*").alias("n"), F.sum("s").alias("t"), F.count("s").alias("m"))
+    mean_of = lambda t, m: F.round(t / F.nullif(m, F.lit(0)), 6).alias("silhouette")
+    grouped = out.select("of", "label", "n", mean_of(F.col("t"), F.col("m")))
+    whole = out.groupBy("of").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("m").alias("m")).select("of", F.lit(None).cast("long").alias("label"), "n", mean_of(F.col("t"), F.col("m")))
+    if len(labels) == 1:  # also without rows
+        none = df.sparkSession.range(1).select(F.lit(labels[0]).alias("of"))
+        whole = none.join(whole, "of", "left").select("of", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "silhouette")
+    return grouped.unionByName(whole)

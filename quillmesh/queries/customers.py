@@ -171,18 +171,21 @@ def vectors_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.stored import cut
 
     v = parquet(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"]).withColumnRenamed("embedding", "v")
-    near = cut(density.k_distances(v, "vec_id", "v", 16))
+    close = cut(density.nearest(v, "vec_id", "v", 16))  # for the curve, the cores and the graph
+    near = cut(density.k_distances(v, "vec_id", "v", 16, close))
     eps = float(density.radius(near).first()["eps"])  # one number
-    named = lambda found: v.join(found.select(F.col("key").alias("vec_id"), "cluster"), "vec_id")
-    every = ops.entrants(v, "v", 5) | {"density": named(density.density(v, "vec_id", "v", eps, 16, near)), "graph": named(density.graph_clusters(v, "vec_id", "v", 5))}
+    named = lambda found: found.select(F.col("key").alias("vec_id"), "cluster")
+    every = ops.entrants(v, "v", 5) | {"density": named(density.density(v, "vec_id", "v", eps, 16, near)), "graph": named(density.graph_clusters(v, "vec_id", "v", 5, near=close))}
+    found = reduce(DataFrame.unionByName, [p.select("vec_id", F.col("cluster").cast("long").alias("cluster"), F.lit(n).alias("entrant")) for n, p in every.items()])
+    wide = found.groupBy("vec_id").agg(*[F.max(F.when(F.col("entrant") == n, F.col("cluster"))).alias(n) for n in every])
+    wide = cut(v.join(wide, "vec_id"))  # read by every score
+    whole = density.silhouettes_of(wide, "vec_id", "v", list(every), -1).where("label IS NULL").select(F.col("of").alias("entrant"), "silhouette")
     rows = []
-    for name, found in every.items():
-        p = cut(found)  # read several times
-        kept = p.where("cluster <> -1")
-        whole = density.silhouettes(kept, "vec_id", "v", "cluster").where("label IS NULL").select("silhouette")
+    for name in every:
+        p = wide.select("v", F.col(name).alias("cluster"))
         noise = p.agg(F.round(F.avg((F.col("cluster") == -1).cast("int")), 6).alias("noise_ratio"))
-        rows.append(ops.validity(kept, "cluster", "v").crossJoin(whole).crossJoin(noise).withColumn("entrant", F.lit(name)))  # one row each
-    return ops.leaderboard(reduce(DataFrame.unionByName, rows))
+        rows.append(ops.validity(p.where("cluster <> -1"), "cluster", "v").crossJoin(noise).withColumn("entrant", F.lit(name)))  # one row each
+    return ops.leaderboard(reduce(DataFrame.unionByName, rows).join(F.broadcast(whole), "entrant", "left").select("k", "n", "davies_bouldin", "calinski_harabasz", "silhouette", "noise_ratio", "entrant"))  # whole: a row for each entrant
 
 
 @query()

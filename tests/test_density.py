@@ -51,3 +51,27 @@ def test_silhouettes_of_copies_are_those_of_plain_distances(spark, rows):
     df = spark.createDataFrame([(int(k), [float(t) for t in v], int(g)) for k, v, g in rows.itertuples(index=False)], "id long, v array<double>, g int")
     got = {r.label: r.silhouette for r in density.silhouettes(df, "id", "v", "g").collect()}
     assert got[None] == pytest.approx(np.mean(s), abs=1e-6) and all(got[g] == pytest.approx(np.mean(np.array(s)[labels == g]), abs=1e-6) for g in set(labels))
+
+
+def test_several_partitions_share_the_distances(spark, rows):
+    rows = rows.sample(300, random_state=1)
+    df = spark.createDataFrame([(int(k), [float(t) for t in v], int(g), int(k) % 90, -1 if k % 3 == 0 else int(k) % 2) for k, v, g in rows.itertuples(index=False)], "id long, v array<double>, g int, many int, some int")
+    together = density.silhouettes_of(df, "id", "v", ["g", "many", "some"], -1).collect()
+    for c in ("g", "many", "some"):
+        one = {r.label: (r.n, r.silhouette) for r in density.silhouettes(df.where(f"{c} <> -1"), "id", "v", c).collect()}
+        assert {r.label: (r.n, r.silhouette) for r in together if r.of == c} == one
+    assert {r.label for r in together if r.of == "some"} == {None, 0, 1}
+    d, labels, s = plain(rows), (rows["key"] % 90).to_numpy(), []
+    for i, own in enumerate(labels):
+        a, b = d[i][labels == own].sum() / max(1, (labels == own).sum() - 1), min(d[i][labels == g].mean() for g in set(labels) - {own})
+        s.append(0.0 if (labels == own).sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    assert next(r.silhouette for r in together if r.of == "many" and r.label is None) == pytest.approx(np.mean(s), abs=1e-6)
+
+
+def test_known_neighbours_give_the_curve_and_the_graph(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(40, 3)) + c for c in (0, 20)])
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    near = density.nearest(df, "id", "v", 12)
+    assert sorted(density.k_distances(df, "id", "v", 8, near).collect()) == sorted(density.k_distances(df, "id", "v", 8).collect())
+    assert sorted(density.graph_clusters(df, "id", "v", 2, near=near).collect()) == sorted(density.graph_clusters(df, "id", "v", 2).collect())
