@@ -84,6 +84,27 @@ def test_pii_trees_add_forms_that_the_base_misses(spark):
     assert sum(bool(found[100 + i]._spans) for i in range(20)) <= 1
 
 
+def test_pii_learns_from_all_documents(spark):
+    """4,000 documents have nothing; the last ones by the hash of the id, and the last candidates, decide as well. Copies change no threshold."""
+    plain = spark.range(4200).select("id", F.xxhash64(F.lit(17), "id").alias("h")).orderBy("h", "id")
+    last = [r.id for r in plain.collect()[4000:]]
+    texts = {i: f"we {'ab'[i % 2] * (i % 7)} wrote to u{i}.{'xy'[i % 2]}@host{i % 9}.com on 2021-05-0{i % 9} of {i} and ping 10.{i % 200}.{i % 90}.7 then" for i in last}
+    d = spark.createDataFrame([(i, texts.get(i, "no such words here")) for i in range(4200)], "doc_id long, text string")
+    model = pii.fit(d)
+    assert model.trees and min(model.thresholds["email"], model.thresholds["ip"]) <= 1
+    rows = spark.createDataFrame([(1, "we wrote to anna.berg [at] example [dot] com then")], "doc_id long, text string")
+    assert pii.detect(rows, model).select(span_text(F.col("spans"))).first()[0] == "email:12:44"
+    assert pii.fit(d.where(F.col("doc_id").isin(last)).unionByName(d).unionByName(d)).thresholds == model.thresholds
+    held = d.withColumn("held", F.lit(True))
+    assert pii.examples(held).count() == pii.examples(held.where(F.col("doc_id").isin(last))).count() > 0
+
+
+def test_pii_weighs_equal_rows(spark):
+    """Thresholds count every held-out candidate, however many share a row."""
+    scored = spark.createDataFrame([("ip", 1.0, 95.0, 0.9), ("ip", 0.0, 5.0, 0.8), ("ip", 0.0, 1.0, 0.7), ("card", 1.0, 1.0, 0.9), ("card", 0.0, 1.0, 0.9)], "what string, label double, n double, score double")
+    assert pii.calibrate(scored) == {"email": 2.0, "ip": 0.8, "card": 2.0, "phone": 2.0}
+
+
 def test_mixing_survives_clashing_names(spark, docs):
     names = ("sr", "mix_source", "mix_sr", "mix_h", "mix_size", "mix_each", "size", "h", "slot", "spots", "took_rank")
     clash = docs.withColumns({n: F.lit(1) for n in names})
