@@ -196,34 +196,33 @@ def rewritten(kind: Column, m: Column) -> Column:
     return out
 
 
-def shown(kind: str, matches: Column) -> Column:
-    """The valid matches with what stands around them."""
-    return F.transform(F.filter(matches, lambda x: valid(kind, x["m"])), lambda x: F.struct(F.lit(kind).alias("kind"), *[x[c].alias(c) for c in "smlr"]))
-
-
-def failing(k: int, kind: str, matches: Column) -> Column:
-    """The matches that fail the check."""
-    return F.transform(F.filter(matches, lambda x: ~valid(kind, x["m"])), lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+def formed(k: int, kind: str, matches: Column) -> Column:
+    """The matches of a base pattern, what stands around them, and whether they pass the check."""
+    return F.transform(matches, lambda x: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), *[x[c].alias(c) for c in "semlr"], valid(kind, x["m"]).alias("ok")))
 
 
 def examples(docs: DataFrame) -> DataFrame:
-    """(held, what, x, label): the candidates of (held, text) that are in one of the classes."""
-    text = F.col("text")
-    docs = docs.where(text.rlike(FIRST_GATE))
-    near = F.concat(*[shown(k, spans(text, BASE[k], CONTEXT, GATES[k])) for k in KINDS])
-    formed = F.concat(*[failing(i, k, spans(text, BASE[k], 0, GATES[k])) for i, k in enumerate(KINDS)])
-    rows = docs.select("held", base_spans(text).alias("base"), formed.alias("formed"), candidates(text).alias("found"))
-    rows = rows.select("held", F.explode("found").alias("c"), "base", "formed").where(~meets(F.col("c"), F.col("formed"), True))
-    real = rows.select("held", F.col("c.kind").alias("what"), F.col("c.x").alias("x"), meets(F.col("c"), F.col("base"), True).cast("double").alias("label"))
-
-    spots = docs.select("held", F.explode(near).alias("b")).select("held", "b.*")
+    """(held, what, x, label): the candidates of (held, text) that are in one of the classes, in one pass over the texts."""
+    text, none = F.col("text"), F.lit(None)
+    matches = F.concat(*[formed(i, k, spans(text, BASE[k], CONTEXT, GATES[k])) for i, k in enumerate(KINDS)])
+    rows = docs.where(text.rlike(FIRST_GATE)).select("held", matches.alias("formed"), candidates(text).alias("found"))
+    rows = rows.select("held", "found", F.filter("formed", lambda x: x["ok"]).alias("base"), F.filter("formed", lambda x: ~x["ok"]).alias("failing"))
+    # candidates as they are, with features x, and base spans to be rewritten, with their match m
+    named = lambda *values: F.struct(*[v.alias(n) for n, v in zip(("what", "x", "label", "m", "l", "r"), values, strict=True)])
+    text_none = none.cast("string")
+    real = F.transform(F.filter("found", lambda c: ~meets(c, F.col("failing"), True)), lambda c: named(c["kind"], c["x"], meets(c, F.col("base"), True).cast("double"), text_none, text_none, text_none))
+    spots = F.transform("base", lambda b: named(b["kind"], none.cast(f"struct<{', '.join(f'{f}: double' for f in FEATURES)}>"), none.cast("double"), b["m"], b["l"], b["r"]))
+    rows = rows.select("held", F.explode(F.concat(real, spots)).alias("e")).select("held", "e.*")
+
     other = F.transform(F.array(*[F.lit(x) for x in LOOKALIKES]), lambda p: digits_in(p, F.concat(p, F.col("m"))))
-    tag = lambda forms, label: F.transform(forms, lambda f: F.struct(f.alias("form"), F.lit(label).alias("label")))
-    planted = spots.select("held", "kind", "l", "r", F.explode(F.concat(tag(rewritten(F.col("kind"), F.col("m")), 1.0), tag(other, 0.0))).alias("p"))
-    planted = planted.select("held", "kind", F.char_length("l").alias("at"), (F.char_length("l") + F.char_length("p.form")).alias("to"), F.concat("l", "p.form", "r").alias("snippet"), "p.label")
-    planted = planted.select("held", "kind", "at", "to", "label", F.explode(candidates(F.col("snippet"))).alias("c"))
-    planted = planted.where("c.s < to AND c.e > at").where((F.col("label") == 0) | (F.col("c.kind") == F.col("kind")))
-    return real.unionByName(planted.select("held", F.col("c.kind").alias("what"), F.col("c.x").alias("x"), "label"))
+    tag = lambda forms, label: F.transform(forms, lambda f: F.struct(f.alias("form"), label.alias("label")))
+    forms = F.concat(tag(rewritten(F.col("what"), F.col("m")), F.lit(1.0)), tag(other, F.lit(0.0)))
+    rows = rows.select("held", "what", "x", "l", "r", F.explode(F.when(F.col("m").isNull(), tag(F.array(text_none), F.col("label"))).otherwise(forms)).alias("p"))
+    rows = rows.select("held", "what", "x", "p.label", F.char_length("l").alias("at"), (F.char_length("l") + F.char_length("p.form")).alias("to"), F.concat("l", "p.form", "r").alias("snippet"))
+    there = lambda c: (c["s"] < F.col("to")) & (c["e"] > F.col("at")) & ((F.col("label") == 0) | (c["kind"] == F.col("what")))
+    planted = F.transform(F.filter(candidates(F.col("snippet")), there), lambda c: F.struct(c["kind"].alias("what"), c["x"].alias("x")))
+    rows = rows.select("held", "label", F.explode(F.when(F.col("snippet").isNull(), F.array(F.struct("what", "x"))).otherwise(planted)).alias("e"))
+    return rows.select("held", "e.what", "e.x", "label")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -278,7 +277,7 @@ def detect(docs: DataFrame, model: Model, text_col: str = "text", base_col: str
     """
     base_col, all_col, t, c = fresh(docs, base_col, all_col, "pii_text", "pii_found")
     text = F.col(t)
-    out = docs.withColumn(t, whole(F.col(text_col))).withColumn(base_col, base_spans(text))
+    out = docs.withColumn(t, F.when(F.col(text_col).cast("string").rlike(FIRST_GATE), whole(F.col(text_col))).otherwise("")).withColumn(base_col, base_spans(text))
     if model.trees:
         limit = lambda x: F.element_at(F.create_map(*[y for k in KINDS for y in (F.lit(k), F.lit(float(model.thresholds[k])))]), x["kind"])
         scored = F.transform(candidates(text), lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), model.score(x["x"]).alias("p")))
