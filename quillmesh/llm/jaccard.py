@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, marked, marks, table, text_key, whole, written
+from .common import fresh, marked, marks, released, table, text_key, whole, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -236,6 +236,7 @@ def families(texts: DataFrame, threshold: float, target: float) -> tuple[DataFra
         found = written(candidates(texts, length, threshold - MARGIN), "candidates")
         edges = found if edges is None else edges.unionByName(found)
         family = written(components(edges).select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
+        released(texts.sparkSession)  # the rounds of the components leave many plans and shuffles
         reached = recall(texts, family, threshold)
         if reached < RECALL and length == 1:
             warnings.warn(f"near copies: {reached:.3f} of the sampled pairs are in one family, {RECALL} were wanted", stacklevel=2)
@@ -319,6 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     source = marked(d.withColumn("key", text_key(F.col("text"))), short(F.col("key")), words, MAP_BITS, "maybe").where("maybe").drop("maybe")
     rows = source.join(family.hint("merge"), "key").where(F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["key"])
     found = written(verified(rows.select("key", "family", "blocks", "text"), threshold, tasks_for(docs.sparkSession, family.count(), 5_000)), "links")
+    released(docs.sparkSession)
     counted = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), F.col("root").alias("class_key"))
     linked = counted.join(classes.hint("merge"), "key", "left")

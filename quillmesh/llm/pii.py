@@ -236,10 +236,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
     rows = examples(d).select("held", "what", "label", "x.*").groupBy(*each).agg(F.count("*").cast("double").alias("n")).persist()
     try:
         train = rows.where(~F.col("held"))
-        size = train.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes")).first()
-        if size["classes"] < 2:
+        size = train.agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+        if size["low"] == size["high"]:
             return Model([], dict.fromkeys(KINDS, 2.0))
-        train = train.repartition(1 + size["n"] // PART_ROWS, *each).sortWithinPartitions(*each)  # sums in the same order in each run
+        train = dealt(train, size["n"], each).sortWithinPartitions(*each)  # sums in the same order in each run
         # Spark ML takes the bounds of the bins from maxBins squared rows at most; these are all
         bins = max(32, math.isqrt(size["n"]) + 1)
         gbt = GBTClassifier(weightCol="n", maxIter=10, maxDepth=3, maxBins=bins, stepSize=0.4, seed=SEED, maxMemoryInMB=64)
@@ -251,6 +251,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mode
         rows.unpersist()
 
 
+def dealt(train: DataFrame, rows: int, by: list[str]) -> DataFrame:
+    """train in parts of about PART_ROWS rows. Each of the trees' many jobs has a task for each part, so what fits in one isn't dealt out anew."""
+    parts = 1 + rows // PART_ROWS
+    return train.coalesce(1) if parts == 1 else train.repartition(parts, *by)
+
+
 def read_trees(text: str) -> list[tuple[float, list[str]]]:
     trees: list[tuple[float, list[str]]] = []
     for line in text.split("\n")[1:]:

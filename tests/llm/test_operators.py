@@ -99,6 +99,17 @@ def test_pii_learns_from_all_documents(spark):
     assert pii.examples(held).count() == pii.examples(held.where(F.col("doc_id").isin(last))).count() > 0
 
 
+def test_pii_training_rows_that_fit_in_a_part_are_one_task(spark, monkeypatch):
+    keyed, asked = type(spark.range(0)).repartition, []
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *by: asked.append((n, by)) or keyed(self, n, *by))
+    d = spark.createDataFrame([(i, f"mail {i}: ann{i}@site{i % 9}.org, 10.0.{i}.7, tel. +49 30 {1234567 + i}; v2.{i}") for i in range(40)], "doc_id long, text string")
+    assert pii.fit(d).trees and asked == []
+    some = spark.range(30, numPartitions=7)
+    assert pii.dealt(some, 30, ["id"]).rdd.getNumPartitions() == 1
+    parts = pii.dealt(some, 3 * pii.PART_ROWS, ["id"])
+    assert asked == [(4, ("id",))] and sorted(r.id for r in parts.collect()) == list(range(30))
+
+
 def test_pii_weighs_equal_rows(spark):
     """Thresholds count every held-out candidate, however many share a row."""
     scored = spark.createDataFrame([("ip", 1.0, 95.0, 0.9), ("ip", 0.0, 5.0, 0.8), ("ip", 0.0, 1.0, 0.7), ("card", 1.0, 1.0, 0.9), ("card", 0.0, 1.0, 0.9)], "what string, label double, n double, score double")
