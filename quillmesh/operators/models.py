@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..sources.stored import cut
 from . import scoring
+from .ranks import running
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
@@ -38,30 +45,123 @@ def every_row(df: DataFrame) -> DataFrame:
     return some.withColumn("rows_", F.explode(F.array_repeat(F.lit(1), F.least(F.lit(step), F.col("rows_") - F.col("from_")).cast("int")))).drop("rows_", "from_")
 
 
+def by_frequency(df: DataFrame, columns: list[str]) -> list[list[str]]:
+    """The values of each column of counted rows, the most frequent first, equally frequent ones by alphabet: what a StringIndexer learns from every row."""
+    n = df.unpivot(["rows_"], columns, "column", "value").where("value IS NOT NULL").groupBy("column", "value").agg(F.sum("rows_").alias("n")).collect()
+    return [[r["value"] for r in sorted((r for r in n if r["column"] == c), key=lambda r: (-r["n"], r["value"]))] for c in columns]
+
+
+def bin_edges(df: DataFrame, column: str, bins: int = 32) -> list[float]:
+    """At most bins - 1 rising numbers that part the rows into bins of nearly equal size, each halfway between two values; with no more values than bins each has its own.
+
+    A forest sees a number only through such bins (maxBins), whose bounds it takes from some 10,000 rows;
+    these are from all rows. Values are counted first and their running sums go by ranges.
+    """
+    n = running(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")), F.struct("x"), {"up": F.col("n")}, totals=True)
+    if len(few := n.select("x").limit(bins + 1).collect()) <= bins:
+        x = sorted(r["x"] for r in few)
+        return [(a + b) / 2 for a, b in zip(x, x[1:], strict=False)]
+    off = lambda i: F.struct(F.abs(F.col("up") - F.col("up_all") * (i / bins)), -F.col("x"))
+    low = sorted(set(n.agg(*[F.min_by("x", off(i)) for i in range(1, bins)]).first()))  # a number for each edge
+    high = n.agg(*[F.min(F.when(F.col("x") > x, F.col("x"))) for x in low]).first()
+    return [(a + b) / 2 for a, b in zip(low, high, strict=True) if b is not None]
+
+
+def binned(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """df with the column's numbers replaced by how many edges lie below them."""
+    if not edges:
+        return df.withColumn(column, F.lit(0.0))
+    splits = [-math.inf, *[math.nextafter(e, math.inf) for e in edges], math.inf]  # a number at an edge stays below it, as in a tree
+    return Bucketizer(splits=splits, inputCol=column, outputCol="bin_").transform(df).withColumn(column, F.col("bin_").alias(column, metadata={})).drop("bin_")  # a number, no category
+
+
 def weighable(m: Estimator) -> bool:
     """Whether m learns the same from distinct rows with weights: it takes weights, none are set, and it draws no rows by chance."""
     return m.hasParam("weightCol") and not m.isDefined("weightCol") and not m.hasParam("subsamplingRate")
 
 
-def fold_predictions(df: DataFrame, fold: str, folds: int, prepare: Callable[[DataFrame], Transformer], models: dict[str, Estimator], label: str = "label") -> DataFrame:
-    """(model, fold, label, score) of every row by the models that were fitted without its fold. prepare is fitted on the same rows, so no fold is encoded with what it holds.
+def bagging(m: Estimator) -> bool:
+    """Whether m is a forest whose trees each draw rows with replacement, with no weights and no least number of rows in a leaf."""
+    return isinstance(m, RandomForestClassifier) and m.getBootstrap() and m.getNumTrees() > 1 and m.getMinInstancesPerNode() == 1 and not m.isDefined("weightCol")
+
+
+def drawn(df: DataFrame, forest: RandomForestClassifier) -> DataFrame:
+    """Counted rows with drawn_: how often each tree of the forest draws the equal rows that each stands for.
+
+    A forest draws every row Poisson(rate) times for each tree. Such draws of n rows sum to Poisson(n * rate),
+    so one draw for each distinct row is the same bootstrap. It depends on the seed and the row's values only.
+    """
+    trees, rate, seed = forest.getNumTrees(), forest.getSubsamplingRate(), forest.getSeed() % 2**63
+
+    @F.pandas_udf("array<double>")
+    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
+        bits = np.random.Philox(key=(0, seed))
+        rng, start, out = np.random.Generator(bits), bits.state, np.empty((len(key), trees))
+        for i, (k, mean) in enumerate(zip(key.to_numpy(np.int64).view(np.uint64), rate * n.to_numpy(), strict=True)):
+            start["state"]["key"][0] = k  # each row has its own stream
+            bits.state = start
+            out[i] = rng.poisson(mean, trees)
+        return pd.Series(list(out))
+
+    return df.withColumn("drawn_", draw(F.xxhash64(*[c for c in df.columns if c != "rows_"]), "rows_"))
+
+
+def forest_trees(train: DataFrame, forest: RandomForestClassifier) -> list[Model]:
+    """The trees of a forest, each fitted on its own draws: train has drawn_. Several are fitted at once, as their jobs are small."""
+    every = {"auto": "sqrt"}.get(forest.getFeatureSubsetStrategy(), forest.getFeatureSubsetStrategy())
+    one = {forest.numTrees: 1, forest.bootstrap: False, forest.subsamplingRate: 1.0, forest.featureSubsetStrategy: every, forest.weightCol: "times_"}
+
+    def fit(t: int) -> Model:
+        rows = train.select(forest.getFeaturesCol(), forest.getLabelCol(), F.get("drawn_", F.lit(t)).alias("times_")).where("times_ > 0")
+        return forest.copy({**one, forest.seed: forest.getSeed() + t}).fit(rows)
+
+    with ThreadPool(min(8, forest.getNumTrees())) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(fit), range(forest.getNumTrees()))
+
+
+def scored(m: Estimator, train: DataFrame, held: DataFrame, counted: bool = False) -> DataFrame:
+    """held with score, the probability of class 1 by m fitted on train. counted: each row of train stands for rows_ equal ones; with drawn_ the trees of a forest learn from their draws."""
+    if counted and "drawn_" in train.columns and bagging(m):
+        trees = forest_trees(train, m)
+        for t, one in enumerate(trees):  # a forest's probability is the mean of its trees'
+            held = one.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"p{t}_").transform(held)
+        mean = sum(F.get(vector_to_array(f"p{t}_"), 1) for t in range(len(trees))) / len(trees)
+        return held.withColumn("score", F.round(mean, 6)).drop(*[f"p{t}_" for t in range(len(trees))])
+    if not counted:
+        fitted = m.fit(train)
+    elif weighable(m):
+        fitted = m.copy({m.weightCol: "rows_"}).fit(train)
+    else:
+        every = every_row(train).persist()
+        fitted = m.fit(every)
+        every.unpersist()
+    return fitted.transform(held).withColumn("score", F.round(F.get(vector_to_array("probability"), 1), 6))
+
+
+def fold_counts(df: DataFrame, fold: str, folds: int, prepare: Callable[[DataFrame], Transformer], models: dict[str, Estimator], label: str = "label") -> DataFrame:
+    """(model, fold, label, score, rows_): how many rows of a fold and label have a score by the models that were fitted without that fold.
 
     Equal rows are counted and written down once, for all folds and models, and each is scored once. Models
-    that take weights learn from the counts, others from every row; so is prepare fitted on every row.
+    that take weights learn from the counts, forests from as many draws, others from every row. prepare is
+    given the counted rows that the models learn from, so no fold is encoded with what it holds.
     """
     parts, each = [], counted(df)
     for k in range(folds):
         train, test = each.where(F.col(fold) != k), each.where(F.col(fold) == k)
-        ready = prepare(every_row(train))
+        ready = prepare(train)
         some, held = ready.transform(train).persist(), ready.transform(test)
-        seen = ready.transform(every_row(train)).persist()  # filled by the first model that reads it
         for name, m in models.items():
-            fitted = m.copy({m.weightCol: "rows_"}).fit(some) if weighable(m) else m.fit(seen)
-            p = fitted.transform(held)
-            parts.append(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score"), "rows_"))
+            own = drawn(some, m).persist() if bagging(m) else some
+            p = scored(m, own, held, True)
+            parts.append(p.select(F.lit(name).alias("model"), F.lit(k).alias("fold"), F.col(label).cast("int").alias("label"), "score", "rows_"))
+            own.unpersist()
         some.unpersist()
-        seen.unpersist()
-    return every_row(cut(stacked(parts)))
+    return cut(stacked(parts).groupBy("model", "fold", "label", "score").agg(F.sum("rows_").alias("rows_")))
+
+
+def fold_predictions(df: DataFrame, fold: str, folds: int, prepare: Callable[[DataFrame], Transformer], models: dict[str, Estimator], label: str = "label") -> DataFrame:
+    """(model, fold, label, score) of every row by the models that were fitted without its fold: fold_counts, each row by itself."""
+    return every_row(fold_counts(df, fold, folds, prepare, models, label))
 
 
 def grouped_auc(df: DataFrame, by: list[str], score: str, label: str, rows: str | None = None) -> DataFrame:
@@ -80,10 +180,10 @@ def fold_metrics(predictions: DataFrame, rows: str | None = None) -> DataFrame:
     return scoring.rates(counts, 9).join(grouped_auc(predictions, by, "score", "label", rows), by).select(*by, *METRICS)
 
 
-def cross_validation(predictions: DataFrame) -> DataFrame:
-    """(model, NAME_mean, NAME_std): mean and population deviation over the folds of each metric."""
+def cross_validation(predictions: DataFrame, rows: str | None = None) -> DataFrame:
+    """(model, NAME_mean, NAME_std): mean and population deviation over the folds of each metric. rows: the column that says for how many rows each one stands."""
     cells = [c for n in METRICS for c in (F.round(F.avg(n), 6).alias(f"{n}_mean"), F.round(F.stddev_pop(n), 6).alias(f"{n}_std"))]
-    return fold_metrics(predictions).groupBy("model").agg(*cells)
+    return fold_metrics(predictions, rows).groupBy("model").agg(*cells)
 
 
 @dataclass
@@ -142,15 +242,19 @@ def by_rules(features: Column, rules: list[Rule]) -> tuple[Column, Column]:
     return number, value
 
 
-def ablations(train: DataFrame, test: DataFrame, names: list[str], subsets: dict[str, list[str]], model: Estimator, label: str = "label") -> DataFrame:
-    """(subset, features, the five metrics): the model fitted on some source features only, their places cut from the prepared vector. names: the feature of each place."""
+def ablations(train: DataFrame, test: DataFrame, names: list[str], subsets: dict[str, list[str]], model: Estimator, label: str = "label", counted: bool = False) -> DataFrame:
+    """(subset, features, the five metrics): the model fitted on some source features only, their places cut from the prepared vector. names: the feature of each place. counted: rows stand for rows_ equal ones; a forest's subsets share their draws."""
     parts = []
+    if counted and bagging(model):
+        train = drawn(train, model).persist()
     for name, keep in subsets.items():
         slicer = VectorSlicer(inputCol="features", outputCol="kept", indices=[i for i, n in enumerate(names) if n in keep])
-        p = model.copy({model.featuresCol: "kept"}).fit(slicer.transform(train)).transform(slicer.transform(test))
-        parts.append(p.select(F.lit(name).alias("model"), F.lit(len(keep)).alias("fold"), F.col(label).cast("int").alias("label"), F.round(F.get(vector_to_array("probability"), 1), 6).alias("score")))
-    counts = stacked(parts).groupBy("model", "fold", "label", "score").agg(F.count("*").alias("rows_"))  # each row is predicted once for all metrics
-    return fold_metrics(cut(counts), "rows_").withColumnsRenamed({"model": "subset", "fold": "features"})
+        p = scored(model.copy({model.featuresCol: "kept"}), slicer.transform(train), slicer.transform(test), counted)
+        parts.append(p.select(F.lit(name).alias("model"), F.lit(len(keep)).alias("fold"), F.col(label).cast("int").alias("label"), "score", (F.col("rows_") if counted else F.lit(1)).alias("rows_")))
+    counts = cut(stacked(parts).groupBy("model", "fold", "label", "score").agg(F.sum("rows_").alias("rows_")))  # each row is predicted once for all metrics
+    if counted:
+        train.unpersist()
+    return fold_metrics(counts, "rows_").withColumnsRenamed({"model": "subset", "fold": "features"})
 
 
 def learning_curve(model: Model, roles: dict[str, DataFrame], loss: str = "squared") -> DataFrame:

@@ -181,22 +181,31 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.folds(parquet(spark, sf_dir, "labels", ["doc_id", "toxic"]), "toxic", "doc_id", 5, "fold")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, the features, part, qty) of each line; part: 0 of orders that are held out."""
+    return categories(spark, sf_dir).select("label", *FEATURES, F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int").alias("part"), F.col("l_partkey").cast("double").alias("qty"))
+
+
+def sources(df: DataFrame) -> list[str]:
+    """The source feature of each place in the vector of prepared lines."""
+    places = [x for kind in df.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind]
+    return [next((c for c in FEATURES if x["name"].startswith(f"{c}_v")), "qty") for x in sorted(places, key=lambda x: x["idx"])]
+
+
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows to learn from and held-out orders, by one fitted preparation, and the source feature of each place in the vector.
 
     The tables are joined once: what the joins give is kept in columns (catalog.clearCache lets go), and
     each pass of the preparation and the models makes its vectors from there.
     """
-    df = categories(spark, sf_dir).select("label", *FEATURES, F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).cast("int").alias("part"), F.col("l_partkey").cast("double").alias("qty")).persist()
+    df = lines(spark, sf_dir).persist()
     share = df.agg(F.avg("label")).first()[0] or 0.5
     df = df.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
     stages = [StringIndexer(inputCols=list(FEATURES), outputCols=[f"{c}_i" for c in FEATURES], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in FEATURES], outputCols=[f"{c}_v" for c in FEATURES]), Imputer(inputCols=["qty"], outputCols=["qty_f"], strategy="median"), VectorAssembler(inputCols=[*[f"{c}_v" for c in FEATURES], "qty_f"], outputCol="features")]
     train, test = df.where("part > 0"), df.where("part = 0")
     prep = Pipeline(stages=stages).fit(train)
     a, b = (prep.transform(t).select("features", "label", "weight") for t in (train, test))
-    places = [x for kind in a.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind]
-    names = [next((c for c in FEATURES if x["name"].startswith(f"{c}_v")), "qty") for x in sorted(places, key=lambda x: x["idx"])]
-    return a, b, names
+    return a, b, sources(a)
 
 
 def classifiers() -> dict:

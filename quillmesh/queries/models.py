@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +16,11 @@ from . import customers, labelled, trips
 from .registry import query
 
 
-def prepare(train: DataFrame):
-    """Categories to places of a vector; a value that the training rows don't hold is all zeros."""
+def prepare(train: DataFrame, *numbers: str):
+    """Categories of counted rows, and numbers after them, to places of a vector; a value that the training rows don't hold is all zeros."""
     f = labelled.FEATURES
-    return Pipeline(stages=[StringIndexer(inputCols=list(f), outputCols=[f"{c}_i" for c in f], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in f], outputCols=[f"{c}_v" for c in f]), VectorAssembler(inputCols=[f"{c}_v" for c in f], outputCol="features")]).fit(train)
+    index = [StringIndexerModel.from_labels(values, inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c, values in zip(f, ops.by_frequency(train, list(f)), strict=True)]
+    return Pipeline(stages=[*index, OneHotEncoder(inputCols=[f"{c}_i" for c in f], outputCols=[f"{c}_v" for c in f]), VectorAssembler(inputCols=[*[f"{c}_v" for c in f], *numbers], outputCol="features")]).fit(train)
 
 
 def fold_models() -> dict:
@@ -30,14 +31,14 @@ def fold_models() -> dict:
 def model_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation over five stratified folds of five metrics, for three models fitted anew in each fold."""
     df = labelled.categories(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "label", *labelled.FEATURES)
-    return ops.cross_validation(ops.fold_predictions(cleaning.folds(df, "label", "line", 5, "fold").drop("line"), "fold", 5, prepare, fold_models()))
+    return ops.cross_validation(ops.fold_counts(cleaning.folds(df, "label", "line", 5, "fold").drop("line"), "fold", 5, prepare, fold_models()), "rows_")
 
 
 @query()
 def model_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaves of a decision tree as readable rules with support."""
     each = ops.counted(labelled.categories(spark, sf_dir).select("label", *labelled.FEATURES))
-    ready = prepare(ops.every_row(each))
+    ready = prepare(each)
     train = ready.transform(each)
     places = sorted((x for kind in train.schema["features"].metadata["ml_attr"]["attrs"].values() for x in kind), key=lambda x: x["idx"])
     model = DecisionTreeClassifier(maxDepth=4, seed=1, weightCol="rows_").fit(train)
@@ -46,11 +47,19 @@ def model_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A forest on all features, and on all but one of them: metrics on held-out orders."""
-    a, b, names = labelled.encoded(spark, sf_dir)
+    """A forest on all features, and on all but one of them: metrics on held-out orders. The number is cut into the bins that a forest sees of it, so equal rows are counted once, and their count is bounded."""
+    forest = RandomForestClassifier(numTrees=10, maxDepth=5, seed=1)
+    df = labelled.lines(spark, sf_dir).persist()  # the tables are joined once
+    edges = ops.bin_edges(df.where("part > 0"), "qty", forest.getMaxBins())
+    each = ops.counted(ops.binned(df.select("label", *labelled.FEATURES, (F.col("part") == 0).alias("held"), "qty"), "qty", edges))
+    df.unpersist()
+    train, test = each.where("NOT held"), each.where("held")
+    ready = prepare(train, "qty")
+    a, b = ready.transform(train), ready.transform(test)
+    names = labelled.sources(a)
     every = sorted(set(names))
     subsets = {"all": every} | {f"without {f}": [x for x in every if x != f] for f in every}
-    return ops.ablations(a, b, names, subsets, RandomForestClassifier(numTrees=10, maxDepth=5, seed=1))
+    return ops.ablations(a, b, names, subsets, forest, counted=True)
 
 
 def trip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
