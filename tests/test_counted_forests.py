@@ -1,5 +1,6 @@
 """Forests that learn from counted rows draw as often as from every row, and numbers are cut into the bins that a forest sees."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from quillmesh.operators import models
+from quillmesh.operators import cleaning, models
 from quillmesh.queries import models as queries
 
 
@@ -101,3 +102,14 @@ def test_ablations_of_the_lines_count_equal_rows(spark, monkeypatch):
     (a, b), lines = seen[0], spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert len(out) == 7 and a.agg(F.sum("rows_")).first()[0] + b.agg(F.sum("rows_")).first()[0] == lines
     spark.catalog.clearCache()
+
+
+def test_folds_sort_no_row_with_all_others(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 490, F.concat(F.lit("k"), "id")).alias("k"), (F.col("id") % 2).alias("y"))
+    got = cleaning.folds(df, "y", "k", 5, "fold")
+    assert "RangePartitioning" not in got._jdf.queryExecution().toString() and "rangepartitioning" not in got._jdf.queryExecution().toString()
+    rows = sorted(((r.y, r.k is None, hashlib.md5(f"fold|{r.k}".encode()).hexdigest(), r.k or "", r.fold) for r in got.collect()))
+    for y in (0, 1):
+        mine = [r for r in rows if r[0] == y]
+        assert [r[4] for r in mine if not r[1]] == [i % 5 for i in range(245)] and sorted(r[4] for r in mine if r[1]) == [0, 1, 2, 3, 4]
+    spark.catalog.clearCache()
