@@ -24,7 +24,8 @@ from .ranks import running
 DIGITS = 9
 #: A block asked has up to 8 times, a block of others 32 times BLOCK rows; a small table is asked in up to SPREAD blocks of BLOCK rows.
 BLOCK, SPREAD = 2048, 16
-TALL, WIDE, PAIRS = 512, 2048, 16384  # a tile of distances within a pair of blocks, and the pairs of one step of gaps
+TALL, WIDE, PAIRS = 128, 1024, 16384  # a tile of distances within a pair of blocks, small enough for a core's cache, and the pairs of one step of gaps
+FEW = 64  # groups whose sums come from products
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -38,20 +39,23 @@ def gaps(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarr
 
 
 def tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray, float]]:
-    """(rows, others, squared distances, their error at most) of all pairs, by matrix products."""
+    """(rows, others, squared distances, their error at most) of all pairs, by matrix products: the squares of the lengths are two columns more."""
     center = y.mean(0)
     if np.isfinite(center).all():  # the smaller the numbers, the smaller the error
         x, y = x - center, y - center
     xx, yy = (x * x).sum(1), (y * y).sum(1)
     error = 1e-15 * (x.shape[1] + 4) * float(np.nanmax(xx, initial=0) + np.nanmax(yy, initial=0))
+    x = np.column_stack((x, xx, np.ones(len(x))))
+    y = np.ascontiguousarray(np.column_stack((-2 * y, np.ones(len(y)), yy)).T)
     for i in range(0, len(x), TALL):
-        for j in range(0, len(y), WIDE):
+        for j in range(0, y.shape[1], WIDE):
             at, to = slice(i, i + TALL), slice(j, j + WIDE)
-            square = x[at] @ y[to].T
-            square *= -2
-            square += xx[at, None]
-            square += yy[to]
-            yield at, to, square, error
+            yield at, to, x[at] @ y[:, to], error
+
+
+def found(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is set; faster than nonzero of two dimensions."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
 def reach(distance: np.ndarray | float, error: float) -> np.ndarray | float:
@@ -63,7 +67,7 @@ def linked(x: np.ndarray, y: np.ndarray, at: slice, to: slice, square: np.ndarra
     """Whether the pairs of a tile are within eps; what the squares leave open is settled by the differences."""
     inner = max(0.0, eps - 10.0**-DIGITS) ** 2 - error
     sure = square < inner
-    i, j = np.nonzero(~(square > reach(eps, error)) & ~sure)
+    i, j = found(~(square > reach(eps, error)) & ~sure)
     sure[i, j] = gaps(x[at], y[to], i, j) <= eps
     return sure
 
@@ -71,27 +75,30 @@ def linked(x: np.ndarray, y: np.ndarray, at: slice, to: slice, square: np.ndarra
 def closest(a: pd.DataFrame, b: pd.DataFrame, m: int, most: float = np.inf) -> pd.DataFrame:
     """(key, other, distance): of each row of a the m nearest rows of b that are within most, itself before others, then by key."""
     x, y, own, ids = matrix(a["v"]), matrix(b["v"]), a["key"].to_numpy(), b["key"].to_numpy()
-    found, row, other, d, limit = [], np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0)
+    parts, row, other, d, limit, fresh, waiting, seen = [], np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0), [], 0, 0
     for at, to, square, error in tiles(x, y):
         if to.start == 0:
-            row, other, d, limit = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(len(square), reach(most, error))
+            row, other, d, limit, seen = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.full(len(square), reach(most, error)), 0
             if square.shape[1] > m:
                 top = np.sqrt(np.maximum(np.partition(square, m - 1, 1)[:, m - 1] + error, 0))
                 limit = np.fmin(limit, reach(top + 10.0**-DIGITS, error))
-        i, j = np.nonzero(~(square > limit[:, None]))
+        i, j = found(~(square > limit[:, None]))
         if len(i):
-            new = gaps(x[at], y[to], i, j)
-            row, other, d = np.concatenate((row, i)), np.concatenate((other, j + to.start)), np.concatenate((d, new))
+            fresh.append((i, j + to.start, gaps(x[at], y[to], i, j)))
+        seen, waiting, last = seen + 1, waiting + len(i), to.stop >= len(y)
+        if fresh and (last or seen & (seen - 1) == 0 or waiting > 4 * m * len(square)):  # sorted after 1, 2, 4, 8 ... tiles, as limits fall slower and slower
+            row, other, d = (np.concatenate(c) for c in zip((row, other, d), *fresh, strict=True))
+            fresh, waiting = [], 0
             order = np.lexsort((ids[other], ids[other] != own[at][row], d, row))
             row, other, d = row[order], other[order], d[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             row, other, d, place = (c[place < m] for c in (row, other, d, place))
             full = place == m - 1
             limit[row[full]] = np.fmin(limit[row[full]], reach(d[full], error))
-        if to.stop >= len(y):
+        if last:
             keep = (d <= most) | np.isinf(most)
-            found.append(pd.DataFrame({"key": own[at][row[keep]], "other": ids[other[keep]], "distance": d[keep]}))
-    return pd.concat(found)
+            parts.append(pd.DataFrame({"key": own[at][row[keep]], "other": ids[other[keep]], "distance": d[keep]}))
+    return pd.concat(parts)
 
 
 def by_blocks(asked: DataFrame, others: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -253,19 +260,40 @@ def graph_clusters(df: DataFrame, key: str, vector: str, k: int, m: int = 10, ro
     return KMeans(k=k, seed=seed, maxIter=30).fit(flat).transform(flat).select("key", F.col("prediction").cast("long").alias("cluster"))
 
 
-def by_group(d: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The sums of the columns of d for each of n groups; at: a column's group, -1 for none."""
-    if n <= TALL // 8 and np.isfinite(d).all():
-        return d @ np.concatenate((np.eye(n), np.zeros((1, n))))[at]
+def sorted_groups(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the columns that have a group, group by group, where each group starts among them); at: a column's group, -1 for none."""
     order = np.argsort(at, kind="stable")
     order = order[at[order] >= 0]
+    return order, np.flatnonzero(np.diff(at[order], prepend=-1))
+
+
+def by_group(d: np.ndarray, at: np.ndarray, n: int, dealt: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The sums of the columns of d for each of n groups. dealt: sorted_groups(at), if it is known."""
+    order, starts = dealt or sorted_groups(at)
     out = np.zeros((len(d), n))
     if len(order):
-        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
         out[:, at[order][starts]] = np.add.reduceat(d[:, order], starts, 1)
     return out
 
 
+def group_sums(at: list[np.ndarray], sizes: list[int], finite: bool) -> Callable[[np.ndarray, slice], list[np.ndarray]]:
+    """A function of some columns of distances that gives their sums by group for each partition. Partitions of few groups share one product, if all distances are finite."""
+    few, width = [], 0
+    for k, n in enumerate(sizes):
+        if finite and width + n <= FEW:
+            few, width = [*few, k], width + n
+    ones = np.concatenate([np.concatenate((np.eye(sizes[k]), np.zeros((1, sizes[k]))))[at[k]] for k in few], 1) if few else None
+    ends, known = np.cumsum([sizes[k] for k in few])[:-1], {}
+
+    def sums(d: np.ndarray, to: slice) -> list[np.ndarray]:
+        quick = dict(zip(few, np.split(d @ ones[to], ends, 1), strict=True)) if few else {}
+        if to.start not in known:
+            known[to.start] = {k: sorted_groups(at[k][to]) for k in range(len(sizes)) if k not in quick}
+        return [quick[k] if k in quick else by_group(d, at[k][to], n, known[to.start][k]) for k, n in enumerate(sizes)]
+
+    return sums
+
+
 def silhouettes(df: DataFrame, key: str, vector: str, label: str, noise: int | None = None) -> DataFrame:
     """(label, n, silhouette): the mean silhouette of each group by plain distances, and over all rows with label null.
 
@@ -284,17 +312,22 @@ def silhouettes_of(df: DataFrame, key: str, vector: str, labels: list[str], nois
         for k in range(len(labels)):
             mine, theirs = (pd.Series([g[k] for g in t["groups"]], dtype="Int64") for t in (a, b))
             known = theirs.notna().to_numpy()
-            found, place = np.unique(theirs[known].to_numpy(np.int64), return_inverse=True)
+            values, place = np.unique(theirs[known].to_numpy(np.int64), return_inverse=True)
             index = np.full(len(b), -1)
             index[known] = place
-            own, at, groups = [*own, mine], [*at, index], [*groups, found]
+            own, at, groups = [*own, mine], [*at, index], [*groups, values]
         total = [np.zeros((len(a), len(g))) for g in groups]
+        sums = group_sums(at, [len(g) for g in groups], bool(np.isfinite(x).all() and np.isfinite(y).all() and max(np.abs(x).max(), np.abs(y).max()) < 1e100))
         for i, j, square, error in tiles(x, y):
-            p, q = np.nonzero(~(square > (error * 10.0**DIGITS) ** 2 + error))  # closer ones would be off by more than the rounding
-            d = np.sqrt(np.maximum(square, 0, out=square), out=square)
-            d[p, q] = gaps(x[i], y[j], p, q)
-            for k, g in enumerate(groups):
-                total[k][i] += by_group(d, at[k][j], len(g))
+            least = (error * 10.0**DIGITS) ** 2 + error  # closer ones would be off by more than the rounding
+            if square.min() > least:
+                d = np.sqrt(square, out=square)
+            else:
+                p, q = found(~(square > least))
+                d = np.sqrt(np.maximum(square, 0, out=square), out=square)
+                d[p, q] = gaps(x[i], y[j], p, q)
+            for t, part in zip(total, sums(d, j), strict=True):
+                t[i] += part
         parts = []
         for k, g in enumerate(groups):
             has = own[k].notna().to_numpy()
@@ -308,10 +341,10 @@ def silhouettes_of(df: DataFrame, key: str, vector: str, labels: list[str], nois
     a = F.col("mine.total") / F.nullif(F.col("mine.n") - 1, F.lit(0))
     each = F.when(F.col("b").isNull(), None).when(F.col("mine.n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - a) / F.nullif(F.greatest("b", a), F.lit(0.0)), F.lit(0.0)))
     out = mean.select(F.get(F.array(*[F.lit(c) for c in labels]), "of").alias("of"), F.col("own").alias("label"), each.alias("s")).groupBy("of", "label").agg(F.count("*").alias("n"), F.sum("s").alias("t"), F.count("s").alias("m"))
-    mean_of = lambda t, m: F.round(t / F.nullif(m, F.lit(0)), 6).alias("silhouette")
-    grouped = out.select("of", "label", "n", mean_of(F.col("t"), F.col("m")))
-    whole = out.groupBy("of").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("m").alias("m")).select("of", F.lit(None).cast("long").alias("label"), "n", mean_of(F.col("t"), F.col("m")))
+    whole = F.lit(None).cast("long")
+    out = out.select("of", F.explode(F.array(F.col("label"), whole)).alias("label"), "n", "t", "m").groupBy("of", "label").agg(*[F.sum(c).alias(c) for c in ("n", "t", "m")])  # both from one pass over the pairs
+    out = out.select("of", "label", "n", F.round(F.col("t") / F.nullif("m", F.lit(0)), 6).alias("silhouette"))
     if len(labels) == 1:  # also without rows
-        none = df.sparkSession.range(1).select(F.lit(labels[0]).alias("of"))
-        whole = none.join(whole, "of", "left").select("of", "label", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "silhouette")
-    return grouped.unionByName(whole)
+        none = df.sparkSession.range(1).select(F.lit(labels[0]).alias("of"), whole.alias("label"))
+        out = none.join(out, (out["of"] == none["of"]) & out["label"].eqNullSafe(none["label"]), "full").select(F.coalesce(out["of"], none["of"]).alias("of"), out["label"], F.coalesce("n", F.lit(0).cast("long")).alias("n"), "silhouette")
+    return out

@@ -75,3 +75,35 @@ def test_known_neighbours_give_the_curve_and_the_graph(spark):
     near = density.nearest(df, "id", "v", 12)
     assert sorted(density.k_distances(df, "id", "v", 8, near).collect()) == sorted(density.k_distances(df, "id", "v", 8).collect())
     assert sorted(density.graph_clusters(df, "id", "v", 2, near=near).collect()) == sorted(density.graph_clusters(df, "id", "v", 2).collect())
+
+
+def test_pairs_are_gone_through_once_for_groups_and_the_whole(spark, rows, monkeypatch):
+    made, plan = [], density.by_blocks
+    monkeypatch.setattr(density, "by_blocks", lambda *a: made.append(plan(*a)) or made[-1])
+    rows = rows.sample(60, random_state=2)
+    df = spark.createDataFrame([(int(k), [float(t) for t in v], int(g)) for k, v, g in rows.itertuples(index=False)], "id long, v array<double>, g int")
+    text = density.silhouettes(df, "id", "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and text.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_sums_of_many_groups_are_those_of_few(rows):
+    d, rng = plain(rows)[:50], np.random.default_rng(1)
+    at = [rng.integers(-1, n, len(rows)) for n in (5, 70, 3, 64)]
+    sums = density.group_sums(at, [5, 70, 3, 64], True)
+    for _ in range(2):
+        got = sums(d[:, 100:900], slice(100, 900))
+        for k, n in enumerate((5, 70, 3, 64)):
+            want = np.stack([d[:, 100:900][:, at[k][100:900] == g].sum(1) for g in range(n)], 1)
+            assert np.allclose(got[k], want, rtol=1e-12)
+
+
+def test_nearest_of_many_tiles_with_late_and_equal_rows(monkeypatch):
+    monkeypatch.setattr(density, "TALL", 7)
+    monkeypatch.setattr(density, "WIDE", 20)
+    x = np.concatenate((np.linspace(9, 1, 300), np.ones(200)))[:, None]  # ever nearer ones, then copies
+    t = pd.DataFrame({"key": np.arange(500)[::-1].copy(), "v": list(x)})
+    d, keys = plain(t), t["key"].to_numpy()
+    got = density.closest(t, t, 5).groupby("key").agg(list)
+    for i, k in enumerate(keys):
+        order = np.lexsort((keys, keys != k, d[i]))[:5]
+        assert got.loc[k, "other"] == list(keys[order]) and got.loc[k, "distance"] == list(d[i][order])
